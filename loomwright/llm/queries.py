@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, secrets
+from . import near_dedup, quality, secrets
 from .common import table
 
 
@@ -18,5 +18,9 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("_row.doc_id").alias("doc_id"), *quality.COUNTS, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules)}
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op5_minhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
