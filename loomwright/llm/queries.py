@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dedup, packing, quality, secrets, urls
+from . import html, mixing, near_dedup, packing, quality, secrets, urls
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -34,5 +38,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_url_filter, op5_minhash_near_dedup, op8_packing, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_url_filter, op5_minhash_near_dedup, op7_html_extraction, op8_packing, op10_source_mixing)}
 ORACLE_SQL: dict[str, str] = {}
