@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, mixing, near_dedup, packing, quality, secrets, urls
+from . import html, mixing, near_dedup, neighbours, packing, quality, secrets, urls
 from .common import table
 
 
@@ -34,9 +34,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_url_filter, op5_minhash_near_dedup, op7_html_extraction, op8_packing, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_url_filter, op5_minhash_near_dedup, op7_html_extraction, op8_packing, op9_nearest_neighbours, op10_source_mixing)}
 ORACLE_SQL: dict[str, str] = {}
