@@ -5,7 +5,9 @@
    cost one.
 2. 120 MinHash values a node give 24 bands of five. The same values, each with its number,
    are folded into a 512-bit parity bitmap, the odd sketch: the population count of two
-   sketches' XOR estimates how many values differ.
+   sketches' XOR estimates how many values differ. A second bitmap, sized by the set, holds
+   the parity of all shingles: its XOR count never exceeds the number of shingles that
+   differ, so that it proves pairs to be below the threshold.
 3. Within a band's bucket a forest of the pairs that the sketches find most similar is
    proposed, not all pairs. Buckets are cut into blocks, and each pair of blocks is one
    group, so that a bucket of any size is spread over tasks. Proposed pairs are confirmed on
@@ -37,11 +39,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bloom
-from .common import LOWER_AZ, Workspace, small_batches
+from .common import LOWER_AZ, Workspace, shuffle_width, small_batches
 from .components import components
 
 SHINGLE, BANDS, ROWS, SKETCH_BITS = 5, 24, 5, 512
 PERCENT = 85  # link where 100 * intersection >= PERCENT * union
+MOST_PARITY_BITS = 16384
 BLOCK = 512  # nodes in a block of a bucket
 MARGIN = 4.0  # standard deviations by which an estimate may fall short of the threshold
 
@@ -84,6 +87,33 @@ def odd_sketch(values: np.ndarray) -> bytes:
     return np.packbits(np.bincount((h >> np.uint64(40)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS).astype(np.uint8) & 1).tobytes()
 
 
+def parity(x: np.ndarray) -> bytes:
+    """Parity of all members of a set on 512 to MOST_PARITY_BITS bits, a power of two near twice the set's size."""
+    bits = min(MOST_PARITY_BITS, max(SKETCH_BITS, 1 << (2 * len(x) - 1).bit_length()))
+    at = (x >> np.uint64(20)).astype(np.int64) & (bits - 1)
+    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def fewest_differing(parities: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """A lower bound of how many members differ between the sets of each pair, from their parities.
+
+    The longer bitmap is folded onto the shorter one: XOR of its parts.
+    """
+    size = np.array([len(p) for p in parities])
+    common = np.minimum(size[i], size[j])
+    out = np.zeros(len(i), np.int64)
+    for width in np.unique(common):
+        rows = np.flatnonzero(size >= width)
+        place = np.full(len(size), -1)
+        place[rows] = np.arange(len(rows))
+        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(parities[r], np.uint64).reshape(-1, width // 8), axis=0) for r in rows])
+        mine = np.flatnonzero(common == width)
+        for at in range(0, len(mine), 1 << 14):
+            some = mine[at : at + (1 << 14)]
+            out[some] = np.bitwise_count(folded[place[i[some]]] ^ folded[place[j[some]]]).sum(1)
+    return out
+
+
 def band_keys(values: np.ndarray) -> np.ndarray:
     v = values.reshape(BANDS, ROWS)
     out = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)
@@ -102,7 +132,7 @@ def fewest_agreeing(values: int = BANDS * ROWS, bits: int = SKETCH_BITS, percent
     return seen + margin * math.sqrt(by_values**2 + max(0.0, bits / 4 * (1 - (1 - 2 / bits) ** (2 * differing)) - differing * (1 - 2 / bits) ** (2 * differing)))
 
 
-SIGNED = T.StructType([T.StructField("fp", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
+SIGNED = T.StructType([T.StructField("fp", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType()), T.StructField("parity", T.BinaryType())])
 
 
 def fingerprint(words: list[bytes]) -> bytes:
@@ -118,9 +148,9 @@ def _signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             x = shingles(words)
             if len(x):
                 v = minhashes(x)
-                rows.append((fingerprint(words), len(x), band_keys(v), odd_sketch(v)))
+                rows.append((fingerprint(words), len(x), band_keys(v), odd_sketch(v), parity(x)))
             else:
-                rows.append((None, 0, None, None))
+                rows.append((None, 0, None, None, None))
         yield pd.DataFrame(rows, columns=SIGNED.names)
 
 
@@ -163,7 +193,7 @@ def _forest(i: np.ndarray, j: np.ndarray, weight: np.ndarray, n: int) -> list[in
     return kept
 
 
-def _bucket_pairs(sketch: np.ndarray, size: np.ndarray, side: np.ndarray, label: np.ndarray | None, most: float) -> tuple[np.ndarray, np.ndarray]:
+def _bucket_pairs(sketch: np.ndarray, parities: list[bytes], size: np.ndarray, side: np.ndarray, label: np.ndarray | None, most: float) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs of one group: a forest, or with labels all pairs between different ones.
 
     side is 0 for the group's first block and 1 for its second; with both present only
@@ -180,8 +210,12 @@ def _bucket_pairs(sketch: np.ndarray, size: np.ndarray, side: np.ndarray, label:
         near &= label[x][:, None] != label[y][None]
     i, j = np.nonzero(near)
     i, j = x[i], y[j]
+    if len(i):
+        # At the threshold t the sets differ in (1 - t) / (1 + t) of their sizes' sum.
+        apart = fewest_differing(parities, i, j)
+        near = (100 + PERCENT) * apart <= (100 - PERCENT) * (size[i] + size[j])
+        i, j, apart = i[near], j[near], apart[near]
     if label is None and len(i) > 1:
-        apart = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1)
         kept = _forest(i, j, apart, len(sketch))
         i, j = i[kept], j[kept]
     return i, j
@@ -208,11 +242,12 @@ def _pairs_of(labelled: bool):
         label = fixed(t["label"], 16).copy().view("V16").ravel() if labelled else None
         if labelled:
             label = np.unique(label, return_inverse=True)[1]
+        parities = t["parity"].to_pylist()
         cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
         a, b = [], []
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
             if e - s > 1:
-                i, j = _bucket_pairs(sketch[s:e], size[s:e], side[s:e], label[s:e] if labelled else None, most)
+                i, j = _bucket_pairs(sketch[s:e], parities[s:e], size[s:e], side[s:e], label[s:e] if labelled else None, most)
                 a += (i + s).tolist()
                 b += (j + s).tolist()
         if not a:
@@ -244,19 +279,24 @@ def _pairs_of(labelled: bool):
     return run
 
 
-def _candidates(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Candidate pairs over the buckets of nodes (fp, n_shingles, bands, sketch)."""
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """(key, fp, blocks) of the buckets with more than one node. Counts are partial before they are shuffled."""
+    keys = nodes.select(F.explode("bands").alias("key"), "fp")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+    return keys.join(sizes.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")
+
+
+def _candidates(buckets: DataFrame, nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Candidate pairs in the buckets; with labels (node, root), those that would join two components."""
     spark = nodes.sparkSession
-    columns = ["fp", "n_shingles", "sketch"]
+    columns = ["fp", "n_shingles", "sketch", "parity"]
     if labels is not None:
-        nodes = nodes.join(labels, nodes["fp"] == labels["node"], "left").withColumn("label", F.coalesce("root", "fp"))
+        buckets = buckets.join(labels, buckets["fp"] == labels["node"], "left").withColumn("label", F.coalesce("root", "fp")).drop("node", "root")
         columns.append("label")
-    keys = nodes.select(F.explode("bands").alias("key"), *(["label"] if labels is not None else []))
-    # Buckets of one node, or by now of one component, need no look. The sums are partial before they are shuffled.
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), *([F.min("label").alias("lo"), F.max("label").alias("hi")] if labels is not None else []))
-    sizes = sizes.filter(F.col("n") > 1 if labels is None else (F.col("n") > 1) & (F.col("lo") != F.col("hi")))
-    sizes = sizes.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = nodes.select(F.explode("bands").alias("key"), *columns).join(sizes, "key")
+        # Buckets that are one component by now need no second look.
+        mixed = buckets.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter(F.col("lo") != F.col("hi")).select("key")
+        buckets = buckets.join(mixed, "key")
+    rows = buckets.join(nodes.select("fp", "n_shingles", "sketch", "parity"), "fp")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("fp", "key"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.select("key", *columns, "block", other.alias("other"))
@@ -265,7 +305,7 @@ def _candidates(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
         F.when(F.col("block") > F.col("other"), 1).otherwise(0).cast("int").alias("side"),
         *columns,
     )
-    spread = rows.repartition(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), "group").sortWithinPartitions("group")
+    spread = rows.repartition(2 * shuffle_width(spark), "group").sortWithinPartitions("group")
     return spread.mapInArrow(_pairs_of(labels is not None), PAIRS).distinct()
 
 
@@ -296,17 +336,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = docs.select("_id", _signed("_text").alias("s")).select("_id", "s.*")
     signed = work.keep(signed, "signed")
     named = signed.filter(F.col("_id").isNotNull() & F.col("fp").isNotNull())
-    nodes = named.groupBy("fp").agg(F.min("_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    nodes = named.groupBy("fp").agg(F.min("_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity"))
     nodes = work.keep(nodes, "nodes")
     # Two texts under one id are one document: link them.
     shared = named.select("_id", "fp").distinct().groupBy("_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter(F.col("a") != F.col("b"))
     shared = named.select("_id", "fp").distinct().join(shared.select("_id", "a"), "_id").filter(F.col("fp") != F.col("a")).select("a", F.col("fp").alias("b"))
     texts = docs.filter(F.col("_id").isNotNull() & F.col("_text").isNotNull())
 
-    pairs = work.keep(_candidates(nodes, None), "pairs")
+    buckets = work.keep(_buckets(nodes), "buckets")
+    pairs = work.keep(_candidates(buckets, nodes, None), "pairs")
     links = work.keep(_confirmed(pairs, nodes, texts).unionByName(shared), "links")
     labels = work.keep(components(links, work, "first"), "labels")
-    pairs = work.keep(_candidates(nodes, labels).join(pairs, ["a", "b"], "left_anti"), "pairs-rest")
+    pairs = work.keep(_candidates(buckets, nodes, labels).join(pairs, ["a", "b"], "left_anti"), "pairs-rest")
     rest = work.keep(_confirmed(pairs, nodes, texts), "rest")
     if not rest.isEmpty():
         labels = work.keep(components(links.unionByName(rest), work, "second"), "labels-all")
