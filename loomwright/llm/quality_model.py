@@ -27,7 +27,7 @@ from .training import held_out, sampled_ids, sigmoid, texts_of
 
 SAMPLE = 20_000  # trusted positives, and unlabelled texts, that are learnt from
 THRESHOLD = 0.7
-CLIP = 6.0  # standard deviations beyond which a feature says no more
+USUAL, CLIP = 2.0, 6.0  # standard deviations within which a feature says nothing, and beyond which no more
 
 NAMES = ("symbols", "pipes", "capitals", "digits", "marks", "bangs", "word_length", "long_words", "kinds", "commonest", "pairs", "same_lines", "short_lines", "odd_ends", "short")
 _SYMBOLS, _MARKS = np.zeros(256), np.zeros(256)
@@ -48,11 +48,12 @@ def features(text: str | None) -> list[float]:
     lines = [x for x in text.split("\n") if x.strip()]
     letters = max(1, chars - n)
     capitals = sum(map(str.isupper, words))
+    enough = min(1.0, n / 100)  # repeats say little in a short text
     odd = sum(not (w[-1].isalnum() or w[-1] in ".,;:?!'\")") for w in words)
     return [
         symbols / letters, pipes / n, capitals / n, digits / letters, marks / n, bangs / n,
-        letters / n, sum(len(w) > 18 for w in words) / n, 1 - len(kinds) / n**0.9, max(kinds.values()) / n if n > 9 else 0.0, pairs / n,
-        1 - len(set(lines)) / len(lines), sum(len(x) < 30 for x in lines) / len(lines), odd / n, 1.0 if n < 12 else 0.0,
+        letters / n, sum(len(w) > 18 for w in words) / n, max(0.0, 1 - len(kinds) / n**0.9), enough * max(kinds.values()) / n, enough * pairs / n,
+        enough * (1 - len(set(lines)) / len(lines)), sum(len(x) < 30 for x in lines) / len(lines), odd / n, 1.0 if n < 12 else 0.0,
     ]
 
 
@@ -80,11 +81,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     mean, spread = positive.mean(0), positive.std(0) + 0.02 * (np.abs(positive).mean(0) + 0.05)
 
     def scaled(x: np.ndarray) -> np.ndarray:
-        return np.clip((x - mean) / spread, -CLIP, CLIP)
+        """How far each feature is above, and below, what is usual among trusted positives."""
+        z = (x - mean) / spread
+        return np.column_stack([np.clip(z - USUAL, 0, CLIP), np.clip(-z - USUAL, 0, CLIP)])
 
     rng = np.random.default_rng(3)
     p, u = scaled(positive)[rng.permutation(len(positive))], scaled(unlabelled)[rng.permutation(len(unlabelled))]
-    w = fit(p, u, class_prior(p, u)) if len(u) else np.r_[np.zeros(len(NAMES)), 2.0]
+    w = fit(p, u, class_prior(p, u)) if len(u) else np.r_[np.zeros(2 * len(NAMES)), 2.0]
 
     @F.pandas_udf(T.DoubleType())
     def scored(texts: pd.Series) -> pd.Series:

@@ -2,8 +2,9 @@
 
 1. Letter trigrams are counted over all texts: the character model of the noisy channel.
 2. On a bounded sample of labelled rows (SAMPLE, none held out) obfuscated words are
-   restored, and words and their beginnings are counted by label. Each gets the lower bound
-   of its log odds as a weight.
+   restored and counted by label; each gets the lower bound of its log odds as a weight.
+   Then beginnings of words are counted and weighted likewise, but for words that have a
+   weight of their own, whose beginnings would else speak against harmless words.
 3. A logistic fit on a text's strongest weights, each taken from the half of the sample that
    the text is not in, gives the score.
 4. Every whole text is restored and scored.
@@ -60,43 +61,56 @@ def character_model(docs: DataFrame, text_col: str) -> np.ndarray:
 class Reader:
     """From a text to the buckets of its restored words, or to its strongest weights."""
 
-    def __init__(self, costs: np.ndarray, weights: dict[int, float] | None = None):
-        self.costs, self.weights, self.known = costs.tolist(), weights, {}
+    def __init__(self, costs: np.ndarray, words: dict[int, float] | None = None, starts: dict[int, float] | None = None):
+        self.costs, self.by_word, self.by_start, self.known = costs.tolist(), words or {}, starts or {}, {}
 
-    def buckets(self, word: str) -> list[int]:
-        """A restored word's own bucket and those of its beginnings."""
+    def restored(self, word: str) -> bytes:
         w = noisy.decode(word, self.costs) if noisy.is_noisy(word) else noisy.plain(word)
-        if len(w) < SHORTEST:
+        return w.encode("utf-8", "surrogatepass") if len(w) >= SHORTEST else b""
+
+    def whole(self, word: bytes) -> int:
+        return xxhash.xxh32_intdigest(word + b"$") % BUCKETS
+
+    def starts(self, word: bytes) -> list[int]:
+        """Buckets of a word's beginnings, none if the word has a weight of its own."""
+        if not word or self.whole(word) in self.by_word:
             return []
-        return [xxhash.xxh32_intdigest(w.encode() + b"$") % BUCKETS] + [xxhash.xxh32_intdigest(w[:n].encode()) % BUCKETS for n in range(SHORTEST, min(LONGEST, len(w)) + 1)]
+        text = word.decode("utf-8", "surrogatepass")
+        return [xxhash.xxh32_intdigest(text[:n].encode("utf-8", "surrogatepass")) % BUCKETS for n in range(SHORTEST, min(LONGEST, len(text)) + 1)]
 
     def words(self, text: str | None) -> set[str]:
         words = (text or "").lower().split()
         return {*words, *noisy.spelt_out(words)}
 
-    def seen(self, text: str | None) -> set[int]:
-        out: set[int] = set()
-        for w in self.words(text):
-            if (got := self.known.get(w)) is None:
-                if len(self.known) > CACHE:
-                    self.known.clear()
-                got = self.known[w] = self.buckets(w)
-            out.update(got)
-        return out
+    def _of(self, word: str, make) -> object:
+        if (got := self.known.get(word)) is None:
+            if len(self.known) > CACHE:
+                self.known.clear()
+            got = self.known[word] = make(word)
+        return got
+
+    def own(self, word: str) -> list[int]:
+        w = self.restored(word)
+        return [self.whole(w)] if w else []
+
+    def seen_words(self, text: str | None) -> set[int]:
+        return {b for w in self.words(text) for b in self._of(w, self.own)}
 
-    def strongest(self, text: str | None) -> tuple[float, float]:
-        """The greatest weight of a word of the text, and the sum of the three greatest."""
-        top: list[float] = []
-        known, weights = self.known, self.weights
-        for w in self.words(text):
-            if (got := known.get(w)) is None:
-                if len(known) > CACHE:
-                    known.clear()
-                got = known[w] = max((weights.get(b, 0.0) for b in self.buckets(w)), default=0.0)
-            if got:
-                top.append(got)
-        top.sort(reverse=True)
-        return (top[0] if top else 0.0), sum(top[:3])
+    def seen_starts(self, text: str | None) -> set[int]:
+        return {b for w in self.words(text) for b in self._of(w, lambda w: self.starts(self.restored(w)))}
+
+    def weight(self, word: str) -> float:
+        w = self.restored(word)
+        if not w:
+            return 0.0
+        own = self.by_word.get(self.whole(w))
+        return own if own is not None else max((self.by_start.get(b, 0.0) for b in self.starts(w)), default=0.0)
+
+    def strongest(self, text: str | None) -> tuple[float, float, float, float]:
+        """The greatest weight of a word, the sum of the three greatest, how many have one, and how many words there are."""
+        words = self.words(text)
+        top = sorted((x for w in words if (x := self._of(w, self.weight))), reverse=True)
+        return (top[0] if top else 0.0), sum(top[:3]), len(top), len(words)
 
 
 def weights_of(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> dict[int, float]:
@@ -118,46 +132,52 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     half = F.pmod(F.xxhash64("_key", F.lit("half")), F.lit(2)).cast("long")
     sample = texts_of(docs, ids, id_col, text_col).select("_text", "_label", half.alias("_half"))
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader, total = Reader(shared.value), np.zeros((2, BUCKETS + 1, 2), np.int32)
-        for pdf in batches:
-            for text, label, h in zip(pdf["_text"], pdf["_label"], pdf["_half"], strict=True):
-                seen = np.fromiter(reader.seen(text), np.int64)
-                total[h, seen, label] += 1
-                total[h, BUCKETS, label] += 1
-        for h in range(2):
-            at = np.flatnonzero(total[h].any(1))
-            yield pd.DataFrame({"half": h, "bucket": at, "toxic": total[h, at, 1], "clean": total[h, at, 0]})
-
-    got = sample.mapInPandas(counted, COUNTED).groupBy("half", "bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    got = got.filter((F.col("toxic") > 1) | (F.col("bucket") == BUCKETS)).toPandas()
-    total = np.zeros((2, BUCKETS + 1, 2), np.int64)
-    total[got["half"], got["bucket"], 1] = got["toxic"]
-    total[got["half"], got["bucket"], 0] = got["clean"]
+    def counts(which: str, words: dict[int, float]) -> np.ndarray:
+        """Texts of each half and label that have each bucket; the last place holds all texts."""
+        strong = spark.sparkContext.broadcast(words)
+
+        def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            reader, total = Reader(shared.value, strong.value), np.zeros((2, BUCKETS + 1, 2), np.int32)
+            for pdf in batches:
+                for text, label, h in zip(pdf["_text"], pdf["_label"], pdf["_half"], strict=True):
+                    total[h, np.fromiter(getattr(reader, which)(text), np.int64), label] += 1
+                    total[h, BUCKETS, label] += 1
+            for h in range(2):
+                at = np.flatnonzero(total[h].any(1))
+                yield pd.DataFrame({"half": h, "bucket": at, "toxic": total[h, at, 1], "clean": total[h, at, 0]})
+
+        got = sample.mapInPandas(counted, COUNTED).groupBy("half", "bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        got = got.filter((F.col("toxic") > 1) | (F.col("bucket") == BUCKETS)).toPandas()
+        out = np.zeros((2, BUCKETS + 1, 2), np.int64)
+        for column, label in (("toxic", 1), ("clean", 0)):
+            out[got["half"], got["bucket"], label] = got[column]
+        return out
 
     def learnt(t: np.ndarray) -> dict[int, float]:
         return weights_of(t[:BUCKETS, 1], t[:BUCKETS, 0], int(t[BUCKETS, 1]), int(t[BUCKETS, 0]))
 
-    n = total[:, BUCKETS].sum(0)
-    if not n.all():
+    by_word = counts("seen_words", {})
+    if not by_word[:, BUCKETS].sum(0).all():
         return docs.select(id_col, held_out(id_col).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    halves = spark.sparkContext.broadcast([learnt(total[1]), learnt(total[0])])
-    whole = spark.sparkContext.broadcast(learnt(total.sum(0)))
+    strong = learnt(by_word.sum(0))
+    by_start = counts("seen_starts", strong)
+    halves = spark.sparkContext.broadcast([(learnt(by_word[1 - h]), learnt(by_start[1 - h])) for h in range(2)])
+    whole = spark.sparkContext.broadcast((strong, learnt(by_start.sum(0))))
 
     def strongest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        readers = [Reader(shared.value, w) for w in halves.value]
+        readers = [Reader(shared.value, *w) for w in halves.value]
         for pdf in batches:
             top = [readers[h].strongest(text) for text, h in zip(pdf["_text"], pdf["_half"], strict=True)]
-            yield pd.DataFrame(top, columns=["a", "b"]).assign(y=pdf["_label"].to_numpy())
+            yield pd.DataFrame(top, columns=["a", "b", "c", "d"]).assign(y=pdf["_label"].to_numpy())
 
-    fit = sample.mapInPandas(strongest, "a double, b double, y int").toPandas()
-    w = logistic(_inputs(fit[["a", "b"]].to_numpy()), fit["y"].to_numpy(np.float64))
+    fit = sample.mapInPandas(strongest, "a double, b double, c double, d double, y int").toPandas()
+    w = logistic(_inputs(fit[["a", "b", "c", "d"]].to_numpy()), fit["y"].to_numpy(np.float64))
 
     @F.pandas_udf(T.DoubleType())
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        reader = Reader(shared.value, whole.value)
+        reader = Reader(shared.value, *whole.value)
         for texts in batches:
-            top = np.array([reader.strongest(t) for t in texts]).reshape(-1, 2)
+            top = np.array([reader.strongest(t) for t in texts]).reshape(-1, 4)
             yield pd.Series(sigmoid(_inputs(top) @ w[:-1] + w[-1]))
 
     out = docs.select(F.col(id_col).alias("_id"), scored(text_col).alias("score"))
@@ -165,4 +185,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def _inputs(top: np.ndarray) -> np.ndarray:
-    return np.column_stack([top, top[:, 0] > 0])
+    any_, size = top[:, 0] > 0, np.log1p(top[:, 3])
+    return np.column_stack([top[:, :2], np.log1p(top[:, 2]), any_, any_ * size, size])
