@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwright.llm import quality, secrets
+from loomwright.llm import mixing, near_dedup, packing, quality, secrets
 from loomwright.llm.common import Workspace, table
 
 
@@ -12,11 +12,31 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.keep_one_of_each(docs)
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secrets.redact_secrets(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("secret scans", secret_scan)]
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+def length_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+#: (name, function): each takes what the one before kept, and all but the last return the columns of documents.
+STAGES = [
+    ("quality rules", quality_rules),
+    ("MinHash near-dedup", minhash_near_dedup),
+    ("secret scans", secret_scan),
+    ("mixing sources to target weights", source_mixing),
+    ("packing", length_packing),
+]
+#: Near-duplicates, lexing, hashes and dynamic programming aren't expressed in SQL.
 ORACLE_SQL = None
 
 

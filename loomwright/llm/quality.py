@@ -84,7 +84,9 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(WINDOW), i - acc["last"])).alias("n")),
         lambda acc: acc["n"],
     )
-    return df.select("_row", "_text", "_words", *COUNTS[:4], F.coalesce(F.when(F.col("_same").isNotNull(), covered), F.lit(0)).cast("long").alias("n_repeat_words"))
+    repeated = F.coalesce(F.when(F.col("_same").isNotNull(), covered), F.lit(0)).cast("long")
+    # Through a generator no filter on a count is pushed: pushed ones would work out words and windows anew for each lambda.
+    return df.select("_row", "_text", "_words", F.inline_outer(F.array(F.struct(*COUNTS[:4], repeated.alias("n_repeat_words")))))
 
 
 def sample_of(docs: DataFrame, rows: int = SAMPLE_ROWS, files: int = SAMPLE_FILES) -> DataFrame:
