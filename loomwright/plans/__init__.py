@@ -1,0 +1 @@
+"""From declared features to fused Spark plans, scores and the main sample."""
