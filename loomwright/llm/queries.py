@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, mixing, near_dedup, neighbours, packing, quality, quality_model, secrets, toxicity, urls
+from . import html, mixing, near_dedup, neighbours, oracle, packing, quality, quality_model, secrets, toxicity, urls
 from .common import table
 
 
@@ -51,4 +51,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_url_filter, op4_toxicity, op5_minhash_near_dedup, op6_quality_classifier, op7_html_extraction, op8_packing, op9_nearest_neighbours, op10_source_mixing)}
-ORACLE_SQL: dict[str, str] = {}
+#: The others rest on lexing, learnt models, hashes, graphs or dynamic programming: they are tested by brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": oracle.QUALITY,
+    "op3_url_filter": oracle.URLS,
+    "op5_minhash_near_dedup": oracle.NEAR_DUPLICATES,
+    "op9_nearest_neighbours": oracle.NEIGHBOURS,
+}
