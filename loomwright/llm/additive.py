@@ -1,8 +1,8 @@
 """Additive quantisation: a vector is the sum of one full-dimensional code word from each codebook.
 
-Codebooks start as residual k-means, then alternate beam-search encoding with a
-least-squares update of all code words at once. Numpy only; the same input gives the same
-codebooks.
+Codebooks start as residual k-means, then alternate beam-search encoding with updates of one
+codebook after the other, each least squares given the rest. Numpy only; the same input
+gives the same codebooks.
 """
 
 from __future__ import annotations
@@ -62,18 +62,16 @@ def train(x: np.ndarray, m: int = 8, k: int = 256, rounds: int = 2, seed: int =
         rest -= c[np.argmin((c**2).sum(1)[None] - 2 * rest @ c.T, axis=1)]
     books = np.stack(books)
     for _ in range(rounds):
-        codes = encode(x, books, beam=4).astype(np.int64) + np.arange(m) * k
-        a = np.zeros((m * k, m * k))
-        b = np.zeros((m * k, x.shape[1]))
-        for p in range(m):
-            np.add.at(b, codes[:, p], x)
-            for q in range(m):
-                np.add.at(a, (codes[:, p], codes[:, q]), 1.0)
-        a[np.diag_indices_from(a)] += 1e-3
-        new = np.linalg.solve(a, b).reshape(books.shape)
-        unused = np.bincount(codes.ravel(), minlength=m * k).reshape(m, k) == 0
-        new[unused] = books[unused]
-        books = new
+        codes = encode(x, books, beam=4)
+        rest = x - decode(codes, books)
+        for b in range(m):
+            # Each word moves to the mean of what the other codebooks leave to it.
+            n = np.bincount(codes[:, b], minlength=k)
+            total = np.zeros((k, x.shape[1]))
+            np.add.at(total, codes[:, b], rest)
+            step = total / np.maximum(n, 1)[:, None]
+            books[b] += step
+            rest -= step[codes[:, b]]
     return books
 
 

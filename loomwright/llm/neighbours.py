@@ -15,6 +15,8 @@ empty table gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -27,7 +29,7 @@ from .common import Workspace
 SAMPLE = 16384  # vectors that the codebooks are fitted on
 CODEBOOKS, WORDS, BEAM = 24, 256, 4
 RERANK = 256  # candidates of a query that are scored exactly
-ENTRY_BLOCK, QUERY_BLOCK = 16384, 512
+ENTRY_BLOCK, QUERY_BLOCK = 65536, 512
 
 CODED = T.StructType([T.StructField("entry", T.LongType()), T.StructField("codes", T.BinaryType()), T.StructField("norm", T.DoubleType())])
 NEAR = T.StructType([T.StructField("query", T.LongType()), T.StructField("entry", T.LongType()), T.StructField("estimate", T.FloatType())])
@@ -81,6 +83,9 @@ def search(vectors: DataFrame, k: int = 20, query_every: int = 20, id_col: str =
     kinds = work.keep(asked.groupBy("query").agg(F.first("vector").alias("vector")), "kinds")
     query_blocks = max(1, -(-kinds.count() // QUERY_BLOCK))
 
+    # Entries are dealt to blocks by hash: of a query's RERANK best this many at most are in one block, but for six standard deviations.
+    in_block = min(RERANK, math.ceil(RERANK / blocks + 6 * math.sqrt(RERANK / blocks)) + 8)
+
     def nearest(key, codes, asking):
         if not len(codes) or not len(asking):
             return pd.DataFrame({"query": [], "entry": [], "estimate": []}).astype({"query": "int64", "entry": "int64", "estimate": "float32"})
@@ -90,7 +95,7 @@ def search(vectors: DataFrame, k: int = 20, query_every: int = 20, id_col: str =
         matrix = np.frombuffer(b"".join(codes["codes"]), np.uint8).reshape(len(entry), -1)[order]
         norm = codes["norm"].to_numpy(np.float32)[order]
         out = []
-        keep = min(RERANK, len(entry))
+        keep = min(in_block, len(entry))
         lookups = additive.tables(_matrix(asking["vector"]), shared.value).astype(np.float32)
         for at in range(0, len(asking), 64):
             s = additive.scores(lookups[at : at + 64], matrix, norm)
