@@ -142,6 +142,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # Rows alike in id, source and size are interchangeable: the mean of what they take.
     each = taken.filter("_size > 0").groupBy("_id", "_source", "_size").agg((F.sum("_taken") / F.sum("_size")).alias("_ratio"))
     each = each.select(F.col("_id").alias("_key"), F.col("_source").alias("_s"), F.col("_size").alias("_n"), F.floor(F.col("_ratio") + 0.5).cast("int").alias("_copies")).filter("_copies > 0")
-    out = docs.withColumn("_words", F.size(words(text_col)).cast("long"))
-    out = out.join(each, F.col(id_col).eqNullSafe(F.col("_key")) & F.col(source_col).cast("string").eqNullSafe(F.col("_s")) & (F.col("_words") == F.col("_n")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(docs[c] for c in docs.columns))
+    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), F.size(words(text_col)).cast("long").alias("_size"))
+    out = out.join(each, F.col("_id").eqNullSafe(F.col("_key")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")))
+    return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")

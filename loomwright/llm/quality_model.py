@@ -67,7 +67,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     spark = docs.sparkSession
     small_batches(spark)
     trusted = sampled_ids(labels.filter((F.col(label_col) == 1) & ~held_out(id_col)), id_col, SAMPLE)
-    any_ids = sampled_ids(docs.join(F.broadcast(trusted), F.col(id_col) == F.col("_key"), "left_anti"), id_col, SAMPLE)
+    any_ids = sampled_ids(docs.select(F.col(id_col).alias("_id")).join(F.broadcast(trusted), F.col("_id") == F.col("_key"), "left_anti"), "_id", SAMPLE)
 
     def matrix(ids: DataFrame) -> np.ndarray:
         got = texts_of(docs, ids, id_col, text_col).select(_features("_text").alias("x")).toPandas()["x"]

@@ -41,7 +41,7 @@ def entries(spark: SparkSession, rules: list[tuple[str, str, str]] = RULES, list
     """The list as (key, host, path, verdict, tier): rules, tier 1, win over listed urls, tier 0."""
     schema = "host string, path string, verdict string"
     listed = spark.createDataFrame(LISTED, schema) if listed is None else listed.select("host", "path", "verdict")
-    both = spark.createDataFrame(rules, schema).withColumn("tier", F.lit(1)).unionByName(listed.withColumn("tier", F.lit(0)))
+    both = spark.createDataFrame(list(rules), schema).withColumn("tier", F.lit(1)).unionByName(listed.withColumn("tier", F.lit(0)))
     # Entries that repeat a key in a tier count once; where they disagree, block wins.
     both = both.select(F.translate("host", UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict", "tier").filter(F.col("host").isNotNull())
     both = both.groupBy("host", "path", "tier").agg(F.max("verdict").alias("verdict"))
@@ -58,13 +58,16 @@ def candidates(lengths: list[int]) -> Column:
     return F.when(F.col("host") != "", keys).otherwise(F.array().cast("array<string>"))
 
 
-def judge(pages: DataFrame, listed: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, listed: DataFrame | None = None, rules: list[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row for each row of pages: id, host, path, rule (of tier 1, else null), verdict, listed (the listed entry that decided)."""
     spark = pages.sparkSession
-    the_list = entries(spark, listed=listed)
+    the_list = entries(spark, rules, listed)
     stats = the_list.agg(F.count("*").alias("n"), F.sum(F.length("key") * 4 + 64).alias("bytes"), F.collect_set(F.length("path")).alias("lengths")).first()
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("url"))
     rows = rows.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
+    if not stats["n"]:
+        nothing = F.lit(None).cast("string")
+        return rows.select(F.col("_id").alias(id_col), "host", "path", nothing.alias("rule"), F.lit("allow").alias("verdict"), nothing.alias("listed"))
     urls = rows.select("host", "path").filter("host != ''").distinct()
     urls = urls.withColumn("keys", candidates(sorted(stats["lengths"])))
     may = bloom.possible_in(spark, bloom.build(the_list, "key", stats["n"]))
