@@ -1,0 +1 @@
+"""Base table, temporal windows and propagation along foreign keys."""

@@ -1 +1 @@
-"""From declared features to fused Spark plans, scores and the main sample."""
+"""From declared features to fused Spark plans, scores, the journal and the main sample."""

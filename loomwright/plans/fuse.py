@@ -32,7 +32,7 @@ def _lagged(df: DataFrame, b: Binding, parts: list[Lag], tie: list[str]) -> tupl
     names: dict[tuple[str, str], str] = {}
     columns: dict[str, Column] = {}
     for part in parts:
-        w = Window.partitionBy(*b.base).orderBy(F.expr(part.order), *tie)
+        w = Window.partitionBy(*b.part).orderBy(F.expr(part.order), *tie)
         for i in part.inputs:
             if (i, part.order) not in names:
                 name = f"_lag_{len(names)}"
@@ -64,13 +64,13 @@ def single(df: DataFrame, b: Binding, part: Part, tie: list[str] | None = None)
 
 
 def fused(df: DataFrame, b: Binding, features: list[tuple[str, Part]], tie: list[str] | None = None, width: int = 120) -> DataFrame:
-    """All features of a table: the base columns and one column for each, null where a pattern gives no row."""
+    """All features of a table: the base columns and one column for each, null where a pattern gives no row.
+
+    Groups are keyed by id and date alone, on which the target depends: groupings and the joins
+    between their results then agree on one partitioning.
+    """
     rows = [(n, p) for n, p in features if isinstance(p, Row)]
-    if rows:
-        columns = [F.when(F.expr(p.where), F.expr(p.value)).alias(n) if p.where else F.expr(p.value).alias(n) for n, p in rows]
-        wide = df.select(*b.base, *columns)
-    else:
-        wide = None
+    target = [F.first(F.col(b.target)).alias(b.target)] if b.target else []
     groups: list[list[tuple[str, Part]]] = [[]]
     apart: list[tuple[str, Part]] = []
     for n, p in features:
@@ -80,28 +80,32 @@ def fused(df: DataFrame, b: Binding, features: list[tuple[str, Part]], tie: list
             if len(groups[-1]) >= width:
                 groups.append([])
             groups[-1].append((n, p))
-    tables: list[DataFrame] = []
+    tables: list[DataFrame] = []  # of all base rows
     for group in [*groups, apart]:
         if not group:
             continue
         lags = [p for _, p in group if isinstance(p, Lag)]
         source, names = _lagged(df, b, lags, tie or []) if lags else (df, {})
-        tables.append(source.groupBy(*b.base).agg(*((_value(p) if isinstance(p, Agg) else _lag_value(p, names)).alias(n) for n, p in group)))
+        values = ((_value(p) if isinstance(p, Agg) else _lag_value(p, names)).alias(n) for n, p in group)
+        tables.append(source.groupBy(*b.part).agg(*target, *values))
     by_column: dict[str, list[tuple[str, Counts]]] = defaultdict(list)
     for n, p in features:
         if isinstance(p, Counts):
             by_column[p.column].append((n, p))
     for column, parts in by_column.items():
-        counts = df.select(*b.base, F.expr(column).alias("v")).groupBy(*b.base, "v").agg(F.count("*").alias("n"))
-        tables.append(counts.groupBy(*b.base).agg(*(F.expr(p.value).alias(n) for n, p in parts)))
+        counts = df.select(*b.base, F.expr(column).alias("v")).groupBy(*b.part, "v").agg(*target, F.count("*").alias("n"))
+        tables.append(counts.groupBy(*b.part).agg(*target, *(F.expr(p.value).alias(n) for n, p in parts)))
+    if rows:
+        columns = [F.when(F.expr(p.where), F.expr(p.value)).alias(n) if p.where else F.expr(p.value).alias(n) for n, p in rows]
+        wide = df.select(*b.base, *columns)
+    else:
+        wide = tables.pop(0) if tables else df.select(*b.base).distinct()
     tables += [p.make(df).withColumnRenamed("value", n) for n, p in features if isinstance(p, Frame)]
-    if wide is None:
-        wide = df.select(*b.base).distinct()
-    return reduce(lambda left, right: join_base(left, right, b.base), tables, wide)
+    more = [t.drop(b.target) if b.target else t for t in tables]
+    names = [n for n, _ in features]
+    return reduce(lambda left, right: join_base(left, right, b.part), more, wide).select(*b.base, *names)
 
 
 def join_base(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """left with right's columns where all keys agree, nulls included."""
-    other = right.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *(c for c in right.columns if c not in keys))
-    on = reduce(lambda p, q: p & q, (left[k].eqNullSafe(other[f"_k{i}"]) for i, k in enumerate(keys)))
-    return left.join(other, on, "left").drop(*(f"_k{i}" for i in range(len(keys))))
+    """left with right's columns where the keys agree. A null key agrees with none."""
+    return left.join(right, keys, "left")

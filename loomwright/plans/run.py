@@ -60,7 +60,7 @@ def main_sample(base: DataFrame, tables: list[Propagated], specs: list[FeatureSp
 def score_table(wide: DataFrame, specs: list[FeatureSpec], base_rows: int, pivot: float | None, s: Settings) -> list[Scored]:
     """Scores of a wide table's features: counts in one job, then one for each target and kind of score."""
     names = [x.name for x in specs]
-    rows, filled = wide.count(), score.counts(wide, names)
+    rows, filled = score.counts(wide, names)
     unique = wide.groupBy(*base_keys(s)).agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
     good = [n for n in names if filled[n]] if unique and 0 < rows <= base_rows else []
     by: dict[str, dict[str, Relevance]] = {n: {} for n in names}

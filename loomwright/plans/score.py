@@ -104,8 +104,8 @@ def concept_drift(df: DataFrame, features: Iterable[str], target: str, date: str
     return shares.groupBy("feature").agg((F.sum(F.least("p", "q")) / F.nullif(F.sum(F.greatest("p", "q")), F.lit(0.0))).alias("drift"))
 
 
-def counts(df: DataFrame, features: Iterable[str]) -> dict[str, int]:
-    """How many rows of each feature aren't null; one job."""
+def counts(df: DataFrame, features: Iterable[str]) -> tuple[int, dict[str, int]]:
+    """How many rows there are, and how many of each feature aren't null; one job."""
     features = list(features)
-    got = df.agg(*(F.count(F.col(quoted(f))).alias(f"c{k}") for k, f in enumerate(features))).first()
-    return {f: got[f"c{k}"] for k, f in enumerate(features)}
+    got = df.agg(F.count("*").alias("n"), *(F.count(F.col(quoted(f))).alias(f"c{k}") for k, f in enumerate(features))).first()
+    return got["n"], {f: got[f"c{k}"] for k, f in enumerate(features)}

@@ -479,7 +479,8 @@ def weighted_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filled_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _wide(spark, sf_dir)
-    return one_row(spark, n=df.count(), **score.counts(df, ["o_orderpriority", "o_totalprice"]))
+    n, filled = score.counts(df, ["o_orderpriority", "o_totalprice"])
+    return one_row(spark, n=n, **filled)
 
 
 _CHOSEN = [
@@ -601,3 +602,23 @@ step("journal_predictor", journal_predictor, None)
 step("journal_table", journal_table, None)
 step("journal_pattern", journal_pattern, None)
 step("journal_run", journal_run, None)
+
+
+def journal_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The time columns that may bound a table, the rows that each leaves usable, and which is chosen."""
+    from .plans.journal import temporal_table
+
+    catalog = _catalog(spark, sf_dir, TEMPORAL, "orders", "lineitem")
+    base = base_ops.build_base(catalog.tables["orders"].df, TEMPORAL, warn=False)
+    low, high = temporal_ops.date_range(base)
+    rows = []
+    for name in ("lineitem", "orders"):
+        columns = catalog.tables[name].of_kind("temporal")
+        usable = temporal_ops.usable_rows(catalog.tables[name].df, columns, f"TIMESTAMP_NTZ'{low}'", f"TIMESTAMP_NTZ'{high}'", TEMPORAL)
+        chosen = temporal_ops.find_constraint(catalog, name, base, False)
+        rows += [(name, c, usable[c], c == chosen) for c in columns]
+    return temporal_table(spark, rows)
+
+
+_USABLE = f"SELECT '{{t}}' AS \"table\", '{{c}}' AS \"column\", count(*) FILTER (WHERE {{c}} + INTERVAL 1 DAY <= high AND {{c}} + INTERVAL 3651 DAY >= low) AS usable_rows, TRUE AS is_chosen FROM {{t}}, (SELECT min({DATE}) AS low, max({DATE}) AS high FROM ({_BASE_TEMPORAL}))"
+step("journal_temporal", journal_temporal, " UNION ALL ".join(_USABLE.format(t=t, c=c) for t, c in (("lineitem", "l_shipdate"), ("orders", "o_orderdate"))))

@@ -1,0 +1 @@
+"""Where tables, keys and lists come from."""

@@ -1,0 +1 @@
+"""Batch only: none of the operators works on streams. Kept so that the layout is complete."""
