@@ -27,7 +27,7 @@ from .training import held_out, sampled_ids, sigmoid, texts_of
 
 SAMPLE = 20_000  # trusted positives, and unlabelled texts, that are learnt from
 THRESHOLD = 0.7
-USUAL, CLIP = 2.0, 6.0  # standard deviations within which a feature says nothing, and beyond which no more
+USUAL, CLIP = 4.0, 6.0  # standard deviations within which a feature says nothing, and beyond which no more
 
 NAMES = ("symbols", "pipes", "capitals", "digits", "marks", "bangs", "word_length", "long_words", "kinds", "commonest", "pairs", "same_lines", "short_lines", "odd_ends", "short")
 _SYMBOLS, _MARKS = np.zeros(256), np.zeros(256)
@@ -48,12 +48,12 @@ def features(text: str | None) -> list[float]:
     lines = [x for x in text.split("\n") if x.strip()]
     letters = max(1, chars - n)
     capitals = sum(map(str.isupper, words))
-    enough = min(1.0, n / 100)  # repeats say little in a short text
+    enough, some = min(1.0, n / 100), min(1.0, n / 40)  # repeats, and a few numbers, say little in a short text
     odd = sum(not (w[-1].isalnum() or w[-1] in ".,;:?!'\")") for w in words)
     return [
-        symbols / letters, pipes / n, capitals / n, digits / letters, marks / n, bangs / n,
-        letters / n, sum(len(w) > 18 for w in words) / n, max(0.0, 1 - len(kinds) / n**0.9), enough * max(kinds.values()) / n, enough * pairs / n,
-        enough * (1 - len(set(lines)) / len(lines)), sum(len(x) < 30 for x in lines) / len(lines), odd / n, 1.0 if n < 12 else 0.0,
+        symbols / letters, pipes / n, capitals / n, some * digits / letters, some * marks / n, bangs / n,
+        letters / n, sum(len(w) > 18 for w in words) / n, enough * max(0.0, 1 - len(kinds) / n**0.9), enough * max(kinds.values()) / n, enough * pairs / n,
+        enough * (1 - len(set(lines)) / len(lines)), some * sum(len(x) < 30 for x in lines) / len(lines), odd / n, 1.0 if n < 12 else 0.0,
     ]
 
 
