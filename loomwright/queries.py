@@ -104,17 +104,18 @@ SINGLE_ORDERS = Source(ORDERS, _own(ORDERS), ("orders",), f"SELECT o_orderkey AS
 TEXT_ROWS = Source(TEXTS, _texts, ("labels", "documents"), f"SELECT l.doc_id AS {ID}, l.quality AS {TARGET}, d.* FROM labels l JOIN documents d ON d.doc_id = l.doc_id")
 
 
-def as_float(df: DataFrame) -> DataFrame:
-    """All numbers but the base columns as 32-bit floats."""
+def as_float(df: DataFrame, digits: int | None = None) -> DataFrame:
+    """All numbers but the base columns as 32-bit floats, rounded first where halves of a float's last digit are likely."""
     keep = {ID, DATE, TARGET}
-    return df.select(*(F.col(f.name).cast("float").alias(f.name) if isinstance(f.dataType, T.NumericType) and f.name not in keep else F.col(f.name) for f in df.schema.fields))
+    number = lambda c: F.col(c) if digits is None else F.round(c, digits)
+    return df.select(*(number(f.name).cast("float").alias(f.name) if isinstance(f.dataType, T.NumericType) and f.name not in keep else F.col(f.name) for f in df.schema.fields))
 
 
 def binding(source: Source, **more: Any) -> Binding:
     return Binding((ID,), date=DATE if source.dated else None, target=TARGET, fold=base_ops.FOLD, **more)
 
 
-def pattern(name: str, source: Source, columns: dict[str, str], variants: dict[str, dict[str, Any]], sql: str | None, before: Callable[[DataFrame], DataFrame] | None = None, only: str | None = None, **more: Any) -> None:
+def pattern(name: str, source: Source, columns: dict[str, str], variants: dict[str, dict[str, Any]], sql: str | None, before: Callable[[DataFrame], DataFrame] | None = None, only: str | None = None, digits: int | None = None, **more: Any) -> None:
     """Registers a pattern's query: one column for each variant of its parameters, all fused.
 
     sql: a select list over p with the base grouped or not, or a whole SELECT, {p} being the
@@ -130,7 +131,7 @@ def pattern(name: str, source: Source, columns: dict[str, str], variants: dict[s
         tie = ["o_orderkey"] if "o_orderkey" in df.columns else []
         if only:  # a pattern that leaves rows out, by itself
             return as_float(fuse.single(df, b, parts[0][1], tie).withColumnRenamed("value", parts[0][0]))
-        return as_float(fuse.fused(df, b, parts, tie))
+        return as_float(fuse.fused(df, b, parts, tie), digits)
 
     QUERIES[name] = query
     if sql:
@@ -184,7 +185,7 @@ pattern("existential_count", ORDERS_OF_CUSTOMERS, _c, {"urgent": {"value": "1-UR
 pattern("geometric_mean", ORDERS_OF_CUSTOMERS, {"number": X}, _one, fl(f"exp(avg(ln(CASE WHEN {X} > 0 THEN {X} END)))", "value"))
 pattern("harmonic_mean", ORDERS_OF_CUSTOMERS, _n, _one, fl(f"count(nullif({X}, 0)) / nullif(sum(1 / nullif({X}, 0)), 0)", "value"))
 pattern("log_product", ORDERS_OF_CUSTOMERS, _n, _one, fl(f"sum(ln(CASE WHEN {X} > -1 THEN {X} + 1 END))", "value"))
-pattern("mean_absolute_difference", ORDERS_OF_CUSTOMERS, _n, _one, f"SELECT {{base}}, {fl('avg(abs(x - m))', 'value')} FROM (SELECT {{base}}, {X} AS x, avg({X}) OVER (PARTITION BY {{base}}) AS m FROM {{p}}) GROUP BY {{base}}")
+pattern("mean_absolute_difference", ORDERS_OF_CUSTOMERS, _n, _one, f"SELECT {{base}}, {fl('round(avg(abs(x - m)), 5)', 'value')} FROM (SELECT {{base}}, {X} AS x, avg({X}) OVER (PARTITION BY {{base}}) AS m FROM {{p}}) GROUP BY {{base}}", digits=5)
 pattern("null_ratio", ORDERS_OF_CUSTOMERS, {"any": "o_orderdate"}, _one, fl("avg(CASE WHEN o_orderdate IS NULL THEN 1.0 ELSE 0.0 END)", "value"))
 pattern("percentile", ORDERS_OF_CUSTOMERS, _n, {f"p{int(p * 100)}": {"p": p} for p in (0.05, 0.5, 0.95)}, ", ".join(fl(f"quantile_cont({X}, {p})", f"p{int(p * 100)}") for p in (0.05, 0.5, 0.95)))
 pattern(
