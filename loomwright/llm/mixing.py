@@ -29,6 +29,7 @@ EPOCHS = 3
 #: Words in a block: the mix's words over SLOTS, between the two bounds.
 SLOTS, LEAST_BLOCK, MOST_BLOCK = 1 << 16, 16, 1 << 20
 SLOT_CHUNK = 4096
+MOST_BROADCAST_SOURCES = 50_000
 GOLDEN = int((math.sqrt(5) - 1) / 2 * 2**62)  # the step of the point sequence, as a 62-bit fraction
 
 
@@ -104,7 +105,8 @@ def taken_words(rows: DataFrame, work: Workspace) -> DataFrame:
     total = sum(r["size"] for r in per)
     block = block_words(total)
     mix = spark.createDataFrame([(k, r["_source"], r["size"], g) for k, (r, g) in enumerate(zip(per, goal, strict=True))], "src int, _s string, _source_size long, _target double")
-    rows = rows.join(F.broadcast(mix), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
+    small = F.broadcast(mix) if len(per) <= MOST_BROADCAST_SOURCES else mix
+    rows = rows.join(small, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
     n = slices_for(sum(r["n"] for r in per))
     rows = rows.withColumn("_hash", F.xxhash64("_id", F.lit("mix")))
     rows = running_start(rows, ["src"], ["_hash", "_id", "_size"], F.pmod(F.shiftrightunsigned("_hash", 40), F.lit(n)).cast("int"), F.col("_size"), "_start")

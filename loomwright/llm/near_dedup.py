@@ -355,6 +355,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = nodes.select("fp", "rep").join(labels, nodes["fp"] == labels["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
     moved = work.keep(roots.join(least, "root").select("fp", "component_id"), "moved")
+    work.drop("nodes", "buckets", "pairs", "pairs-rest", "links", "labels", "labels-all", "rest")
     out = signed.select("_id", "fp", "n_shingles").join(moved, "fp", "left")
     component = F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id"))
     return out.select(F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept"))
