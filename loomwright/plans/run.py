@@ -34,6 +34,11 @@ class Result:
         chosen = [x.spec for x in (self.journal.of(target) if target else self.journal.best())]
         return main_sample(self.base, self.tables, chosen, self.settings)
 
+    def release(self) -> None:
+        """Frees the base and the propagated tables from the cache; they are computed anew if needed."""
+        for df in (self.base, *(t.df for t in self.tables)):
+            df.unpersist()
+
     def main_samples(self) -> dict[str, DataFrame]:
         return {f"mainsample_{name}": self.main_sample(t) for name, t in zip(self.settings.targets, base_targets(self.settings), strict=True)}
 
@@ -86,13 +91,17 @@ def run(
     not_null: Iterable[str] = (),
     now: datetime | None = None,
     specs: list[FeatureSpec] | None = None,
+    persist: bool = True,
 ) -> Result:
-    """Features of the settings' target from related tables. With specs, those alone are computed and all are kept."""
+    """Features of the settings' target from related tables. With specs, those alone are computed and all are kept.
+
+    persist caches propagated tables over their several passes (in memory, else on local disk);
+    turn it off where joining them again is cheaper than keeping them.
+    """
     s = settings
     catalog = Catalog(tables, keys, s, primary, not_null)
-    base = build_base(catalog.tables[s.target_table].df, s).persist()
-    base = sample_base(base, s).persist()
-    found = propagate(base, catalog, now)
+    base = sample_base(build_base(catalog.tables[s.target_table].df, s), s).persist()
+    found = propagate(base, catalog, now, persist)
     plan = Plan(specs if specs is not None else list(expand(found, catalog, library)))
     journal = Journal(base_targets(s), s.predictor_max if specs is None else max(1, len(specs)), s.least_relevance if specs is None else 0.0)
     n, pivot = base.count(), score.pivot_date(base, DATE) if s.target_date else None

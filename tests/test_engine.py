@@ -233,6 +233,9 @@ def test_whole_run_keeps_every_base_row_and_repeats(spark):
     again = run(tables, keys, S, library, now=now).main_sample()
     assert sample.columns == again.columns and sorted(map(str, sample.collect())) == sorted(map(str, again.collect()))
     assert list(first.main_samples()) == ["mainsample_y"]
+    first.release()
+    uncached = run(tables, keys, S, library, now=now, persist=False).main_sample()
+    assert sorted(map(str, uncached.collect())) == sorted(map(str, sample.collect()))
 
 
 def test_two_stages(spark):
