@@ -28,7 +28,7 @@ from .common import Workspace
 
 SAMPLE = 16384  # vectors that the codebooks are fitted on
 CODEBOOKS, WORDS, BEAM = 24, 256, 4
-RERANK = 256  # candidates of a query that are scored exactly
+RERANK = 512  # candidates of a query that are scored exactly
 ENTRY_BLOCK, QUERY_BLOCK = 65536, 512
 
 CODED = T.StructType([T.StructField("entry", T.LongType()), T.StructField("codes", T.BinaryType()), T.StructField("norm", T.DoubleType())])
