@@ -2,11 +2,15 @@
 
 Targets: sources in code point order (null last) weigh 1, 2, 3, 1, ...; they share all words
 by weight, none more than EPOCHS times its own, the excess going to the others by weight.
-Schedule: slot i of the mix goes to the source whose stretch of the cumulative targets holds
-the i-th golden-ratio point; a source's slots are ranked, and slot r takes block r (mod the
-number of its blocks) of the source's words, shuffled by hash and cut into equal blocks.
-Golden-ratio points spread so evenly that at any time each source's slots are within a few
-of its share.
+Schedule: each source's words, shuffled by hash, are cut into equal blocks of its own, about
+SLOTS of them or one a word, and its quota is as many slots as its target has blocks, where a
+pass over the source is its number of blocks, so that a last, partial block counts by its
+words. Slot i of the mix goes to the source whose stretch of the cumulative quotas holds the
+i-th golden-ratio point; a source's slots are ranked, and slot r takes block r (mod the
+number of its blocks). Golden-ratio points spread so evenly that at any time each source's
+slots are within a few of its share: whatever the input's size, what is taken of a source is
+within a few blocks of its target, and a block is one word or little more than 1 / SLOTS of
+the source.
 
 Defined results: null and wordless texts have size 0 and take 0; a source of size 0 gets
 target 0; null is a source of its own; an empty table gives an empty result. Rows are placed
@@ -26,8 +30,8 @@ from .prefix import running_start, slices_for
 
 WEIGHTS = (1, 2, 3)
 EPOCHS = 3
-#: Words in a block: the mix's words over SLOTS, between the two bounds.
-SLOTS, LEAST_BLOCK, MOST_BLOCK = 1 << 16, 16, 1 << 20
+#: Words in a source's block: the source's words over SLOTS, MOST_BLOCK at most.
+SLOTS, MOST_BLOCK = 1 << 16, 1 << 20
 SLOT_CHUNK = 4096
 MOST_BROADCAST_SOURCES = 50_000
 GOLDEN = int((math.sqrt(5) - 1) / 2 * 2**62)  # the step of the point sequence, as a 62-bit fraction
@@ -51,18 +55,24 @@ def targets(sizes: list[int], weights: list[float] | None = None, epochs: float
     return out
 
 
-def block_words(total: int) -> int:
-    return max(LEAST_BLOCK, min(MOST_BLOCK, -(-total // SLOTS)))
+def block_words(size: int) -> int:
+    return max(1, min(MOST_BLOCK, -(-size // SLOTS)))
 
 
-def schedule(spark, sources: list[tuple[int, int, float]], block: int) -> DataFrame:
+def quota(size: int, target: float) -> float:
+    """A source's slots: its target in blocks of its own, a partial one counted by its words."""
+    block = block_words(size)
+    return target / block if size % block == 0 else target * -(-size // block) / size
+
+
+def schedule(spark, sources: list[tuple[int, int, float]]) -> DataFrame:
     """The mix, slot by slot: (slot, src, rank, block_no, epoch). sources: (number, size, target) of each.
 
     A source never takes more than EPOCHS passes over its blocks: a slot beyond is left out.
     """
-    total = sum(t for *_, t in sources)
-    n = math.ceil(total / block)
-    live = [(k, s, t) for k, s, t in sources if t > 0]
+    live = [(k, s, quota(s, t)) for k, s, t in sources if t > 0]
+    total = sum(q for *_, q in live)
+    n = math.ceil(total)
     slots = spark.range(n).withColumnRenamed("id", "slot")
     if not live:
         return slots.select("slot", F.lit(0).alias("src"), F.lit(0).cast("long").alias("rank"), F.lit(0).cast("long").alias("block_no"), F.lit(0).cast("long").alias("epoch")).limit(0)
@@ -75,14 +85,14 @@ def schedule(spark, sources: list[tuple[int, int, float]], block: int) -> DataFr
         F.shiftleft((i_lo * hi + i_hi * lo).bitwiseAND(mask31), 31) + i_lo * lo
     ).bitwiseAND((1 << 62) - 1)
     edges, run = [], 0.0
-    for _, _, t in live:
-        run += t
+    for *_, q in live:
+        run += q
         edges.append(min((1 << 62) - 1, int(run / total * 2**62)))
     edges[-1] = (1 << 62) - 1
     place = F.expr(f"aggregate(array({','.join(f'{e}L' for e in edges)}), 0, (n, e) -> n + IF(e <= point, 1, 0))")
     slots = slots.withColumn("point", point).withColumn("at", F.least(place, F.lit(len(live) - 1)))
     src = F.element_at(F.array(*(F.lit(k) for k, *_ in live)), F.col("at") + 1)
-    blocks = F.element_at(F.array(*(F.lit(-(-s // block)).cast("long") for _, s, _ in live)), F.col("at") + 1)
+    blocks = F.element_at(F.array(*(F.lit(-(-s // block_words(s))).cast("long") for _, s, _ in live)), F.col("at") + 1)
     slots = slots.select("slot", src.alias("src"), blocks.alias("_blocks"))
     ranked = running_start(slots, ["src"], ["slot"], F.floor(F.col("slot") / SLOT_CHUNK), F.lit(1), "rank")
     ranked = ranked.filter(F.col("rank") < EPOCHS * F.col("_blocks"))
@@ -102,9 +112,7 @@ def taken_words(rows: DataFrame, work: Workspace) -> DataFrame:
     per = rows.groupBy("_source").agg(F.sum("_size").alias("size"), F.count("*").alias("n")).collect()
     per = sorted(per, key=lambda r: (r["_source"] is None, r["_source"] or ""))
     goal = targets([r["size"] for r in per])
-    total = sum(r["size"] for r in per)
-    block = block_words(total)
-    mix = spark.createDataFrame([(k, r["_source"], r["size"], g) for k, (r, g) in enumerate(zip(per, goal, strict=True))], "src int, _s string, _source_size long, _target double")
+    mix = spark.createDataFrame([(k, r["_source"], r["size"], g, block_words(r["size"])) for k, (r, g) in enumerate(zip(per, goal, strict=True))], "src int, _s string, _source_size long, _target double, _block long")
     small = F.broadcast(mix) if len(per) <= MOST_BROADCAST_SOURCES else mix
     rows = rows.join(small, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
     n = slices_for(sum(r["n"] for r in per))
@@ -112,18 +120,18 @@ def taken_words(rows: DataFrame, work: Workspace) -> DataFrame:
     rows = running_start(rows, ["src"], ["_hash", "_id", "_size"], F.pmod(F.shiftrightunsigned("_hash", 40), F.lit(n)).cast("int"), F.col("_size"), "_start")
     rows = work.keep(rows.drop("_hash"), "placed")
 
-    slots = schedule(spark, [(k, r["size"], g) for k, (r, g) in enumerate(zip(per, goal, strict=True))], block)
+    slots = schedule(spark, [(k, r["size"], g) for k, (r, g) in enumerate(zip(per, goal, strict=True))])
     times = slots.groupBy("src", "block_no").agg(F.count("*").alias("times"))
-    end = F.col("_start") + F.col("_size")
+    end, block = F.col("_start") + F.col("_size"), F.col("_block")
     pieces = rows.filter("_size > 0").select(
-        "src", "_start", "_size", F.explode(F.sequence(F.floor(F.col("_start") / block), F.floor((end - 1) / block))).alias("block_no")
+        "src", "_start", "_size", "_block", F.explode(F.sequence(F.expr("_start div _block"), F.expr("(_start + _size - 1) div _block"))).alias("block_no")
     )
-    overlap = F.least(F.col("_start") + F.col("_size"), (F.col("block_no") + 1) * block) - F.greatest(F.col("_start"), F.col("block_no") * block)
+    overlap = F.least(end, (F.col("block_no") + 1) * block) - F.greatest(F.col("_start"), F.col("block_no") * block)
     # A row is known by its source and start: stretches of one source don't overlap.
     taken = pieces.join(times, ["src", "block_no"]).groupBy("src", "_start").agg(F.sum(overlap * F.col("times")).alias("_taken"))
     some = rows.filter("_size > 0").join(taken, ["src", "_start"], "left").withColumn("_taken", F.coalesce("_taken", F.lit(0).cast("long")))
     none = rows.filter("_size = 0").withColumn("_taken", F.lit(0).cast("long"))
-    return some.unionByName(none).drop("src", "_start")
+    return some.unionByName(none).drop("src", "_start", "_block")
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

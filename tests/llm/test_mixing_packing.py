@@ -79,6 +79,27 @@ def test_taken_is_near_target(spark):
         assert abs(r["taken"] - r["k"] * r["target"]) <= 0.02 * r["k"] * r["target"] + 100
 
 
+@pytest.mark.parametrize("total", [4_500_000, 4_500_000_000])
+def test_small_sources_beside_large_ones_meet_their_targets(spark, total):
+    sizes = [total // 3] * 3 + [max(total // 10**6, 40), 5_000, 20_000, 50_000, 80_000, 300_000]
+    goal = mixing.targets(sizes)
+    blocks = [mixing.block_words(s) for s in sizes]
+    slots = mixing.schedule(spark, [(k, s, t) for k, (s, t) in enumerate(zip(sizes, goal))]).groupBy("src", "block_no").agg(F.count("*").alias("n")).collect()
+    taken = Counter()
+    for r in slots:
+        k = r["src"]
+        assert r["n"] <= 3
+        taken[k] += r["n"] * min(blocks[k], sizes[k] - r["block_no"] * blocks[k])
+    for k, t in enumerate(goal):
+        assert abs(taken[k] - t) <= 4 * blocks[k], (sizes[k], t, taken[k])
+
+
+def test_small_source_is_taken_whole(documents):
+    rows = [(k, "w " * 2000, "abc"[k % 3]) for k in range(600)] + [(1000, "w " * 50, "small")]
+    got = {r["doc_id"]: r for r in mixing.plan(documents(rows)).collect()}
+    assert got[1000]["target"] == 150 and abs(got[1000]["taken"] - 150) <= 4
+
+
 def test_mix_copies_whole_documents(mixed_docs, clashing):
     out = mixing.mix(clashing(mixed_docs))
     assert out.columns == clashing(mixed_docs).columns
