@@ -8,12 +8,16 @@ from loomwright.llm import mixing, near_dedup, packing, quality, secrets
 from loomwright.llm.common import Workspace, table
 
 
+#: Documents are near-duplicates in the pipeline from this similarity on; op5's query has its own.
+NEAR_PERCENT = 80
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.keep_one_of_each(docs)
+    return near_dedup.keep_one_of_each(docs, percent=NEAR_PERCENT)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

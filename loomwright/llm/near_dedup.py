@@ -16,8 +16,9 @@
    sketches don't rule the threshold out. All of these are confirmed as well, so that a
    forest which chose badly loses no link.
 
-Misses: two texts at exactly 0.85 share no band with probability below 1e-6; their sketches
-rule them out with probability below 1e-4 (MARGIN standard deviations of the estimate).
+Misses: two texts at exactly 0.85 share no band with probability below 1e-6, two at exactly
+0.80 with probability 7.3e-5; their sketches rule them out with probability below 1e-4 (MARGIN
+standard deviations of the estimate at the threshold).
 
 Defined results: null, empty and wordless texts have no shingles and are linked with
 nothing; rows that share a doc_id share a component; a row without doc_id is linked with
@@ -43,7 +44,7 @@ from .common import LOWER_AZ, Workspace, shuffle_width, small_batches
 from .components import components
 
 SHINGLE, BANDS, ROWS, SKETCH_BITS = 5, 24, 5, 512
-PERCENT = 85  # link where 100 * intersection >= PERCENT * union
+PERCENT = 85  # op5's threshold: link where 100 * intersection >= percent * union
 MOST_PARITY_BITS = 16384
 BLOCK = 512  # nodes in a block of a bucket
 MARGIN = 4.0  # standard deviations by which an estimate may fall short of the threshold
@@ -154,14 +155,17 @@ def _signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=SIGNED.names)
 
 
-@F.pandas_udf(T.BooleanType())
-def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = []
-    for s, t in zip(a, b, strict=True):
-        x, y = shingles(text_words(s)), shingles(text_words(t))
-        both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= PERCENT * max(len(x), len(y)) else 0
-        out.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-    return pd.Series(out, dtype=bool)
+def _linked(percent: int):
+    @F.pandas_udf(T.BooleanType())
+    def linked(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for s, t in zip(a, b, strict=True):
+            x, y = shingles(text_words(s)), shingles(text_words(t))
+            both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
+            out.append(100 * both >= percent * (len(x) + len(y) - both))
+        return pd.Series(out, dtype=bool)
+
+    return linked
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -193,7 +197,7 @@ def _forest(i: np.ndarray, j: np.ndarray, weight: np.ndarray, n: int) -> list[in
     return kept
 
 
-def _bucket_pairs(sketch: np.ndarray, parities: list[bytes], size: np.ndarray, side: np.ndarray, label: np.ndarray | None, most: float) -> tuple[np.ndarray, np.ndarray]:
+def _bucket_pairs(sketch: np.ndarray, parities: list[bytes], size: np.ndarray, side: np.ndarray, label: np.ndarray | None, most: float, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs of one group: a forest, or with labels all pairs between different ones.
 
     side is 0 for the group's first block and 1 for its second; with both present only
@@ -203,7 +207,7 @@ def _bucket_pairs(sketch: np.ndarray, parities: list[bytes], size: np.ndarray, s
     across = len(y) > 0
     y = y if across else x
     near = _apart(sketch[x], sketch[y]) <= most
-    near &= 100 * np.minimum(size[x][:, None], size[y][None]) >= PERCENT * np.maximum(size[x][:, None], size[y][None])
+    near &= 100 * np.minimum(size[x][:, None], size[y][None]) >= percent * np.maximum(size[x][:, None], size[y][None])
     if not across:
         near &= np.tri(len(x), k=-1, dtype=bool).T
     if label is not None:
@@ -213,7 +217,7 @@ def _bucket_pairs(sketch: np.ndarray, parities: list[bytes], size: np.ndarray, s
     if len(i):
         # At the threshold t the sets differ in (1 - t) / (1 + t) of their sizes' sum.
         apart = fewest_differing(parities, i, j)
-        near = (100 + PERCENT) * apart <= (100 - PERCENT) * (size[i] + size[j])
+        near = (100 + percent) * apart <= (100 - percent) * (size[i] + size[j])
         i, j, apart = i[near], j[near], apart[near]
     if label is None and len(i) > 1:
         kept = _forest(i, j, apart, len(sketch))
@@ -224,12 +228,12 @@ def _bucket_pairs(sketch: np.ndarray, parities: list[bytes], size: np.ndarray, s
 PAIRS = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
 
 
-def _pairs_of(labelled: bool):
+def _pairs_of(labelled: bool, percent: int):
     """For mapInArrow over rows sorted by group: the candidate pairs of each group.
 
     A group has two blocks at most; it is gathered over Arrow batches, one group at a time.
     """
-    most = fewest_agreeing()
+    most = fewest_agreeing(percent=percent)
 
     def fixed(column: pa.ChunkedArray, width: int) -> np.ndarray:
         return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
@@ -247,7 +251,7 @@ def _pairs_of(labelled: bool):
         a, b = [], []
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
             if e - s > 1:
-                i, j = _bucket_pairs(sketch[s:e], parities[s:e], size[s:e], side[s:e], label[s:e] if labelled else None, most)
+                i, j = _bucket_pairs(sketch[s:e], parities[s:e], size[s:e], side[s:e], label[s:e] if labelled else None, most, percent)
                 a += (i + s).tolist()
                 b += (j + s).tolist()
         if not a:
@@ -286,7 +290,7 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     return keys.join(sizes.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")
 
 
-def _candidates(buckets: DataFrame, nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _candidates(buckets: DataFrame, nodes: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
     """Candidate pairs in the buckets; with labels (node, root), those that would join two components."""
     spark = nodes.sparkSession
     columns = ["fp", "n_shingles", "sketch", "parity"]
@@ -306,10 +310,10 @@ def _candidates(buckets: DataFrame, nodes: DataFrame, labels: DataFrame | None)
         *columns,
     )
     spread = rows.repartition(2 * shuffle_width(spark), "group").sortWithinPartitions("group")
-    return spread.mapInArrow(_pairs_of(labels is not None), PAIRS).distinct()
+    return spread.mapInArrow(_pairs_of(labels is not None, percent), PAIRS).distinct()
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets reach the threshold. Of the texts only those of their ends are shuffled, but for false hits of a Bloom filter."""
     if pairs.isEmpty():
         return pairs
@@ -319,7 +323,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame
     texts = docs.filter(may("_id")).join(ids.select("fp", F.col("rep").alias("_id")), "_id").select("fp", "_text")
     texts = texts.filter(_signed_fp("_text") == F.col("fp")).dropDuplicates(["fp"])
     out = pairs.join(texts.select(F.col("fp").alias("a"), F.col("_text").alias("_s")), "a").join(texts.select(F.col("fp").alias("b"), F.col("_text").alias("_t")), "b")
-    return out.filter(_linked("_s", "_t")).select("a", "b")
+    return out.filter(_linked(percent)("_s", "_t")).select("a", "b")
 
 
 @F.pandas_udf(T.BinaryType())
@@ -327,8 +331,11 @@ def _signed_fp(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: fingerprint(text_words(t)))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: its id, n_shingles, component_id (the least id that links reach) and kept."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row for each row of docs: its id, n_shingles, component_id (the least id that links reach) and kept.
+
+    Texts are linked whose shingle sets agree in percent of their union or more.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     work = Workspace(spark, "near-dedup")
@@ -344,11 +351,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.filter(F.col("_id").isNotNull() & F.col("_text").isNotNull())
 
     buckets = work.keep(_buckets(nodes), "buckets")
-    pairs = work.keep(_candidates(buckets, nodes, None), "pairs")
-    links = work.keep(_confirmed(pairs, nodes, texts).unionByName(shared), "links")
+    pairs = work.keep(_candidates(buckets, nodes, None, percent), "pairs")
+    links = work.keep(_confirmed(pairs, nodes, texts, percent).unionByName(shared), "links")
     labels = work.keep(components(links, work, "first"), "labels")
-    pairs = work.keep(_candidates(buckets, nodes, labels).join(pairs, ["a", "b"], "left_anti"), "pairs-rest")
-    rest = work.keep(_confirmed(pairs, nodes, texts), "rest")
+    pairs = work.keep(_candidates(buckets, nodes, labels, percent).join(pairs, ["a", "b"], "left_anti"), "pairs-rest")
+    rest = work.keep(_confirmed(pairs, nodes, texts, percent), "rest")
     if not rest.isEmpty():
         labels = work.keep(components(links.unionByName(rest), work, "second"), "labels-all")
 
@@ -361,8 +368,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept"))
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """docs without near-duplicates but the one with the least id; columns as they were. Rows that repeat that id stay."""
-    gone = near_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
+    gone = near_duplicates(docs, id_col, text_col, percent).filter(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(id_col).alias("_id"))
     return rows.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")

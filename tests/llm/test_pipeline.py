@@ -3,7 +3,7 @@ import subprocess
 import sys
 
 import corpus_pipeline
-from loomwright.llm import secrets
+from loomwright.llm import near_dedup, secrets
 
 from test_near_dedup import brute as components
 from test_quality import brute as counts
@@ -54,6 +54,19 @@ def test_stages_match_brute_force(spark, documents, tmp_path):
     assert sum(r["n_tokens"] for r in after[4]) == sum(len(r["text"].split()) for r in after[3])
 
 
+def test_near_duplicates_from_four_fifths_on_go(spark, documents):
+    words = [f"w{k}" for k in range(105)]
+    two, three = list(words), list(words)
+    for k in (30, 70):  # 91 of 111 shingles shared
+        two[k] = f"new{k}"
+    for k in (20, 50, 80):  # 86 of 116 shared, 0.74
+        three[k] = f"other{k}"
+    docs = documents([(1, " ".join(words)), (2, " ".join(two)), (3, " ".join(three))])
+    _, stage = corpus_pipeline.STAGES[1]
+    assert sorted(r["doc_id"] for r in stage(spark, docs, None).collect()) == [1, 3]
+    assert all(r["kept"] for r in near_dedup.near_duplicates(docs).collect())
+
+
 def test_run_repeats(spark):
     one = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     two = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
