@@ -78,13 +78,13 @@ def _peak(name: str, template: str, **more) -> None:
 _peak("Time of peak", "{peak}")
 _peak("Time from peak", "({base_date} - ({peak})) / 86400", needs_date=True)
 
-lag("Change count", ("nominal", "temporal"), ("{nominal}",), "sum(CASE WHEN {prev_0} <> {nominal} THEN 1 ELSE 0 END)")
-lag("Change ratio", ("nominal", "temporal"), ("{nominal}",), "(sum(CASE WHEN {prev_0} < {nominal} THEN 1 ELSE 0 END) + 1) / (sum(CASE WHEN {prev_0} > {nominal} THEN 1 ELSE 0 END) + 1)")
+lag("Change count", ("nominal", "temporal"), ("{nominal}",), "sum(CASE WHEN {prev_0} <> {nominal} THEN 1 ELSE 0 END)", also={"nominal": ("numerical",)})
+lag("Change ratio", ("nominal", "temporal"), ("{nominal}",), "(sum(CASE WHEN {prev_0} < {nominal} THEN 1 ELSE 0 END) + 1) / (sum(CASE WHEN {prev_0} > {nominal} THEN 1 ELSE 0 END) + 1)", also={"nominal": ("numerical",)})
 lag("Integral", ("numerical", "temporal"), ("{numerical}", "{temporal}"), "sum(({numerical} + {prev_0}) * ({temporal} - {prev_1}) / 2)")
 lag("Zero crossing", ("numerical", "temporal"), ("{numerical}",), "sum(CASE WHEN sign({numerical}) <> sign({prev_0}) THEN 1 ELSE 0 END)")
 
-counts("Concentration", "nominal", "100.0D * max(CASE WHEN v IS NOT NULL THEN n END) / nullif(sum(CASE WHEN v IS NOT NULL THEN n END), 0)")
-counts("Duplicate ratio", "nominal", "sum(CASE WHEN n >= 2 THEN n ELSE 0 END) / sum(n)")
+counts("Concentration", "nominal", "100.0D * max(CASE WHEN v IS NOT NULL THEN n END) / nullif(sum(CASE WHEN v IS NOT NULL THEN n END), 0)", also={"nominal": ("date",)})
+counts("Duplicate ratio", "nominal", "sum(CASE WHEN n >= 2 THEN n ELSE 0 END) / sum(n)", also={"nominal": ("numerical",)})
 counts("Entropy", "nominal", "ln(sum(n)) - sum(n * ln(n)) / sum(n)")
 counts("Mode", "nominal", "min(CASE WHEN v IS NOT NULL THEN named_struct('n', -n, 'v', v) END).v")
 

@@ -161,6 +161,8 @@ class Pattern:
     needs_value: bool = False
     needs_fold: bool = False
     experimental: bool = False
+    #: Further kinds of columns that a slot takes, as they are.
+    also: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
 
     @property
     def key(self) -> str:

@@ -75,7 +75,8 @@ def sweep(p: Pattern) -> list[dict[str, Any]]:
 
 def column_tuples(p: Pattern, table: Propagated, catalog: Catalog) -> list[dict[str, str]]:
     """Each way to fill a pattern's slots with different columns of the table; ordered pairs both count."""
-    choices = [catalog.tables[table.table].of_kind(slot.rstrip("0123456789")) for slot in p.slots]
+    of_kind = catalog.tables[table.table].of_kind
+    choices = [list(dict.fromkeys(c for kind in (slot.rstrip("0123456789"), *p.also.get(slot, ())) for c in of_kind(kind))) for slot in p.slots]
     return [dict(zip(p.slots, t, strict=True)) for t in itertools.product(*choices) if len(set(t)) == len(t)]
 
 

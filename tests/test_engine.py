@@ -7,12 +7,13 @@ import pytest
 from pyspark.sql import types as T
 
 from loomwright.functions import PATTERNS
-from loomwright.functions.registry import Pattern, Row, Sweep
+from loomwright.functions.registry import Binding, Pattern, Row, Sweep
 from loomwright.operators import base as base_ops
-from loomwright.operators.propagate import path_hash, propagate
+from loomwright.operators.propagate import Propagated, path_hash, propagate
 from loomwright.operators.temporal import find_constraint
 from loomwright.plans import score
 from loomwright.plans.expand import FeatureSpec, column_tuples, cut, expand, parameters, patterns_for, sweep
+from loomwright.plans.fuse import fused
 from loomwright.plans.journal import Journal, Relevance, Scored, from_json, to_json
 from loomwright.plans.run import run, two_stages
 from loomwright.settings import REGRESSION, Settings
@@ -158,6 +159,25 @@ def test_expansion(spark):
     assert values and all("value" in dict(x.params) for x in values)
 
 
+def test_alternative_column_kinds(spark):
+    rows = [(1, 7, 1.5, "a", dt.date(2020, 1, 1)), (1, 7, 2.5, "b", dt.date(2020, 1, 2)), (1, 8, 2.5, "b", dt.date(2020, 1, 3)), (1, 8, 0.5, "b", dt.date(2020, 1, 3))]
+    df = spark.createDataFrame(rows, "id long, n int, price double, word string, day date")
+    catalog = Catalog({"b": spark.createDataFrame([(1, "x")], "id long, t string"), "c": df}, [key("c", "id", "b", "id")], Settings("b", ["id"], ["t"]))
+    table = Propagated("c_of_b", "c", df, ("b", "c"))
+    columns = {n: [x["nominal"] for x in column_tuples(PATTERNS[n], table, catalog) if x.get("temporal", "day") == "day"] for n in ("change_count", "change_ratio", "duplicate_ratio", "concentration", "entropy")}
+    assert all(len(set(c)) == len(c) for c in columns.values())
+    for n in ("change_count", "change_ratio", "duplicate_ratio"):
+        assert {"n", "price", "word"} <= set(columns[n]) and "day" not in columns[n]
+    assert {"word", "day"} <= set(columns["concentration"]) and "price" not in columns["concentration"] + columns["entropy"]
+    b = Binding(("id",), {"nominal": "price", "temporal": "day"})
+    parts = [("count", PATTERNS["change_count"].build(b)), ("ratio", PATTERNS["change_ratio"].build(b)), ("repeats", PATTERNS["duplicate_ratio"].build(b))]
+    parts.append(("most", PATTERNS["concentration"].build(replace(b, columns={"nominal": "day"}))))
+    got = fused(df, Binding(("id",)), parts, ["price"]).collect()
+    assert [(r["repeats"], r["most"]) for r in got] == [(0.5, 50.0)]
+    # Of the last day's two rows the lower price comes first: 1.5, 2.5, 0.5, 2.5.
+    assert [(r["count"], r["ratio"]) for r in got] == [(3, 1.5)]
+
+
 def test_patterns_that_need_dates_or_classes():
     dated = {p.key for p in patterns_for(S)}
     static = {p.key for p in patterns_for(replace(S, target_date=None))}
