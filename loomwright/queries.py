@@ -507,7 +507,7 @@ def _result(spark: SparkSession, sf_dir: str) -> run_ops.Result:
 
 
 def full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The main sample that a whole run builds for the market segment."""
+    """The main sample that a run of seven patterns over three tables builds for the market segment, 20 features at most."""
     return _result(spark, sf_dir).main_sample(TARGET).drop(base_ops.FOLD)
 
 
