@@ -1,14 +1,15 @@
 """Secret scan by assignment-aware lexing.
 
 Three fixed shapes form the base (assignments to a secret-like name, access key ids, long
-lower-case hexadecimal runs). On top of them a lexer reads the text as source or
-configuration: it takes ``name op value`` statements (``=``, ``:``, ``:=``, ``=>``; quoted,
-bare or concatenated values), keeps the constants it has seen, follows names that refer to
-them, and scores every literal by how sensitive the name is that it ends up in.
+lower-case hexadecimal runs). On top of them ``lexing`` reads the text as source or
+configuration into names and the literals and names they are given; constants are followed
+forwards and backwards, through any number of joined parts, and every literal is scored by
+how sensitive the name is that it ends up in.
 
 Defined results: a null or empty text has no spans; spans are in code points with an
-exclusive end; rows are judged one by one, so repeated rows give repeated results, and extra
-columns of the input are not read.
+exclusive end; a name that is given several values stands for the last one before each use,
+or the first one after it; rows are judged one by one, so repeated rows give repeated
+results, and extra columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -16,8 +17,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import small_batches
+from .lexing import Assignment, Part, assignments
 
 #: Base kinds, in the order that breaks ties between spans with one start.
 BASE = (
@@ -47,19 +52,11 @@ HARMLESS = {
     "type": 0.6, "min": 0.6, "max": 0.6, "limit": 0.7, "expiry": 0.7, "expires": 0.7, "ttl": 0.7, "enabled": 0.8, "field": 0.6,
     "column": 0.6, "primary": 0.7, "foreign": 0.7, "sort": 0.7, "index": 0.6, "id": 0.3, "label": 0.7, "prompt": 0.7, "hint": 0.7,
 }
-PLACEHOLDER = re.compile(r"(?:null|none|nil|true|false|undefined|changeme|change_me|example|sample|dummy|placeholder|redacted|required|optional|string|todo|default)|your[_-].*|my[_-].*|(.)\1*|.*(?:\*{3}|x{4}|\.{3}|<|>|\$\{|\{\{|%\().*", re.I | re.S)
-
-_QUOTED = r'"(?:[^"\\\n]|\\.)*+"|' + r"'(?:[^'\\\n]|\\.)*+'|" + r"`[^`\n]*+`"
-_VALUE = rf"(?:{_QUOTED}|\$?\{{?[A-Za-z0-9_/.~-][A-Za-z0-9_+/.=~-]*+\}}?)"
-#: A statement: name, perhaps quoted or subscripted, a type after a colon, the operator, one value or several joined by +.
-STATEMENT = re.compile(
-    rf"""(?<![A-Za-z0-9_.-])(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)(?:["'`]?\]?)(?:[ \t]*+:[ \t]*+[A-Za-z_]\w*+(?=[ \t]*+=))?[ \t]*+(?::=|=>|=(?![=~>])|:(?![:/]))[ \t]*+(?P<value>{_VALUE}(?:[ \t]*+\+[ \t]*+{_VALUE})*+)(?P<call>[ \t]*+\()?""",
-    re.A,
-)
-PART = re.compile(_VALUE, re.A)
-NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]*\Z", re.A)
-#: A text without such a stem has no sensitive target: it is not lexed.
-STEM = re.compile(r"pass|pwd|secret|token|key|cred|bearer|auth|private|salt|jwt", re.I | re.A)
+PLACEHOLDER_WORD = re.compile(r"null|none|nil|true|false|undefined|changeme|change_me|example|sample|dummy|placeholder|redacted|required|optional|string|todo|default", re.I)
+PLACEHOLDER_START = re.compile(r"(?:your|my)[_-]", re.I)
+PLACEHOLDER_INSIDE = re.compile(r"\*{3}|x{4}|\.{3}|<|>|\$\{|\{\{|%\(", re.I)
+#: A lower-case text without any of these holds no assignment of the base, or no name that scores above 0.
+NEEDED = {"assign": ("passw", "secret", "token", "apikey", "api_key"), "pair": tuple(p for p in SENSITIVE if not any(q in p for q in SENSITIVE if q != p))}
 PIECES = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 Span = tuple[int, int, str]
@@ -76,19 +73,117 @@ def name_score(name: str) -> float:
     return max(0.0, min(1.0, up) - sum(HARMLESS.get(p, 0.0) for p in parts))
 
 
+class Shape:
+    """What literal_score needs to know of a text, for texts that are joined from parts of any number."""
+
+    __slots__ = ("length", "shares", "first", "last", "spaces", "placeholder")
+
+    def __init__(self, text: str = ""):
+        self.length = float(len(text))
+        self.shares = {c: n / len(text) for c, n in Counter(text).items()}
+        self.first, self.last = text[:16], text[-3:]
+        self.spaces = any(c in " \t\n" for c in text)
+        self.placeholder = PLACEHOLDER_INSIDE.search(text) is not None
+
+    def __add__(self, other: Shape) -> Shape:
+        if not other.length or not self.length:
+            return self if self.length else other
+        out = Shape()
+        out.length = min(self.length + other.length, 1e300)
+        mine = self.length / (self.length + other.length)
+        out.shares = {c: mine * self.shares.get(c, 0.0) + (1 - mine) * other.shares.get(c, 0.0) for c in self.shares | other.shares}
+        out.first = (self.first + other.first)[:16] if self.length < 16 else self.first
+        out.last = (self.last + other.last)[-3:] if other.length < 3 else other.last
+        out.spaces = self.spaces or other.spaces
+        out.placeholder = self.placeholder or other.placeholder or PLACEHOLDER_INSIDE.search(self.last + other.first) is not None
+        return out
+
+    def score(self) -> float:
+        """0 to 1: how much a literal looks like a secret and not like a word, number or placeholder."""
+        if self.length < 6 or self.spaces or self.placeholder or len(self.shares) < 2:
+            return 0.0
+        if PLACEHOLDER_START.match(self.first) or self.length <= 16 and PLACEHOLDER_WORD.fullmatch(self.first):
+            return 0.0
+        entropy = -sum(p * math.log2(p) for p in self.shares.values() if p > 0)
+        classes = len({"a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else "_" for c in self.shares})
+        return min(1.0, 0.25 * entropy * min(1.0, 0.55 + 0.15 * classes))
+
+
 def literal_score(text: str) -> float:
-    """0 to 1: how much a literal looks like a secret and not like a word, number or placeholder."""
-    n = len(text)
-    if n < 6 or any(c in " \t\n" for c in text) or PLACEHOLDER.fullmatch(text):
-        return 0.0
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(text).values())
-    classes = sum(map(bool, (re.search("[a-z]", text), re.search("[A-Z]", text), re.search("[0-9]", text), re.search("[^A-Za-z0-9]", text))))
-    return min(1.0, 0.25 * entropy * min(1.0, 0.55 + 0.15 * classes))
+    return Shape(text).score()
+
+
+class Value:
+    """What a name stands for: a literal, or values joined. Shared, never copied, by all that refer to it."""
+
+    __slots__ = ("span", "of", "shape", "reported")
+
+    def __init__(self, shape: Shape, span: tuple[int, int] | None = None, of: tuple[Value, ...] = ()):
+        self.shape, self.span, self.of, self.reported = shape, span, of, False
+
+    def report(self, into: set[tuple[int, int]]) -> None:
+        """Adds the literals below that haven't been reported; each value is looked into once."""
+        todo = [self]
+        while todo:
+            v = todo.pop()
+            if not v.reported:
+                v.reported = True
+                if v.span:
+                    into.add(v.span)
+                todo += v.of
+
+
+NOTHING = Value(Shape())
+
+
+def resolved(text: str, found: list[Assignment]) -> list[Value]:
+    """Each assignment's value, constants followed.
+
+    A name stands for what it was last given before, or where there is nothing before, for what
+    it is first given after. A name that ends up in itself is nothing there.
+    """
+    of_name: dict[str, list[int]] = {}
+    for k, x in enumerate(found):
+        of_name.setdefault(x.name, []).append(k)
+    out: list[Value | None] = [None] * len(found)
+    open_ = [False] * len(found)
+
+    def target(k: int, part: Part) -> int | None:
+        places = of_name.get(part.name) or of_name.get(part.name.rsplit(".", 1)[-1]) or ()
+        before = bisect_left(places, k)
+        at = places[before - 1] if before else next((p for p in places if p != k), None)
+        return at
+
+    for first in range(len(found)):
+        stack = [first]
+        while stack:
+            k = stack[-1]
+            if out[k] is not None:
+                stack.pop()
+                continue
+            wanted = [None if p.name is None else target(k, p) for p in found[k].parts]
+            if not open_[k]:
+                open_[k] = True
+                more = [t for t in wanted if t is not None and out[t] is None and not open_[t]]
+                if more:
+                    stack += more
+                    continue
+            values = []
+            for part, t in zip(found[k].parts, wanted, strict=True):
+                if t is not None:
+                    values.append(out[t] or NOTHING)
+                elif part.name is None or part.bare:
+                    values.append(Value(Shape(text[part.start : part.end]), (part.start, part.end)))
+            out[k] = values[0] if len(values) == 1 else Value(reduce(add, (v.shape for v in values), Shape()), None, tuple(values))
+            stack.pop()
+    return out
 
 
 def base_spans(text: str) -> list[Span]:
-    found = []
+    found, low = [], text.lower()
     for kind, pattern in BASE:
+        if not any(p in low for p in NEEDED.get(kind, ("",))):
+            continue
         for m in pattern.finditer(text):
             if len(m[2] if kind == "assign" else m[0]) >= LEAST[kind]:
                 found.append((m.start(), m.end(), kind))
@@ -97,25 +192,18 @@ def base_spans(text: str) -> list[Span]:
 
 def pair_spans(text: str, least: float = 0.5) -> list[Span]:
     """Literals that end up under a sensitive name, straight, through constants or joined."""
-    if not STEM.search(text):
+    low = text.lower()
+    if not any(p in low for p in NEEDED["pair"]):
         return []
-    constants: dict[str, list[tuple[int, int]]] = {}
-    found: set[tuple[int, int]] = set()
-    for m in STATEMENT.finditer(text):
-        if m["call"]:
-            continue
-        at, parts = m.start("value"), []
-        for p in PART.finditer(m["value"]):
-            quoted = p[0][0] in "\"'`"
-            if not quoted and NAME.match(p[0]) and p[0] in constants:
-                parts += constants[p[0]]
-            else:
-                parts.append((at + p.start() + quoted, at + p.end() - quoted))
-        constants[m["name"]] = parts[:64]  # a chain of self-references must not double its parts at each step
-        how = name_score(m["name"])
-        if how and how * literal_score("".join(text[a:b] for a, b in parts)) >= least:
-            found.update((a, b) for a, b in parts if b > a)
-    return sorted((a, b, "pair") for a, b in found)
+    found = list(assignments(text))
+    hows = [name_score(x.name) for x in found]
+    if not any(hows):
+        return []
+    spans: set[tuple[int, int]] = set()
+    for value, how in zip(resolved(text, found), hows, strict=True):
+        if how and how * value.shape.score() >= least:
+            value.report(spans)
+    return sorted((a, b, "pair") for a, b in spans if b > a)
 
 
 def scan(text: str | None) -> tuple[list[Span], list[Span]]:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -50,6 +51,24 @@ def pairs(text):
         ('db_password = "${DB_PASSWORD}"', []),
         ('db_password = read("secrets.txt")', []),
         ('title = "q8Zt!x#99kk"', []),
+        ('client_secret = y\ny = "q8Zt!x#99kkW"', ["q8Zt!x#99kkW"]),  # given later
+        ('secret_key = """ab1Cd\\"x\nef2Gh"""', []),  # a blank in it, though over lines
+        ("signing_key = \'\'\'aB3$kQ9zX7!pL2vN\'\'\'", ["aB3$kQ9zX7!pL2vN"]),
+        ('db_password = ("aB3$kQ9z"\n    "X7!pL2vN")', ["aB3$kQ9z", "X7!pL2vN"]),  # adjacent literals
+        ("<db><passphrase>aB3$kQ9zX7</passphrase><user>bob</user></db>", ["aB3$kQ9zX7"]),
+        ('<add key="AuthKey" value="aB3$kQ9zX7"/><add key="Title" value="aB3$kQ9zX8"/>', ["aB3$kQ9zX7"]),
+        ("tls:\n  private_key: |\n    MIIEpAIBAAKCAQEA7x\n    Wq93hdKsi2QpLmZ81\n  name: x", ["MIIEpAIBAAKCAQEA7x", "Wq93hdKsi2QpLmZ81"]),
+        ("tls:\n  auth_key: aB3$kQ9zX7pL # note\n  name: aB3$kQ9zX7pL", ["aB3$kQ9zX7pL"]),
+        ('#define SIGNING_KEY "aB3$kQ9zX7"', ["aB3$kQ9zX7"]),
+        ("run --auth-key aB3$kQ9zX7pL --name aB3$kQ9zX7pM", ["aB3$kQ9zX7pL"]),
+        ('String authKey = prefix + "aB3$kQ9zX7";', ["aB3$kQ9zX7"]),
+        ("db_passphrase = user_input", []),
+        ("X=aB3$kQ9zX7pL\nAUTH_KEY=${X}", ["aB3$kQ9zX7pL"]),
+        ('define("AUTH_KEY", "aB3$kQ9zX7");', ["aB3$kQ9zX7"]),
+        ("a = b\nb = a\nauth_key = a", []),
+        ('title = auth_key = "aB3$kQ9zX7"', ["aB3$kQ9zX7"]),
+        ('session_pin = "q8Zt!x#99kkW2"', ["q8Zt!x#99kkW2"]),
+        ('encryption_signing_webhook = "aB3$kQ9zX7!pL2vN"', ["aB3$kQ9zX7!pL2vN"]),
         ("x == y and the key: value", []),
     ],
 )
@@ -62,8 +81,44 @@ def test_ascii_case_only_and_code_points():
     assert secrets.joined(secrets.scan("😀 token=abcdef")[0]) == "assign:2:14"
 
 
+def test_a_line_is_judged_alike_whatever_else_the_text_holds():
+    line = 'encryption_signing_webhook = "aB3$kQ9zX7!pL2vN"'
+    assert pairs(line) == pairs(line + "\n# key") == pairs("no words of note\n" + line)
+
+
+def test_secret_of_many_parts_is_found_whole():
+    parts = [f"a{k:03d}Z" for k in range(100)]
+    text = 'k = ""\n' + "".join(f'k = k + "{p}"\n' for p in parts) + "secret_key = k\n"
+    assert pairs(text) == parts
+
+
+def test_generated_sources_give_their_pairs_back():
+    """Programs whose sensitive literals are known, in several syntaxes, with constants passed on."""
+    rng = random.Random(7)
+    letters = "abcdefghijkmnopqrstuvwxyzABCDEFGHIJKLMNPQRSTUVWXYZ23456789"
+    literal = lambda: "".join(rng.choice(letters) for _ in range(20)) + "!7qX"
+    write = [lambda n, v: f"{n} = {v}\n", lambda n, v: f"{n}: {v},\n", lambda n, v: f'"{n}": {v},\n', lambda n, v: f"cfg['x']['{n}'] = {v};\n", lambda n, v: f"{n} := {v}\n", lambda n, v: f"'{n}' => {v},\n", lambda n, v: f"final String {n} = {v};\n", lambda n, v: f"{n}: str = {v}\n"]
+    for _ in range(300):
+        want, lines, known = [], [], {}
+        for k in range(rng.randint(1, 12)):
+            name, sensitive = rng.choice([(f"auth_key_{k}x", True), (f"dbPassphrase{k}", True), (f"title{k}", False), (f"plain{k}", False)])
+            if known and rng.random() < 0.4:
+                other = rng.choice(list(known))
+                value, held = other, known[other]
+            else:
+                held = [literal() for _ in range(rng.choice([1, 1, 2, 3]))]
+                value = rng.choice([" + ", " "]).join(f'"{x}"' for x in held)
+            want += held if sensitive else []
+            if not sensitive:
+                known[name] = held
+            lines.append((rng.choice(write))(name, value))
+        if rng.random() < 0.5:
+            rng.shuffle(lines)  # constants may come after their use
+        assert sorted(pairs("".join(lines))) == sorted(set(want)), lines
+
+
 def test_hostile_texts_are_linear():
-    for text in ("a.b" * 200_000 + " key=", "A = A + A\n" * 20_000 + "key = A", '"' * 100_000 + "token", "key=" * 100_000):
+    for text in ("<a b='" * 50_000, "x=(" * 50_000, 'k = k + "x1"\n' * 30_000 + "auth_key = k", "x = (\n" * 30_000, "#" * 200_000, "a: |\n" * 30_000, "$" * 200_000 + "key", "<a" * 100_000 + " auth=","a.b" * 200_000 + " key=", "A = A + A\n" * 20_000 + "key = A", '"' * 100_000 + "token", "key=" * 100_000):
         secrets.scan(text)
 
 
