@@ -16,26 +16,42 @@ def held_out(id_col: str | Column) -> Column:
 
 
 def sampled_ids(rows: DataFrame, id_col: str, n: int, *more: str) -> DataFrame:
-    """n rows' ids (all, if fewer) and more columns, by hash of the id: only ids are sorted, never texts."""
-    picked = rows.select(F.col(id_col).alias("_key"), *more).filter(F.col("_key").isNotNull())
-    return picked.orderBy(F.xxhash64("_key", F.lit("sample")), "_key", *more).limit(n)
+    """n different ids (all, if fewer) with the least of each further column, by hash of the id: only ids are sorted, never texts.
 
-
-def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The texts of a bounded sample of ids, found by a broadcast of the ids alone."""
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(ids), F.col("_id") == F.col("_key"))
+    Rows of one id are counted together before they are shuffled, so that an id of many rows is one.
+    """
+    ids = rows.select(F.col(id_col).alias("_key"), *more).filter(F.col("_key").isNotNull()).groupBy("_key").agg(*([F.min(c).alias(c) for c in more] or [F.count("*").alias("_n")]))
+    return ids.select("_key", *more).orderBy(F.xxhash64("_key", F.lit("sample")), "_key").limit(n)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
-    """Weights, the last for the constant, of a ridge logistic fit by Newton's method."""
-    x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
-    penalty = np.full(len(w), ridge)
-    penalty[-1] = 1e-6
+def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_key, _text and what more ids holds): one text for each id of a bounded sample, found by a broadcast of the ids alone.
+
+    Of the texts under one id the one with the least hash stands for it; each task keeps one of
+    an id before anything is shuffled, so that no more rows come out than there are ids.
+    """
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(ids.select("_key")), F.col("_id") == F.col("_key"))
+    one = found.groupBy("_key").agg(F.min(F.struct(F.xxhash64("_text"), "_text")).alias("_t")).select("_key", "_t._text")
+    return one.join(F.broadcast(ids), "_key")
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50, around: np.ndarray | None = None, weight: np.ndarray | None = None) -> np.ndarray:
+    """Weights of a ridge logistic fit by Newton's method.
+
+    The last weight is for the constant, which is added, unless ``around`` is given: weights,
+    one for each column of x, that the ridge draws towards. weight: how much each row counts.
+    """
+    if around is None:
+        x = np.column_stack([x, np.ones(len(x))])
+        w, centre, penalty = np.zeros(x.shape[1]), 0.0, np.full(x.shape[1], ridge)
+        penalty[-1] = 1e-6
+    else:
+        w, centre, penalty = around.copy(), around, np.full(x.shape[1], ridge)
+    counts = np.ones(len(x)) if weight is None else weight
     for _ in range(rounds):
         p = sigmoid(x @ w)
-        grad = x.T @ (p - y) + penalty * w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), grad)
+        grad = x.T @ (counts * (p - y)) + penalty * (w - centre)
+        step = np.linalg.solve((x * (counts * p * (1 - p))[:, None]).T @ x + np.diag(penalty), grad)
         w -= step * min(1.0, 5.0 / (1e-9 + np.abs(step).max()))
         if np.abs(step).max() < 1e-8:
             break

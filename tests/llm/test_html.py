@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from loomwright.llm import html
 from loomwright.llm.mincut import min_cut
@@ -58,6 +59,69 @@ def test_cases(page, want):
     assert html.main_text(page) == want
 
 
+@pytest.mark.parametrize("wrapper", ["site-content has-sidebar", "post with-ads", "article-with-comments", "side-effects", "menu-page", "full-banner", "sidebar-wrapper"])
+def test_wrappers_keep_their_article(wrapper):
+    assert html.main_text(f"<div class='{wrapper}'><article><h1>T</h1><p>{LONG}</p></article></div>") == f"T\n{LONG}"
+
+
+@pytest.mark.parametrize("name, says", [("comment-list", -2), ("post-comments", -2), ("sidebar left", -1), ("cookie-notice", -1), ("relatedPosts", -1), ("site-footer", -1), ("entry-content", 1), ("has-sidebar", 0), ("x y", 0), ("adapter", 0)])
+def test_names_of_containers(name, says):
+    assert html.named(name) == says
+
+
+def test_text_inside_formulas_and_drawings_stays():
+    page = f"<article><p>{LONG} <math><mi>x</mi></math> <svg><text>lab</text></svg> <object>alt</object></p><section class=comments><article><p>{LONG}</p></article></section></article>"
+    assert html.main_text(page) == f"{LONG} x lab alt"
+
+
+def mixed_page(rng):
+    """A page without telling names: blocks of an article, some short or linked, between lists of links and odd sentences; and which are content."""
+    sentence = lambda n: " ".join(rng.choice(["light", "over", "stone", "river", "when", "green", "paper", "walks"]) for _ in range(n))
+    link = lambda: f"<a href=x>{sentence(3)}</a>"
+    blocks = [(f"<li>{link()}</li>", False) for _ in range(rng.randint(4, 8))] + [(f"<li>{sentence(9)}.</li>", False)] * rng.randint(0, 1) + [(f"<li>{link()}</li>", False) for _ in range(3)]
+    above = "<ul>" + "".join(b for b, _ in blocks) + "</ul>"
+    body = [(rng.choice([f"<p>{sentence(40)}, {sentence(9)}.</p>"] * 7 + [f"<p>{sentence(2)}</p>", f"<p>{link()} {sentence(2)}</p>", f"<h3>{sentence(2)}</h3>"]), True) for _ in range(rng.randint(5, 12))]
+    below = [(f"<li>{link()}</li>", False) for _ in range(rng.randint(3, 6))]
+    page = f"<div>{above}</div><div>{''.join(b for b, _ in body)}</div><div><ul>{''.join(b for b, _ in below)}</ul></div>"
+    return page, [c for _, c in blocks + body + below]
+
+
+def test_the_cut_decides_on_mixed_pages():
+    """Ties turn labels over that the price alone has wrong, in most cases rightly."""
+    rng = random.Random(11)
+    by_sign = by_cut = flipped = total = 0
+    for _ in range(300):
+        page, want = mixed_page(rng)
+        found = html.blocks(page)
+        z = html.prices(found)
+        assert len(found) == len(want)
+        cut = min_cut(z, html.ties(found))
+        by_sign += sum((x > 0) == w for x, w in zip(z, want))
+        by_cut += sum(c == w for c, w in zip(cut, want))
+        flipped += sum(c != (x > 0) for c, x in zip(cut, z))
+        total += len(want)
+    assert flipped > 0.03 * total and by_cut > by_sign + 0.02 * total and by_cut > 0.95 * total
+
+
+def test_weights_are_fitted_and_fall_back(spark):
+    from loomwright.llm.training import logistic
+
+    made = [f"<nav>{'<li><a href=x>One two</a></li>' * 3}</nav><article><h1>T</h1><p>{LONG}</p><p>{LONG}</p></article>" for _ in range(60)]
+    pages = spark.createDataFrame(list(enumerate(made)), "page_id long, html string")
+    weights = html.fitted(pages, "page_id", "html")
+    assert weights[html.FEATURES.index("linked")] < 0 < weights[html.FEATURES.index("words")] and (weights != html.USUAL).any()
+    assert (html.fitted(pages, "page_id", "html") == weights).all()
+    plain = spark.createDataFrame([(1, f"<p>{LONG}</p>")], "page_id long, html string")
+    assert (html.fitted(plain, "page_id", "html") == html.USUAL).all() and (html.fitted(plain.limit(0), "page_id", "html") == html.USUAL).all()
+    x = np.array([[1.0, 0.0], [1.0, 1.0]])
+    assert logistic(x, np.array([0.0, 1.0]), 1e6, around=np.array([0.5, 2.0])) == pytest.approx([0.5, 2.0], abs=1e-3)
+
+
+def test_one_page_id_of_many_rows_is_one_sample(spark):
+    pages = spark.createDataFrame([(1, f"<article><p>{LONG}</p></article><nav>x</nav>")] * 300, "page_id long, html string")
+    assert html.texts_of(pages, html.sampled_ids(pages, "page_id", 50), "page_id", "html").count() == 1
+
+
 def test_hostile_pages_end():
     for page in ("<div>" * 20_000 + "x", "<p>hello there you" * 5000, '<a "' * 20_000, "</div>" * 20_000 + "<" * 2000, "<div>a" * 2000 + "b</div>" * 2000, "<!--" * 5000, "&amp;" * 50_000):
         html.main_text(page)
