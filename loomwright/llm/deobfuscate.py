@@ -1,10 +1,11 @@
 """Noisy-channel restoration of obfuscated words.
 
-A word that holds digits or signs among letters, a letter three times running, separators
-between its letters, or that is spelt over several words becomes a lattice: each character
-may stand for the letters it resembles, for a repetition, or for nothing. Viterbi search
-finds the letters that the channel's costs and a character trigram model together find
-likeliest.
+A word that holds digits or signs, or a letter twice running, and a run of words of one or
+two characters become lattices: each character may stand for the letters it resembles, for a
+repetition, or for nothing, and each gap of a run for a gap or for nothing. Viterbi search,
+without pruning, finds the letters and gaps that the channel's costs and a character trigram
+model together find likeliest. Numbers without any letter stay numbers, and words spelt in
+pieces of three characters or more stay in pieces.
 """
 
 from __future__ import annotations
@@ -22,10 +23,13 @@ SIZE = 64
 OTHER = SIZE - 1
 CODE = {c: k + 1 for k, c in enumerate(LETTERS)}
 
-SAME, AS_LETTER, REPEATED, DROPPED, NOISE = 0.05, 1.2, 0.4, 0.5, 5.0
-STATES = 24  # partial readings kept at each step
+#: Costs of the channel: a letter as itself, a sign for a letter, a letter repeated, a separator or other sign dropped, a sign at a word's edge dropped, a gap dropped.
+SAME, AS_LETTER, REPEATED, DROPPED, NOISE, EDGE, JOINED = 0.05, 1.2, 0.4, 0.5, 5.0, 0.1, 1.0
 CORE = re.compile(r"[^\W_](?:.*[^\W_])?", re.S)
+DOUBLE = re.compile(r"([^\W\d_])\1")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
+#: Two or more words of one or two characters in a row; the last may have signs after it.
+RUN = re.compile(r"(?<!\S)\S{1,2}(?=\s)(?:(?:\s++\S{1,2}(?!\S))++(?:\s++\S{1,2}[.,!?;:]++(?!\S))?|\s++\S{1,2}[.,!?;:]++(?!\S))")
 
 
 def code_table() -> np.ndarray:
@@ -62,16 +66,17 @@ def model(counts: np.ndarray) -> np.ndarray:
 
 
 def is_noisy(word: str) -> bool:
-    """Whether a lower-case word needs the lattice: most don't, and cost a scan of their letters."""
+    """Whether a lower-case word is read through the lattice alone: most aren't, and cost a scan of their letters."""
     if word.isalpha():
         return TRIPLE.search(word) is not None
     m = CORE.search(word)
     if not m:
         return False
     core = m[0]
-    if word[0] in "@$" and core[0].isalpha():
-        return True
-    return any(c.isalpha() for c in core) and (not core.isalpha() or TRIPLE.search(core) is not None)
+    if not any(c.isalpha() for c in core):
+        return False
+    edge = word[: m.start()] + word[m.end() :]
+    return not core.isalpha() or any(c in LEET for c in edge) or TRIPLE.search(core) is not None
 
 
 def plain(word: str) -> str:
@@ -80,46 +85,50 @@ def plain(word: str) -> str:
     return m[0] if m else ""
 
 
-def decode(word: str, costs: list[float]) -> str:
-    """The likeliest letters behind a lower-case word."""
-    # Signs at the end are punctuation far more often than letters.
+def options(word: str) -> list[list[tuple[int, float, str]]]:
+    """For each character of a lower-case word or run: what it may stand for, as (letter's number, cost, letter); number -1 for nothing, 0 for a gap."""
     m = CORE.search(word)
-    core = word[: m.end()].lstrip("".join(SEPARATORS) + "!(|+") if m else word
-    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-    last = ""
-    for o in core:
-        options: list[tuple[int, float, str]] = []
-        if o in CODE:
-            options.append((CODE[o], SAME, o))
-            if o == last:
-                options.append((-1, REPEATED, ""))
-        elif o.isalpha():
-            options.append((OTHER, SAME, o))
-        for x in LEET.get(o, ""):
-            options.append((CODE[x], AS_LETTER, x))
-        if o in LEET and o == last:
-            options.append((-1, REPEATED, ""))
-        if o in SEPARATORS:
-            options.append((-1, DROPPED, ""))
-        elif not o.isalpha():
-            options.append((-1, NOISE, ""))
-        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-        for (a, b), (cost, path) in states.items():
-            for c, more, letter in options:
+    first, end = m.span() if m else (0, len(word))
+    out, last = [], ""
+    for at, o in enumerate(word):
+        some: list[tuple[int, float, str]] = []
+        if o == " ":
+            some = [(0, SAME, " "), (-1, JOINED, "")]
+        else:
+            if o in CODE:
+                some.append((CODE[o], SAME, o))
+            elif o.isalpha():
+                some.append((OTHER, SAME, o))
+            some += [(CODE[x], AS_LETTER, x) for x in LEET.get(o, "")]
+            if o == last and (o in CODE or o in LEET):
+                some.append((-1, REPEATED, ""))
+            if not first <= at < end and not o.isalpha():
+                some.append((-1, EDGE, ""))
+            elif o in SEPARATORS:
+                some.append((-1, DROPPED, ""))
+            elif not o.isalpha():
+                some.append((-1, NOISE, ""))
+        out.append(some)
+        last = o
+    return out
+
+
+def decode(word: str, costs: list[float]) -> str:
+    """The likeliest letters, and gaps, behind a lower-case word or run of words with single blanks."""
+    states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}  # by the last two letters
+    for some in options(word):
+        new: dict[int, tuple[float, tuple | None]] = {}
+        for two, (cost, path) in states.items():
+            for c, more, letter in some:
                 if c < 0:
-                    key, total, way = (a, b), cost + more, path
+                    key, total, way = two, cost + more, path
                 else:
-                    key, total, way = (b, c), cost + more + costs[(a * SIZE + b) * SIZE + c], (letter, path)
+                    key = (two * SIZE + c) % (SIZE * SIZE)
+                    total, way = cost + more + costs[two * SIZE + c], (letter, path)
                 if key not in new or total < new[key][0]:
                     new[key] = (total, way)
-        if len(new) > STATES:
-            new = dict(sorted(new.items(), key=lambda x: x[1][0])[:STATES])
-        states, last = new, o
-    best, way = None, None
-    for (a, b), (cost, path) in states.items():
-        total = cost + costs[(a * SIZE + b) * SIZE]
-        if best is None or total < best:
-            best, way = total, path
+        states = new
+    way = min((cost + costs[two * SIZE], k, path) for k, (two, (cost, path)) in enumerate(states.items()))[2]
     out = []
     while way:
         out.append(way[0])
@@ -127,14 +136,19 @@ def decode(word: str, costs: list[float]) -> str:
     return "".join(reversed(out))
 
 
-def spelt_out(words: list[str]) -> list[str]:
-    """Runs of three or more one-character words, each as one word to decode."""
-    out, run = [], []
-    for w in [*words, "  "]:
-        if len(w) == 1 and (w.isalnum() or w in LEET):
-            run.append(w)
-        else:
-            if len(run) > 2:
-                out.append("".join(run))
-            run = []
-    return out
+def readings(word: str, costs: list[float]) -> list[str]:
+    """The words behind a lower-case word or run: what the lattice says; for words of letters with a double one also as they stand."""
+    if " " in word:
+        return decode(word, costs).split(" ")
+    if is_noisy(word):
+        return [decode(word, costs)]
+    as_is = plain(word)
+    if DOUBLE.search(as_is) and as_is.isalpha():
+        return list(dict.fromkeys((as_is, decode(as_is, costs))))
+    return [as_is]
+
+
+def tokens(text: str) -> set[str]:
+    """The different words of a text, lower-case, and its runs of short words."""
+    low = text.lower()
+    return {*low.split(), *(" ".join(run.split()) for run in RUN.findall(low))}

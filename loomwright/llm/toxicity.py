@@ -1,8 +1,8 @@
 """Toxicity of texts whose words may be obfuscated.
 
 1. Letter trigrams are counted over all texts: the character model of the noisy channel.
-2. On a bounded sample of labelled rows (SAMPLE, none held out) obfuscated words are
-   restored and counted by label; each gets the lower bound of its log odds as a weight.
+2. On a bounded sample of labelled rows (SAMPLE ids, none held out, one text of each)
+   obfuscated words are restored and counted by label; each gets the lower bound of its log odds as a weight.
    Then beginnings of words are counted and weighted likewise, but for words that have a
    weight of their own, whose beginnings would else speak against harmless words.
 3. A logistic fit on a text's strongest weights, each taken from the half of the sample that
@@ -10,8 +10,8 @@
 4. Every whole text is restored and scored.
 
 Defined results: a null or empty text has no words and gets the score of a text without
-toxic words; without labels of both kinds every score is 0; rows without doc_id are scored
-and not held out; rows are scored one by one; labels, lang, source and doc_id are no inputs
+toxic words; without labels of both kinds every score is 0; an id that is labelled twice
+counts as clean if either label says so; rows without doc_id are scored and not held out; rows are scored one by one; labels, lang, source and doc_id are no inputs
 of a score, and extra columns are not read.
 """
 
@@ -27,14 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import deobfuscate as noisy
-from .common import small_batches
+from .common import Workspace, small_batches
 from .training import held_out, logistic, sampled_ids, sigmoid, texts_of
 
 SAMPLE = 20_000  # labelled rows that weights are learnt from
 BUCKETS = 1 << 20  # of hashed words and beginnings
 SHORTEST, LONGEST = 3, 8  # letters of a beginning
 LEAST_TEXTS = 4  # toxic texts that a word must occur in
-CACHE = 400_000  # words whose weight a worker remembers
+CACHE, LONGEST_CACHED = 400_000, 200  # words whose weight a worker remembers, and their characters at most
 THRESHOLD = 0.3
 
 COUNTED = T.StructType([T.StructField(c, T.LongType()) for c in ("half", "bucket", "toxic", "clean")])
@@ -64,51 +64,47 @@ class Reader:
     def __init__(self, costs: np.ndarray, words: dict[int, float] | None = None, starts: dict[int, float] | None = None):
         self.costs, self.by_word, self.by_start, self.known = costs.tolist(), words or {}, starts or {}, {}
 
-    def restored(self, word: str) -> bytes:
-        w = noisy.decode(word, self.costs) if noisy.is_noisy(word) else noisy.plain(word)
-        return w.encode("utf-8", "surrogatepass") if len(w) >= SHORTEST else b""
+    def restored(self, token: str) -> list[bytes]:
+        """The words behind a token that have SHORTEST letters or more."""
+        return [w.encode("utf-8", "surrogatepass") for w in noisy.readings(token, self.costs) if len(w) >= SHORTEST]
 
     def whole(self, word: bytes) -> int:
         return xxhash.xxh32_intdigest(word + b"$") % BUCKETS
 
     def starts(self, word: bytes) -> list[int]:
         """Buckets of a word's beginnings, none if the word has a weight of its own."""
-        if not word or self.whole(word) in self.by_word:
+        if self.whole(word) in self.by_word:
             return []
         text = word.decode("utf-8", "surrogatepass")
         return [xxhash.xxh32_intdigest(text[:n].encode("utf-8", "surrogatepass")) % BUCKETS for n in range(SHORTEST, min(LONGEST, len(text)) + 1)]
 
-    def words(self, text: str | None) -> set[str]:
-        words = (text or "").lower().split()
-        return {*words, *noisy.spelt_out(words)}
-
-    def _of(self, word: str, make) -> object:
-        if (got := self.known.get(word)) is None:
-            if len(self.known) > CACHE:
-                self.known.clear()
-            got = self.known[word] = make(word)
+    def _of(self, token: str, make) -> object:
+        if (got := self.known.get(token)) is None:
+            got = make(token)
+            if len(token) <= LONGEST_CACHED:
+                if len(self.known) > CACHE:
+                    self.known.clear()
+                self.known[token] = got
         return got
 
-    def own(self, word: str) -> list[int]:
-        w = self.restored(word)
-        return [self.whole(w)] if w else []
-
     def seen_words(self, text: str | None) -> set[int]:
-        return {b for w in self.words(text) for b in self._of(w, self.own)}
+        own = lambda token: [self.whole(w) for w in self.restored(token)]
+        return {b for t in noisy.tokens(text or "") for b in self._of(t, own)}
 
     def seen_starts(self, text: str | None) -> set[int]:
-        return {b for w in self.words(text) for b in self._of(w, lambda w: self.starts(self.restored(w)))}
+        own = lambda token: [b for w in self.restored(token) for b in self.starts(w)]
+        return {b for t in noisy.tokens(text or "") for b in self._of(t, own)}
 
-    def weight(self, word: str) -> float:
-        w = self.restored(word)
-        if not w:
-            return 0.0
-        own = self.by_word.get(self.whole(w))
-        return own if own is not None else max((self.by_start.get(b, 0.0) for b in self.starts(w)), default=0.0)
+    def weight(self, token: str) -> float:
+        most = 0.0
+        for w in self.restored(token):
+            own = self.by_word.get(self.whole(w))
+            most = max(most, own if own is not None else max((self.by_start.get(b, 0.0) for b in self.starts(w)), default=0.0))
+        return most
 
     def strongest(self, text: str | None) -> tuple[float, float, float, float]:
         """The greatest weight of a word, the sum of the three greatest, how many have one, and how many words there are."""
-        words = self.words(text)
+        words = noisy.tokens(text or "")
         top = sorted((x for w in words if (x := self._of(w, self.weight))), reverse=True)
         return (top[0] if top else 0.0), sum(top[:3]), len(top), len(words)
 
@@ -130,7 +126,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     known = labels.filter(F.col(label_col).isin(0, 1) & ~held_out(id_col)).select(id_col, F.col(label_col).cast("int").alias("_label"))
     ids = sampled_ids(known, id_col, SAMPLE, "_label")
     half = F.pmod(F.xxhash64("_key", F.lit("half")), F.lit(2)).cast("long")
-    sample = texts_of(docs, ids, id_col, text_col).select("_text", "_label", half.alias("_half"))
+    work = Workspace(spark, "toxicity")
+    sample = work.keep(texts_of(docs, ids, id_col, text_col).select("_text", "_label", half.alias("_half")), "sample")
 
     def counts(which: str, words: dict[int, float]) -> np.ndarray:
         """Texts of each half and label that have each bucket; the last place holds all texts."""
@@ -146,11 +143,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                 at = np.flatnonzero(total[h].any(1))
                 yield pd.DataFrame({"half": h, "bucket": at, "toxic": total[h, at, 1], "clean": total[h, at, 0]})
 
-        got = sample.mapInPandas(counted, COUNTED).groupBy("half", "bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        got = got.filter((F.col("toxic") > 1) | (F.col("bucket") == BUCKETS)).toPandas()
+        per = [F.sum(F.when(F.col("half") == h, F.col(c)).otherwise(0)).alias(f"{c}{h}") for h in range(2) for c in ("clean", "toxic")]
+        got = sample.mapInPandas(counted, COUNTED).groupBy("bucket").agg(*per)
+        # A word in fewer toxic texts of both halves together has no weight in either.
+        got = got.filter((F.col("toxic0") + F.col("toxic1") >= LEAST_TEXTS) | (F.col("bucket") == BUCKETS)).toPandas()
         out = np.zeros((2, BUCKETS + 1, 2), np.int64)
-        for column, label in (("toxic", 1), ("clean", 0)):
-            out[got["half"], got["bucket"], label] = got[column]
+        for h in range(2):
+            for label, c in enumerate(("clean", "toxic")):
+                out[h, got["bucket"], label] = got[f"{c}{h}"]
         return out
 
     def learnt(t: np.ndarray) -> dict[int, float]:
@@ -158,6 +158,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     by_word = counts("seen_words", {})
     if not by_word[:, BUCKETS].sum(0).all():
+        work.drop("sample")
         return docs.select(id_col, held_out(id_col).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     strong = learnt(by_word.sum(0))
     by_start = counts("seen_starts", strong)
@@ -171,6 +172,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             yield pd.DataFrame(top, columns=["a", "b", "c", "d"]).assign(y=pdf["_label"].to_numpy())
 
     fit = sample.mapInPandas(strongest, "a double, b double, c double, d double, y int").toPandas()
+    work.drop("sample")
+    fit = fit.sort_values(list(fit.columns))  # rows arrive in any order: sorted, they give the same fit each time
     w = logistic(_inputs(fit[["a", "b", "c", "d"]].to_numpy()), fit["y"].to_numpy(np.float64))
 
     @F.pandas_udf(T.DoubleType())

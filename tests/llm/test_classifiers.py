@@ -1,3 +1,6 @@
+import itertools
+import math
+
 import numpy as np
 import pytest
 from loomwright.llm import deobfuscate as noisy
@@ -50,9 +53,148 @@ def test_decoding(costs, word, want):
 
 
 def test_clean_words_stay():
-    assert not any(map(noisy.is_noisy, ("letter", "boot", "good.", "(the)", "2024", "###", "éêè")))
+    assert not any(map(noisy.is_noisy, ("letter", "boot", "good.", "the,", "2024", "###", "éêè")))
     assert noisy.plain("clown###") == "clown" and noisy.plain("***") == ""
-    assert noisy.spelt_out(["i", "d", "1", "0", "t", "word", "a", "b"]) == ["id10t"]
+    assert noisy.tokens("A i d  i\no t. word") == {"a", "i", "d", "o", "t.", "word", "a i d i o t."}
+
+
+@pytest.mark.parametrize("text, want", [("i d i o t.", ["idiot"]), ("id io t", ["idiot"]), ("s t u p i d i d i o t", ["stupid", "idiot"]), ("1 d 1 0 t", ["idiot"])])
+def test_spelt_out_words(costs, text, want):
+    assert noisy.readings(text, costs) == want
+
+
+def test_doubled_letters_are_read_both_ways(costs):
+    assert "stupid" in noisy.readings("stuupiidd", costs) and "letter" in noisy.readings("letter", costs)
+    assert "stupid" in noisy.readings("stuupid", costs)
+
+
+def test_viterbi_finds_the_cheapest_path_of_all(costs):
+    """Every path through small lattices, enumerated and priced plainly."""
+    rng = np.random.default_rng(5)
+    signs = "aist10$@.! db"
+    for _ in range(400):
+        word = "".join(rng.choice(list(signs), rng.integers(1, 8))).strip()
+        word = " ".join(word.split())
+        lattice = noisy.options(word)
+        if not word or not all(lattice):
+            continue
+
+        def price(letters):
+            a = b = 0
+            total = 0.0
+            for c in letters:
+                k = 0 if c == " " else noisy.CODE[c]
+                total += costs[(a * noisy.SIZE + b) * noisy.SIZE + k]
+                a, b = b, k
+            return total + costs[(a * noisy.SIZE + b) * noisy.SIZE]
+
+        best = {}
+        for way in itertools.product(*lattice):
+            letters = "".join(x[2] for x in way)
+            best[letters] = min(best.get(letters, 1e9), sum(x[1] for x in way))
+        total = {k: v + price(k) for k, v in best.items()}
+        assert total[noisy.decode(word, costs)] == pytest.approx(min(total.values()), abs=1e-6), word
+
+
+def test_word_counts_of_both_halves_are_weighed_together():
+    toxic, clean = np.zeros(4), np.zeros(4)
+    toxic[1], clean[1] = 5, 8
+    assert toxicity.weights_of(toxic, clean, 449, 3531).keys() == toxicity.weights_of(np.array([0, 5.0]), np.array([0, 8.0]), 449, 3531).keys()
+
+
+def plainly_counted(rows, reader):
+    """For each half and label how many texts have each bucket, one text after the other."""
+    out = np.zeros((2, toxicity.BUCKETS + 1, 2), int)
+    for half, text, label in rows:
+        for b in reader.seen_words(text):
+            out[half, b, label] += 1
+        out[half, toxicity.BUCKETS, label] += 1
+    return out
+
+
+def test_scores_match_a_plain_computation(documents, spark):
+    """Toxicity scored text by text on the driver, with a word whose counts lie in one half but for one toxic text."""
+    from loomwright.llm.training import logistic, sigmoid
+
+    rng = np.random.default_rng(4)
+    clean = ["the", "that", "with", "letter", "table", "window", "green", "over", "house", "under"]
+    rows = []
+    for i in range(300):
+        words = list(rng.choice(clean, 12)) + (["idiot"] if i % 4 == 0 else []) + (["m0r0n"] if i % 9 == 0 else [])
+        rows.append((i, " ".join(rng.permutation(words))))
+    labels = {i: int(i % 4 == 0 or i % 9 == 0) for i, _ in rows}
+    docs = documents(rows)
+    marked = docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).alias("h"), toxicity.held_out("doc_id").alias("out")).collect()
+    half, out = {r["doc_id"]: r["h"] for r in marked}, {r["doc_id"] for r in marked if r["out"]}
+    counts = np.zeros(noisy.SIZE**3, np.int64)
+    for _, t in rows:
+        at, n = noisy.trigrams([t])
+        counts[at] += n
+    model = noisy.model(counts)
+    learnt = [(half[i], t, labels[i]) for i, t in rows if i not in out]
+    by_word = plainly_counted(learnt, toxicity.Reader(model))
+    total = by_word.sum(0)
+    learn = lambda t: toxicity.weights_of(t[: toxicity.BUCKETS, 1], t[: toxicity.BUCKETS, 0], t[toxicity.BUCKETS, 1], t[toxicity.BUCKETS, 0])
+    strong = learn(total)
+    by_start = np.zeros_like(by_word)
+    reader = toxicity.Reader(model, strong)
+    for h, t, y in learnt:
+        for b in reader.seen_starts(t):
+            by_start[h, b, y] += 1
+        by_start[h, toxicity.BUCKETS, y] += 1
+    halves = [toxicity.Reader(model, learn(by_word[1 - h]), learn(by_start[1 - h])) for h in range(2)]
+    x = np.array([halves[h].strongest(t) for h, t, _ in learnt])
+    w = logistic(toxicity._inputs(x), np.array([y for *_, y in learnt], float))
+    whole = toxicity.Reader(model, strong, learn(by_start.sum(0)))
+    want = sigmoid(toxicity._inputs(np.array([whole.strongest(t) for _, t in rows])) @ w[:-1] + w[-1])
+    table = spark.createDataFrame([(i, 1, y) for i, y in labels.items()], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, table).collect()}
+    assert [got[i] for i, _ in rows] == pytest.approx(want.tolist(), abs=1e-6)
+
+
+@pytest.mark.parametrize("score", [toxicity.score_toxicity, quality_model.score_quality])
+def test_an_id_of_many_rows_is_one_text_of_the_sample(spark, documents, score):
+    from loomwright.llm.training import sampled_ids, texts_of
+
+    docs = documents([(7, f"some words of text {k % 3}") for k in range(300)] + [(8, "other words of text")])
+    labels = spark.createDataFrame([(7, 1, 1)] * 300 + [(8, 1, 0)], "doc_id long, quality int, toxic int")
+    ids = sampled_ids(labels, "doc_id", 50, "toxic")
+    assert sorted(map(tuple, ids.collect())) == [(7, 1), (8, 0)]
+    assert texts_of(docs, ids, "doc_id", "text").count() == 2
+    assert score(docs, labels).count() == 301
+
+
+def test_risk_is_at_its_least():
+    """No small step from the fit lowers the non-negative risk, computed plainly."""
+    rng = np.random.default_rng(8)
+    p, u = rng.normal(1, 1, (400, 2)), np.vstack([rng.normal(1, 1, (200, 2)), rng.normal(-1, 1, (200, 2))])
+    prior, ridge = 0.5, 1e-3
+    w = pu.fit(p, u, prior, ridge=ridge)
+
+    def risk(w):
+        total = unlabelled = as_negative = 0.0
+        for x in p:
+            f = float(x @ w[:-1] + w[-1])
+            total += prior * math.log1p(math.exp(-f)) / len(p)
+            as_negative += prior * math.log1p(math.exp(f)) / len(p)
+        for x in u:
+            unlabelled += math.log1p(math.exp(float(x @ w[:-1] + w[-1]))) / len(u)
+        return total + max(0.0, unlabelled - as_negative) + ridge / 2 * float(w[:-1] @ w[:-1])
+
+    best = risk(w)
+    for k in range(3):
+        for step in (-0.05, 0.05):
+            assert risk(w + step * np.eye(3)[k]) > best - 1e-3  # steps go against the unlabelled part alone while it is below zero
+
+
+def test_quality_features_match_a_plain_count():
+    text = "One two, THREE 44! #a\nOne two, THREE 44! #a\nshort"
+    got = dict(zip(quality_model.NAMES, quality_model.features(text)))
+    words = text.split()
+    assert got["capitals"] == sum(w.isupper() for w in words) / len(words) and got["pipes"] == 0
+    assert got["bangs"] == text.count("!") / len(words)
+    assert got["symbols"] == pytest.approx(text.count("#") / (len(text) - len(words)))
+    assert quality_model.features(None) == quality_model.features(" ") == [0.0] * len(quality_model.NAMES)
 
 
 def test_obfuscated_insults_score_as_plain_ones(documents, spark):
