@@ -19,10 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark's functions take it, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def words(text: str | Column) -> Column:
-    """The words of a text, in order; none for null."""
+    """The words of a text, in order; none for null. Cutting the ends first leaves no empty word to filter out."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    inside = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\v\f\r"))
+    return F.when(inside == "", F.array().cast("array<string>")).otherwise(F.split(inside, SPACE))
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -33,22 +34,65 @@ def test_query_matches_sql(spark, duck, same):
 
 def test_order_of_rules_does_not_change_verdicts(documents):
     docs = documents([(0, "plain words of a text that is long enough to be kept by every rule there is and more of them " * 1), (1, "#$%& " * 40), (2, "SHOUTING WORDS " * 30), (3, "word " * 50), (4, None)])
-    rules = quality.rules()
+    rules = [name for name, _ in quality.lazy_rules()]
     one = {r["_row"]["doc_id"]: r["kept"] for r in quality.judge(docs, order=rules).collect()}
     assert one == {r["_row"]["doc_id"]: r["kept"] for r in quality.judge(docs, order=rules[::-1]).collect()}
     assert one == {0: False, 1: False, 2: False, 3: False, 4: False} or one[0]
 
 
 def test_cheap_rejecting_rules_go_first(documents):
-    docs = documents([(k, "#$%& " * 40) for k in range(50)])
-    order = quality.ordered(quality.with_counts(docs), [("never", F.lit(False)), ("symbols", F.col("n_symbols") > 3)])
+    docs = quality.with_words(documents([(k, "#$%& " * 40) for k in range(50)]))
+    order = quality.ordered(docs, [("never", F.lit(False)), ("symbols", F.col("_text").contains("#"))])
     assert [n for n, _ in order] == ["symbols", "never"]
-    assert quality.ordered(quality.with_counts(docs.limit(0))) and len(order) == 2
+    assert quality.ordered(docs.limit(0)) and len(order) == 2
+
+
+def test_selectivity_is_of_the_rows_left():
+    # Rule 1 rejects most of what rule 0 rejects too: after rule 0 it is worth less than rule 2.
+    kinds = {0b011: 50, 0b001: 10, 0b100: 5, 0b010: 1, 0: 34}
+    assert quality.by_worth(kinds, [1.0, 1.0, 1.0]) == [0, 2, 1]
+    assert quality.by_worth(kinds, [100.0, 1.0, 1.0]) == [1, 2, 0]
+    assert quality.by_worth({}, [1.0, 2.0]) == [0, 1]
+
+
+def test_costs_are_those_of_the_rules(documents):
+    rng = random.Random(1)
+    docs = quality.with_words(documents([(k, " ".join(str(rng.random()) for _ in range(300))) for k in range(200)])).select("_text", "_words").persist()
+    known = dict(quality.lazy_rules())
+    cost = dict(zip(known, quality.costs(docs, list(known.items()))))
+    assert cost["short"] < cost["repeats"] / 2 and min(cost.values()) > 0
+
+
+def test_rows_without_repeated_pairs_need_no_windows(spark, documents):
+    """The cheap half of the repeats rule never says no where the rule says yes."""
+    rng = random.Random(3)
+    texts = []
+    for _ in range(300):
+        part = [rng.choice("abcdefghij") + str(rng.randrange(rng.choice([2, 9, 400]))) for _ in range(rng.randint(1, 60))]
+        texts.append(" ".join(part * rng.choice([1, 1, 2, 3]) + part[: rng.randint(0, 20)]))
+    df = quality.with_words(documents(list(enumerate(texts))))
+    n = quality.repeated_words(F.col("_words"))
+    got = df.select(quality.may_repeat(F.col("_words")).alias("may"), (100 * n > quality.MOST_REPEATED_PERCENT * F.size("_words")).alias("fails")).collect()
+    assert not any(r["fails"] and not r["may"] for r in got) and any(r["fails"] for r in got) and any(not r["may"] for r in got)
+
+
+def test_later_rules_are_not_worked_out_for_rejected_rows(documents):
+    """A rule that fails on any row it meets never meets rows that an earlier one rejects."""
+    boom = F.when(F.raise_error(F.lit("met")).isNull(), True).otherwise(False)
+    docs = quality.with_words(documents([(k, "#$%& " * 40) for k in range(50)]))
+    assert docs.filter(quality.cascade([("symbols", F.col("_text").contains("#")), ("boom", boom)]).isNull()).count() == 0
+
+
+def test_both_ways_keep_the_same_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    judged = quality.judge(docs).filter("kept").select("_row.doc_id")
+    assert sorted(quality.keep_good(docs).select("doc_id").collect()) == sorted(judged.collect())
 
 
 def test_no_python_on_the_main_path(documents):
-    df = quality.judge(documents([(1, "a b")]), order=quality.rules())
-    assert "Python" not in df._jdf.queryExecution().executedPlan().toString() and "Arrow" not in df._jdf.queryExecution().executedPlan().toString()
+    for df in (quality.judge(documents([(1, "a b")])), quality.keep_good(documents([(1, "a b")]))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_clean_text_is_kept_and_junk_is_not(spark):
@@ -65,3 +109,5 @@ def test_hard_rows(hard, clashing):
     kept = quality.keep_good(clashing(hard))
     assert kept.columns == clashing(hard).columns and {r["doc_id"] for r in kept.collect()} == {4}
     assert quality.judge(hard).count() == 9 and quality.judge(hard.limit(0)).count() == 0
+    odd = hard.withColumn("a `b", F.lit(1)).withColumnRenamed("text", "t`x")
+    assert quality.keep_good(odd, "t`x").columns == odd.columns and quality.keep_good(odd, "t`x").count() == 1
