@@ -12,6 +12,10 @@ slots are within a few of its share: whatever the input's size, what is taken of
 within a few blocks of its target, and a block is one word or little more than 1 / SLOTS of
 the source.
 
+Sources are a table from first to last: the driver sees sums over them only, so that there
+may be as many as there are documents. A source of a large share of all rows is broadcast
+to them, and no more sources than that have such a share.
+
 Defined results: null and wordless texts have size 0 and take 0; a source of size 0 gets
 target 0; null is a source of its own; an empty table gives an empty result. Rows are placed
 by (hash of id, id, size), so repeated rows may change places with each other only, and
@@ -22,106 +26,148 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, words
+from .common import Workspace, quoted, shuffle_width, words
 from .prefix import running_start, slices_for
 
 WEIGHTS = (1, 2, 3)
 EPOCHS = 3
 #: Words in a source's block: the source's words over SLOTS, MOST_BLOCK at most.
-SLOTS, MOST_BLOCK = 1 << 16, 1 << 20
+SLOTS, MOST_BLOCK = 1 << 14, 1 << 20
 SLOT_CHUNK = 4096
+#: Quotas are counted in such parts of a slot.
+PARTS = 1024
+#: Up to so many sources, one short row each, are broadcast whole.
 MOST_BROADCAST_SOURCES = 50_000
 GOLDEN = int((math.sqrt(5) - 1) / 2 * 2**62)  # the step of the point sequence, as a 62-bit fraction
-
-
-def targets(sizes: list[int], weights: list[float] | None = None, epochs: float = EPOCHS) -> list[float]:
-    """Each source's words in the mix: shares of all words by weight, cut at epochs times its size, the excess reshared."""
-    weights = weights or [WEIGHTS[k % len(WEIGHTS)] for k in range(len(sizes))]
-    out, left, open_ = [0.0] * len(sizes), float(sum(sizes)), list(range(len(sizes)))
-    while open_ and left > 0:
-        share = left / sum(weights[k] for k in open_)
-        over = [k for k in open_ if share * weights[k] > epochs * sizes[k]]
-        for k in over:
-            out[k] = float(epochs * sizes[k])
-            left -= out[k]
-        if not over:
-            for k in open_:
-                out[k] = share * weights[k]
-            break
-        open_ = [k for k in open_ if k not in set(over)]
-    return out
+POINT_BITS = 62
 
 
 def block_words(size: int) -> int:
     return max(1, min(MOST_BLOCK, -(-size // SLOTS)))
 
 
-def quota(size: int, target: float) -> float:
-    """A source's slots: its target in blocks of its own, a partial one counted by its words."""
-    block = block_words(size)
-    return target / block if size % block == 0 else target * -(-size // block) / size
+def numbered(per: DataFrame, work: Workspace) -> DataFrame:
+    """per, one row a source, with ``src``, its number in code point order, null last.
+
+    Sorted in ranges; the driver sees how many rows each range has.
+    """
+    order = [F.col("_source").isNull(), F.col("_source")]
+    ranges = per.repartitionByRange(shuffle_width(per.sparkSession), *order).sortWithinPartitions(*order)
+    ranges = ranges.withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    ranges = work.keep(ranges, "ranges")
+    return ranges.withColumn("src", _before(ranges, F.count("*")) + F.col("_at"))
 
 
-def schedule(spark, sources: list[tuple[int, int, float]]) -> DataFrame:
-    """The mix, slot by slot: (slot, src, rank, block_no, epoch). sources: (number, size, target) of each.
+def _before(ranges: DataFrame, amount: Column) -> Column:
+    """The sum of amount over all ranges before a row's own."""
+    run, pairs = 0, []
+    for r in sorted(ranges.groupBy("_range").agg(amount.alias("n")).collect(), key=lambda r: r["_range"]):
+        pairs += [F.lit(r["_range"]), F.lit(run)]
+        run += r["n"]
+    return F.element_at(F.create_map(*pairs), F.col("_range")).cast("long") if pairs else F.lit(0).cast("long")
+
+
+def with_targets(per: DataFrame) -> DataFrame:
+    """per (src, size) with each source's words in the mix: its share of all by weight, cut at EPOCHS times its size, the excess reshared.
+
+    The share of one unit of weight rises as sources reach their limit; each round is a sum over
+    the sources.
+    """
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in WEIGHTS)), (F.col("src") % len(WEIGHTS)).cast("int") + 1)
+    per = per.withColumn("_weight", weight)
+    total = per.agg(F.sum("size")).first()[0] or 0
+    share, full = 0.0, -1
+    while total:
+        over = F.lit(share) * F.col("_weight") > EPOCHS * F.col("size")
+        got = per.agg(F.count(F.when(over, 1)).alias("n"), F.sum(F.when(over, EPOCHS * F.col("size")).otherwise(0)).alias("taken"), F.sum(F.when(over, 0.0).otherwise(F.col("_weight"))).alias("weight")).first()
+        if got["n"] == full:
+            break
+        full, share = got["n"], (total - got["taken"]) / got["weight"]
+    return per.withColumn("target", F.least(F.lit(share) * F.col("_weight"), (EPOCHS * F.col("size")).cast("double"))).drop("_weight")
+
+
+def with_blocks(per: DataFrame) -> DataFrame:
+    """per (size, target) with its block's words, its blocks, and its quota in PARTS of a slot."""
+    size = F.col("size")
+    block = F.greatest(F.lit(1), F.least(F.lit(MOST_BLOCK), F.expr(f"(size + {SLOTS - 1}) div {SLOTS}"))).cast("long")
+    per = per.withColumn("block", block).withColumn("blocks", F.expr("(size + block - 1) div block"))
+    slots = F.col("target") * F.col("blocks") / size  # a partial block counts by its words
+    return per.withColumn("quota", F.when((size > 0) & (F.col("target") > 0), F.round(slots * PARTS).cast("long")).otherwise(0).cast("long"))
+
+
+def schedule(per: DataFrame) -> DataFrame:
+    """The mix, slot by slot: (slot, src, rank, block_no, epoch). per: src, size, target, and _range, _at as numbered gives them.
 
     A source never takes more than EPOCHS passes over its blocks: a slot beyond is left out.
     """
-    live = [(k, s, quota(s, t)) for k, s, t in sources if t > 0]
-    total = sum(q for *_, q in live)
-    n = math.ceil(total)
-    slots = spark.range(n).withColumnRenamed("id", "slot")
-    if not live:
-        return slots.select("slot", F.lit(0).alias("src"), F.lit(0).cast("long").alias("rank"), F.lit(0).cast("long").alias("block_no"), F.lit(0).cast("long").alias("epoch")).limit(0)
-    # The i-th point, floor(i * GOLDEN mod 2**62), computed in parts that stay within 64 bits.
-    mask31 = (1 << 31) - 1
-    hi, lo = GOLDEN >> 31, GOLDEN & mask31
-    i = F.col("slot")
-    i_hi, i_lo = F.shiftright(i, 31), i.bitwiseAND(mask31)
-    point = (
-        F.shiftleft((i_lo * hi + i_hi * lo).bitwiseAND(mask31), 31) + i_lo * lo
-    ).bitwiseAND((1 << 62) - 1)
-    edges, run = [], 0.0
-    for *_, q in live:
-        run += q
-        edges.append(min((1 << 62) - 1, int(run / total * 2**62)))
-    edges[-1] = (1 << 62) - 1
-    place = F.expr(f"aggregate(array({','.join(f'{e}L' for e in edges)}), 0, (n, e) -> n + IF(e <= point, 1, 0))")
-    slots = slots.withColumn("point", point).withColumn("at", F.least(place, F.lit(len(live) - 1)))
-    src = F.element_at(F.array(*(F.lit(k) for k, *_ in live)), F.col("at") + 1)
-    blocks = F.element_at(F.array(*(F.lit(-(-s // block_words(s))).cast("long") for _, s, _ in live)), F.col("at") + 1)
-    slots = slots.select("slot", src.alias("src"), blocks.alias("_blocks"))
-    ranked = running_start(slots, ["src"], ["slot"], F.floor(F.col("slot") / SLOT_CHUNK), F.lit(1), "rank")
-    ranked = ranked.filter(F.col("rank") < EPOCHS * F.col("_blocks"))
-    return ranked.select("slot", "src", "rank", (F.col("rank") % F.col("_blocks")).alias("block_no"), F.floor(F.col("rank") / F.col("_blocks")).cast("long").alias("epoch"))
+    spark = per.sparkSession
+    live = with_blocks(per).filter("quota > 0")
+    got = live.agg(F.count("*").alias("n"), F.sum("quota").alias("quota")).first()
+    n_live, total = got["n"], got["quota"] or 0
+    slots = spark.range(-(-total // PARTS)).withColumnRenamed("id", "slot")
+    # The i-th point, i * GOLDEN mod 2**62, computed in parts that stay within 64 bits.
+    half = POINT_BITS // 2
+    mask = (1 << half) - 1
+    hi, lo = GOLDEN >> half, GOLDEN & mask
+    i_hi, i_lo = F.shiftright("slot", half), F.col("slot").bitwiseAND(mask)
+    point = (F.shiftleft((i_lo * hi + i_hi * lo).bitwiseAND(mask), half) + i_lo * lo).bitwiseAND((1 << POINT_BITS) - 1)
+    # Each source's stretch of the points, from the running sum of quotas in order.
+    within = F.sum("quota").over(Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    live = live.withColumn("_end", _before(live, F.sum("quota")) + within)
+    edge = lambda c: F.floor(c / F.lit(float(max(total, 1))) * float(1 << POINT_BITS)).cast("long")
+    live = live.select("src", "blocks", edge(F.col("_end") - F.col("quota")).alias("lo"), F.when(F.col("_end") == total, F.lit(1 << POINT_BITS)).otherwise(edge(F.col("_end"))).alias("hi")).filter("hi > lo")
+    # Points and stretches meet in cells of equal width, about as many as there are sources: a slot meets a few.
+    width = POINT_BITS - min(24, max(4, n_live.bit_length() + 1))
+    cells = live.withColumn("cell", F.explode(F.sequence(F.shiftright("lo", width), F.shiftright(F.col("hi") - 1, width))))
+    cells = F.broadcast(cells) if n_live <= MOST_BROADCAST_SOURCES else cells
+    slots = slots.withColumn("point", point).withColumn("cell", F.shiftright("point", width))
+    slots = slots.join(cells, "cell").filter("lo <= point AND point < hi").select("slot", "src", "blocks")
+    ranked = running_start(slots, ["src"], ["slot"], F.floor(F.col("slot") / SLOT_CHUNK), F.lit(1), "rank").filter(F.col("rank") < EPOCHS * F.col("blocks"))
+    return ranked.select("slot", "src", "rank", (F.col("rank") % F.col("blocks")).alias("block_no"), F.expr("rank div blocks").alias("epoch"))
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    size = F.size(words(text_col)).cast("long")
-    return docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), size.alias("_size"))
+    size = F.size(words(F.col(quoted(text_col)))).cast("long")
+    return docs.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(source_col)).cast("string").alias("_source"), size.alias("_size"))
+
+
+def place_of(id_: Column, what: str) -> Column:
+    """A pseudo-random place, 0 to 2**60: the first 15 hexadecimal digits of a digest, which SQL engines agree on."""
+    return F.conv(F.substring(F.md5(F.concat(F.coalesce(id_.cast("string"), F.lit("")), F.lit(what))), 1, 15), 16, 10).cast("long")
+
+
+def slice_of(place: str, slices: int) -> Column:
+    """The stretch of places, of so many, a power of two, that a place is in: slices follow each other in the order of places."""
+    return F.shiftright(place, 60 - (slices.bit_length() - 1)).cast("int")
+
+
+def _beside_sources(rows: DataFrame, per: DataFrame, n_sources: int, n_rows: int) -> DataFrame:
+    """rows with their source's columns: (_s, ...) of per, whose n is its rows."""
+    on = F.col("_source").eqNullSafe(F.col("_s"))
+    if n_sources <= MOST_BROADCAST_SOURCES:
+        return rows.join(F.broadcast(per), on)
+    # Sources with so large a share of the rows that they would fill a task are no more than this: they are broadcast, and the others joined by a shuffle that none of them skews.
+    most = 8 * shuffle_width(rows.sparkSession)
+    hot = F.col("n") * most >= n_rows
+    few = F.broadcast(per.filter(hot))
+    return rows.join(few, on).unionByName(rows.join(F.broadcast(per.filter(hot).select("_s")), on, "left_anti").join(per.filter(~hot), on))
 
 
 def taken_words(rows: DataFrame, work: Workspace) -> DataFrame:
     """From (_id, _source, _size) to the same rows with _source_size, _target and _taken."""
-    spark = rows.sparkSession
     rows = work.keep(rows, "sized")
-    # One row a source: the table of weights, which the mix's owner writes, bounds it.
-    per = rows.groupBy("_source").agg(F.sum("_size").alias("size"), F.count("*").alias("n")).collect()
-    per = sorted(per, key=lambda r: (r["_source"] is None, r["_source"] or ""))
-    goal = targets([r["size"] for r in per])
-    mix = spark.createDataFrame([(k, r["_source"], r["size"], g, block_words(r["size"])) for k, (r, g) in enumerate(zip(per, goal, strict=True))], "src int, _s string, _source_size long, _target double, _block long")
-    small = F.broadcast(mix) if len(per) <= MOST_BROADCAST_SOURCES else mix
-    rows = rows.join(small, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
-    n = slices_for(sum(r["n"] for r in per))
-    rows = rows.withColumn("_hash", F.xxhash64("_id", F.lit("mix")))
-    rows = running_start(rows, ["src"], ["_hash", "_id", "_size"], F.pmod(F.shiftrightunsigned("_hash", 40), F.lit(n)).cast("int"), F.col("_size"), "_start")
-    rows = work.keep(rows.drop("_hash"), "placed")
-
-    slots = schedule(spark, [(k, r["size"], g) for k, (r, g) in enumerate(zip(per, goal, strict=True))])
-    times = slots.groupBy("src", "block_no").agg(F.count("*").alias("times"))
+    per = rows.groupBy("_source").agg(F.sum("_size").alias("size"), F.count("*").alias("n"))
+    per = work.keep(with_targets(numbered(per, work)), "sources")
+    got = per.agg(F.count("*").alias("sources"), F.sum("n").alias("rows")).first()
+    mine = with_blocks(per).select(F.col("_source").alias("_s"), "src", F.col("size").alias("_source_size"), F.col("target").alias("_target"), F.col("block").alias("_block"), "n")
+    rows = _beside_sources(rows, mine, got["sources"], got["rows"] or 0).drop("_s", "n").withColumn("_place", place_of(F.col("_id"), ":mix"))
+    rows = running_start(rows, ["src"], ["_place", "_id", "_size"], slice_of("_place", slices_for(got["rows"] or 0)), F.col("_size"), "_start")
+    rows = work.keep(rows.drop("_place"), "placed")
+
+    times = schedule(per).groupBy("src", "block_no").agg(F.count("*").alias("times"))
     end, block = F.col("_start") + F.col("_size"), F.col("_block")
     pieces = rows.filter("_size > 0").select(
         "src", "_start", "_size", "_block", F.explode(F.sequence(F.expr("_start div _block"), F.expr("(_start + _size - 1) div _block"))).alias("block_no")
@@ -138,6 +184,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     """One row for each row of docs: its id, size, source_size, target and the words that the mix takes of it."""
     work = Workspace(docs.sparkSession, "mixing")
     out = taken_words(sized(docs, id_col, text_col, source_col), work)
+    work.drop("sized", "ranges")
     return out.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
 
 
@@ -151,7 +198,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken = taken_words(sized(docs, id_col, text_col, source_col), work)
     # Rows alike in id, source and size are interchangeable: the mean of what they take.
     each = taken.filter("_size > 0").groupBy("_id", "_source", "_size").agg((F.sum("_taken") / F.sum("_size")).alias("_ratio"))
-    each = each.select(F.col("_id").alias("_key"), F.col("_source").alias("_s"), F.col("_size").alias("_n"), F.floor(F.col("_ratio") + 0.5).cast("int").alias("_copies")).filter("_copies > 0")
-    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), F.size(words(text_col)).cast("long").alias("_size"))
+    each = work.keep(each.select(F.col("_id").alias("_key"), F.col("_source").alias("_s"), F.col("_size").alias("_n"), F.floor(F.col("_ratio") + 0.5).cast("int").alias("_copies")).filter("_copies > 0"), "copies")
+    work.drop("sized", "ranges", "sources", "placed")
+    row = F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("_row")
+    out = docs.select(row, F.col(quoted(id_col)).alias("_id"), F.col(quoted(source_col)).cast("string").alias("_source"), F.size(words(F.col(quoted(text_col)))).cast("long").alias("_size"))
     out = out.join(each, F.col("_id").eqNullSafe(F.col("_key")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")))
     return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .mixing import EPOCHS, GOLDEN, MOST_BLOCK, PARTS, POINT_BITS, SLOTS, WEIGHTS
 from .urls import LISTED, LOWER, RULES, UPPER
 
 #: Split pattern of words, and the words of a column ``t``.
@@ -68,3 +69,33 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x) AS sco
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+MIXING = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source AS s, CAST(len({_WORDS}) AS BIGINT) AS size FROM (SELECT *, coalesce(text, '') AS t FROM documents)),
+p AS (SELECT s, CAST(sum(size) AS BIGINT) AS size, row_number() OVER (ORDER BY s NULLS LAST) - 1 AS src FROM d GROUP BY s),
+w AS (SELECT *, CAST({list(WEIGHTS)}[src % {len(WEIGHTS)} + 1] AS DOUBLE) AS w FROM p),
+q AS (
+    SELECT *, sum(size) OVER () AS total, coalesce(sum({EPOCHS} * size) OVER (ORDER BY size / w, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_words,
+        sum(w) OVER (ORDER BY size / w, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w
+),
+l AS (SELECT (total - full_words) / rest AS share FROM q WHERE (total - full_words) / rest * w <= {EPOCHS} * size ORDER BY size / w, src LIMIT 1),
+g AS (SELECT s, src, size, least(share * w, CAST({EPOCHS} * size AS DOUBLE)) AS target, greatest(1, least({MOST_BLOCK}, (size + {SLOTS - 1}) // {SLOTS})) AS block FROM q, l),
+b AS (SELECT *, (size + block - 1) // block AS blocks FROM g),
+u AS (SELECT *, CASE WHEN size > 0 AND target > 0 THEN CAST(round(target * blocks / size * {PARTS}) AS BIGINT) ELSE 0 END AS quota FROM b),
+e AS (SELECT *, CAST(sum(quota) OVER (ORDER BY src) AS BIGINT) AS q_end, CAST(sum(quota) OVER () AS BIGINT) AS q_all FROM u),
+x AS (
+    SELECT src, blocks, CAST(floor((q_end - quota) / CAST(q_all AS DOUBLE) * {float(1 << POINT_BITS)}) AS BIGINT) AS lo,
+        CASE WHEN q_end = q_all THEN {1 << POINT_BITS} ELSE CAST(floor(q_end / CAST(q_all AS DOUBLE) * {float(1 << POINT_BITS)}) AS BIGINT) END AS hi FROM e WHERE quota > 0
+),
+i AS (SELECT slot, CAST(CAST(slot AS HUGEINT) * {GOLDEN} % {1 << POINT_BITS} AS BIGINT) AS point FROM (SELECT unnest(range((max(q_all) + {PARTS - 1}) // {PARTS})) AS slot FROM e)),
+k AS (SELECT src, blocks, row_number() OVER (PARTITION BY src ORDER BY slot) - 1 AS rank FROM i JOIN x ON lo <= point AND point < hi),
+n AS (SELECT src, rank % blocks AS block_no, count(*) AS times FROM k WHERE rank < {EPOCHS} * blocks GROUP BY ALL),
+o AS (
+    SELECT r, doc_id, d.size, u.size AS source_size, u.target, u.src, u.block, coalesce(sum(d.size) OVER (
+        PARTITION BY u.src ORDER BY CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix'), 1, 15) AS BIGINT), doc_id NULLS FIRST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+    FROM d JOIN u ON d.s IS NOT DISTINCT FROM u.s
+),
+t AS (SELECT r, src, size, start, block, unnest(range(CAST(start // block AS BIGINT), CAST((start + size - 1) // block + 1 AS BIGINT))) AS block_no FROM o WHERE size > 0),
+v AS (SELECT r, sum((least(start + size, (t.block_no + 1) * block) - greatest(start, t.block_no * block)) * times) AS taken FROM t JOIN n ON n.src = t.src AND n.block_no = t.block_no GROUP BY r)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM o LEFT JOIN v ON v.r = o.r
+"""

@@ -57,4 +57,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": oracle.URLS,
     "op5_minhash_near_dedup": oracle.NEAR_DUPLICATES,
     "op9_nearest_neighbours": oracle.NEIGHBOURS,
+    "op10_source_mixing": oracle.MIXING,
 }
