@@ -26,7 +26,7 @@ BLOCK = T.StructType([T.StructField("block", T.LongType())] + [T.StructField(w,
 
 def places(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     """Each key's block, and its bit in each word of the block."""
-    h = hashes.astype(np.int64).view(np.uint64)
+    h = hashes if hashes.dtype == np.uint64 else hashes.astype(np.int64).view(np.uint64)
     block = ((h >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64)
     low = h & np.uint64(0xFFFFFFFF)
     return block, np.uint64(1) << (((low[:, None] * SALTS) & np.uint64(0xFFFFFFFF)) >> np.uint64(27))
@@ -53,12 +53,12 @@ def _filler(blocks: int) -> Callable:
     return fill
 
 
-def build(keys: DataFrame, key: str, count: int | None = None) -> np.ndarray:
-    """The filter of a column's distinct values: an array of blocks, eight words each."""
+def build(keys: DataFrame, key: str, count: int | None = None, hashed: bool = False) -> np.ndarray:
+    """The filter of a column's distinct values, or of hashes as they are: an array of blocks, eight words each."""
     n = keys.count() if count is None else count
     blocks = 1 << max(3, min(MOST_BLOCKS, -(-max(n, 1) // KEYS_IN_BLOCK)).bit_length())
     blocks = min(blocks, MOST_BLOCKS)
-    part = keys.select(F.xxhash64(key).alias("h")).mapInPandas(_filler(blocks), BLOCK)
+    part = keys.select((F.col(key) if hashed else F.xxhash64(key)).alias("h")).mapInPandas(_filler(blocks), BLOCK)
     out = np.zeros((blocks, 8), np.uint64)
     got = part.groupBy("block").agg(*(F.bit_or(w).alias(w) for w in WORDS)).toPandas()
     if len(got):
@@ -75,23 +75,3 @@ def possible(spark, bits: np.ndarray) -> Callable[[Column], Column]:
         return pd.Series(hits(shared.value, h.to_numpy(np.int64)))
 
     return lambda c: hit(F.xxhash64(c))
-
-
-def possible_in(spark, bits: np.ndarray) -> Callable[[Column], Column]:
-    """From an array of hashes to the positions (from 0) of those that may be in the filter."""
-    shared = spark.sparkContext.broadcast(bits.astype(np.uint32))
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def hit(arrays: pd.Series) -> pd.Series:
-        sizes = arrays.map(len).to_numpy()
-        if not sizes.sum():
-            return pd.Series([[] for _ in sizes], dtype=object)
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        place = np.arange(len(row)) - np.repeat(np.r_[0, np.cumsum(sizes)[:-1]], sizes)
-        yes = hits(shared.value, np.concatenate(arrays.to_list()))
-        out: list[list[int]] = [[] for _ in sizes]
-        for r, p in zip(row[yes].tolist(), place[yes].tolist(), strict=True):
-            out[r].append(p)
-        return pd.Series(out, dtype=object)
-
-    return lambda c: hit(c)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .mixing import EPOCHS, GOLDEN, MOST_BLOCK, PARTS, POINT_BITS, SLOTS, WEIGHTS
-from .urls import LISTED, LOWER, RULES, UPPER
+from .urls import ENDINGS, LOWER, LURES, RULES, TRADES, UPPER
 
 #: Split pattern of words, and the words of a column ``t``.
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -30,21 +30,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f
 """
 
-_ENTRIES = ", ".join(f"('{h}', '{p}', '{v}', {tier})" for tier, some in ((1, RULES), (0, LISTED)) for h, p, v in some)
+_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+#: Hosts alone are listed, so that of the canonical form the host is enough: no user info, port or last dot.
 URLS = f"""
-WITH l AS (SELECT * FROM (VALUES {_ENTRIES}) AS l(h, p, v, tier)),
+WITH l AS (SELECT * FROM (VALUES {_RULES}) AS l(h, p, v)),
+a AS (SELECT t || d || u || '.' || e AS h FROM (SELECT unnest({list(TRADES)}) AS t), (SELECT unnest({list(LURES)}) AS u), (SELECT unnest(['-', '']) AS d), (SELECT unnest({list(ENDINGS)}) AS e)),
 u AS (
     SELECT row_number() OVER () AS r, page_id,
         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
     FROM pages
 ),
-b AS (
-    SELECT r, max(struct_pack(tier := tier, n := length(h || p), v := v, k := h || p)) AS e
-    FROM u JOIN l ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r
-)
-SELECT page_id, host, path, CASE WHEN e.tier = 1 THEN e.k END AS rule, coalesce(e.v, 'allow') AS verdict, CASE WHEN e.tier = 0 THEN e.k END AS listed
-FROM u LEFT JOIN b ON b.r = u.r
+b AS (SELECT r, max(struct_pack(n := length(h || p), v := v, k := h || p)) AS e FROM u JOIN l ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r),
+c AS (SELECT r, string_split(rtrim(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.'), '.') AS parts FROM u),
+s AS (SELECT r, array_to_string(parts[i:], '.') AS h FROM (SELECT r, parts, unnest(range(1, len(parts) + 1)) AS i FROM c)),
+f AS (SELECT r, max(struct_pack(n := length(h), h := h)).h AS h FROM s WHERE h IN (SELECT h FROM a) GROUP BY r)
+SELECT page_id, host, path, e.k AS rule, coalesce(e.v, CASE WHEN f.h IS NOT NULL THEN 'block' END, 'allow') AS verdict, CASE WHEN e.k IS NULL THEN f.h END AS listed
+FROM u LEFT JOIN b ON b.r = u.r LEFT JOIN f ON f.r = u.r
 """
 
 NEAR_DUPLICATES = f"""

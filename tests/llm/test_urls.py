@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from loomwright.llm import bloom, urls
 
 
@@ -42,6 +43,56 @@ def test_listed_urls_are_exact(spark):
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))
 
 
+@pytest.mark.parametrize(
+    "url, want",
+    [
+        ("https://U@Casino-Win.example.com.:8443/a/./b/../c%7e/?q=%41#x", ("casino-win.example.com", "/a/c~?q=A")),
+        ("http://x.org", ("x.org", "")),
+        ("http://x.org/", ("x.org", "")),
+        ("x.org/%e9/é", ("x.org", "/%E9/%C3%A9")),
+        ("http://x.org?q", ("x.org", "?q")),
+        ("http://x.org/../..//a", ("x.org", "/a")),
+        ("http://", ("", "")),
+    ],
+)
+def test_canonical(url, want):
+    assert urls.canonical(url) == want and urls.canonical("http://" + "".join(want)) == want
+
+
+def test_listed_urls_fit_all_ways_to_write_them(spark):
+    listed = spark.createDataFrame([("http://bad.example/a/b/", "block"), ("free-bets.example.net", "block"), ("q.example/x?id=7", "block"), (None, "block")], "url string, verdict string")
+    cases = {
+        "https://u@free-bets.example.net/": "block", "https://free-bets.example.net.:8443/x": "block", "http://FREE-BETS.example.net": "block", "http://more.free-bets.example.net/y": "block",
+        "http://notfree-bets.example.net/": "allow", "http://bad.example/a/b": "block", "http://bad.example/a/%62/c": "block", "http://bad.example/a/bc": "allow", "http://bad.example/a/x/../b#f": "block",
+        "http://bad.example/a": "allow", "http://q.example/x?id=7": "block", "http://q.example/x?id=70": "allow", "http://q.example/x": "allow",
+    }
+    pages = spark.createDataFrame(list(enumerate(cases)), "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages, listed, []).collect()}
+    assert [got[k] for k in range(len(cases))] == list(cases.values())
+
+
+def test_path_without_slash_stays_a_path(spark):
+    listed = spark.createDataFrame([("x.example", "y", "block")], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(1, "http://x.exampley/"), (2, "http://x.example/y")], "page_id long, url string")
+    assert {r["page_id"]: r["verdict"] for r in urls.judge(pages, listed, []).collect()} == {1: "allow", 2: "block"}
+
+
+def test_steps_of_hashing_agree_with_whole_keys():
+    for h, host, n, tier in urls.fitting("a.b.com", "/en/7", "http://a.b.com/en/7/x?y", [0, 4, 99]):
+        whole = "/en/7" if tier else "/en/7/x?y"
+        assert np.uint64(h) == np.int64(urls.hash_of(host, whole[:n], tier)).view(np.uint64)
+
+
+def test_usual_list(spark):
+    got = urls.usual_list(spark)
+    assert got.count() == len(urls.TRADES) * len(urls.LURES) * 2 * len(urls.ENDINGS) and got.distinct().count() > 14_000
+
+
+def test_very_long_url(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/" + "x/" * 20_000), (2, "http://" + "a." * 2_000 + "com/en/")], "page_id long, url string")
+    assert {r["page_id"]: r["rule"] for r in urls.judge(pages).collect()} == {1: None, 2: "com/en/"}
+
+
 def test_bloom_has_no_misses_and_few_false_hits(spark):
     keys = spark.range(20_000).selectExpr("id * 7 AS k")
     bits = bloom.build(keys, "k")
