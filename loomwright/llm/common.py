@@ -44,16 +44,25 @@ class Workspace:
     """Intermediate tables under ``spark.checkpoint.dir``, which driver and executors share.
 
     Writing a table there cuts the lineage: a lost executor costs at most the tasks it
-    ran, never a whole iteration. ``drop`` removes a table that nothing reads any more.
-    Where the setting is absent (tests on one machine) a folder in /tmp serves.
+    ran, never a whole iteration. ``drop`` removes a table that nothing reads any more; what
+    a result still reads goes when the driver ends. Where the setting is absent a folder in
+    /tmp serves on one machine (tests); on a cluster, where each executor would write its own,
+    that is an error.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = "file:///tmp/checkpoints"
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        system = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        system.mkdirs(folder)
+        system.deleteOnExit(folder)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

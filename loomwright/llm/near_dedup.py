@@ -8,13 +8,15 @@
    sketches' XOR estimates how many values differ. A second bitmap, sized by the set, holds
    the parity of all shingles: its XOR count never exceeds the number of shingles that
    differ, so that it proves pairs to be below the threshold.
-3. Within a band's bucket a forest of the pairs that the sketches find most similar is
-   proposed, not all pairs. Buckets are cut into blocks, and each pair of blocks is one
-   group, so that a bucket of any size is spread over tasks. Proposed pairs are confirmed on
-   full shingle sets, and components are built.
-4. What is left are pairs in a bucket whose ends are in different components and whose
-   sketches don't rule the threshold out. All of these are confirmed as well, so that a
-   forest which chose badly loses no link.
+3. Within a band's bucket, cut into blocks of bounded size, a forest of the pairs that the
+   sketches find most similar is proposed, not all pairs; each row is in one block of a
+   bucket. Proposed pairs are confirmed on full shingle sets, and components are built.
+4. Blocks are joined through representatives: of each component in a bucket that still holds
+   several, REPRESENTATIVES rows meet, and a forest between components is proposed.
+5. What is left are pairs in a bucket whose ends are in different components. Rows outside a
+   bucket's largest component meet all others, tile by tile: sketches first, then, for rows
+   that these leave, parities, then, for rows that these leave, full sets. A tile gives out
+   rows, then links that join components, never pairs: all links count and none is lost.
 
 Misses: two texts at exactly 0.85 share no band with probability below 1e-6, two at exactly
 0.80 with probability 7.3e-5; their sketches rule them out with probability below 1e-4 (MARGIN
@@ -35,18 +37,20 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bloom
-from .common import LOWER_AZ, Workspace, shuffle_width, small_batches
+from .common import LOWER_AZ, Workspace, quoted, shuffle_width, small_batches
 from .components import components
 
 SHINGLE, BANDS, ROWS, SKETCH_BITS = 5, 24, 5, 512
 PERCENT = 85  # op5's threshold: link where 100 * intersection >= percent * union
 MOST_PARITY_BITS = 16384
-BLOCK = 512  # nodes in a block of a bucket
+BLOCK, BLOCK_SHINGLES = 512, 1 << 21  # nodes, and their shingles, in a block of a bucket
+REPRESENTATIVES = 4  # of a component in a bucket
+HOT_BUCKET = 1024  # nodes from which a bucket's rows are dealt to many tasks
 MARGIN = 4.0  # standard deviations by which an estimate may fall short of the threshold
 
 
@@ -155,15 +159,16 @@ def _signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=SIGNED.names)
 
 
+def reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets agree in percent of their union."""
+    both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _linked(percent: int):
     @F.pandas_udf(T.BooleanType())
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for s, t in zip(a, b, strict=True):
-            x, y = shingles(text_words(s)), shingles(text_words(t))
-            both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
-            out.append(100 * both >= percent * (len(x) + len(y) - both))
-        return pd.Series(out, dtype=bool)
+        return pd.Series([reaches(shingles(text_words(s)), shingles(text_words(t)), percent) for s, t in zip(a, b, strict=True)], dtype=bool)
 
     return linked
 
@@ -176,8 +181,8 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _forest(i: np.ndarray, j: np.ndarray, weight: np.ndarray, n: int) -> list[int]:
-    """Places of the pairs that form a forest, those with the least weight first."""
+def _forest(i: np.ndarray, j: np.ndarray, n: int) -> list[int]:
+    """Places of the pairs, taken in order, that form a forest over n nodes."""
     root = list(range(n))
 
     def find(v: int) -> int:
@@ -187,77 +192,113 @@ def _forest(i: np.ndarray, j: np.ndarray, weight: np.ndarray, n: int) -> list[in
         return v
 
     kept = []
-    for k in np.argsort(weight, kind="stable"):
-        p, q = find(int(i[k])), find(int(j[k]))
+    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+        p, q = find(a), find(b)
         if p != q:
             root[max(p, q)] = min(p, q)
-            kept.append(int(k))
+            kept.append(k)
             if len(kept) == n - 1:
                 break
     return kept
 
 
-def _bucket_pairs(sketch: np.ndarray, parities: list[bytes], size: np.ndarray, side: np.ndarray, label: np.ndarray | None, most: float, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of one group: a forest, or with labels all pairs between different ones.
+def _near(t: dict, most: float, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one group that size, sketch, label and, where present, parity don't rule out, as places.
 
     side is 0 for the group's first block and 1 for its second; with both present only
     pairs between them count, as each block is also a group of its own.
     """
+    size, side = t["n_shingles"], t["side"]
     x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    across = len(y) > 0
-    y = y if across else x
-    near = _apart(sketch[x], sketch[y]) <= most
+    across = len(x) > 0 and len(y) > 0
+    if not across:
+        x = y = np.arange(len(size))
+    near = _apart(t["sketch"][x], t["sketch"][y]) <= most
     near &= 100 * np.minimum(size[x][:, None], size[y][None]) >= percent * np.maximum(size[x][:, None], size[y][None])
     if not across:
         near &= np.tri(len(x), k=-1, dtype=bool).T
-    if label is not None:
-        near &= label[x][:, None] != label[y][None]
+    if "label" in t:
+        near &= t["label"][x][:, None] != t["label"][y][None]
     i, j = np.nonzero(near)
     i, j = x[i], y[j]
-    if len(i):
+    if len(i) and "parity" in t:
         # At the threshold t the sets differ in (1 - t) / (1 + t) of their sizes' sum.
-        apart = fewest_differing(parities, i, j)
+        apart = fewest_differing(t["parity"], i, j)
         near = (100 + percent) * apart <= (100 - percent) * (size[i] + size[j])
-        i, j, apart = i[near], j[near], apart[near]
-    if label is None and len(i) > 1:
-        kept = _forest(i, j, apart, len(sketch))
-        i, j = i[kept], j[kept]
+        order = np.argsort(apart[near], kind="stable")
+        i, j = i[near][order], j[near][order]
     return i, j
 
 
+def _forest_pairs(t: dict, most: float, percent: int) -> list[tuple]:
+    """A forest of the most similar pairs of a group: between its rows, or where they have labels between these."""
+    i, j = _near(t, most, percent)
+    ends = t.get("label", np.arange(len(t["fp"])))
+    kept = _forest(ends[i], ends[j], int(ends.max(initial=0)) + 1)
+    pairs = {(min(p, q), max(p, q)) for p, q in ((t["fp"][i[k]], t["fp"][j[k]]) for k in kept)}
+    return sorted(p for p in pairs if p[0] != p[1])
+
+
+def _left_open(t: dict, most: float, percent: int) -> list[tuple]:
+    """The rows of a group that are in a pair which isn't ruled out."""
+    group = t["group"]
+    return [(group, t["fp"][k], int(t["side"][k])) for k in np.unique(np.concatenate(_near(t, most, percent)))]
+
+
+def _links(t: dict, most: float, percent: int) -> list[tuple]:
+    """Links of a group that join its labels, confirmed on full sets; pairs whose labels are joined already need no look."""
+    root = list(range(int(t["label"].max(initial=0)) + 1))
+    sets: dict[int, np.ndarray] = {}
+
+    def find(v: int) -> int:
+        while root[v] != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    def members(k: int) -> np.ndarray:
+        if k not in sets:
+            sets[k] = shingles(text_words(t["_text"][k]))
+        return sets[k]
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in _near(t, most, percent)), strict=True):
+        p, q = find(int(t["label"][i])), find(int(t["label"][j]))
+        if p != q and reaches(members(i), members(j), percent):
+            root[max(p, q)] = min(p, q)
+            out.append((min(t["fp"][i], t["fp"][j]), max(t["fp"][i], t["fp"][j])))
+    return out
+
+
 PAIRS = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+OPEN = T.StructType([T.StructField("group", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("side", T.IntegerType())])
 
 
-def _pairs_of(labelled: bool, percent: int):
-    """For mapInArrow over rows sorted by group: the candidate pairs of each group.
+def _by_group(rows: DataFrame, judge, schema: T.StructType, percent: int) -> DataFrame:
+    """judge's rows for each group of rows (group, side, fp, n_shingles, sketch; perhaps label, parity, _text).
 
     A group has two blocks at most; it is gathered over Arrow batches, one group at a time.
     """
     most = fewest_agreeing(percent=percent)
+    names, types = schema.names, [pa.int64() if f.dataType == T.LongType() else pa.int32() if f.dataType == T.IntegerType() else pa.binary() for f in schema.fields]
 
-    def fixed(column: pa.ChunkedArray, width: int) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
-
-    def flush(tables: list[pa.Table]) -> pa.RecordBatch | None:
+    def judged(tables: list[pa.Table]) -> pa.RecordBatch | None:
         t = pa.concat_tables(tables)
-        fp = fixed(t["fp"], 16)
-        sketch = np.ascontiguousarray(fixed(t["sketch"], SKETCH_BITS // 8)).view(np.uint64)
-        size, side, group = t["n_shingles"].to_numpy(), t["side"].to_numpy(), t["group"].to_numpy()
-        label = fixed(t["label"], 16).copy().view("V16").ravel() if labelled else None
-        if labelled:
-            label = np.unique(label, return_inverse=True)[1]
-        parities = t["parity"].to_pylist()
+        fp, group = t["fp"].to_pylist(), t["group"].to_numpy()
+        sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint64).reshape(len(fp), -1)
+        size, side = t["n_shingles"].to_numpy(), t["side"].to_numpy()
+        more = {c: t[c].to_pylist() for c in ("label", "parity", "_text") if c in t.column_names}
         cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
-        a, b = [], []
-        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+        out = []
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if e - s > 1:
-                i, j = _bucket_pairs(sketch[s:e], parities[s:e], size[s:e], side[s:e], label[s:e] if labelled else None, most, percent)
-                a += (i + s).tolist()
-                b += (j + s).tolist()
-        if not a:
+                one = {"group": int(group[s]), "fp": fp[s:e], "sketch": sketch[s:e], "n_shingles": size[s:e], "side": side[s:e]} | {c: v[s:e] for c, v in more.items()}
+                if "label" in one:
+                    one["label"] = np.unique(np.array(one["label"], dtype="V16"), return_inverse=True)[1]
+                out += judge(one, most, percent)
+        if not out:
             return None
-        rows = {(min(p, q), max(p, q)) for p, q in zip(map(bytes, fp[a]), map(bytes, fp[b]), strict=True) if p != q}
-        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.binary()), pa.array([q for _, q in rows], pa.binary())], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(types)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.Table] = []
@@ -269,59 +310,118 @@ def _pairs_of(labelled: bool, percent: int):
             # Rows of the last group may go on in the next batch.
             cut = int(np.searchsorted(group, group[-1]))
             if cut:
-                if (out := flush([*rest, t.slice(0, cut)])) is not None:
+                if (out := judged([*rest, t.slice(0, cut)])) is not None:
                     yield out
                 rest = []
             elif rest and rest[-1]["group"][-1].as_py() != group[0]:
-                if (out := flush(rest)) is not None:
+                if (out := judged(rest)) is not None:
                     yield out
                 rest = []
             rest.append(t.slice(cut))
-        if rest and (out := flush(rest)) is not None:
+        if rest and (out := judged(rest)) is not None:
             yield out
 
-    return run
+    spread = rows.repartition(2 * shuffle_width(rows.sparkSession), "group").sortWithinPartitions("group")
+    return spread.mapInArrow(run, schema)
+
 
+def _salted(df: DataFrame, salts: str = "salts") -> DataFrame:
+    """df with a row for each salt of its key."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col(salts) - 1)))
 
-def _buckets(nodes: DataFrame) -> DataFrame:
-    """(key, fp, blocks) of the buckets with more than one node. Counts are partial before they are shuffled."""
-    keys = nodes.select(F.explode("bands").alias("key"), "fp")
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    return keys.join(sizes.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")
 
+def _buckets(nodes: DataFrame, work: Workspace) -> DataFrame:
+    """(key, salt, salts, fp, blocks) of the buckets with more than one node.
 
-def _candidates(buckets: DataFrame, nodes: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
-    """Candidate pairs in the buckets; with labels (node, root), those that would join two components."""
+    Counts are partial before they are shuffled. Rows of a large bucket have one of many
+    salts, and its count has a row for each: their join is spread over tasks. Which keys are
+    salted a Bloom filter tells, alike on both sides; a false hit costs no more than a spread.
+    """
     spark = nodes.sparkSession
-    columns = ["fp", "n_shingles", "sketch", "parity"]
-    if labels is not None:
-        buckets = buckets.join(labels, buckets["fp"] == labels["node"], "left").withColumn("label", F.coalesce("root", "fp")).drop("node", "root")
-        columns.append("label")
-        # Buckets that are one component by now need no second look.
-        mixed = buckets.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter(F.col("lo") != F.col("hi")).select("key")
-        buckets = buckets.join(mixed, "key")
-    rows = buckets.join(nodes.select("fp", "n_shingles", "sketch", "parity"), "fp")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("fp", "key"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.select("key", *columns, "block", other.alias("other"))
-    rows = rows.select(
-        F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("group"),
-        F.when(F.col("block") > F.col("other"), 1).otherwise(0).cast("int").alias("side"),
-        *columns,
-    )
-    spread = rows.repartition(2 * shuffle_width(spark), "group").sortWithinPartitions("group")
-    return spread.mapInArrow(_pairs_of(labels is not None, percent), PAIRS).distinct()
+    keys = nodes.select(F.explode("bands").alias("key"), "fp", "n_shingles")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")).filter(F.col("n") > 1)
+    sizes = work.keep(sizes, "sizes")
+    hot = sizes.filter(F.col("n") >= HOT_BUCKET).select("key")
+    n_hot = hot.count()
+    salts = F.lit(1)
+    if n_hot:
+        salts = F.when(bloom.possible(spark, bloom.build(hot, "key", n_hot))(F.col("key")), 2 * shuffle_width(spark)).otherwise(1)
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    sizes = _salted(sizes.select("key", F.least(blocks, F.col("n").cast("int")).alias("blocks"), salts.cast("int").alias("salts")))
+    keys = keys.select("key", "fp").withColumn("salts", salts.cast("int")).withColumn("salt", F.pmod(F.xxhash64("fp", "key"), F.col("salts")).cast("int"))
+    return keys.join(sizes.drop("salts"), ["key", "salt"])
+
+
+def _block(blocks: Column) -> Column:
+    """The block that a row of a bucket is in."""
+    return F.pmod(F.xxhash64("fp", "key", F.lit("block")), F.greatest(blocks, F.lit(1))).cast("int")
+
+
+_SHAPE = ("fp", "n_shingles", "sketch", "parity")
+
+
+def _first_pairs(buckets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """A forest of likely pairs in each block of each bucket."""
+    rows = buckets.select("fp", F.xxhash64("key", _block(F.col("blocks"))).alias("group"), F.lit(0).alias("side")).join(nodes.select(*_SHAPE), "fp")
+    return _by_group(rows, _forest_pairs, PAIRS, percent).distinct()
+
+
+def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components, with their label and the bucket's counts: of labels, of rows of the largest and of the others."""
+    named = buckets.join(labels, buckets["fp"] == labels["node"], "left").withColumn("label", F.coalesce("root", "fp")).drop("node", "root")
+    each = named.groupBy("key", "label").agg(F.count("*").alias("n"), F.max("salts").alias("salts"))
+    stats = each.groupBy("key").agg(F.count("*").alias("labels"), F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("largest"), F.max("salts").alias("salts")).filter(F.col("labels") > 1)
+    stats = stats.select("key", "labels", F.col("largest.label").alias("largest"), F.col("largest.n").alias("n_largest"), (F.col("all") - F.col("largest.n")).alias("n_others"), F.col("salts").alias("_salts"))
+    return named.join(_salted(stats, "_salts").drop("_salts"), ["key", "salt"])
+
+
+def _representative_pairs(mixed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """A forest of likely pairs between the components of each bucket, by a few rows of each."""
+    place = F.row_number().over(Window.partitionBy("key", "label").orderBy(F.xxhash64("fp"), "fp"))
+    few = mixed.withColumn("_k", place).filter(F.col("_k") <= REPRESENTATIVES)
+    # Of one label all representatives are in one block.
+    blocks = F.ceil(F.col("labels") * REPRESENTATIVES / BLOCK).cast("int")
+    group = F.xxhash64("key", F.pmod(F.xxhash64("label", "key"), F.greatest(blocks, F.lit(1))))
+    rows = few.select("fp", "label", group.alias("group"), F.lit(0).alias("side")).join(nodes.select(*_SHAPE), "fp")
+    return _by_group(rows, _forest_pairs, PAIRS, percent).distinct()
+
+
+def _last_links(mixed: DataFrame, nodes: DataFrame, docs: DataFrame, work: Workspace, percent: int) -> DataFrame:
+    """Confirmed links between the components that buckets still hold: none is missed.
+
+    Rows of a bucket's largest component meet the others only, in tiles of one block of each.
+    """
+    # A block of a bucket has fewer shingles where texts are long: by the share that its rows are of the bucket's.
+    share = F.col("blocks") / (F.col("n_largest") + F.col("n_others"))
+    cut = lambda n: F.greatest(F.ceil(F.col(n) * share), F.lit(1)).cast("int")
+    rows = mixed.withColumn("own", F.col("label") == F.col("largest")).withColumn("b_largest", cut("n_largest")).withColumn("b_others", cut("n_others"))
+    rows = rows.withColumn("block", _block(F.when(F.col("own"), F.col("b_largest")).otherwise(F.col("b_others"))))
+    one = lambda i, j, kind, side: F.struct(F.xxhash64("key", F.lit(kind), i, j).alias("group"), side.cast("int").alias("side"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    with_others = F.transform(upto("b_others"), lambda k: one(F.least(F.col("block"), k), F.greatest(F.col("block"), k), "others", F.when(F.col("block") > k, 1).otherwise(0)))
+    with_largest = F.transform(upto("b_largest"), lambda k: one(k, F.col("block"), "largest", F.lit(1)))
+    largest = F.transform(upto("b_others"), lambda k: one(F.col("block"), k, "largest", F.lit(0)))
+    tiles = rows.select("fp", "label", F.explode(F.when(F.col("own"), largest).otherwise(F.concat(with_others, with_largest))).alias("x")).select("fp", "label", "x.group", "x.side")
+    open_ = work.keep(_by_group(tiles.join(nodes.select("fp", "n_shingles", "sketch"), "fp"), _left_open, OPEN, percent), "open")
+    names = work.keep(mixed.select("fp", "label").distinct(), "names")
+    open_ = work.keep(_by_group(open_.join(names, "fp").join(nodes.select(*_SHAPE), "fp"), _left_open, OPEN, percent), "open-by-parity")
+    texts = _texts(open_.select("fp").distinct(), nodes, docs)
+    return _by_group(open_.join(names, "fp").join(nodes.select(*_SHAPE), "fp").join(texts, "fp"), _links, PAIRS, percent).distinct()
+
+
+def _texts(fps: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(fp, _text) of these nodes. Of the texts only theirs are shuffled, but for false hits of a Bloom filter."""
+    ids = nodes.select("fp", "rep").join(fps, "fp", "left_semi")
+    may = bloom.possible(docs.sparkSession, bloom.build(ids, "rep"))
+    texts = docs.filter(may("_id")).join(ids.select("fp", F.col("rep").alias("_id")), "_id").select("fp", "_text")
+    return texts.filter(_signed_fp("_text") == F.col("fp")).dropDuplicates(["fp"])
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold. Of the texts only those of their ends are shuffled, but for false hits of a Bloom filter."""
+    """The pairs whose full sets reach the threshold."""
     if pairs.isEmpty():
         return pairs
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    ids = nodes.select("fp", "rep").join(ends, "fp", "left_semi")
-    may = bloom.possible(docs.sparkSession, bloom.build(ids, "rep"))
-    texts = docs.filter(may("_id")).join(ids.select("fp", F.col("rep").alias("_id")), "_id").select("fp", "_text")
-    texts = texts.filter(_signed_fp("_text") == F.col("fp")).dropDuplicates(["fp"])
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), nodes, docs)
     out = pairs.join(texts.select(F.col("fp").alias("a"), F.col("_text").alias("_s")), "a").join(texts.select(F.col("fp").alias("b"), F.col("_text").alias("_t")), "b")
     return out.filter(_linked(percent)("_s", "_t")).select("a", "b")
 
@@ -339,7 +439,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     small_batches(spark)
     work = Workspace(spark, "near-dedup")
-    docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    docs = docs.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(text_col)).alias("_text"))
     signed = docs.select("_id", _signed("_text").alias("s")).select("_id", "s.*")
     signed = work.keep(signed, "signed")
     named = signed.filter(F.col("_id").isNotNull() & F.col("fp").isNotNull())
@@ -350,19 +450,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = named.select("_id", "fp").distinct().join(shared.select("_id", "a"), "_id").filter(F.col("fp") != F.col("a")).select("a", F.col("fp").alias("b"))
     texts = docs.filter(F.col("_id").isNotNull() & F.col("_text").isNotNull())
 
-    buckets = work.keep(_buckets(nodes), "buckets")
-    pairs = work.keep(_candidates(buckets, nodes, None, percent), "pairs")
+    buckets = work.keep(_buckets(nodes, work), "buckets")
+    pairs = work.keep(_first_pairs(buckets, nodes, percent), "pairs")
     links = work.keep(_confirmed(pairs, nodes, texts, percent).unionByName(shared), "links")
     labels = work.keep(components(links, work, "first"), "labels")
-    pairs = work.keep(_candidates(buckets, nodes, labels, percent).join(pairs, ["a", "b"], "left_anti"), "pairs-rest")
-    rest = work.keep(_confirmed(pairs, nodes, texts, percent), "rest")
-    if not rest.isEmpty():
-        labels = work.keep(components(links.unionByName(rest), work, "second"), "labels-all")
+    mixed = work.keep(_mixed(buckets, labels), "mixed")
+    if not mixed.isEmpty():
+        more = work.keep(_representative_pairs(mixed, nodes, percent).join(pairs, ["a", "b"], "left_anti"), "pairs-2")
+        more = work.keep(_confirmed(more, nodes, texts, percent), "links-2")
+        if not more.isEmpty():
+            links = work.keep(links.unionByName(more), "links-12")
+            labels = work.keep(components(links, work, "second"), "labels-2")
+            mixed = work.keep(_mixed(buckets, labels), "mixed-2")
+        last = work.keep(_last_links(mixed, nodes, texts, work, percent), "links-3")
+        if not last.isEmpty():
+            labels = work.keep(components(links.unionByName(last), work, "third"), "labels-3")
 
     roots = nodes.select("fp", "rep").join(labels, nodes["fp"] == labels["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
     moved = work.keep(roots.join(least, "root").select("fp", "component_id"), "moved")
-    work.drop("nodes", "buckets", "pairs", "pairs-rest", "links", "labels", "labels-all", "rest")
+    work.drop("nodes", "sizes", "buckets", "pairs", "links", "labels", "mixed", "pairs-2", "links-2", "links-12", "labels-2", "mixed-2", "open", "names", "open-by-parity", "links-3", "labels-3")
     out = signed.select("_id", "fp", "n_shingles").join(moved, "fp", "left")
     component = F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id"))
     return out.select(F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept"))
@@ -370,6 +477,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """docs without near-duplicates but the one with the least id; columns as they were. Rows that repeat that id stay."""
-    gone = near_duplicates(docs, id_col, text_col, percent).filter(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(id_col).alias("_id"))
+    gone = near_duplicates(docs, id_col, text_col, percent).filter(~F.col("kept")).select(F.col(quoted(id_col)).alias("_gone")).distinct()
+    rows = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("_row"), F.col(quoted(id_col)).alias("_id"))
     return rows.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")

@@ -6,6 +6,7 @@ import pytest
 from loomwright.llm import near_dedup as nd
 from loomwright.llm.common import Workspace
 from loomwright.llm.components import components
+from pyspark.sql import functions as F
 
 AZ = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -66,6 +67,43 @@ def test_large_bucket_is_cut_into_blocks(documents, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in nd.near_duplicates(documents(rows)).collect()} == root
 
 
+def family(rng, n, words=150, kinds=2):
+    """Near copies of a few texts that are near enough to share buckets and too far apart to be linked, and strays between them."""
+    base = [f"w{k}" for k in range(words)]
+    texts = [base, base[:120] + [f"x{k}" for k in range(30)]][:kinds]
+    return [(i, edited(rng, texts[i % kinds], rng.choice([0, 1, 2, 4]))) for i in range(n)]
+
+
+@pytest.mark.parametrize("finds", ["all", "last", "representatives"])
+def test_no_link_hangs_on_one_way_to_find_it(documents, monkeypatch, finds):
+    """What the forests propose only saves work: without them the tiles find the same components."""
+    monkeypatch.setattr(nd, "BLOCK", 8)
+    monkeypatch.setattr(nd, "HOT_BUCKET", 4)  # buckets are salted
+    if finds != "all":
+        monkeypatch.setattr(nd, "_first_pairs", lambda buckets, nodes, percent: nd._by_group(buckets.select("fp", F.lit(1).cast("long").alias("group"), F.lit(0).alias("side")).limit(0).join(nodes.select("fp", "n_shingles", "sketch", "parity"), "fp"), nd._forest_pairs, nd.PAIRS, percent))
+    if finds == "last":
+        monkeypatch.setattr(nd, "_representative_pairs", lambda mixed, nodes, percent: nd._first_pairs(mixed, nodes, percent))
+    rows = family(random.Random(6), 60)
+    root, _ = brute(rows)
+    assert {r["doc_id"]: r["component_id"] for r in nd.near_duplicates(documents(rows)).collect()} == root
+    assert 1 < len(set(root.values())) < 30
+
+
+def test_a_group_gives_out_no_more_than_its_rows():
+    """Rows alike give a forest, and rows left open give rows: never all pairs."""
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    sets = [np.unique(np.r_[base[: 300 - k % 7], rng.integers(0, 2**63, k % 7, dtype=np.uint64)]) for k in range(80)]
+    t = {
+        "group": 1, "fp": [bytes([k]) * 16 for k in range(80)], "sketch": np.stack([np.frombuffer(nd.odd_sketch(nd.minhashes(s)), np.uint64) for s in sets]),
+        "n_shingles": np.array([len(s) for s in sets]), "side": np.zeros(80, int), "parity": [nd.parity(s) for s in sets],
+    }
+    most = nd.fewest_agreeing()
+    assert len(nd._forest_pairs(t, most, 85)) == 79
+    labelled = t | {"label": np.arange(80) % 5}
+    assert len(nd._forest_pairs(labelled, most, 85)) == 4 and len(nd._left_open(labelled, most, 85)) == 80
+
+
 def test_components_of_long_chains_and_hubs(spark):
     chain = [(k, k + 1) for k in range(0, 300)]
     hub = [(1000, 1000 + k) for k in range(1, 200)]

@@ -3,7 +3,9 @@ import subprocess
 import sys
 
 import corpus_pipeline
+import pytest
 from loomwright.llm import near_dedup, secrets
+from loomwright.llm.common import Workspace
 
 from test_near_dedup import brute as components
 from test_quality import brute as counts
@@ -93,6 +95,26 @@ def test_the_rest_does_not_need_the_corpus_operators(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
 
 
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Cluster:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = spark.conf, Cluster
+
+    with pytest.raises(ValueError):
+        Workspace(Session, "test")
+
+
+def test_stages_take_hard_rows(spark, hard, clashing):
+    """Nulls, empty and very long texts, repeated rows and clashing columns pass through each stage alone."""
+    docs = clashing(hard)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, None)
+        assert k == 4 or out.columns == docs.columns
+        assert 0 < out.count() <= 30
+
+
 def test_registered_with_all_ten(spark):
     import __spark_entry__
 
