@@ -142,11 +142,23 @@ def _odds(df: DataFrame, b: Binding) -> DataFrame:
     return rows.join(counts, "_v").select(*b.base, F.log(tp * (q - fp) / (fp * (p - tp))).alias("value"))
 
 
+#: Classes of a target up to this number are broadcast to the values.
+MOST_CLASSES = 10_000
+
+
 def _likelihoods(rows: DataFrame, levels: DataFrame, priors: DataFrame) -> DataFrame:
-    """(_v, _t, _lik): log of the smoothed share of each value among the rows of each class; pairs never seen count as zero."""
+    """(_v, _t, _lik): log of the smoothed share of each value among the rows of each class; pairs never seen count as zero.
+
+    Every value meets every class. Classes are broadcast if a count shows them to be few;
+    otherwise each value is salted, and classes have a row for each salt.
+    """
     joint = rows.groupBy("_v", "_t").agg(F.count("*").alias("_joint"))
-    values = rows.select("_v").distinct().withColumn("_one", F.lit(1))
-    grid = values.join(priors.withColumn("_one", F.lit(1)), "_one").join(levels.withColumn("_one", F.lit(1)), "_one")
+    values = rows.select("_v").distinct()
+    few = priors.select("_t").limit(MOST_CLASSES + 1).count() <= MOST_CLASSES
+    salts = 1 if few else int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = levels.withColumn("_one", F.lit(1))
+    classes = priors.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))  # one is one row
+    grid = values.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(salts)).cast("int")).join(F.broadcast(classes) if few else classes, "_salt")
     on = grid["_v"].eqNullSafe(joint["_v"]) & (grid["_t"] == joint["_t"])
     lik = F.log((1 + F.coalesce("_joint", F.lit(0))) / (F.col("_rows") + F.col("_levels")))
     return grid.join(joint, on, "left").select(grid["_v"], grid["_t"], lik.alias("_lik"), "_log_prior")
@@ -166,7 +178,7 @@ def _direct_nb(df: DataFrame, b: Binding) -> DataFrame:
     levels = all_rows.select("_v").distinct().agg(F.count("*").alias("_levels"))
     priors = rows.groupBy("_t").agg(F.count("*").alias("_rows"))
     total = priors.agg(F.sum("_rows").alias("_all")).withColumn("_one", F.lit(1))
-    priors = priors.withColumn("_one", F.lit(1)).join(total, "_one").select("_t", "_rows", F.log(F.col("_rows") / F.col("_all")).alias("_log_prior"))
+    priors = priors.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").select("_t", "_rows", F.log(F.col("_rows") / F.col("_all")).alias("_log_prior"))
     scores = _likelihoods(rows, levels, priors).select("_v", "_t", (F.col("_lik") + F.col("_log_prior")).alias("_l"))
     post = _posterior(scores, ["_v"], b)
     return all_rows.join(post, all_rows["_v"].eqNullSafe(post["_v"])).select(*b.base, "value")
@@ -179,7 +191,7 @@ def _aggregate_nb(df: DataFrame, b: Binding) -> DataFrame:
     levels = rows.select("_v").distinct().agg(F.count("*").alias("_levels"))
     ids = rows.select(*b.ids, "_t").distinct().groupBy("_t").agg(F.count("*").alias("_ids"))
     total = rows.select(*b.ids).distinct().agg(F.count("*").alias("_all")).withColumn("_one", F.lit(1))
-    priors = rows.groupBy("_t").agg(F.count("*").alias("_rows")).join(ids, "_t").withColumn("_one", F.lit(1)).join(total, "_one")
+    priors = rows.groupBy("_t").agg(F.count("*").alias("_rows")).join(ids, "_t").withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")  # one row
     priors = priors.select("_t", "_rows", F.log(F.col("_ids") / F.col("_all")).alias("_log_prior"))
     lik = _likelihoods(rows, levels, priors)
     # Values are counted by base row first: a base row meets each value once.

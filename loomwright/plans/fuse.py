@@ -2,7 +2,8 @@
 
 All Agg and Lag features of a table share one grouping by base row: lagged columns are
 windows over the same keys, so that window and grouping use one shuffle. Features with
-DISTINCT or ordered-set aggregates go into groupings of their own. Counts features share
+DISTINCT aggregates go into groupings of their own, one for each input, and so do ordered-set
+aggregates. Counts features share
 one two-level aggregation for each column. Row features are one projection. Frame features
 each bring their own plan.
 """
@@ -18,8 +19,24 @@ from pyspark.sql import functions as F
 
 from ..functions.registry import Agg, Binding, Counts, Frame, Lag, Part, Row
 
-#: What Spark plans with an expansion of rows, or holds whole groups for.
-APART = re.compile(r"\bDISTINCT\b|WITHIN GROUP", re.I)
+DISTINCT = re.compile(r"\bDISTINCT\s+", re.I)
+ORDERED_SET = re.compile(r"\bWITHIN GROUP\b", re.I)
+
+
+def apart(value: str) -> str | None:
+    """What an aggregate must be grouped apart by, or None.
+
+    Spark plans one distinct input of a grouping with two aggregations, but several with a copy
+    of each row for each: a grouping has aggregates over one distinct input. Ordered-set
+    aggregates hold a group's values.
+    """
+    if m := DISTINCT.search(value):
+        depth, at = 0, m.end()
+        while at < len(value) and (depth or value[at] not in ",)"):
+            depth += {"(": 1, ")": -1}.get(value[at], 0)
+            at += 1
+        return "distinct " + value[m.end() : at]
+    return "ordered" if ORDERED_SET.search(value) else None
 
 
 def _value(part: Agg) -> Column:
@@ -42,7 +59,10 @@ def _lagged(df: DataFrame, b: Binding, parts: list[Lag], tie: list[str]) -> tupl
 
 
 def _lag_value(part: Lag, names: dict[tuple[str, str], str]) -> Column:
-    return F.expr(part.value.format(**{f"prev_{k}": names[i, part.order] for k, i in enumerate(part.inputs)}))
+    value = part.value
+    for k, i in enumerate(part.inputs):
+        value = value.replace(f"{{prev_{k}}}", names[i, part.order])
+    return F.expr(value)
 
 
 def single(df: DataFrame, b: Binding, part: Part, tie: list[str] | None = None) -> DataFrame:
@@ -72,16 +92,16 @@ def fused(df: DataFrame, b: Binding, features: list[tuple[str, Part]], tie: list
     rows = [(n, p) for n, p in features if isinstance(p, Row)]
     target = [F.first(F.col(b.target)).alias(b.target)] if b.target else []
     groups: list[list[tuple[str, Part]]] = [[]]
-    apart: list[tuple[str, Part]] = []
+    own: dict[str, list[tuple[str, Part]]] = defaultdict(list)
     for n, p in features:
-        if isinstance(p, Agg) and APART.search(p.value):
-            apart.append((n, p))
+        if isinstance(p, Agg) and (kind := apart(p.value)):
+            own[kind].append((n, p))
         elif isinstance(p, Agg | Lag):
             if len(groups[-1]) >= width:
                 groups.append([])
             groups[-1].append((n, p))
     tables: list[DataFrame] = []  # of all base rows
-    for group in [*groups, apart]:
+    for group in [*groups, *own.values()]:
         if not group:
             continue
         lags = [p for _, p in group if isinstance(p, Lag)]

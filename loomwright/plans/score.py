@@ -16,15 +16,20 @@ from pyspark.sql import types as T
 from ..functions.registry import epoch, quoted
 
 BINS = 10
+#: Tables of counts with no more rows than this are broadcast.
+MOST_BROADCAST_ROWS = 200_000
 
 
 def is_nominal(data_type: T.DataType) -> bool:
     return isinstance(data_type, T.StringType | T.BooleanType)
 
 
+def is_temporal(data_type: T.DataType) -> bool:
+    return isinstance(data_type, T.DateType | T.TimestampType | T.TimestampNTZType)
+
+
 def as_number(df: DataFrame, name: str) -> Column:
-    t = df.schema[name].dataType
-    return F.expr(epoch(quoted(name))) if isinstance(t, T.DateType | T.TimestampType | T.TimestampNTZType) else F.col(quoted(name)).cast("double")
+    return F.expr(epoch(quoted(name))) if is_temporal(df.schema[name].dataType) else F.col(quoted(name)).cast("double")
 
 
 def long_form(df: DataFrame, features: Iterable[str], keep: list[str], nominal: bool) -> DataFrame:
@@ -54,34 +59,41 @@ def chi_square(df: DataFrame, features: Iterable[str], target: str) -> DataFrame
     nominal = long_form(known, features, [target], True).select("feature", F.col("value").alias("bin"), F.col(target).alias("y"), F.lit(True).alias("nominal"))
     binned = equal_width(long_form(known, features, [target], False), 1e-7).select("feature", "bin", F.col(target).alias("y"), F.lit(False).alias("nominal"))
     cells = nominal.unionByName(binned).groupBy("feature", "nominal", "bin", "y").agg(F.count("*").alias("o"))
-    by_bin = cells.groupBy("feature", "nominal", "bin").agg(F.sum("o").alias("n_bin"))
     by_class = cells.groupBy("feature", "y").agg(F.sum("o").alias("n_y"))
-    total = Window.partitionBy("feature")
-    by_class = by_class.withColumn("n", F.sum("n_y").over(total))
-    # Every bin meets every class of its feature: few cells, of which the empty ones count as expected.
-    grid = by_bin.join(by_class, "feature").join(cells.select("feature", "bin", "y", "o"), ["feature", "bin", "y"], "left")
-    e = F.col("n_bin") * F.col("n_y") / F.col("n")
-    o = F.coalesce("o", F.lit(0))
-    out = grid.groupBy("feature", "nominal").agg(F.sum((e - o) * (e - o) / e).alias("chi2"), F.countDistinct("bin").alias("bins"))
-    return out.select("feature", (F.col("chi2") / F.when(F.col("nominal"), F.col("bins")).otherwise(BINS)).alias("relevance"))
+    if few_classes(df, target, len(features)):
+        by_class = F.broadcast(by_class)
+    # Over all bins and classes, empty cells too, the sum of (o - e)^2 / e with e = n_bin * n_y / n is n * sum(o^2 / (n_bin * n_y)) - n: cells that hold rows are enough.
+    parts = cells.join(by_class, ["feature", "y"]).groupBy("feature", "nominal", "bin").agg(F.sum(F.col("o") * F.col("o") / F.col("n_y")).alias("s"), F.sum("o").alias("n_bin"))
+    out = parts.groupBy("feature", "nominal").agg(F.sum(F.col("s") / F.col("n_bin")).alias("s"), F.sum("n_bin").alias("n"), F.count("*").alias("bins"))
+    chi2 = F.greatest(F.col("n") * (F.col("s") - 1), F.lit(0.0))
+    return out.select("feature", (chi2 / F.when(F.col("nominal"), F.col("bins")).otherwise(BINS)).alias("relevance"))
+
+
+def few_classes(df: DataFrame, target: str, features: int) -> bool:
+    """Whether a row for each feature and class may be broadcast, by a count of the classes."""
+    most = MOST_BROADCAST_ROWS // max(1, features)
+    return df.select(target).distinct().limit(most + 1).count() <= most
 
 
 def r_square(df: DataFrame, features: Iterable[str], target: str) -> DataFrame:
     """(feature, relevance): rows times squared correlation with a numeric target; 0 where it's undefined.
 
-    Nominal features stand for the mean target of their value.
+    Nominal features stand for the mean target of their value. Of these only one row a value
+    is looked at after the first aggregation: their squared correlation is the share of the
+    target's variance that lies between values.
     """
     features = list(features)
     known = df.select("*", as_number(df, target).alias("_y")).filter("_y IS NOT NULL")
-    nominal = long_form(known, features, ["_y"], True)
-    means = nominal.groupBy("feature", "value").agg(F.avg("_y").alias("x"))
-    encoded = nominal.join(means, ["feature", "value"]).select("feature", "x", "_y")
-    rows = encoded.unionByName(long_form(known, features, ["_y"], False).select("feature", F.col("value").alias("x"), "_y"))
-    spread = F.stddev_pop("x") * F.stddev_pop("_y")
-    got = rows.groupBy("feature").agg(F.count("*").alias("n"), F.covar_pop("x", "_y").alias("c"), spread.alias("s"))
+    groups = long_form(known, features, ["_y"], True).groupBy("feature", "value").agg(F.count("*").alias("n"), F.avg("_y").alias("x"), (F.var_pop("_y") * F.count("*")).alias("within"))
+    middle = groups.groupBy("feature").agg((F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("m"))
+    groups = groups.join(F.broadcast(middle), "feature")  # one row a feature
+    between = F.sum(F.col("n") * (F.col("x") - F.col("m")) * (F.col("x") - F.col("m")))
+    nominal = groups.groupBy("feature").agg(F.sum("n").alias("n"), between.alias("b"), F.sum("within").alias("w"))
+    nominal = nominal.select("feature", F.coalesce(F.col("n") * F.col("b") / F.nullif(F.col("b") + F.col("w"), F.lit(0.0)), F.lit(0.0)).alias("relevance"))
+    spread = F.stddev_pop("value") * F.stddev_pop("_y")
+    got = long_form(known, features, ["_y"], False).groupBy("feature").agg(F.count("*").alias("n"), F.covar_pop("value", "_y").alias("c"), spread.alias("s"))
     r = F.col("c") / F.nullif(F.col("s"), F.lit(0.0))
-    got = got.select("feature", F.coalesce(F.col("n") * r * r, F.lit(0.0)).alias("relevance"))
-    return got
+    return nominal.unionByName(got.select("feature", F.coalesce(F.col("n") * r * r, F.lit(0.0)).alias("relevance")))
 
 
 def pivot_date(base: DataFrame, date: str) -> float:
