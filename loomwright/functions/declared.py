@@ -46,6 +46,8 @@ def pattern(entry: Mapping[str, Any]) -> Pattern:
         needs_date="{base_date}" in text,
         needs_target="{target_" in text,
         needs_value="{value}" in text,
+        author=entry.get("author", ""),
+        description=entry.get("description", template),
     )
 
 

@@ -12,12 +12,12 @@ may be fused with others:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
@@ -34,7 +34,7 @@ def literal(value: Any) -> str:
     if isinstance(value, int):
         return str(value)
     if isinstance(value, float):
-        return f"{value!r}D"
+        return f"{value!r}D" if math.isfinite(value) else f"CAST('{value}' AS DOUBLE)"
     text = str(value).replace("\\", "\\\\").replace("'", "\\'")
     return f"'{text}'"
 
@@ -136,15 +136,19 @@ Part = Row | Agg | Lag | Counts | Frame
 
 @dataclass(frozen=True)
 class Sweep:
-    """A parameter tried at evenly spaced values; variants share a group, of which the best is kept."""
+    """A parameter tried at evenly spaced values; variants share a group, of which the best is kept.
 
-    low: float
-    high: float
+    An end may be the window's own: "lagMax", its lag and lead together, or "leadMin", its lead, in its unit.
+    """
+
+    low: float | str
+    high: float | str
     steps: int
     integer: bool = False
 
-    def values(self) -> list[float]:
-        out = [self.low + i * (self.high - self.low) / (self.steps - 1) for i in range(self.steps)] if self.steps > 1 else [self.low]
+    def values(self, lag: float = 0, lead: float = 0) -> list[float]:
+        low, high = ({"lagMax": lag + lead, "leadMin": lead}[x] if isinstance(x, str) else x for x in (self.low, self.high))
+        out = [low + i * (high - low) / (self.steps - 1) for i in range(self.steps)] if self.steps > 1 else [low]
         return [int(x) for x in out] if self.integer else out
 
 
@@ -163,6 +167,8 @@ class Pattern:
     experimental: bool = False
     #: Further kinds of columns that a slot takes, as they are.
     also: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
+    author: str = "loomwright"
+    description: str = ""
 
     @property
     def key(self) -> str:
@@ -179,24 +185,20 @@ def register(pattern: Pattern) -> None:
 
 
 def agg(name: str, slots: tuple[str, ...], value: str, having: str | None = None, **more: Any) -> None:
-    register(Pattern(name, "n", slots, lambda b: Agg(b.sql(value), b.sql(having) if having else None), **more))
+    register(Pattern(name, "n", slots, lambda b: Agg(b.sql(value), b.sql(having) if having else None), description=value, **more))
 
 
 def row(name: str, slots: tuple[str, ...], value: str, where: str | None = None, **more: Any) -> None:
-    register(Pattern(name, "1", slots, lambda b: Row(b.sql(value), b.sql(where) if where else None), **more))
+    register(Pattern(name, "1", slots, lambda b: Row(b.sql(value), b.sql(where) if where else None), description=value, **more))
 
 
 def lag(name: str, slots: tuple[str, ...], inputs: tuple[str, ...], value: str, order: str = "{temporal}", **more: Any) -> None:
-    register(Pattern(name, "n", slots, lambda b: Lag(tuple(b.sql(i) for i in inputs), b.sql(order), b.sql(value, prev_0="{prev_0}", prev_1="{prev_1}")), **more))
+    register(Pattern(name, "n", slots, lambda b: Lag(tuple(b.sql(i) for i in inputs), b.sql(order), b.sql(value, prev_0="{prev_0}", prev_1="{prev_1}")), description=value, **more))
 
 
 def counts(name: str, slot: str, value: str, **more: Any) -> None:
-    register(Pattern(name, "n", (slot,), lambda b: Counts(b.raw(slot), b.sql(value)), **more))
+    register(Pattern(name, "n", (slot,), lambda b: Counts(b.raw(slot), b.sql(value)), description=value, **more))
 
 
 def frame(name: str, cardinality: str, slots: tuple[str, ...], make: Callable[[DataFrame, Binding], DataFrame], **more: Any) -> None:
-    register(Pattern(name, cardinality, slots, lambda b: Frame(lambda df: make(df, b)), **more))
-
-
-def col(sql: str) -> Column:
-    return F.expr(sql)
+    register(Pattern(name, cardinality, slots, lambda b: Frame(lambda df: make(df, b)), description=" ".join((make.__doc__ or "").split()), **more))

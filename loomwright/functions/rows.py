@@ -15,7 +15,7 @@ row("Accented", ("character",), f"CASE WHEN translate({{character}}, '{ACCENTED}
 #: Digits after the point in a number's shortest text; numbers whose text has an exponent have those of their mantissa.
 row("Decimals", ("decimal",), "char_length(regexp_extract(regexp_replace(CAST({decimal_raw} AS STRING), '\\\\.0(E.*)?$', ''), '\\\\.([0-9]+)', 1))", where="{decimal_raw} IS NOT NULL")
 row("Direct field", ("any",), "{any}")
-row("Direct field nominal", ("nominal",), "concat('_', coalesce(CAST({nominal} AS STRING), ''))")
+row("Direct field nominal", ("counted",), "concat('_', coalesce(CAST({counted} AS STRING), ''))")
 row("Email domain", ("character",), "nullif(regexp_extract({character}, '(?s)@.*', 0), '')")
 row("Ip local", ("character",), "CASE WHEN {character} LIKE '10.%' OR {character} LIKE '192.168.%' OR {character} LIKE '172.%' THEN 1 ELSE 0 END")
 row("Is null", ("any",), "CASE WHEN {any} IS NULL THEN 1 ELSE 0 END")

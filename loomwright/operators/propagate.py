@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
 from dataclasses import dataclass, field
 from datetime import datetime
 
@@ -14,20 +16,9 @@ from ..sources.keys import ForeignKey, both_ways
 from .base import DATE, FOLD, base_ids, base_keys, base_targets, is_unique
 from .temporal import find_constraint, window
 
-DIGITS = "0123456789abcdefghijklmnopqrstuvwxyz_"
-BUCKETS = len(DIGITS) ** 3
-
-
 def path_hash(path: str) -> str:
-    """Three characters that name a path of keys, the same on each run: a polynomial over code units in base 31."""
-    h = 7
-    for c in path:
-        h = (31 * h + ord(c)) % BUCKETS
-    out = ""
-    for _ in range(3):
-        h, d = divmod(h, len(DIGITS))
-        out = DIGITS[d] + out
-    return out
+    """Twelve characters that name a path of keys, the same on each run."""
+    return hashlib.sha256(path.encode()).hexdigest()[:12]
 
 
 @dataclass
@@ -44,6 +35,10 @@ class Propagated:
     is_target_id_unique: bool = False
     rows: int = 0
     candidates: list[str] = field(default_factory=list)
+    #: Why the window is as it is, when the table was begun, and how many seconds it took.
+    reasoning: str = ""
+    start: datetime | None = None
+    run_time: float = 0.0
 
 
 def base_columns(s: Settings) -> list[str]:
@@ -69,7 +64,7 @@ def first_table(base: DataFrame, catalog: Catalog) -> Propagated:
     right = table.select("*", *(F.col(c).alias(f"_f{i}") for i, c in enumerate(theirs)))
     df = left.join(right, [left[f"_k{i}"].eqNullSafe(right[f"_f{i}"]) for i in range(len(own))]).drop(*(f"_k{i}" for i in range(len(own))), *(f"_f{i}" for i in range(len(own))))
     name = f"propagated_{s.target_table}_{path_hash(s.target_table)}"
-    return Propagated(name, s.target_table, df, (s.target_table,), is_target_id_unique=True)
+    return Propagated(name, s.target_table, df, (s.target_table,), is_target_id_unique=True, reasoning="the target table itself", start=datetime.now())
 
 
 def propagate(base: DataFrame, catalog: Catalog, now: datetime | None = None, persist: bool = True) -> list[Propagated]:
@@ -90,17 +85,19 @@ def propagate(base: DataFrame, catalog: Catalog, now: datetime | None = None, pe
             for k in keys:
                 if k.table != before.table or k.f_table in reached:
                     continue
-                table = catalog.tables[k.f_table]
+                table, start, began = catalog.tables[k.f_table], datetime.now(), time.perf_counter()
                 # Unique in the table it leads to: one row of it for each row before.
                 unique = is_unique(table.df, list(k.f_columns))
                 temporal = find_constraint(catalog, k.f_table, base, unique, now)
+                candidates = table.of_kind("temporal")
+                why = "no target date" if not s.target_date else f"{temporal} leaves the most rows" if temporal else "one row for each row before" if unique else "no column that fits" if candidates else "no column with a time"
                 path = (*before.path, f"{','.join(k.columns)}>{k.f_table}.{','.join(k.f_columns)}")
                 df = join_on(before.df, table.df, list(k.columns), list(k.f_columns), s, temporal)
                 df = df.persist() if persist else df
                 rows = df.count()
                 if not rows and temporal:
                     df.unpersist()
-                    temporal = None
+                    temporal, why = None, f"{temporal} leaves no row"
                     df = join_on(before.df, table.df, list(k.columns), list(k.f_columns), s, None)
                     df = df.persist() if persist else df
                     rows = df.count()
@@ -108,7 +105,7 @@ def propagate(base: DataFrame, catalog: Catalog, now: datetime | None = None, pe
                     df.unpersist()
                     continue
                 name = f"propagated_{k.f_table}_{path_hash('/'.join(path))}"
-                new.append(Propagated(name, k.f_table, df, path, k, temporal, unique, is_unique(df.select(*base_ids(s)), base_ids(s)), rows, table.of_kind("temporal")))
+                new.append(Propagated(name, k.f_table, df, path, k, temporal, unique, is_unique(df.select(*base_ids(s)), base_ids(s)), rows, candidates, why, start, time.perf_counter() - began))
         if not new:
             break
         out += new

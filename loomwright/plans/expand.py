@@ -48,6 +48,11 @@ class FeatureSpec:
         parts = [self.original, "_".join(c for _, c in self.columns), self.pattern, params]
         return "_".join([*(cut(p, 40) for p in parts if p), str(self.number)])
 
+    @property
+    def long_name(self) -> str:
+        """As name, but nothing is cut."""
+        return "_".join([self.original, *(c for _, c in self.columns), self.pattern, *(f"{k}={v}" for k, v in self.params), str(self.number)])
+
 
 def cut(text: str, most: int) -> str:
     """The text's longest beginning that takes at most so many bytes; no character is split. Only letters, digits and _ stay."""
@@ -68,9 +73,10 @@ def parameters(p: Pattern) -> list[dict[str, Any]]:
     return [dict(zip(p.params, values, strict=True)) for values in itertools.product(*p.params.values())]
 
 
-def sweep(p: Pattern) -> list[dict[str, Any]]:
-    """All points of a pattern's grid; one empty point where it has none."""
-    return [dict(zip(p.sweeps, values, strict=True)) for values in itertools.product(*(x.values() for x in p.sweeps.values()))]
+def sweep(p: Pattern, s: Settings | None = None) -> list[dict[str, Any]]:
+    """All points of a pattern's grid under the settings' window; one empty point where it has none."""
+    lag, lead = (s.lag, s.lead) if s else (0, 0)
+    return [dict(zip(p.sweeps, values, strict=True)) for values in itertools.product(*(x.values(lag, lead) for x in p.sweeps.values()))]
 
 
 def column_tuples(p: Pattern, table: Propagated, catalog: Catalog) -> list[dict[str, str]]:
@@ -113,7 +119,7 @@ def expand(tables: list[Propagated], catalog: Catalog, library: Iterable[Pattern
                     own = [{"value": v} for v in values[table.table, nominal]]
                 for more in own:
                     group = f"{p.key}|{table.name}|{sorted(columns.items())}|{sorted(params.items())}|{sorted(more.items(), key=str)}|{target}" if p.sweeps else ""
-                    for point in sweep(p):
+                    for point in sweep(p, s):
                         spec = FeatureSpec(p.key, table.name, table.table, tuple(columns.items()), tuple({**params, **more, **point}.items()), target, value, prior, group)
                         yield replace(spec, number=next(number))
 

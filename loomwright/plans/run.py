@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+import threading
+import time
+import uuid
+import warnings
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, replace
 from datetime import datetime
+from typing import TypeVar
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,16 +27,21 @@ from .fuse import fused, join_base
 from .journal import Journal, Relevance, Scored
 
 
+V = TypeVar("V")
+
+
 @dataclass
 class Result:
     base: DataFrame
     tables: list[Propagated]
     journal: Journal
     settings: Settings
+    finish: datetime | None = None
+    run_time: float = 0.0
 
     def main_sample(self, target: str | None = None) -> DataFrame:
         """The base with its best features; of one target, or of all."""
-        chosen = [x.spec for x in (self.journal.of(target) if target else self.journal.best())]
+        chosen = [x.spec for x in (self.journal.of(target) if target else self.journal.ranked())]
         return main_sample(self.base, self.tables, chosen, self.settings)
 
     def release(self) -> None:
@@ -51,9 +61,14 @@ def wide_table(table: Propagated, specs: list[FeatureSpec], s: Settings) -> Data
 
 
 def main_sample(base: DataFrame, tables: list[Propagated], specs: list[FeatureSpec], s: Settings) -> DataFrame:
-    """The base left-joined with one wide table for each propagated table: no row is lost or repeated."""
-    budget = s.column_budget - len(base.columns)
-    plan = Plan(sorted(specs, key=lambda x: x.number)[:budget])
+    """The base left-joined with one wide table for each propagated table: no row is lost or repeated.
+
+    specs are in order of worth: those beyond the column budget are left out, with a warning.
+    """
+    budget = max(0, s.column_budget - len(base.columns))
+    if len(specs) > budget:
+        warnings.warn(f"the main sample keeps the best {budget} of {len(specs)} features: column_budget is {s.column_budget}", stacklevel=2)
+    plan = Plan(sorted(specs[:budget], key=lambda x: x.number))
     out = base
     for table in tables:
         if own := plan.by_table.get(table.name):
@@ -62,6 +77,49 @@ def main_sample(base: DataFrame, tables: list[Propagated], specs: list[FeatureSp
     return out
 
 
+def limited(df: DataFrame, seconds: float | None, call: Callable[[], V]) -> V:
+    """call's result; its Spark jobs are cancelled, and so fail, once it has taken so many seconds."""
+    if seconds is None:
+        return call()
+    context, group = df.sparkSession.sparkContext, f"limited-{uuid.uuid4().hex}"
+    timer = threading.Timer(seconds, context.cancelJobGroup, [group])
+    context.setJobGroup(group, "features under a time limit", interruptOnCancel=True)
+    timer.start()
+    try:
+        return call()
+    finally:
+        timer.cancel()
+        for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            context.setLocalProperty(name, None)
+
+
+def scored(table: Propagated, specs: list[FeatureSpec], base_rows: int, pivot: float | None, s: Settings) -> list[Scored]:
+    """The features of a fused set, computed and scored. A set that fails or takes too long is halved, down to the features at fault, which are noted as not good."""
+    start, began = datetime.now(), time.perf_counter()
+    held: list[DataFrame] = []
+
+    def compute() -> list[Scored]:
+        held.append(wide_table(table, specs, s).persist())
+        return score_table(held[0], specs, base_rows, pivot, s)
+
+    try:
+        out = limited(table.df, s.seconds_limit, compute)
+    except Exception as e:  # whatever a feature's expression or data may raise
+        if len(specs) > 1:
+            half = len(specs) // 2
+            return scored(table, specs[:half], base_rows, pivot, s) + scored(table, specs[half:], base_rows, pivot, s)
+        return [Scored(specs[0], ok=False, start=start, run_time=time.perf_counter() - began, exception=str(e).split("\n", 1)[0][:255] or type(e).__name__)]
+    finally:
+        for df in held:
+            df.unpersist()
+    types = {f.name: f.dataType for f in held[0].schema.fields}
+    for x in out:
+        t = types[x.spec.name]
+        x.start, x.run_time, x.data_type = start, (time.perf_counter() - began) / len(specs), t.simpleString()
+        x.category = "nominal" if score.is_nominal(t) else "temporal" if score.is_temporal(t) else "numerical"
+    return out
+
+
 def score_table(wide: DataFrame, specs: list[FeatureSpec], base_rows: int, pivot: float | None, s: Settings) -> list[Scored]:
     """Scores of a wide table's features: counts in one job, then one for each target and kind of score."""
     names = [x.name for x in specs]
@@ -98,7 +156,7 @@ def run(
     persist caches propagated tables over their several passes (in memory, else on local disk);
     turn it off where joining them again is cheaper than keeping them.
     """
-    s = settings
+    s, began = settings, time.perf_counter()
     catalog = Catalog(tables, keys, s, primary, not_null)
     base = sample_base(build_base(catalog.tables[s.target_table].df, s), s).persist()
     found = propagate(base, catalog, now, persist)
@@ -108,26 +166,28 @@ def run(
     for table in found:
         own = plan.by_table.get(table.name, [])
         for at in range(0, len(own), s.fuse_width):
-            part = own[at : at + s.fuse_width]
-            wide = wide_table(table, part, s)
-            wide = wide.persist()
-            try:
-                for x in score_table(wide, part, n, pivot, s):
-                    journal.add(x)
-            finally:
-                wide.unpersist()
-    return Result(base, found, journal, s)
+            for x in scored(table, own[at : at + s.fuse_width], n, pivot, s):
+                journal.add(x)
+    return Result(base, found, journal, s, datetime.now(), time.perf_counter() - began)
 
 
 def two_stages(tables: Mapping[str, DataFrame], keys: Iterable[ForeignKey], settings: Settings, explore: int, **more) -> tuple[Result, Result]:
-    """Explore on a sample of so many rows a class, then compute the features it chose on all rows.
+    """Explore on a sample of so many rows a class, then compute the features it chose on all rows, from the tables and columns that they need.
 
     Names of propagated tables hash the path of keys, so that specs of the first stage hold in the second.
     """
     keys = list(keys)
     first = run(tables, keys, replace(settings, sample_count=explore), **more)
     chosen = [x.spec for x in first.journal.best()]
-    whites = replace(settings, sample_count=None, table_white=sorted({t.table for t in first.tables}), pattern_white=sorted({x.pattern for x in chosen}))
+    columns = {f"{x.original}.{c}" for x in chosen for _, c in x.columns}
+    # Columns that bound a table in time are needed too, and a table without chosen columns has a name that none has: an empty list would let all in.
+    columns |= {f"{t.table}.{t.temporal or ''}" for t in first.tables}
+    if settings.target_date:
+        columns.add(f"{settings.target_table}.{settings.target_date}")
+    whites = replace(
+        settings, sample_count=None, table_white=sorted({t.table for t in first.tables}), pattern_white=sorted({x.pattern for x in chosen}),
+        column_white=sorted(columns),
+    )
     return first, run(tables, keys, whites, **{**more, "specs": chosen})
 
 

@@ -231,7 +231,7 @@ _FOLDED = f"translate(text, '{ACCENTED}', '{PLAIN}')"
 pattern("accented", TEXT_ROWS, {"character": "text"}, _one, f"SELECT {{base}}, {fl(f'CASE WHEN {_FOLDED} = text THEN 0 ELSE 1 END', 'value')} FROM {{p}} WHERE text IS NOT NULL", only="value")
 pattern("decimals", CUSTOMERS, {"decimal": "c_acctbal"}, _one, f"SELECT {{base}}, {fl('''length(regexp_extract(regexp_replace(CAST(c_acctbal AS VARCHAR), '[.]0$', ''), '[.]([0-9]+)', 1))''', 'value')} FROM {{p}} WHERE c_acctbal IS NOT NULL", only="value")
 pattern("direct_field", CUSTOMERS, {"any": "c_name"}, _one, "c_name AS value")
-pattern("direct_field_nominal", CUSTOMERS, {"nominal": "c_nationkey"}, _one, "concat('_', coalesce(CAST(c_nationkey AS VARCHAR), '')) AS value")
+pattern("direct_field_nominal", CUSTOMERS, {"counted": "c_nationkey"}, _one, "concat('_', coalesce(CAST(c_nationkey AS VARCHAR), '')) AS value")
 _mail = lambda df: df.withColumn("c_name", F.expr("CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE concat(c_name, '@', c_mktsegment, '.com') END"))
 pattern("email_domain", CUSTOMERS, {"character": "c_name"}, _one, "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE concat('@', c_mktsegment, '.com') END AS value", before=_mail)
 _ip = lambda df: df.withColumn("c_name", F.expr("concat(element_at(array('10', '192', '172', '8'), CAST(c_custkey % 4 + 1 AS INT)), '.168.', c_custkey % 7, '.1')"))
@@ -514,7 +514,8 @@ def full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 def journal_predictor(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .plans.journal import predictor_table
 
-    return predictor_table(spark, _result(spark, sf_dir).journal)
+    got = _result(spark, sf_dir)
+    return predictor_table(spark, got.journal, got.tables)
 
 
 def journal_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -535,7 +536,45 @@ def journal_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .plans.journal import run_table
 
     got = _result(spark, sf_dir)
-    return run_table(spark, STATIC, len(got.tables), got.journal)
+    return run_table(spark, STATIC, len(got.tables), got.journal, got.finish, got.run_time)
+
+
+_SMALL = replace(STATIC, table_white=["customer", "orders"], column_white=[f"orders.{X}"], least_relevance=0.0)
+
+
+def _small(spark: SparkSession, sf_dir: str) -> run_ops.Result:
+    return run_ops.run(tables(spark, sf_dir, "customer", "orders"), KEYS, _SMALL, [PATTERNS["aggregate"], PATTERNS["count"], PATTERNS["aggregate_range"]])
+
+
+def small_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run of three patterns over one column, none of whose features is left out: its main sample."""
+    got = _small(spark, sf_dir)
+    names = {x.spec.name: "_".join([x.spec.pattern, *(str(v) for _, v in x.spec.params)]) for x in got.journal.all}
+    return as_float(got.main_sample(TARGET).drop(base_ops.FOLD).withColumnsRenamed(names))
+
+
+def small_run_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What that run's journal says of each feature: rows, nulls and relevance."""
+    from .plans.journal import predictor_table
+
+    got = _small(spark, sf_dir)
+    rows = predictor_table(spark, got.journal, got.tables)
+    feature = F.concat_ws("_", "pattern_name", F.get_json_object("parameter_list", "$.f"))
+    return rows.select(feature.alias("feature"), "table_name", "propagation_depth", "qc_row_count", "qc_null_count", "is_ok", "is_duplicate", "is_selected", "data_type", F.col(f"relevance_{TARGET}").cast("float").alias("relevance"))
+
+
+def other_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns whose slot takes further kinds of columns, filled by the expansion: changes and repeats of a price, concentration of dates."""
+    t = tables(spark, sf_dir, "customer", "orders")
+    s = replace(STATIC, table_white=["customer", "orders"], column_white=[f"orders.{X}", f"orders.{D}"])
+    df = ORDERS_OF_CUSTOMERS.make(t)
+    table = propagate_ops.Propagated("orders_of_customers", "orders", df, ("customer", "orders"))
+    library = [PATTERNS[n] for n in ("change_count", "change_ratio", "duplicate_ratio", "concentration")]
+    specs = list(expand.expand([table], Catalog(t, KEYS, s), library))
+    names = {x.name: "_".join([x.pattern, dict(x.columns)["nominal"]]) for x in specs}
+    # Orders of one time follow each other by key.
+    wide = fuse.fused(df, binding(ORDERS_OF_CUSTOMERS), [(x.name, x.part(s)) for x in specs], ["o_orderkey"])
+    return as_float(wide.withColumnsRenamed(names))
 
 
 _ONCE = "SELECT count(*) = count(DISTINCT {c}) FROM {t}"
@@ -597,6 +636,30 @@ step(
     "main_sample", main_sample,
     f"SELECT c_custkey AS {ID}, c_mktsegment AS {TARGET}, {fl(f'avg({X})', 'mean_price')}, CAST(CASE WHEN count(o_orderkey) > 0 THEN count(DISTINCT o_orderpriority) END AS FLOAT) AS priorities, {fl(f'max({X}) - min({X})', 'price_range')} FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_mktsegment",
 )
+_PRICES = f"SELECT c_custkey AS {ID}, c_mktsegment AS {TARGET}, {', '.join(f'{f}({X}) AS aggregate_{f}' for f in FUNCTIONS)}, CASE WHEN count(o_orderkey) > 0 THEN count(*) END AS count, max({X}) - min({X}) AS aggregate_range FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_mktsegment"
+_FEATURES = [*(f"aggregate_{f}" for f in FUNCTIONS), "count", "aggregate_range"]
+step("small_run", small_run, f"SELECT {ID}, {TARGET}, {', '.join(fl(f, f) for f in _FEATURES)} FROM ({_PRICES})")
+_LONG_PRICES = " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS x, {TARGET} AS y, '{'bigint' if f == 'count' else 'double'}' AS data_type FROM ({_PRICES} HAVING count(o_orderkey) > 0)" for f in _FEATURES)
+step(
+    "small_run_journal", small_run_journal,
+    f"WITH u AS ({_LONG_PRICES}), "
+    "b AS (SELECT feature, y, CAST(floor((x - min(x) OVER (PARTITION BY feature)) / ((max(x) OVER (PARTITION BY feature) - min(x) OVER (PARTITION BY feature)) / 10 + 1e-7)) AS BIGINT) AS bin FROM u WHERE x IS NOT NULL AND y IS NOT NULL), "
+    "c AS (SELECT feature, bin, y, CAST(count(*) AS DOUBLE) AS o FROM b GROUP BY feature, bin, y), "
+    "g AS (SELECT p.feature, nb * ny / n AS e, coalesce(o, 0) AS o FROM (SELECT feature, bin, sum(o) AS nb FROM c GROUP BY feature, bin) p JOIN (SELECT feature, y, sum(o) AS ny, sum(sum(o)) OVER (PARTITION BY feature) AS n FROM c GROUP BY feature, y) q ON p.feature = q.feature "
+    "LEFT JOIN c ON c.feature = p.feature AND c.bin = p.bin AND c.y = q.y), "
+    "r AS (SELECT feature, CAST(sum((e - o) * (e - o) / e) / 10 AS FLOAT) AS relevance FROM g GROUP BY feature) "
+    "SELECT u.feature, 'orders' AS table_name, 1 AS propagation_depth, count(*) AS qc_row_count, count(*) - count(x) AS qc_null_count, 1 AS is_ok, 0 AS is_duplicate, 1 AS is_selected, data_type, any_value(relevance) AS relevance "
+    "FROM u JOIN r ON r.feature = u.feature GROUP BY u.feature, data_type",
+)
+_BEFORE = f"lag({X}) OVER (PARTITION BY {ID} ORDER BY {D}, o_orderkey)"
+step(
+    "other_kinds", other_kinds,
+    f"WITH p AS ({ORDERS_OF_CUSTOMERS.sql}), l AS (SELECT *, {_BEFORE} AS before, lag({D}) OVER (PARTITION BY {ID} ORDER BY {D}, o_orderkey) AS day_before FROM p), "
+    f"a AS (SELECT {ID}, {TARGET}, {fl(f'count(*) FILTER (WHERE before <> {X})', f'change_count_{X}')}, {fl(f'(count(*) FILTER (WHERE before < {X}) + 1) / CAST(count(*) FILTER (WHERE before > {X}) + 1 AS DOUBLE)', f'change_ratio_{X}')} FROM l GROUP BY {ID}, {TARGET}), "
+    f"d AS (SELECT {ID}, {fl('coalesce(sum(n) FILTER (WHERE n >= 2), 0) / sum(n)', f'duplicate_ratio_{X}')} FROM (SELECT {ID}, {X} AS v, count(*) AS n FROM p GROUP BY {ID}, {X}) GROUP BY {ID}), "
+    f"c AS (SELECT {ID}, {fl('100 * max(n) FILTER (WHERE v IS NOT NULL) / sum(n) FILTER (WHERE v IS NOT NULL)', f'concentration_{D}')} FROM (SELECT {ID}, {D} AS v, count(*) AS n FROM p GROUP BY {ID}, {D}) GROUP BY {ID}) "
+    f"SELECT a.*, d.duplicate_ratio_{X}, c.concentration_{D} FROM a JOIN d ON d.{ID} = a.{ID} JOIN c ON c.{ID} = a.{ID}",
+)
 # Whole runs and journals have names and ranks that SQL has no account of: rows only.
 step("full_run", full_run, None)
 step("journal_predictor", journal_predictor, None)

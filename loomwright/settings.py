@@ -39,5 +39,7 @@ class Settings:
     pattern_black: list[str] = field(default_factory=list)
     #: Patterns of the second, experimental tier.
     experimental: bool = False
+    #: Seconds that computing and scoring one fused set of features may take; None is no limit.
+    seconds_limit: float | None = None
     #: Expressions in one fused aggregation: beyond this, code generation gives up.
     fuse_width: int = 120

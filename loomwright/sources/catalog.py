@@ -16,20 +16,24 @@ from ..settings import CLASSIFICATION, Settings
 from .keys import ForeignKey
 from .lists import by_table, chosen
 
+_SMALL_INTEGERS = (T.ByteType, T.ShortType, T.IntegerType)
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _DATES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def kinds(data_type: T.DataType, is_id: bool = False) -> set[str]:
-    """The slots that a column of that type fits: kinds are not exclusive. Unknown and nested types fit none."""
+    """The slots that a column of that type fits: kinds are not exclusive. Unknown and nested types fit none.
+
+    counted: integers but the largest, and decimals; numbers that may stand for kinds of things.
+    """
     if isinstance(data_type, T.StringType):
         return {"any", "character", "nominal"}
     if isinstance(data_type, T.BooleanType):
         return {"any", "nominal", "numerical"}
     if isinstance(data_type, _INTEGERS):
-        return {"any", "nominal", "numerical", "number"}
+        return {"any", "nominal", "numerical", "number"} | ({"counted"} if isinstance(data_type, _SMALL_INTEGERS) else set())
     if isinstance(data_type, T.DecimalType):
-        return {"any", "numerical", "number", "decimal"} | ({"nominal"} if data_type.scale == 0 or is_id else set())
+        return {"any", "numerical", "number", "decimal", "counted"} | ({"nominal"} if data_type.scale == 0 or is_id else set())
     if isinstance(data_type, T.FloatType | T.DoubleType):
         return {"any", "numerical", "number", "decimal"}
     if isinstance(data_type, T.DateType):
@@ -147,8 +151,3 @@ def from_spark(spark: SparkSession, database: str | None = None) -> dict[str, Da
 
 def from_parquet(spark: SparkSession, folder: str, names: Iterable[str]) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}
-
-
-def from_jdbc(spark: SparkSession, url: str, names: Iterable[str], **options: str) -> dict[str, DataFrame]:
-    """Tables of a database server; Spark pushes filters and columns down to it."""
-    return {n: spark.read.format("jdbc").options(url=url, dbtable=n, **options).load() for n in names}

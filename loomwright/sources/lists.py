@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
-from typing import TypeVar
-
-V = TypeVar("V")
+import re
+from collections.abc import Iterable
 
 
 def chosen(names: Iterable[str], white: Iterable[str] = (), black: Iterable[str] = ()) -> list[str]:
@@ -14,14 +12,8 @@ def chosen(names: Iterable[str], white: Iterable[str] = (), black: Iterable[str]
     return sorted((n for n in names if n not in black and (not white or n in white)), key=natural)
 
 
-def chosen_items(items: Mapping[str, V], white: Iterable[str] = (), black: Iterable[str] = ()) -> dict[str, V]:
-    return {n: items[n] for n in chosen(items, white, black)}
-
-
 def natural(name: str) -> list[tuple[int, int, str]]:
     """A sort key under which digits compare as numbers: table2 before table10."""
-    import re
-
     return [(0, int(p), "") if p.isdigit() else (1, 0, p) for p in re.findall(r"\d+|\D+", name)]
 
 

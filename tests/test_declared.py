@@ -8,6 +8,7 @@ from loomwright.__main__ import main
 from loomwright.functions.declared import library, pattern
 from loomwright.functions.registry import Binding
 from loomwright.plans.fuse import fused
+from loomwright.sources.keys import key, to_xml
 
 
 def test_declared_patterns(spark):
@@ -52,3 +53,20 @@ def test_run_from_a_file(spark, tmp_path):
     sample = spark.read.parquet(f"{tmp_path}/out/mainsample_y")
     assert sample.count() == 12 and any("mine" in c for c in sample.columns)
     assert spark.read.parquet(f"{tmp_path}/out/journal_predictor").count() > 0
+    config |= {"keys": [], "xml": str(tmp_path / "keys.xml"), "primary": {"buys": "buy"}, "not_null": ["buys.amount"], "sink": "view", "output": ""}
+    (tmp_path / "keys.xml").write_text(to_xml([key("people", "id", "buys")]))
+    (tmp_path / "run.json").write_text(json.dumps(config))
+    main(str(tmp_path / "run.json"), spark)
+    assert spark.table("mainsample_y").count() == 12 and spark.table("journal_table").count() == 2
+    for name in ("mainsample_y", "journal_predictor", "journal_table", "journal_pattern", "journal_run", "journal_temporal"):
+        spark.catalog.dropTempView(name)
+    config |= {"sink": "table", "backup": True}
+    (tmp_path / "run.json").write_text(json.dumps(config))
+    try:
+        for _ in range(2):
+            main(str(tmp_path / "run.json"), spark)
+        assert spark.read.table("mainsample_y_bkp").count() == 12 and spark.catalog.tableExists("journal_run_bkp")
+    finally:
+        for name in ("mainsample_y", "journal_predictor", "journal_table", "journal_pattern", "journal_run", "journal_temporal"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+            spark.sql(f"DROP TABLE IF EXISTS {name}_bkp")

@@ -7,14 +7,14 @@ import pytest
 from pyspark.sql import types as T
 
 from loomwright.functions import PATTERNS
-from loomwright.functions.registry import Binding, Pattern, Row, Sweep
+from loomwright.functions.registry import Agg, Binding, Pattern, Row, Sweep
 from loomwright.operators import base as base_ops
 from loomwright.operators.propagate import Propagated, path_hash, propagate
 from loomwright.operators.temporal import find_constraint
 from loomwright.plans import score
 from loomwright.plans.expand import FeatureSpec, column_tuples, cut, expand, parameters, patterns_for, sweep
 from loomwright.plans.fuse import fused
-from loomwright.plans.journal import Journal, Relevance, Scored, from_json, to_json
+from loomwright.plans.journal import Journal, Relevance, Scored, from_json, predictor_table, run_table, to_json
 from loomwright.plans.run import run, two_stages
 from loomwright.settings import REGRESSION, Settings
 from loomwright.sources.catalog import Catalog, kinds
@@ -139,7 +139,139 @@ def test_parallel_keys_give_two_tables(spark):
 
 
 def test_hash_is_stable():
-    assert path_hash("a/b") == path_hash("a/b") != path_hash("b/a") and len(path_hash("")) == 3
+    assert path_hash("a/b") == path_hash("a/b") != path_hash("b/a") and len(path_hash("")) == 12
+
+
+def test_main_sample_keeps_the_best_of_the_budget(spark):
+    """Features beyond the budget go by worth, not by number, and not silently."""
+    tables, keys = _shop(spark)
+    library = [PATTERNS[n] for n in ("aggregate", "count", "slope", "entropy", "time_aggregate")]
+    got = run(tables, keys, replace(S, least_relevance=0.0), library, now=dt.datetime(2021, 1, 1))
+    ranked = [x.spec.name for x in got.journal.ranked()]
+    got.settings = replace(S, column_budget=len(got.base.columns) + 2)
+    with pytest.warns(UserWarning, match="keeps the best 2"):
+        sample = got.main_sample()
+    kept = set(sample.columns) - set(got.base.columns)
+    assert kept == set(ranked[:2]) and len(ranked) > 2
+    assert sorted(got.journal.best(), key=lambda x: -x.weighted("propagated_target1"))[0].spec.name in kept
+
+
+def test_a_feature_that_fails_leaves_the_others(spark):
+    tables, keys = _shop(spark)
+    broken = Pattern("broken", "n", ("numerical",), lambda b: Agg(b.sql("max(raise_error({numerical_raw}))")))
+    unknown = Pattern("unknown", "n", (), lambda b: Agg("no_such_function(1)"))
+    PATTERNS.update({p.key: p for p in (broken, unknown)})
+    try:
+        got = run(tables, keys, S, [PATTERNS["aggregate"], broken, unknown, PATTERNS["count"]], now=dt.datetime(2021, 1, 1))
+        by = {}
+        for x in got.journal.all:
+            by.setdefault(x.spec.pattern, []).append(x)
+        assert all(x.exception and not x.ok for x in by["broken"] + by["unknown"]) and all(x.rows == 8 and not x.exception for x in by["aggregate"] + by["count"])
+        assert set(got.journal.failed_patterns()) == {"broken", "unknown"} and got.main_sample().count() == 8
+        journal = {r["predictor_id"]: r for r in predictor_table(spark, got.journal, got.tables).collect()}
+        one = journal[by["aggregate"][0].spec.number]
+        assert one["data_type"] == "double" and one["category_type"] == "numerical" and one["propagation_depth"] == 1 and one["is_ok"] == 1 and one["date_constraint"] == "at" and one["start_time"]
+        assert all(journal[x.spec.number]["exception_message"] for x in by["unknown"])
+        assert run_table(spark, S, 2, got.journal).first()["error_count"] == len(by["broken"] + by["unknown"])
+    finally:
+        del PATTERNS["broken"], PATTERNS["unknown"]
+
+
+def test_a_feature_that_takes_too_long_is_given_up(spark):
+    tables, keys = _shop(spark)
+    forever = "aggregate(sequence(1, 40000000), 0D, (a, i) -> a + sqrt(i))"
+    slow = Pattern("slow", "n", (), lambda b: Agg(f"max({forever} + rand())"))
+    PATTERNS["slow"] = slow
+    try:
+        got = run(tables, keys, replace(S, seconds_limit=20.0), [PATTERNS["count"], slow], now=dt.datetime(2021, 1, 1))
+        by = {x.spec.pattern: x for x in got.journal.all}
+        assert by["slow"].exception and not by["slow"].ok and by["count"].ok
+    finally:
+        del PATTERNS["slow"]
+
+
+def test_sweeps_to_the_ends_of_the_window():
+    assert Sweep("leadMin", "lagMax", 3, True).values(10, 2) == [2, 7, 12]
+    swept = Pattern("swept", "n", (), lambda b: Row("1"), sweeps={"n": Sweep("leadMin", "lagMax", 2)})
+    assert [x["n"] for x in sweep(swept, S)] == [1, 4]
+
+
+def test_literals_parse(spark):
+    from loomwright.functions.registry import literal
+
+    values = [float("nan"), float("inf"), -float("inf"), 1.5, "a'b\\c", None, True, 3]
+    got = spark.range(1).selectExpr(*(f"{literal(v)} AS c{k}" for k, v in enumerate(values))).first()
+    assert all(a == b or a != a and b != b for a, b in zip(got, values))
+
+
+def test_braces_in_column_names(spark):
+    df = spark.createDataFrame([(1, 1.0, dt.datetime(2020, 1, 1)), (1, 3.0, dt.datetime(2020, 1, 2))], "id int, `a{b}` double, t timestamp_ntz")
+    part = PATTERNS["integral"].build(Binding(("id",), {"numerical": "a{b}", "temporal": "t"}))
+    assert fused(df, Binding(("id",)), [("x", part)]).first()["x"] == 2 * 86400
+
+
+def test_each_distinct_input_has_a_grouping_of_its_own(spark):
+    """No grouping has a copy of each row for each distinct column."""
+    df = spark.range(50).selectExpr("id % 5 AS k", "id AS a", "id % 3 AS b", "CAST(id % 7 AS double) AS c")
+    parts = [(n, PATTERNS["distinct_count"].build(Binding(("k",), {"nominal": n}))) for n in ("a", "b")]
+    parts += [(f, PATTERNS["aggregate_distinct"].build(Binding(("k",), {"numerical": "c"}, {"f": f}))) for f in ("avg", "sum")]
+    out = fused(df, Binding(("k",)), parts)
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r["k"]: (r["a"], r["b"]) for r in out.collect()} == {k: (10, 3) for k in range(5)}
+
+
+def test_scores_join_no_rows(spark):
+    """R squared and chi-square look at counts by value only: no join on rows, and none by feature alone that is shuffled."""
+    df = spark.range(200).selectExpr("CAST(id % 13 AS string) AS f", "CAST(id AS double) AS x", "CAST(id % 5 AS double) AS y", "CAST(id % 3 AS string) AS z")
+    for got in (score.r_square(df, ["f", "x"], "y"), score.chi_square(df, ["f", "x"], "z")):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "Cartesian" not in plan
+    import numpy as np
+
+    pdf = df.toPandas()
+    x = pdf.groupby("f")["y"].transform("mean")
+    want = {"f": len(pdf) * np.corrcoef(x, pdf["y"])[0, 1] ** 2, "x": len(pdf) * np.corrcoef(pdf["x"], pdf["y"])[0, 1] ** 2}
+    assert {r[0]: r[1] for r in score.r_square(df, ["f", "x"], "y").collect()} == pytest.approx(want, rel=1e-9)
+
+
+def test_naive_bayes_with_many_classes(spark, monkeypatch):
+    """Salted classes give what broadcast ones give."""
+    from loomwright.functions import target
+
+    df = spark.createDataFrame([(k, "abc"[k % 3], "xyz"[(k * k) % 3]) for k in range(60)], "id int, v string, t string")
+    b = Binding(("id",), {"nominal": "v"}, target="t", target_value="x")
+    want = sorted(map(tuple, PATTERNS["direct_nb"].build(b).make(df).collect()))
+    monkeypatch.setattr(target, "MOST_CLASSES", 0)
+    assert sorted(map(tuple, PATTERNS["direct_nb"].build(b).make(df).collect())) == want and len(want) == 60
+
+
+def test_tables_and_keys_of_a_database(spark):
+    """An embedded database: tables, views, keys, composite keys, unique indexes and columns without null."""
+    from loomwright.sources.database import Database
+    from loomwright.sources.keys import ForeignKey
+
+    url = "jdbc:derby:memory:loomwright;create=true"
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url)
+    statement = connection.createStatement()
+    for sql in (
+        "CREATE TABLE customers (id INT PRIMARY KEY, y VARCHAR(9) NOT NULL)",
+        "CREATE TABLE trades (trade INT, part INT, id INT REFERENCES customers (id), amount DOUBLE, CONSTRAINT p PRIMARY KEY (trade, part))",
+        "CREATE TABLE notes (trade INT, part INT, text VARCHAR(20), code INT NOT NULL CONSTRAINT u UNIQUE, CONSTRAINT f FOREIGN KEY (trade, part) REFERENCES trades (trade, part))",
+        "INSERT INTO customers VALUES (1, 'a'), (2, 'b'), (3, 'a')",
+        "INSERT INTO trades VALUES (1, 1, 1, 5), (2, 1, 1, 7), (3, 1, 2, 1), (4, 1, 3, 9)",
+    ):
+        statement.execute(sql)
+    with Database(spark, url, "APP") as database:
+        names = database.tables()
+        assert names == ["CUSTOMERS", "NOTES", "TRADES"] and database.tables(black=["NOTES"]) == ["CUSTOMERS", "TRADES"] and "APP" in database.schemas()
+        keys = database.foreign_keys(names)
+        assert {(k.table, k.columns, k.f_table, k.f_columns) for k in keys} == {("CUSTOMERS", ("ID",), "TRADES", ("ID",)), ("TRADES", ("TRADE", "PART"), "NOTES", ("TRADE", "PART"))}
+        assert all(isinstance(k, ForeignKey) for k in keys) and database.foreign_keys(["TRADES"]) == []
+        assert database.primary_keys(names) == {"CUSTOMERS": "ID", "NOTES": "CODE"}
+        assert {"CUSTOMERS.Y", "TRADES.PART", "NOTES.CODE"} <= set(database.not_null(names)) and "TRADES.ID" not in database.not_null(names)
+        tables = {n: database.table(n) for n in names}
+        got = run(tables, keys, Settings("CUSTOMERS", ["ID"], ["Y"], least_relevance=0.0), [PATTERNS["aggregate"], PATTERNS["count"]], primary=database.primary_keys(names))
+        assert got.main_sample().count() == 3 and {t.table for t in got.tables} == {"CUSTOMERS", "TRADES"}
 
 
 def test_expansion(spark):
@@ -233,10 +365,19 @@ def test_journal_leaves_out():
     assert [x.spec.number for x in j.best()] == [6]
     twin = _scored(7, 0.6)
     twin.rows = 6
-    assert not j.add(twin)
+    assert not j.add(twin) and twin.duplicate_of == j.best()[0].spec.name
     assert j.failed_patterns() == ["broken"]
 
 
+def test_duplicates_of_features_that_were_not_kept():
+    """A twin of a good feature is left out also where the first has gone since."""
+    j = Journal(["t0"], 1)
+    assert j.add(_scored(1, 0.5)) and j.add(_scored(2, 0.9))
+    twin = _scored(3, 0.5)
+    twin.rows = 1
+    assert not j.add(twin) and twin.duplicate_of and [x.spec.number for x in j.best()] == [2]
+
+
 def test_specs_round_trip():
     x = _scored(1, 0.5)
     x.spec = replace(x.spec, columns=(("numerical", "a"),), params=(("f", "avg"), ("lag", 3)))
