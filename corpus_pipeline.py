@@ -7,28 +7,32 @@ from pyspark.sql import DataFrame, SparkSession
 from loomwright.llm import mixing, near_dedup, packing, quality, secrets
 from loomwright.llm.common import Workspace, table
 
-
 #: Documents are near-duplicates in the pipeline from this similarity on; op5's query has its own.
 NEAR_PERCENT = 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that no rule rejects; null and empty texts fail the base and go. Every other column comes back as it was."""
     return quality.keep_good(docs)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: the one with the least doc_id, with all its rows. Rows without words or without doc_id stay."""
     return near_dedup.keep_one_of_each(docs, percent=NEAR_PERCENT)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with each secret in a text replaced by a mark and n_chars following; null and empty texts stay as they are."""
     return secrets.redact_secrets(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix takes its words, to the nearest whole copy; rows without words take none. Null is a source of its own."""
     return mixing.mix(docs)
 
 
 def length_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each piece of a text: doc_id, piece, n_tokens, bucket, batch, slot; a text without words is one piece without a bucket."""
     return packing.pack(docs)
 
 
