@@ -34,6 +34,23 @@ def test_recall_on_many(spark):
     assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) > 0.97
 
 
+def test_recall_where_few_of_the_vectors_are_scored_exactly(spark):
+    """RERANK is less than a twentieth of the table here: the codes decide what is found."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(11_000, 16)) * rng.uniform(0.5, 2, (11_000, 1))
+    assert neighbours.RERANK < len(x) / 20
+    rows = [(k, v.astype(float).tolist()) for k, v in enumerate(x)]
+    got, want = found(neighbours.search(spark.createDataFrame(rows, SCHEMA), query_every=100)), exact(rows, 20, 100)
+    assert got.keys() == want.keys() and np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) > 0.95
+
+
+def test_very_long_vectors(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, v.tolist()) for k, v in enumerate(rng.normal(size=(60, 3000)))]
+    got, want = found(neighbours.search(spark.createDataFrame(rows, SCHEMA), k=5)), exact(rows, 5, 20)
+    assert got == want
+
+
 def test_ties_copies_and_few_rows(spark):
     rows = [(k, [1.0, 0.0]) for k in range(60)] + [(60, [0.0, 1.0]), (61, [2.0, 1.0])]
     got = found(neighbours.search(spark.createDataFrame(rows, SCHEMA), k=5))

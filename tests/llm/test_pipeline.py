@@ -95,6 +95,22 @@ def test_the_rest_does_not_need_the_corpus_operators(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
 
 
+def test_tests_of_the_rest_pass_without_the_corpus_operators(tmp_path):
+    """All of them are collected, and those that need no test tables run."""
+    import os
+    import shutil
+
+    here = os.path.dirname(corpus_pipeline.__file__)
+    for name in ("loomwright", "tests"):
+        shutil.copytree(f"{here}/{name}", tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "bench.py"):
+        shutil.copy(f"{here}/{name}", tmp_path)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = lambda *more: subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "-p", "no:cacheprovider", *more], cwd=tmp_path, env=env, check=True, timeout=600)
+    run("--collect-only", "tests")
+    run("tests/test_patterns.py")
+
+
 def test_a_cluster_needs_a_shared_folder(spark):
     class Cluster:
         master = "spark://host:7077"
