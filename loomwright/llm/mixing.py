@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, quoted, shuffle_width, words
-from .prefix import running_start, slices_for
+from .prefix import place_of, running_start, slice_of, slices_for
 
 WEIGHTS = (1, 2, 3)
 EPOCHS = 3
@@ -134,16 +134,6 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return docs.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(source_col)).cast("string").alias("_source"), size.alias("_size"))
 
 
-def place_of(id_: Column, what: str) -> Column:
-    """A pseudo-random place, 0 to 2**60: the first 15 hexadecimal digits of a digest, which SQL engines agree on."""
-    return F.conv(F.substring(F.md5(F.concat(F.coalesce(id_.cast("string"), F.lit("")), F.lit(what))), 1, 15), 16, 10).cast("long")
-
-
-def slice_of(place: str, slices: int) -> Column:
-    """The stretch of places, of so many, a power of two, that a place is in: slices follow each other in the order of places."""
-    return F.shiftright(place, 60 - (slices.bit_length() - 1)).cast("int")
-
-
 def _beside_sources(rows: DataFrame, per: DataFrame, n_sources: int, n_rows: int) -> DataFrame:
     """rows with their source's columns: (_s, ...) of per, whose n is its rows."""
     on = F.col("_source").eqNullSafe(F.col("_s"))
@@ -163,7 +153,7 @@ def taken_words(rows: DataFrame, work: Workspace) -> DataFrame:
     per = work.keep(with_targets(numbered(per, work)), "sources")
     got = per.agg(F.count("*").alias("sources"), F.sum("n").alias("rows")).first()
     mine = with_blocks(per).select(F.col("_source").alias("_s"), "src", F.col("size").alias("_source_size"), F.col("target").alias("_target"), F.col("block").alias("_block"), "n")
-    rows = _beside_sources(rows, mine, got["sources"], got["rows"] or 0).drop("_s", "n").withColumn("_place", place_of(F.col("_id"), ":mix"))
+    rows = _beside_sources(rows, mine, got["sources"], got["rows"] or 0).drop("_s", "n").withColumn("_place", place_of(F.col("_id"), F.lit(":mix")))
     rows = running_start(rows, ["src"], ["_place", "_id", "_size"], slice_of("_place", slices_for(got["rows"] or 0)), F.col("_size"), "_start")
     rows = work.keep(rows.drop("_place"), "placed")
 

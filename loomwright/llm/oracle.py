@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .mixing import EPOCHS, GOLDEN, MOST_BLOCK, PARTS, POINT_BITS, SLOTS, WEIGHTS
+from .packing import BUCKETS, BUDGET, LONGEST
 from .urls import ENDINGS, LOWER, LURES, RULES, TRADES, UPPER
 
 #: Split pattern of words, and the words of a column ``t``.
@@ -101,3 +102,31 @@ t AS (SELECT r, src, size, start, block, unnest(range(CAST(start // block AS BIG
 v AS (SELECT r, sum((least(start + size, (t.block_no + 1) * block) - greatest(start, t.block_no * block)) * times) AS taken FROM t JOIN n ON n.src = t.src AND n.block_no = t.block_no GROUP BY r)
 SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM o LEFT JOIN v ON v.r = o.r
 """
+
+PACKING = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, CAST(len({_WORDS}) AS BIGINT) AS size FROM (SELECT *, coalesce(text, '') AS t FROM documents)),
+p AS (SELECT r, doc_id, piece, least({LONGEST}, size - piece * {LONGEST}) AS n FROM (SELECT *, unnest(range(greatest((size + {LONGEST - 1}) // {LONGEST}, 1))) AS piece FROM d)),
+h AS (SELECT n, CAST(count(*) AS BIGINT) AS c FROM p WHERE n > 0 GROUP BY n),
+l AS (SELECT row_number() OVER (ORDER BY n) AS j, n, CAST(sum(c) OVER (ORDER BY n) AS BIGINT) AS before, CAST(sum(c * n) OVER (ORDER BY n) AS BIGINT) AS tokens FROM h),
+z AS (SELECT * FROM l UNION ALL SELECT 0, 0, 0, 0),
+m AS (SELECT max(j) AS all_kinds, least({BUCKETS}, max(j)) AS buckets FROM l),
+c AS (
+    SELECT 0 AS k, CAST(0 AS BIGINT) AS j, CAST(0 AS BIGINT) AS cost, CAST(0 AS BIGINT) AS came
+    UNION ALL
+    SELECT k + 1, e.j, min(cost + (e.before - a.before) * e.n - (e.tokens - a.tokens)), arg_min(a.j, struct_pack(x := cost + (e.before - a.before) * e.n - (e.tokens - a.tokens), y := a.j))
+    FROM c JOIN z a ON a.j = c.j JOIN l e ON e.j > a.j, m WHERE k < buckets GROUP BY k, e.j
+),
+b AS (
+    SELECT c.k, c.j, c.came FROM c, m WHERE c.k = buckets AND c.j = all_kinds
+    UNION ALL
+    SELECT c.k, c.j, c.came FROM b JOIN c ON c.k = b.k - 1 AND c.j = b.came WHERE b.k > 1
+),
+g AS (SELECT l.n AS bucket, coalesce(lag(l.n) OVER (ORDER BY l.n), 0) AS above FROM b JOIN l ON l.j = b.j),
+o AS (
+    SELECT doc_id, piece, n, bucket, greatest(1, {BUDGET} // bucket) AS hold,
+        row_number() OVER (PARTITION BY bucket ORDER BY CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':pack:' || piece), 1, 15) AS BIGINT), doc_id NULLS FIRST, piece, n) - 1 AS place
+    FROM p JOIN g ON n > above AND n <= bucket
+)
+SELECT doc_id, piece, n AS n_tokens, bucket, place // hold AS batch, place % hold AS slot FROM o
+UNION ALL SELECT doc_id, piece, n, NULL, NULL, NULL FROM p WHERE n = 0
+"""

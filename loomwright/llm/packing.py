@@ -19,8 +19,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, words
-from .prefix import running_start, slices_for
+from .common import Workspace, quoted, words
+from .prefix import place_of, running_start, slice_of, slices_for
 
 LONGEST, BUCKETS, BUDGET = 2048, 16, 65536
 
@@ -54,7 +54,7 @@ def boundaries(histogram: dict[int, int], buckets: int = BUCKETS) -> list[int]:
 
 
 def pieces(docs: DataFrame, id_col: str, length: Column, longest: int) -> DataFrame:
-    df = docs.select(F.col(id_col).alias("_id"), length.cast("long").alias("_all"))
+    df = docs.select(F.col(quoted(id_col)).alias("_id"), length.cast("long").alias("_all"))
     cut = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("_all") / longest) - 1, F.lit(0).cast("long"))))
     return df.select("_id", "_all", cut.alias("piece")).select("_id", "piece", F.least(F.lit(longest).cast("long"), F.col("_all") - F.col("piece") * longest).alias("n_tokens"))
 
@@ -62,7 +62,7 @@ def pieces(docs: DataFrame, id_col: str, length: Column, longest: int) -> DataFr
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: Column | None = None, longest: int = LONGEST, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """One row for each piece: id, piece, n_tokens, bucket (its boundary), batch, slot (place in the batch)."""
     work = Workspace(docs.sparkSession, "packing")
-    length = F.size(words(text_col)) if length is None else length
+    length = F.size(words(F.col(quoted(text_col)))) if length is None else length
     rows = work.keep(pieces(docs, id_col, length, longest), "pieces")
     histogram = {r["n_tokens"]: r["n"] for r in rows.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}
     edges = boundaries(histogram, buckets)
@@ -70,9 +70,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     out = empty
     if edges:
         some = rows.filter("n_tokens > 0").withColumn("bucket", F.expr(f"element_at(filter(array({','.join(f'{e}L' for e in edges)}), e -> e >= n_tokens), 1)"))
-        some = some.withColumn("_hash", F.xxhash64("_id", "piece", F.lit("pack")))
-        n = slices_for(sum(histogram.values()))
-        some = running_start(some, ["bucket"], ["_hash", "_id", "piece", "n_tokens"], F.pmod(F.shiftrightunsigned("_hash", 40), F.lit(n)).cast("int"), F.lit(1), "_rank")
+        some = some.withColumn("_place", place_of(F.col("_id"), F.concat(F.lit(":pack:"), F.col("piece").cast("string"))))
+        some = running_start(some, ["bucket"], ["_place", "_id", "piece", "n_tokens"], slice_of("_place", slices_for(sum(histogram.values()))), F.lit(1), "_rank")
         hold = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.col("bucket")))
         some = some.withColumn("_hold", hold)
         out = some.select("_id", "piece", "n_tokens", "bucket", F.floor(F.col("_rank") / F.col("_hold")).alias("batch"), (F.col("_rank") % F.col("_hold")).alias("slot")).unionByName(empty)

@@ -17,6 +17,16 @@ def slices_for(rows: int) -> int:
     return 1 << max(6, (max(rows, 1) // SLICE_ROWS).bit_length())
 
 
+def place_of(id_: Column, what: Column) -> Column:
+    """A pseudo-random place, 0 to 2**60: the first 15 hexadecimal digits of a digest, which SQL engines agree on."""
+    return F.conv(F.substring(F.md5(F.concat(F.coalesce(id_.cast("string"), F.lit("")), what)), 1, 15), 16, 10).cast("long")
+
+
+def slice_of(place: str, slices: int) -> Column:
+    """The stretch of places, of so many, a power of two, that a place is in: slices follow each other in the order of places."""
+    return F.shiftright(place, 60 - (slices.bit_length() - 1)).cast("int")
+
+
 def running_start(df: DataFrame, group: list[str], order: list[str], slice_of: Column, amount: Column, name: str) -> DataFrame:
     """Adds the sum of amount over the rows of a group that come before, by slice and then by order.
 

@@ -56,6 +56,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": oracle.QUALITY,
     "op3_url_filter": oracle.URLS,
     "op5_minhash_near_dedup": oracle.NEAR_DUPLICATES,
+    "op8_packing": oracle.PACKING,
     "op9_nearest_neighbours": oracle.NEIGHBOURS,
     "op10_source_mixing": oracle.MIXING,
 }

@@ -28,7 +28,7 @@ def test_counts_match_brute_force(spark, documents):
 def test_query_matches_sql(spark, duck, same):
     from loomwright.llm.queries import ORACLE_SQL, QUERIES
 
-    for name in ("op2_quality_rules", "op3_url_filter", "op5_minhash_near_dedup", "op9_nearest_neighbours", "op10_source_mixing"):
+    for name in ("op2_quality_rules", "op3_url_filter", "op5_minhash_near_dedup", "op8_packing", "op9_nearest_neighbours", "op10_source_mixing"):
         same(QUERIES[name](spark, "/root/testdata/sf0.001").toPandas(), duck.execute(ORACLE_SQL[name]).df())
 
 
