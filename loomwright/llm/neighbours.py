@@ -4,7 +4,8 @@ Equal vectors are one entry with its least ids (one more than the neighbours ask
 query's own id may be among them), so that thousands of copies neither crowd the candidates
 nor meet in one task. Directions are encoded with additive codebooks fitted on a bounded
 sample (SAMPLE); norms are stored. Every query meets every entry's code in blocks: a group
-is one block of entries and one of queries, scored by lookup tables. The best RERANK
+is one block of entries and one of queries, scored by lookup tables. Work grows with queries
+times entries, and codes are shuffled once for each block of queries. The best RERANK
 estimates of each query are scored again, in double precision on the original vectors.
 
 Defined results: vectors that are null, zero, hold a null or a number that isn't finite, or
@@ -24,12 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import additive
-from .common import Workspace
+from .common import Workspace, quoted, shuffle_width
 
 SAMPLE = 16384  # vectors that the codebooks are fitted on
 CODEBOOKS, WORDS, BEAM = 24, 256, 4
 RERANK = 512  # candidates of a query that are scored exactly
-ENTRY_BLOCK, QUERY_BLOCK = 65536, 512
+#: Entries and queries of a group at most; queries fill the tasks there are before their blocks are larger than FEW_QUERIES.
+ENTRY_BLOCK, QUERY_BLOCK, FEW_QUERIES = 65536, 8192, 512
+SCORED_AT_ONCE = 64  # queries whose lookup tables are held at a time
 
 CODED = T.StructType([T.StructField("entry", T.LongType()), T.StructField("codes", T.BinaryType()), T.StructField("norm", T.DoubleType())])
 NEAR = T.StructType([T.StructField("query", T.LongType()), T.StructField("entry", T.LongType()), T.StructField("estimate", T.FloatType())])
@@ -38,7 +41,7 @@ NEAR = T.StructType([T.StructField("query", T.LongType()), T.StructField("entry"
 def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, vector) of the rows that take part, one for each id."""
     ok = F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).filter(F.col("id").isNotNull() & ok)
+    rows = vectors.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(vector_col)).alias("vector")).filter(F.col("id").isNotNull() & ok)
     lengths = rows.groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").limit(1).collect()
     d = lengths[0]["n"] if lengths else 0
     return rows.filter(F.size("vector") == d).groupBy("id").agg(F.max("vector").alias("vector"))
@@ -81,7 +84,9 @@ def search(vectors: DataFrame, k: int = 20, query_every: int = 20, id_col: str =
     asked = queries.join(entries.select("vector", F.col("entry").alias("query")), "vector").select("id", "query", "vector")
     asked = work.keep(asked, "asked")
     kinds = work.keep(asked.groupBy("query").agg(F.first("vector").alias("vector")), "kinds")
-    query_blocks = max(1, -(-kinds.count() // QUERY_BLOCK))
+    n_queries = kinds.count()
+    # Codes are copied to each block of queries: the fewer, the less is shuffled.
+    query_blocks = max(1, -(-n_queries // QUERY_BLOCK), min(-(-n_queries // FEW_QUERIES), -(-2 * shuffle_width(spark) // blocks)))
 
     # Entries are dealt to blocks by hash: of a query's RERANK best this many at most are in one block, but for six standard deviations.
     in_block = min(RERANK, math.ceil(RERANK / blocks + 6 * math.sqrt(RERANK / blocks)) + 8)
@@ -96,11 +101,12 @@ def search(vectors: DataFrame, k: int = 20, query_every: int = 20, id_col: str =
         norm = codes["norm"].to_numpy(np.float32)[order]
         out = []
         keep = min(in_block, len(entry))
-        lookups = additive.tables(_matrix(asking["vector"]), shared.value).astype(np.float32)
-        for at in range(0, len(asking), 64):
-            s = additive.scores(lookups[at : at + 64], matrix, norm)
+        vectors = _matrix(asking["vector"])
+        for at in range(0, len(asking), SCORED_AT_ONCE):
+            lookups = additive.tables(vectors[at : at + SCORED_AT_ONCE], shared.value).astype(np.float32)
+            s = additive.scores(lookups, matrix, norm)
             best = np.argpartition(-s, keep - 1, axis=1)[:, :keep] if keep < len(entry) else np.tile(np.arange(keep), (len(s), 1))
-            names = asking["query"].to_numpy()[at : at + 64]
+            names = asking["query"].to_numpy()[at : at + SCORED_AT_ONCE]
             out.append(pd.DataFrame({"query": np.repeat(names, keep), "entry": entry[best].ravel(), "estimate": np.take_along_axis(s, best, 1).ravel()}))
         return pd.concat(out)
 
