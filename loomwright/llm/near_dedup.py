@@ -231,12 +231,12 @@ def _near(t: dict, most: float, percent: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _forest_pairs(t: dict, most: float, percent: int) -> list[tuple]:
-    """A forest of the most similar pairs of a group: between its rows, or where they have labels between these."""
+    """A forest of the most similar pairs of a group, between its rows, or where they have labels between these; its group, and whether it leaves pairs out."""
     i, j = _near(t, most, percent)
     ends = t.get("label", np.arange(len(t["fp"])))
     kept = _forest(ends[i], ends[j], int(ends.max(initial=0)) + 1)
     pairs = {(min(p, q), max(p, q)) for p, q in ((t["fp"][i[k]], t["fp"][j[k]]) for k in kept)}
-    return sorted(p for p in pairs if p[0] != p[1])
+    return [(p, q, t["group"], int(len(kept) < len(i))) for p, q in sorted(pairs) if p != q]
 
 
 def _left_open(t: dict, most: float, percent: int) -> list[tuple]:
@@ -271,6 +271,7 @@ def _links(t: dict, most: float, percent: int) -> list[tuple]:
 
 
 PAIRS = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+PROPOSED = T.StructType([*PAIRS.fields, T.StructField("group", T.LongType()), T.StructField("more", T.IntegerType())])
 OPEN = T.StructType([T.StructField("group", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("side", T.IntegerType())])
 
 
@@ -360,10 +361,21 @@ def _block(blocks: Column) -> Column:
 _SHAPE = ("fp", "n_shingles", "sketch", "parity")
 
 
+def _first_group() -> Column:
+    return F.xxhash64("key", _block(F.col("blocks")))
+
+
 def _first_pairs(buckets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """A forest of likely pairs in each block of each bucket."""
-    rows = buckets.select("fp", F.xxhash64("key", _block(F.col("blocks"))).alias("group"), F.lit(0).alias("side")).join(nodes.select(*_SHAPE), "fp")
-    return _by_group(rows, _forest_pairs, PAIRS, percent).distinct()
+    rows = buckets.select("fp", _first_group().alias("group"), F.lit(0).alias("side")).join(nodes.select(*_SHAPE), "fp")
+    return _by_group(rows, _forest_pairs, PROPOSED, percent)
+
+
+def _unsettled(buckets: DataFrame, proposed: DataFrame) -> DataFrame:
+    """The buckets of several blocks, or with likely pairs that were not proposed: in all others every pair is ruled out or proposed."""
+    more = proposed.filter("more = 1").select("group").distinct()
+    one = buckets.filter("blocks = 1").withColumn("group", _first_group()).join(more, "group", "left_semi").drop("group")
+    return buckets.filter("blocks > 1").unionByName(one)
 
 
 def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -383,7 +395,7 @@ def _representative_pairs(mixed: DataFrame, nodes: DataFrame, percent: int) -> D
     blocks = F.ceil(F.col("labels") * REPRESENTATIVES / BLOCK).cast("int")
     group = F.xxhash64("key", F.pmod(F.xxhash64("label", "key"), F.greatest(blocks, F.lit(1))))
     rows = few.select("fp", "label", group.alias("group"), F.lit(0).alias("side")).join(nodes.select(*_SHAPE), "fp")
-    return _by_group(rows, _forest_pairs, PAIRS, percent).distinct()
+    return _by_group(rows, _forest_pairs, PROPOSED, percent).select("a", "b").distinct()
 
 
 def _last_links(mixed: DataFrame, nodes: DataFrame, docs: DataFrame, work: Workspace, percent: int) -> DataFrame:
@@ -402,11 +414,11 @@ def _last_links(mixed: DataFrame, nodes: DataFrame, docs: DataFrame, work: Works
     with_largest = F.transform(upto("b_largest"), lambda k: one(k, F.col("block"), "largest", F.lit(1)))
     largest = F.transform(upto("b_others"), lambda k: one(F.col("block"), k, "largest", F.lit(0)))
     tiles = rows.select("fp", "label", F.explode(F.when(F.col("own"), largest).otherwise(F.concat(with_others, with_largest))).alias("x")).select("fp", "label", "x.group", "x.side")
-    open_ = work.keep(_by_group(tiles.join(nodes.select("fp", "n_shingles", "sketch"), "fp"), _left_open, OPEN, percent), "open")
-    names = work.keep(mixed.select("fp", "label").distinct(), "names")
-    open_ = work.keep(_by_group(open_.join(names, "fp").join(nodes.select(*_SHAPE), "fp"), _left_open, OPEN, percent), "open-by-parity")
+    names = work.keep(mixed.select("fp", "label").distinct().join(nodes.select(*_SHAPE), "fp"), "names")
+    open_ = work.keep(_by_group(tiles.join(names.select("fp", "n_shingles", "sketch"), "fp"), _left_open, OPEN, percent), "open")
+    open_ = work.keep(_by_group(open_.join(names, "fp"), _left_open, OPEN, percent), "open-by-parity")
     texts = _texts(open_.select("fp").distinct(), nodes, docs)
-    return _by_group(open_.join(names, "fp").join(nodes.select(*_SHAPE), "fp").join(texts, "fp"), _links, PAIRS, percent).distinct()
+    return _by_group(open_.join(names, "fp").join(texts, "fp"), _links, PAIRS, percent).distinct()
 
 
 def _texts(fps: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -451,25 +463,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.filter(F.col("_id").isNotNull() & F.col("_text").isNotNull())
 
     buckets = work.keep(_buckets(nodes, work), "buckets")
-    pairs = work.keep(_first_pairs(buckets, nodes, percent), "pairs")
-    links = work.keep(_confirmed(pairs, nodes, texts, percent).unionByName(shared), "links")
+    # Nodes that share a bucket are few, and all that is looked at from here on.
+    members = work.keep(nodes.select(*_SHAPE, "rep").join(buckets.select("fp").distinct(), "fp", "left_semi"), "members")
+    proposed = work.keep(_first_pairs(buckets, members, percent), "proposed")
+    pairs = work.keep(proposed.select("a", "b").distinct(), "pairs")
+    links = work.keep(_confirmed(pairs, members, texts, percent).unionByName(shared), "links")
     labels = work.keep(components(links, work, "first"), "labels")
-    mixed = work.keep(_mixed(buckets, labels), "mixed")
+    unsettled = work.keep(_unsettled(buckets, proposed), "unsettled")
+    mixed = work.keep(_mixed(unsettled, labels), "mixed")
     if not mixed.isEmpty():
-        more = work.keep(_representative_pairs(mixed, nodes, percent).join(pairs, ["a", "b"], "left_anti"), "pairs-2")
-        more = work.keep(_confirmed(more, nodes, texts, percent), "links-2")
+        more = work.keep(_representative_pairs(mixed, members, percent).join(pairs, ["a", "b"], "left_anti"), "pairs-2")
+        more = work.keep(_confirmed(more, members, texts, percent), "links-2")
         if not more.isEmpty():
             links = work.keep(links.unionByName(more), "links-12")
             labels = work.keep(components(links, work, "second"), "labels-2")
-            mixed = work.keep(_mixed(buckets, labels), "mixed-2")
-        last = work.keep(_last_links(mixed, nodes, texts, work, percent), "links-3")
+            mixed = work.keep(_mixed(unsettled, labels), "mixed-2")
+        last = work.keep(_last_links(mixed, members, texts, work, percent), "links-3")
         if not last.isEmpty():
             labels = work.keep(components(links.unionByName(last), work, "third"), "labels-3")
 
     roots = nodes.select("fp", "rep").join(labels, nodes["fp"] == labels["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
     moved = work.keep(roots.join(least, "root").select("fp", "component_id"), "moved")
-    work.drop("nodes", "sizes", "buckets", "pairs", "links", "labels", "mixed", "pairs-2", "links-2", "links-12", "labels-2", "mixed-2", "open", "names", "open-by-parity", "links-3", "labels-3")
+    work.drop("nodes", "sizes", "buckets", "members", "proposed", "unsettled", "pairs", "links", "labels", "mixed", "pairs-2", "links-2", "links-12", "labels-2", "mixed-2", "open", "names", "open-by-parity", "links-3", "labels-3")
     out = signed.select("_id", "fp", "n_shingles").join(moved, "fp", "left")
     component = F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id"))
     return out.select(F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept"))
