@@ -192,5 +192,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     work.drop("sized", "ranges", "sources", "placed")
     row = F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("_row")
     out = docs.select(row, F.col(quoted(id_col)).alias("_id"), F.col(quoted(source_col)).cast("string").alias("_source"), F.size(words(F.col(quoted(text_col)))).cast("long").alias("_size"))
-    out = out.join(each, F.col("_id").eqNullSafe(F.col("_key")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")))
+    # A merge join at any size: a broadcast that only small inputs get would say nothing of large ones.
+    out = out.join(each.hint("merge"), F.col("_id").eqNullSafe(F.col("_key")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")))
     return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
