@@ -111,12 +111,15 @@ def test_tests_of_the_rest_pass_without_the_corpus_operators(tmp_path):
     run("tests/test_patterns.py")
 
 
-def test_a_cluster_needs_a_shared_folder(spark):
+def test_a_cluster_needs_a_shared_folder():
     class Cluster:
         master = "spark://host:7077"
 
+    class Unset:
+        get = staticmethod(lambda key, default: default)
+
     class Session:
-        conf, sparkContext = spark.conf, Cluster
+        conf, sparkContext = Unset, Cluster
 
     with pytest.raises(ValueError):
         Workspace(Session, "test")
