@@ -10,12 +10,15 @@ pieces of three characters or more stay in pieces.
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
 
 #: Letters that a sign commonly stands for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
+#: Signs after a word that stand for no letter: a word of letters before them is read as it is without them.
+STOPS = ".,;:?"
 SEPARATORS = set(".-_*~'`,:;/\\ #^=\"&%")
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
@@ -85,36 +88,77 @@ def plain(word: str) -> str:
     return m[0] if m else ""
 
 
-def options(word: str) -> list[list[tuple[int, float, str]]]:
+@functools.lru_cache(1 << 14)
+def readings_of(o: str, again: bool, outside: bool) -> tuple[tuple[int, float, str], ...]:
+    """What a character may stand for, by whether it is the one before again and whether it is outside the word's core."""
+    if o == " ":
+        return (0, SAME, " "), (-1, JOINED, "")
+    some: list[tuple[int, float, str]] = []
+    if o in CODE:
+        some.append((CODE[o], SAME, o))
+    elif o.isalpha():
+        some.append((OTHER, SAME, o))
+    some += [(CODE[x], AS_LETTER, x) for x in LEET.get(o, "")]
+    if again and (o in CODE or o in LEET):
+        some.append((-1, REPEATED, ""))
+    if outside and not o.isalpha():
+        some.append((-1, EDGE, ""))
+    elif o in SEPARATORS:
+        some.append((-1, DROPPED, ""))
+    elif not o.isalpha():
+        some.append((-1, NOISE, ""))
+    return tuple(some)
+
+
+def options(word: str) -> list[tuple[tuple[int, float, str], ...]]:
     """For each character of a lower-case word or run: what it may stand for, as (letter's number, cost, letter); number -1 for nothing, 0 for a gap."""
     m = CORE.search(word)
     first, end = m.span() if m else (0, len(word))
-    out, last = [], ""
-    for at, o in enumerate(word):
-        some: list[tuple[int, float, str]] = []
-        if o == " ":
-            some = [(0, SAME, " "), (-1, JOINED, "")]
-        else:
-            if o in CODE:
-                some.append((CODE[o], SAME, o))
-            elif o.isalpha():
-                some.append((OTHER, SAME, o))
-            some += [(CODE[x], AS_LETTER, x) for x in LEET.get(o, "")]
-            if o == last and (o in CODE or o in LEET):
-                some.append((-1, REPEATED, ""))
-            if not first <= at < end and not o.isalpha():
-                some.append((-1, EDGE, ""))
-            elif o in SEPARATORS:
-                some.append((-1, DROPPED, ""))
-            elif not o.isalpha():
-                some.append((-1, NOISE, ""))
-        out.append(some)
-        last = o
-    return out
+    return [readings_of(o, o == last, not first <= at < end) for at, (last, o) in enumerate(zip("\0" + word, word, strict=False))]
 
 
 def decode(word: str, costs: list[float]) -> str:
     """The likeliest letters, and gaps, behind a lower-case word or run of words with single blanks."""
+    return letters_alone(word, costs) if word.isalpha() else through_lattice(word, costs)
+
+
+def letters_alone(word: str, costs: list[float]) -> str:
+    """What the lattice says of a lower-case word of letters, without building it.
+
+    Only a letter repeated leaves a choice: at most two states, the letter read more than once
+    and read once, which the next other letter makes one again. Costs are summed as in the lattice.
+    """
+    out: list[str] = []
+    last, two, total, copies = "", 0, 0.0, 0
+    before, once = 0, None  # the state where the letter repeated is read once, if there is one
+    for o in word:
+        c = CODE.get(o, OTHER)
+        if o != last or c == OTHER:
+            kept = total + SAME + costs[two * SIZE + c]
+            if once is not None:
+                other = once + SAME + costs[before * SIZE + c]
+                if other < kept:
+                    kept, copies = other, 1
+                once = None
+            out.append(last * copies)
+            last, two, total, copies = o, (two * SIZE + c) % (SIZE * SIZE), kept, 1
+        elif once is None:
+            once, before = total + REPEATED, two
+            total, two, copies = total + SAME + costs[two * SIZE + c], c * SIZE + c, 2
+        else:
+            kept, left, other = total + SAME + costs[two * SIZE + c], total + REPEATED, once + SAME + costs[before * SIZE + c]
+            total, copies = (left, copies) if left < kept else (kept, copies + 1)
+            if other < total:
+                total, copies = other, 2
+            once += REPEATED
+    if once is not None and once + costs[before * SIZE] < total + costs[two * SIZE]:
+        copies = 1
+    out.append(last * copies)
+    return "".join(out)
+
+
+def through_lattice(word: str, costs: list[float]) -> str:
+    """The same for any word or run, by Viterbi search."""
     states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}  # by the last two letters
     for some in options(word):
         new: dict[int, tuple[float, tuple | None]] = {}
@@ -140,12 +184,18 @@ def readings(word: str, costs: list[float]) -> list[str]:
     """The words behind a lower-case word or run: what the lattice says; for words of letters with a double one also as they stand."""
     if " " in word:
         return decode(word, costs).split(" ")
-    if is_noisy(word):
+    as_is = word.rstrip(STOPS)
+    if not as_is.isalpha():
+        if is_noisy(word):
+            return [decode(word, costs)]
+        as_is = plain(word)
+        if not as_is.isalpha():
+            return [as_is]
+    if not DOUBLE.search(as_is):
+        return [as_is]
+    if TRIPLE.search(as_is):
         return [decode(word, costs)]
-    as_is = plain(word)
-    if DOUBLE.search(as_is) and as_is.isalpha():
-        return list(dict.fromkeys((as_is, decode(as_is, costs))))
-    return [as_is]
+    return list(dict.fromkeys((as_is, decode(as_is, costs))))
 
 
 def tokens(text: str) -> set[str]:

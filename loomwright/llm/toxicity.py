@@ -34,7 +34,7 @@ SAMPLE = 20_000  # labelled rows that weights are learnt from
 BUCKETS = 1 << 20  # of hashed words and beginnings
 SHORTEST, LONGEST = 3, 8  # letters of a beginning
 LEAST_TEXTS = 4  # toxic texts that a word must occur in
-CACHE, LONGEST_CACHED = 400_000, 200  # words whose weight a worker remembers, and their characters at most
+CACHE, LONGEST_CACHED = 400_000, 200  # words, and beginnings, whose weight a worker remembers, and words' characters at most
 THRESHOLD = 0.3
 
 COUNTED = T.StructType([T.StructField(c, T.LongType()) for c in ("half", "bucket", "toxic", "clean")])
@@ -63,52 +63,81 @@ class Reader:
 
     def __init__(self, costs: np.ndarray, words: dict[int, float] | None = None, starts: dict[int, float] | None = None):
         self.costs, self.by_word, self.by_start, self.known = costs.tolist(), words or {}, starts or {}, {}
+        self.hashed: dict[str, int] = {}  # buckets of beginnings
+        self.best: dict[str, float] = {}  # greatest weights of beginnings and their own beginnings
 
-    def restored(self, token: str) -> list[bytes]:
+    def restored(self, token: str) -> list[str]:
         """The words behind a token that have SHORTEST letters or more."""
-        return [w.encode("utf-8", "surrogatepass") for w in noisy.readings(token, self.costs) if len(w) >= SHORTEST]
+        return [w for w in noisy.readings(token, self.costs) if len(w) >= SHORTEST]
 
-    def whole(self, word: bytes) -> int:
-        return xxhash.xxh32_intdigest(word + b"$") % BUCKETS
+    def whole(self, word: str) -> int:
+        return xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass") + b"$") % BUCKETS
 
-    def starts(self, word: bytes) -> list[int]:
+    def start(self, text: str) -> int:
+        """The bucket of a beginning, hashed once for all words that have it."""
+        if (got := self.hashed.get(text)) is None:
+            got = xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass")) % BUCKETS
+            _remember(self.hashed, text, got)
+        return got
+
+    def starts(self, word: str) -> list[int]:
         """Buckets of a word's beginnings, none if the word has a weight of its own."""
         if self.whole(word) in self.by_word:
             return []
-        text = word.decode("utf-8", "surrogatepass")
-        return [xxhash.xxh32_intdigest(text[:n].encode("utf-8", "surrogatepass")) % BUCKETS for n in range(SHORTEST, min(LONGEST, len(text)) + 1)]
+        known = self.hashed.get
+        return [b if (b := known(word[:n])) is not None else self.start(word[:n]) for n in range(SHORTEST, min(LONGEST, len(word)) + 1)]
+
+    def best_start(self, text: str) -> float:
+        """The greatest weight of the beginnings of LONGEST letters or fewer, found once for all words that have them."""
+        if (got := self.best.get(text)) is None:
+            got = self.by_start.get(xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass")) % BUCKETS, 0.0)
+            if len(text) > SHORTEST:
+                got = max(got, self.best_start(text[:-1]))
+            _remember(self.best, text, got)
+        return got
 
     def _of(self, token: str, make) -> object:
         if (got := self.known.get(token)) is None:
             got = make(token)
             if len(token) <= LONGEST_CACHED:
-                if len(self.known) > CACHE:
-                    self.known.clear()
-                self.known[token] = got
+                _remember(self.known, token, got)
         return got
 
     def seen_words(self, text: str | None) -> set[int]:
-        own = lambda token: [self.whole(w) for w in self.restored(token)]
-        return {b for t in noisy.tokens(text or "") for b in self._of(t, own)}
+        own = lambda token: tuple([self.whole(w) for w in self.restored(token)])
+        return self._buckets(text, own)
 
     def seen_starts(self, text: str | None) -> set[int]:
-        own = lambda token: [b for w in self.restored(token) for b in self.starts(w)]
-        return {b for t in noisy.tokens(text or "") for b in self._of(t, own)}
+        own = lambda token: tuple([b for w in self.restored(token) for b in self.starts(w)])
+        return self._buckets(text, own)
+
+    def _buckets(self, text: str | None, own) -> set[int]:
+        """What own gives for each token: tuples, since the collector walks remembered lists again and again."""
+        known = self.known.get
+        return set().union(*(got if (got := known(t)) is not None else self._of(t, own) for t in noisy.tokens(text or "")))
 
     def weight(self, token: str) -> float:
         most = 0.0
         for w in self.restored(token):
-            own = self.by_word.get(self.whole(w))
-            most = max(most, own if own is not None else max((self.by_start.get(b, 0.0) for b in self.starts(w)), default=0.0))
+            if (own := self.by_word.get(self.whole(w))) is None and (own := self.best.get(w[:LONGEST])) is None:
+                own = self.best_start(w[:LONGEST])
+            if own > most:
+                most = own
         return most
 
     def strongest(self, text: str | None) -> tuple[float, float, float, float]:
         """The greatest weight of a word, the sum of the three greatest, how many have one, and how many words there are."""
-        words = noisy.tokens(text or "")
-        top = sorted((x for w in words if (x := self._of(w, self.weight))), reverse=True)
+        words, known, weight = noisy.tokens(text or ""), self.known.get, self.weight
+        top = sorted((x for w in words if (x := known(w)) or x is None and (x := self._of(w, weight))), reverse=True)
         return (top[0] if top else 0.0), sum(top[:3]), len(top), len(words)
 
 
+def _remember(known: dict, key: str, value: object) -> None:
+    if len(known) > CACHE:
+        known.clear()
+    known[key] = value
+
+
 def weights_of(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> dict[int, float]:
     """Buckets whose log odds are above 1 even at their lower bound (two standard errors)."""
     odds = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))

@@ -96,6 +96,31 @@ def test_viterbi_finds_the_cheapest_path_of_all(costs):
         assert total[noisy.decode(word, costs)] == pytest.approx(min(total.values()), abs=1e-6), word
 
 
+def test_words_of_letters_are_read_without_a_lattice(costs, monkeypatch):
+    rng = np.random.default_rng(6)
+    words = {"".join(np.repeat(rng.choice(list("abioßéλ一"), 6), rng.integers(1, 4, 6))[: rng.integers(1, 12)]) for _ in range(3000)}
+    want = {w: noisy.through_lattice(w, costs) for w in words}
+    monkeypatch.setattr(noisy, "options", None)
+    assert {w: noisy.decode(w, costs) for w in words} == want
+    assert any(len(w) - len(want[w]) > 1 for w in words) and any(len(w) > 1 and w[-1] == w[-2] != want[w][-2:-1] for w in words)
+    assert noisy.readings("stuupiidd.", costs) == ["stuupiidd", "stupid"]
+
+
+def test_a_beginning_is_hashed_once_for_all_words_that_have_it(costs, monkeypatch):
+    words = [f"wor{a}{b}{c}" for a in "abcd" for b in "efgh" for c in "iklmn"]
+    starts = {w[:n] for w in words for n in range(toxicity.SHORTEST, len(w) + 1)}
+    bucket = lambda text: toxicity.xxhash.xxh32_intdigest(text.encode()) % toxicity.BUCKETS
+    by_start = {bucket("worbf"): 1.5, bucket("worbfk"): 2.5, bucket("worc"): 1.25}
+    want_seen, hashed, real = {bucket(s) for s in starts}, [], toxicity.xxhash.xxh32_intdigest
+    monkeypatch.setattr(toxicity.xxhash, "xxh32_intdigest", lambda b: hashed.append(b) or real(b))
+    assert toxicity.Reader(np.array(costs)).seen_starts(" ".join(words)) == want_seen
+    assert len(hashed) == len(words) + len(starts)  # a word is hashed once as a whole
+    hashed.clear()
+    got = toxicity.Reader(np.array(costs), {}, by_start).strongest(" ".join(words))
+    assert got == (2.5, 2.5 + 2 * 1.5, 5 + 20, len(words))
+    assert len(hashed) == len(words) + len(starts)
+
+
 def test_word_counts_of_both_halves_are_weighed_together():
     toxic, clean = np.zeros(4), np.zeros(4)
     toxic[1], clean[1] = 5, 8
