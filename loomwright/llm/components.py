@@ -1,8 +1,8 @@
 """Connected components of a link table by alternating large-star and small-star steps.
 
-Each round is two joins-free aggregations over links alone (never over all documents) and
-is written to the shared folder. The number of rounds grows with the logarithm of the
-longest chain. A hub's links meet in a window that spills; they are never held as a list.
+Each step is an aggregation and a join over links alone (never over all documents), makes no
+more rows than it has links, and each round is written to the shared folder. The number of
+rounds grows with the logarithm of the longest chain. A hub's links are never held as a list.
 """
 
 from __future__ import annotations
@@ -16,15 +16,18 @@ MOST_ROUNDS = 60
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
-    """Links every node's neighbours (the larger ones, or else the smaller ones and itself) to its least neighbour."""
-    both = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.*") if large else links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    joined = both.join(least, "a")
+    """Links every node's neighbours (the larger ones, or else the smaller ones and itself) to its least neighbour.
+
+    Links are distinct and have a > b, before and after: the least neighbour of a node is the
+    least b that it has as an a, and a node without one is the least itself.
+    """
+    least = links.groupBy("a").agg(F.min("b").alias("m"))
     if large:
-        out = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        out = links.join(least.withColumnRenamed("a", "b"), "b", "left").select("a", F.coalesce("m", "b").alias("b"))
     else:
-        out = joined.select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
-    return out.filter(F.col("a") != F.col("b")).distinct()
+        # The link to the least neighbour stands for the node's own; all others move their end.
+        out = links.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+    return out.distinct()
 
 
 def components(links: DataFrame, work: Workspace, name: str) -> DataFrame:

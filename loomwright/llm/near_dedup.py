@@ -443,6 +443,11 @@ def _signed_fp(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: fingerprint(text_words(t)))
 
 
+def _stars(labels: DataFrame) -> DataFrame:
+    """Components as links, one a node: what joins them further needs no other link of those that made them."""
+    return labels.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row for each row of docs: its id, n_shingles, component_id (the least id that links reach) and kept.
 
@@ -475,17 +480,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = work.keep(_representative_pairs(mixed, members, percent).join(pairs, ["a", "b"], "left_anti"), "pairs-2")
         more = work.keep(_confirmed(more, members, texts, percent), "links-2")
         if not more.isEmpty():
-            links = work.keep(links.unionByName(more), "links-12")
-            labels = work.keep(components(links, work, "second"), "labels-2")
+            labels = work.keep(components(_stars(labels).unionByName(more), work, "second"), "labels-2")
             mixed = work.keep(_mixed(unsettled, labels), "mixed-2")
         last = work.keep(_last_links(mixed, members, texts, work, percent), "links-3")
         if not last.isEmpty():
-            labels = work.keep(components(links.unionByName(last), work, "third"), "labels-3")
+            labels = work.keep(components(_stars(labels).unionByName(last), work, "third"), "labels-3")
 
     roots = nodes.select("fp", "rep").join(labels, nodes["fp"] == labels["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
     moved = work.keep(roots.join(least, "root").select("fp", "component_id"), "moved")
-    work.drop("nodes", "sizes", "buckets", "members", "proposed", "unsettled", "pairs", "links", "labels", "mixed", "pairs-2", "links-2", "links-12", "labels-2", "mixed-2", "open", "names", "open-by-parity", "links-3", "labels-3")
+    work.drop("nodes", "sizes", "buckets", "members", "proposed", "unsettled", "pairs", "links", "labels", "mixed", "pairs-2", "links-2", "labels-2", "mixed-2", "open", "names", "open-by-parity", "links-3", "labels-3")
     out = signed.select("_id", "fp", "n_shingles").join(moved, "fp", "left")
     component = F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id"))
     return out.select(F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept"))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from loomwright.llm import near_dedup as nd
 from loomwright.llm.common import Workspace
-from loomwright.llm.components import components
+from loomwright.llm.components import _star, components
 from pyspark.sql import functions as F
 
 AZ = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -105,6 +105,57 @@ def test_a_group_gives_out_no_more_than_its_rows():
     assert len(nd._forest_pairs(labelled, most, 85)) == 4 and len(nd._left_open(labelled, most, 85)) == 80
 
 
+def made(df):
+    """Rows that each join and generator of df's plan made when it ran."""
+    df.collect()
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        kind = p.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(p.plan())
+        if "Join" in kind or "Generate" in kind:
+            out.append(p.metrics().apply("numOutputRows").value())
+        todo += [p.children().apply(k) for k in range(p.children().size())]
+    return out
+
+
+@pytest.mark.parametrize("large", [True, False])
+def test_a_star_makes_no_more_rows_than_links(spark, large):
+    """However many links a group's forests give, a round's joins make each of them once."""
+    rng = random.Random(4)
+    links = {(max(p), min(p)) for p in (rng.sample(range(60), 2) for _ in range(900))}
+    got = _star(spark.createDataFrame(sorted(links), "a long, b long").repartition(3).localCheckpoint(), large)
+    assert 0 < max(made(got)) <= len(links)
+    near = defaultdict(set)
+    for a, b in links:
+        near[a].add(b)
+        near[b].add(a)
+    if large:
+        want = {(u, min(v, *near[v])) for v in near for u in near[v] if u > v}
+    else:
+        want = {(u, min(x for x in near[v] if x < v)) for v in near for u in {v, *near[v]} if u <= v and min(near[v]) < v}
+    assert {(r["a"], r["b"]) for r in got.collect()} == {(a, b) for a, b in want if a != b}
+
+
+def test_later_components_start_from_one_link_a_node(documents, monkeypatch):
+    """Bands give a large group many links a node; once they are components, no step reads them again."""
+    monkeypatch.setattr(nd, "BLOCK", 8)
+    read = []
+    monkeypatch.setattr(nd, "components", lambda links, work, name: read.append((name, links.count())) or components(links, work, name))
+    # Another link within each component, so that there is a last step whatever the forests found.
+    last = nd._last_links
+    within = lambda mixed: mixed.groupBy("label").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).select("a", "b")
+    monkeypatch.setattr(nd, "_last_links", lambda mixed, *rest: last(mixed, *rest).unionByName(within(mixed)))
+    rows = family(random.Random(6), 120)
+    root, _ = brute(rows)
+    assert {r["doc_id"]: r["component_id"] for r in nd.near_duplicates(documents(rows)).collect()} == root
+    counts = dict(read)
+    assert counts["third"] < len(rows) < counts["first"]
+
+
 def test_components_of_long_chains_and_hubs(spark):
     chain = [(k, k + 1) for k in range(0, 300)]
     hub = [(1000, 1000 + k) for k in range(1, 200)]
