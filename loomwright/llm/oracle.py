@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from .clustering import CLUSTERS, DIMENSIONS, ROUNDS, SCALE, SEED
 from .mixing import EPOCHS, GOLDEN, MOST_BLOCK, PARTS, POINT_BITS, SLOTS, WEIGHTS
 from .packing import BUCKETS, BUDGET, LONGEST
+from .phrases import LEAST, TOP
+from .phrases import LONGEST as LONGEST_PHRASE
 from .urls import ENDINGS, LOWER, LURES, RULES, TRADES, UPPER
 
 #: Split pattern of words, and the words of a column ``t``.
@@ -130,3 +133,58 @@ o AS (
 SELECT doc_id, piece, n AS n_tokens, bucket, place // hold AS batch, place % hold AS slot FROM o
 UNION ALL SELECT doc_id, piece, n, NULL, NULL, NULL FROM p WHERE n = 0
 """
+
+EXACT = f"""
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '{_SPACE}', '', 'g') AS x FROM documents),
+k AS (SELECT doc_id, x, count(*) OVER (PARTITION BY x) AS n, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS place FROM t WINDOW w AS (PARTITION BY x ORDER BY chars DESC, doc_id NULLS LAST))
+SELECT doc_id, keep_id, n AS group_size, place = 1 AS kept, sha256(x) AS text_sha256 FROM k
+"""
+
+
+def _clusters() -> str:
+    """Each round's assignment a<k> and centroids c<k>, as tables that are made once."""
+    parts = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor({SCALE} * x) AS BIGINT)) AS x FROM embeddings "
+        f"WHERE embedding IS NOT NULL AND len(embedding) = {DIMENSIONS} AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x AS m FROM (SELECT x, sha256('{SEED}' || vec_id) AS h FROM v) ORDER BY h, x LIMIT {CLUSTERS})",
+        f"i AS MATERIALIZED (SELECT unnest(range(1, {DIMENSIONS + 1})) AS i)",
+    ]
+    for k in range(ROUNDS + 1):
+        apart = f"list_sum(list_transform(range(1, {DIMENSIONS + 1}), lambda i: (x[i] - m[i]) * (x[i] - m[i])))"
+        parts.append(f"a{k} AS MATERIALIZED (SELECT row, vec_id, x, min(struct_pack(d := CAST(d AS BIGINT), c := c)) AS b FROM (SELECT row, vec_id, x, c, {apart} AS d FROM v, c{k}) GROUP BY row, vec_id, x)")
+        if k < ROUNDS:
+            parts.append(
+                f"c{k + 1} AS MATERIALIZED (SELECT o.c, coalesce(w.m, o.m) AS m FROM c{k} o LEFT JOIN (SELECT c, list(s ORDER BY i) AS m FROM "
+                f"(SELECT b.c AS c, i, CAST((sum(x[i]) - (sum(x[i]) % count(*) + count(*)) % count(*)) // count(*) AS BIGINT) AS s FROM a{k}, i GROUP BY b.c, i) GROUP BY c) w ON w.c = o.c)"
+            )
+    last = f"SELECT vec_id, CAST(b.c AS INTEGER) AS cluster, b.d AS distance, CAST(sum(b.d) OVER (PARTITION BY b.c) AS BIGINT) AS cluster_inertia, CAST(sum(b.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256 FROM a{ROUNDS} JOIN c{ROUNDS} ON c = b.c"
+    return f"WITH {', '.join(parts)} {last}"
+
+
+CLUSTERED = _clusters()
+
+PHRASES = f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS s FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(s, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (
+    SELECT lang, m, ws[i : i + m - 1] AS ws, count(*) AS f FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, (SELECT unnest(range(1, {LONGEST_PHRASE + 1})) AS m) WHERE len(ws) >= m)
+    GROUP BY lang, m, ws[i : i + m - 1]
+),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE m = 1 GROUP BY lang),
+f AS MATERIALIZED (SELECT lang, m, ws, f FROM g WHERE f >= {LEAST}),
+c AS (
+    SELECT lang, ws, f FROM f WHERE m > 1 AND NOT EXISTS (
+        SELECT 1 FROM (SELECT lang AS wl, m AS wm, f AS wf, ws[j : j + k - 1] AS part FROM (SELECT *, unnest(range(1, m - k + 2)) AS j FROM (SELECT *, unnest(range(2, m)) AS k FROM f WHERE m > 2))) x
+        WHERE wl = f.lang AND part = f.ws AND 100 * wf >= 100 * f.f
+    )
+),
+k AS (SELECT lang, ws, f, unnest(range(1, len(ws))) AS k FROM c),
+s AS (
+    SELECT k.lang, array_to_string(k.ws, ' ') AS phrase, k.f AS a, n, k, l.f AS l, r.f AS r, CAST((CAST(1000 AS HUGEINT) * k.f * n) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+    FROM k JOIN n ON n.lang = k.lang JOIN f l ON l.lang = k.lang AND l.ws = k.ws[1 : k] JOIN f r ON r.lang = k.lang AND r.ws = k.ws[k + 1 :]
+),
+b AS (SELECT lang, phrase, a, n, min(struct_pack(score := score, k := k, l := l, r := r)) AS b FROM s GROUP BY lang, phrase, a, n)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY b.score DESC, a DESC, phrase) AS rank, phrase, a, b.l AS l, b.r AS r, n, b.score AS score FROM b
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY b.score DESC, a DESC, phrase) <= {TOP}
+"""
