@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .registry import Binding, Sweep, frame, row
+from .registry import Binding, Sweep, epoch, frame, row
 
 # Accented letters and what each is without its accent.
 ACCENTED = "áàâãäåāăąèééêëēĕėęěìíîïìĩīĭḩóôõöōŏőùúûüũūŭůäàáâãåæçćĉčöòóôõøüùúûßéèêëýñîìíïşěščřžýáíéůúťňďÁČĎÉĚÍŇÓŘŠŤÚŮŽÝŽ"
@@ -42,6 +42,24 @@ row("Zeros", ("numerical",), "CASE WHEN {numerical} = 0 THEN 0 WHEN {numerical}
 row("Time ksp", ("temporal",), "year({temporal_raw}) + (dayofyear({temporal_raw}) - 0.5D) / dayofyear(make_date(year({temporal_raw}), 12, 31))")
 
 
+#: Seconds of a stretch of time within which rows are summed by one task.
+STRETCH = 3600
+
+
+def _running(counts: DataFrame, group: list[str]) -> DataFrame:
+    """(group, _d, _to): the sum of _n over a group's times up to _d.
+
+    Within a stretch of time by a window, between stretches over their totals: a task sorts the times
+    of one group in one stretch, or a group's stretches, which the calendar bounds.
+    """
+    counts = counts.withColumn("_h", F.floor(F.expr(epoch("_d")) / STRETCH))
+    totals = counts.groupBy(*group, "_h").agg(F.sum("_n").alias("_t"))
+    upto = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    before = totals.select(*group, "_h", (F.sum("_t").over(upto(*group).orderBy("_h")) - F.col("_t")).alias("_before"))
+    within = counts.withColumn("_within", F.sum("_n").over(upto(*group, "_h").orderBy("_d")))
+    return within.join(before, [*group, "_h"]).select(*group, "_d", (F.col("_before") + F.col("_within")).alias("_to"))
+
+
 def _frequency(df: DataFrame, b: Binding) -> DataFrame:
     """Share of rows up to the base date that have the row's value; rows of one date count together.
 
@@ -50,13 +68,8 @@ def _frequency(df: DataFrame, b: Binding) -> DataFrame:
     v, d = F.col(b.columns["nominal"]), F.col(b.date)
     rows = df.filter(v.isNotNull()).select(*b.base, v.alias("_v"), d.alias("_d"))
     pairs = rows.groupBy("_v", "_d").agg(F.count("*").alias("_n"))
-    own = pairs.withColumn("_own", F.sum("_n").over(Window.partitionBy("_v").orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)))
-    # Days share the work of the running sum over all dates: within a day by window, between days over one row a day.
-    days = pairs.groupBy("_d").agg(F.sum("_n").alias("_n")).withColumn("_day", F.to_date("_d"))
-    totals = days.groupBy("_day").agg(F.sum("_n").alias("_t"))
-    before = totals.select("_day", (F.sum("_t").over(Window.orderBy("_day")) - F.col("_t")).alias("_before"))
-    within = F.sum("_n").over(Window.partitionBy("_day").orderBy("_d").rowsBetween(Window.unboundedPreceding, 0))
-    all_ = days.withColumn("_within", within).join(before, "_day").select("_d", (F.col("_before") + F.col("_within")).alias("_all"))
+    own = _running(pairs, ["_v"]).withColumnRenamed("_to", "_own")
+    all_ = _running(pairs.groupBy("_d").agg(F.sum("_n").alias("_n")), []).withColumnRenamed("_to", "_all")
     share = own.join(all_, "_d").select("_v", "_d", (F.col("_own") / F.col("_all")).alias("value"))
     return rows.join(share, ["_v", "_d"]).select(*b.base, "value")
 

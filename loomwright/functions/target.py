@@ -142,62 +142,102 @@ def _odds(df: DataFrame, b: Binding) -> DataFrame:
     return rows.join(counts, "_v").select(*b.base, F.log(tp * (q - fp) / (fp * (p - tp))).alias("value"))
 
 
-#: Classes of a target up to this number are broadcast to the values.
+#: Classes of a target up to this number are broadcast.
 MOST_CLASSES = 10_000
 
 
-def _likelihoods(rows: DataFrame, levels: DataFrame, priors: DataFrame) -> DataFrame:
-    """(_v, _t, _lik): log of the smoothed share of each value among the rows of each class; pairs never seen count as zero.
+def _are_few(classes: DataFrame) -> bool:
+    return classes.select("_t").limit(MOST_CLASSES + 1).count() <= MOST_CLASSES
 
-    Every value meets every class. Classes are broadcast if a count shows them to be few;
-    otherwise each value is salted, and classes have a row for each salt.
-    """
-    joint = rows.groupBy("_v", "_t").agg(F.count("*").alias("_joint"))
-    values = rows.select("_v").distinct()
-    few = priors.select("_t").limit(MOST_CLASSES + 1).count() <= MOST_CLASSES
-    salts = 1 if few else int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    one = levels.withColumn("_one", F.lit(1))
-    classes = priors.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))  # one is one row
-    grid = values.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(salts)).cast("int")).join(F.broadcast(classes) if few else classes, "_salt")
-    on = grid["_v"].eqNullSafe(joint["_v"]) & (grid["_t"] == joint["_t"])
-    lik = F.log((1 + F.coalesce("_joint", F.lit(0))) / (F.col("_rows") + F.col("_levels")))
-    return grid.join(joint, on, "left").select(grid["_v"], grid["_t"], lik.alias("_lik"), "_log_prior")
+
+def _by_class(df: DataFrame, classes: DataFrame, few: bool, salt_of: list[str]) -> DataFrame:
+    """df with its class's facts. Few classes are broadcast; of many each has a row for each salt, so that a frequent one is no single task."""
+    if few:
+        return df.join(F.broadcast(classes), "_t")
+    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = classes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return df.withColumn("_salt", F.pmod(F.xxhash64(*salt_of), F.lit(salts)).cast("int")).join(spread, ["_t", "_salt"]).drop("_salt")
 
 
-def _posterior(df: DataFrame, keys: list[str], b: Binding) -> DataFrame:
-    """From log scores (_t, _l) by key to the target value's share of their exponentials."""
-    w = Window.partitionBy(*keys)
-    e = F.exp(F.col("_l") - F.max("_l").over(w))
-    return df.withColumn("value", e / F.sum(e).over(w)).filter(F.col("_t") == F.lit(b.target_value))
+def _one(df: DataFrame, facts: DataFrame) -> DataFrame:
+    """df beside the only row of facts, a scalar subquery; no rows if there is none."""
+    row = facts.select(F.struct(*facts.columns)).scalar()
+    return df.select("*", row.alias("_facts")).filter("_facts IS NOT NULL").select(*df.columns, "_facts.*")
 
 
 def _direct_nb(df: DataFrame, b: Binding) -> DataFrame:
-    """Naive Bayes posterior of the target value given one column; null is a value."""
+    """Naive Bayes posterior of the target value given one column; null is a value.
+
+    A pair of value and class never seen counts as zero: with w = prior / (rows + levels) of a
+    class, the posterior is w (1 + joint) of the target value over the sum of all w and of w joint
+    over the pairs seen. No value meets a class that it wasn't seen with.
+    """
     all_rows = df.select(*b.base, _slot(b).alias("_v"))
     rows = df.filter(F.col(b.target).isNotNull()).select(_slot(b).alias("_v"), F.col(b.target).alias("_t"))
     levels = all_rows.select("_v").distinct().agg(F.count("*").alias("_levels"))
-    priors = rows.groupBy("_t").agg(F.count("*").alias("_rows"))
-    total = priors.agg(F.sum("_rows").alias("_all")).withColumn("_one", F.lit(1))
-    priors = priors.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").select("_t", "_rows", F.log(F.col("_rows") / F.col("_all")).alias("_log_prior"))
-    scores = _likelihoods(rows, levels, priors).select("_v", "_t", (F.col("_lik") + F.col("_log_prior")).alias("_l"))
-    post = _posterior(scores, ["_v"], b)
-    return all_rows.join(post, all_rows["_v"].eqNullSafe(post["_v"])).select(*b.base, "value")
+    classes = rows.groupBy("_t").agg(F.count("*").alias("_rows"))
+    total = classes.agg(F.sum("_rows").alias("_all"))
+    classes = _one(_one(classes, total), levels).select("_t", (F.col("_rows") / F.col("_all") / (F.col("_rows") + F.col("_levels"))).alias("_w"))
+    is_value = F.col("_t") == F.lit(b.target_value)
+    sums = classes.agg(F.sum("_w").alias("_w_all"), F.sum(F.when(is_value, F.col("_w"))).alias("_w_value"))
+    pairs = rows.groupBy("_v", "_t").agg(F.count("*").alias("_joint"))
+    seen = _by_class(pairs, classes, _are_few(classes), ["_v"]).groupBy("_v").agg(F.sum(F.col("_w") * F.col("_joint")).alias("_seen"), F.sum(F.when(is_value, F.col("_joint")).otherwise(0)).alias("_own"))
+    post = _one(seen, sums).select(F.col("_v").alias("_u"), (F.col("_w_value") * (1 + F.col("_own")) / (F.col("_w_all") + F.col("_seen"))).alias("value")).filter("value IS NOT NULL")
+    return all_rows.join(post, F.col("_v").eqNullSafe(F.col("_u"))).select(*b.base, "value")
 
 
 def _aggregate_nb(df: DataFrame, b: Binding) -> DataFrame:
-    """Naive Bayes posterior over all of a base row's values; priors are shares of distinct ids."""
+    """Naive Bayes posterior over all of a base row's values; priors are shares of distinct ids.
+
+    A pair of value and class never seen adds log(1 / (rows + levels)), one number a class: a base row
+    of n values has log prior - n log(rows + levels) in each class, and n log(1 + joint) more for
+    each pair seen. The first part depends on n and the class alone, is summed over kinds of
+    classes (of equal rows and ids) for each n, and pairs seen put right what they change.
+    """
     all_rows = df.select(*b.base, _slot(b).alias("_v"))
     rows = df.filter(F.col(b.target).isNotNull()).select(*b.ids, _slot(b).alias("_v"), F.col(b.target).alias("_t"))
-    levels = rows.select("_v").distinct().agg(F.count("*").alias("_levels"))
+    pairs = rows.groupBy("_v", "_t").agg(F.count("*").alias("_joint"))
+    values = pairs.select(F.col("_v").alias("_u")).distinct()
+    levels = values.agg(F.count("*").alias("_levels"))
+    total = rows.select(*b.ids).distinct().agg(F.count("*").alias("_all"))
     ids = rows.select(*b.ids, "_t").distinct().groupBy("_t").agg(F.count("*").alias("_ids"))
-    total = rows.select(*b.ids).distinct().agg(F.count("*").alias("_all")).withColumn("_one", F.lit(1))
-    priors = rows.groupBy("_t").agg(F.count("*").alias("_rows")).join(ids, "_t").withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")  # one row
-    priors = priors.select("_t", "_rows", F.log(F.col("_ids") / F.col("_all")).alias("_log_prior"))
-    lik = _likelihoods(rows, levels, priors)
+    classes = _one(_one(rows.groupBy("_t").agg(F.count("*").alias("_rows")).join(ids, "_t"), total), levels)
+    few = _are_few(rows.select("_t").distinct())
+    classes = classes.select("_t", F.log(F.col("_ids") / F.col("_all")).alias("_prior"), F.log(F.col("_rows") + F.col("_levels")).alias("_size"))
     # Values are counted by base row first: a base row meets each value once.
     own = all_rows.groupBy(*b.base, "_v").agg(F.count("*").alias("_n"))
-    scores = own.join(lik, own["_v"].eqNullSafe(lik["_v"])).groupBy(*b.base, "_t").agg((F.sum(F.col("_n") * F.col("_lik")) + F.max("_log_prior")).alias("_l"))
-    return _posterior(scores, b.base, b).select(*b.base, "value")
+    lengths = own.join(values, F.col("_v").eqNullSafe(F.col("_u"))).groupBy(*b.base).agg(F.sum("_n").alias("_all_n"))
+    lengths = lengths.join(_log_sums(lengths.select("_all_n").distinct(), classes, few), "_all_n")
+    lift = pairs.select(F.col("_v").alias("_u"), "_t", F.log1p("_joint").alias("_lift"))
+    more = own.join(lift, F.col("_v").eqNullSafe(F.col("_u"))).groupBy(*b.base, "_t").agg(F.sum(F.col("_n") * F.col("_lift")).alias("_more"))
+    part = [c for c in b.base if c != b.target]
+    scored = _by_class(more, classes, few, part).join(lengths.drop(b.target), part)
+    scored = scored.withColumn("_plain", F.col("_prior") - F.col("_all_n") * F.col("_size"))
+    top = F.greatest(F.max(F.col("_plain") + F.col("_more")).over(Window.partitionBy(*part)), F.col("_log_sum"))
+    scored = scored.withColumn("_top", top)
+    # exp(plain + more) - exp(plain), of which no part is negative.
+    gain = F.exp(F.col("_plain") + F.col("_more") - F.col("_top")) - F.exp(F.col("_plain") - F.col("_top"))
+    is_value = F.col("_t") == F.lit(b.target_value)
+    sums = scored.groupBy(*b.base).agg(F.first("_all_n").alias("_all_n"), F.first("_top").alias("_top"), F.first("_log_sum").alias("_log_sum"), F.sum(gain).alias("_gain"), F.coalesce(F.sum(F.when(is_value, F.col("_more"))), F.lit(0.0)).alias("_more"))
+    of_value = classes.filter(is_value).select("_prior", "_size")
+    score = F.exp(F.col("_prior") - F.col("_all_n") * F.col("_size") + F.col("_more") - F.col("_top"))
+    return _one(sums, of_value).select(*b.base, (score / (F.exp(F.col("_log_sum") - F.col("_top")) + F.col("_gain"))).alias("value"))
+
+
+def _log_sums(lengths: DataFrame, classes: DataFrame, few: bool) -> DataFrame:
+    """(_all_n, _log_sum): for each number of values the log of the sum over all classes of exp(prior - n size).
+
+    Classes of one prior and size are one kind, with a weight. Kinds are packed in arrays of
+    MOST_CLASSES, mostly one, and a length meets an array, never a class.
+    """
+    kinds = classes.groupBy("_prior", "_size").agg(F.count("*").alias("_weight"))
+    packs = 1 if few else max(1, kinds.count() // max(1, MOST_CLASSES))
+    packed = kinds.groupBy(F.pmod(F.xxhash64("_prior", "_size"), F.lit(packs)).alias("_pack")).agg(F.collect_list(F.struct((F.col("_prior") + F.log("_weight")).alias("p"), F.col("_size").alias("s"))).alias("_kinds"))
+    each = lengths.withColumn("_pack", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(packs - 1).cast("long")))).join(F.broadcast(packed) if few else packed, "_pack")
+    each = each.withColumn("_top", F.expr("array_max(transform(_kinds, k -> k.p - _all_n * k.s))"))
+    each = each.withColumn("_sum", F.expr("aggregate(_kinds, 0D, (a, k) -> a + exp(k.p - _all_n * k.s - _top))"))
+    top = F.max("_top").over(Window.partitionBy("_all_n"))
+    return each.withColumn("_most", top).groupBy("_all_n").agg((F.first("_most") + F.log(F.sum(F.col("_sum") * F.exp(F.col("_top") - F.col("_most"))))).alias("_log_sum"))
 
 
 def _direct_affinity(df: DataFrame, b: Binding) -> DataFrame:
