@@ -1,4 +1,11 @@
-"""Propagation: the base's keys, date and targets carried along foreign keys into every table in reach."""
+"""Propagation: the base's keys, date and targets carried along foreign keys into every table in reach.
+
+Two phases. The first walks the key graph over spines: base columns and the keys that lead on,
+and nothing else of a table. Each is written to the shared folder, counted there and joined to
+the next level. The second, when features are bound, joins the spine before a table with the
+columns that these features use (``Propagated.df`` is that join, not yet computed: what is not
+selected from it isn't read).
+"""
 
 from __future__ import annotations
 
@@ -7,14 +14,22 @@ import time
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.registry import quoted
 from ..settings import Settings
 from ..sources.catalog import Catalog
 from ..sources.keys import ForeignKey, both_ways
-from .base import DATE, FOLD, base_ids, base_keys, base_targets, is_unique
-from .temporal import find_constraint, window
+from ..sources.store import Store
+from .base import DATE, FOLD, base_ids, base_keys, base_targets
+from .temporal import bounds, find_constraint, span_of, window
+
+#: Slots of the sketch that finds heavy keys.
+SLOTS = 1 << 14
+#: Salts of a heavy key for each partition: few enough to copy, many enough to even out.
+SALTS = 4
+
 
 def path_hash(path: str) -> str:
     """Twelve characters that name a path of keys, the same on each run."""
@@ -23,7 +38,7 @@ def path_hash(path: str) -> str:
 
 @dataclass
 class Propagated:
-    """A table joined with the base: all its columns beside the base's."""
+    """A table joined with the base: all its columns beside the base's, of which only those that are selected are read."""
 
     name: str
     table: str
@@ -39,18 +54,65 @@ class Propagated:
     reasoning: str = ""
     start: datetime | None = None
     run_time: float = 0.0
+    #: Base columns and the table's own keys: what the next level is joined to.
+    spine: DataFrame | None = None
+    #: The table's id columns, which settle ties.
+    ids: tuple[str, ...] = ()
 
 
 def base_columns(s: Settings) -> list[str]:
     return [*base_keys(s), *base_targets(s), FOLD]
 
 
-def join_on(before: DataFrame, table: DataFrame, own: list[str], theirs: list[str], s: Settings, temporal: str | None) -> DataFrame:
-    """Base columns of ``before`` beside all of ``table``, where the key agrees and the time is in the window."""
-    left = before.select(*base_columns(s), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(own))) if own else before
-    right = table.select("*", *(F.col(c).alias(f"_f{i}") for i, c in enumerate(theirs)))
-    on = [left[f"_k{i}"] == right[f"_f{i}"] for i in range(len(own))]
-    out = left.join(right, on, "inner").drop(*(f"_k{i}" for i in range(len(own))), *(f"_f{i}" for i in range(len(own))))
+def _slot(columns: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*(F.col(quoted(c)) for c in columns)), F.lit(SLOTS)).cast("int")
+
+
+def heavy_slots(df: DataFrame, columns: list[str], rows: int) -> set[int]:
+    """The slots of a count sketch over keys that hold more rows than so many: all keys of more rows are in one. SLOTS counts at most leave a task."""
+    known = df.filter(" AND ".join(f"{quoted(c)} IS NOT NULL" for c in columns))
+    return {r["slot"] for r in known.groupBy(_slot(columns).alias("slot")).agg(F.count("*").alias("n")).filter(F.col("n") > rows).collect()}
+
+
+def _spread(left: DataFrame, right: DataFrame, own: list[str], theirs: list[str], rows: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Both sides of a join with ``_salt``, if a key is heavy on one: its rows there have one of many salts, on the other side a copy for each.
+
+    Keys of unlike types hash unlike: such joins are left as they are.
+    """
+    if [left.schema[c].dataType for c in own] != [right.schema[c].dataType for c in theirs]:
+        return left, right, False
+    many_right = heavy_slots(right, theirs, rows)
+    many_left = heavy_slots(left, own, rows) - many_right
+    if not many_right and not many_left:
+        return left, right, False
+    salts = SALTS * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def salted(df: DataFrame, columns: list[str], many: set[int], other: set[int]) -> DataFrame:
+        among = lambda x: F.col("_slot").isin(sorted(x)) if x else F.lit(False)
+        df = df.withColumns({"_slot": _slot(columns), "_number": F.monotonically_increasing_id()})
+        one = F.when(among(many), F.pmod("_number", F.lit(salts)).cast("int")).otherwise(F.lit(0))
+        each = F.when(among(other), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(one))
+        return df.withColumn("_salt", F.explode(each)).drop("_slot", "_number")
+
+    return salted(left, own, many_left, many_right), salted(right, theirs, many_right, many_left), True
+
+
+def join_on(
+    before: DataFrame, table: DataFrame, own: list[str], theirs: list[str], s: Settings, temporal: str | None, span: tuple[datetime, datetime] | None = None, heavy: int | None = None
+) -> DataFrame:
+    """Base columns of ``before`` beside all of ``table``, where the key agrees and the time is in the window.
+
+    With the span of base dates, rows of ``table`` that no window holds are left to its scan. Keys
+    with more rows than ``heavy`` are dealt over salts.
+    """
+    left = before.select(*base_columns(s), *(F.col(quoted(c)).alias(f"_k{i}") for i, c in enumerate(own)))
+    if temporal and span:
+        table = table.filter(bounds(temporal, table.schema[temporal].dataType, span, s))
+    right = table.select("*", *(F.col(quoted(c)).alias(f"_f{i}") for i, c in enumerate(theirs)))
+    ours, other = [f"_k{i}" for i in range(len(own))], [f"_f{i}" for i in range(len(own))]
+    left, right, salted = _spread(left, right, ours, other, heavy) if heavy else (left, right, False)
+    on = [left[a] == right[b] for a, b in zip(ours, other, strict=True)] + ([left["_salt"] == right["_salt"]] if salted else [])
+    out = left.join(right, on, "inner").drop(*ours, *other, *(["_salt"] if salted else []))
     return out.filter(window(temporal, s)) if temporal else out
 
 
@@ -64,22 +126,35 @@ def first_table(base: DataFrame, catalog: Catalog) -> Propagated:
     right = table.select("*", *(F.col(c).alias(f"_f{i}") for i, c in enumerate(theirs)))
     df = left.join(right, [left[f"_k{i}"].eqNullSafe(right[f"_f{i}"]) for i in range(len(own))]).drop(*(f"_k{i}" for i in range(len(own))), *(f"_f{i}" for i in range(len(own))))
     name = f"propagated_{s.target_table}_{path_hash(s.target_table)}"
-    return Propagated(name, s.target_table, df, (s.target_table,), is_target_id_unique=True, reasoning="the target table itself", start=datetime.now())
+    return Propagated(name, s.target_table, df, (s.target_table,), is_target_id_unique=True, reasoning="the target table itself", start=datetime.now(), ids=tuple(c.name for c in catalog.tables[s.target_table].columns.values() if c.is_id))
+
+
+def _shape(df: DataFrame, s: Settings) -> tuple[int, bool]:
+    """How many rows there are, and whether no base id has two."""
+    got = df.groupBy(*base_ids(s)).agg(F.count("*").alias("n")).agg(F.sum("n").alias("rows"), F.max("n").alias("most")).first()
+    return got["rows"] or 0, (got["most"] or 0) <= 1
 
 
-def propagate(base: DataFrame, catalog: Catalog, now: datetime | None = None, persist: bool = True) -> list[Propagated]:
+def propagate(base: DataFrame, catalog: Catalog, now: datetime | None = None, persist: bool = True, store: Store | None = None) -> list[Propagated]:
     """Breadth first over the key graph from the target table.
 
     At each level every key from a table of the last level to a table not reached before
     gives a propagated table of its own, so that parallel keys give several. It ends when
     nothing is new or at the depth limit. A table that the window leaves empty is joined
-    without it; one that is empty still is not followed.
+    without it; one that is empty still is not followed. persist writes the spines to the
+    shared folder; without it they are computed again wherever they are read.
     """
     s = catalog.settings
-    first = first_table(base, catalog)
-    out, level, reached = [first], [first], {s.target_table}
     keys = both_ways(catalog.keys)
-    for _ in range(s.max_depth):
+    store = (store or Store(base.sparkSession, "propagation")) if persist else None
+    span = span_of(base) if s.target_date else None
+    lead_on = lambda t: list(dict.fromkeys(c for k in keys if k.table == t for c in k.columns))
+    first, began = first_table(base, catalog), time.perf_counter()
+    first.spine = first.df.select(*base_columns(s), *(quoted(c) for c in lead_on(s.target_table)))
+    first.spine = store.keep(first.spine, f"spine-{first.name}") if store else first.spine
+    first.rows, first.run_time = _shape(first.spine, s)[0], time.perf_counter() - began
+    out, level, reached = [first], [first], {s.target_table}
+    for depth in range(s.max_depth):
         new: list[Propagated] = []
         for before in level:
             for k in keys:
@@ -87,29 +162,35 @@ def propagate(base: DataFrame, catalog: Catalog, now: datetime | None = None, pe
                     continue
                 table, start, began = catalog.tables[k.f_table], datetime.now(), time.perf_counter()
                 # Unique in the table it leads to: one row of it for each row before.
-                unique = is_unique(table.df, list(k.f_columns))
-                temporal = find_constraint(catalog, k.f_table, base, unique, now)
+                unique = catalog.is_unique(k.f_table, k.f_columns)
+                temporal = find_constraint(catalog, k.f_table, base, unique, now, span)
                 candidates = table.of_kind("temporal")
                 why = "no target date" if not s.target_date else f"{temporal} leaves the most rows" if temporal else "one row for each row before" if unique else "no column that fits" if candidates else "no column with a time"
                 path = (*before.path, f"{','.join(k.columns)}>{k.f_table}.{','.join(k.f_columns)}")
-                df = join_on(before.df, table.df, list(k.columns), list(k.f_columns), s, temporal)
-                df = df.persist() if persist else df
-                rows = df.count()
+                name = f"propagated_{k.f_table}_{path_hash('/'.join(path))}"
+                onward = depth + 1 < s.max_depth and any(x.table == k.f_table and x.f_table not in reached for x in keys)
+
+                def joined(rows: DataFrame, temporal: str | None) -> DataFrame:
+                    return join_on(before.spine, rows, list(k.columns), list(k.f_columns), s, temporal, span, s.heavy_key_rows if persist else None)  # noqa: B023
+
+                def thin(temporal: str | None) -> DataFrame:
+                    needed = dict.fromkeys([*k.f_columns, *lead_on(k.f_table), *([temporal] if temporal else [])])  # noqa: B023
+                    spine = joined(table.df.select(*(quoted(c) for c in needed)), temporal).select(*base_columns(s), *(quoted(c) for c in lead_on(k.f_table)))  # noqa: B023
+                    return store.keep(spine, f"spine-{name}") if store and onward else spine  # noqa: B023
+
+                spine = thin(temporal)
+                rows, single = _shape(spine, s)
                 if not rows and temporal:
-                    df.unpersist()
                     temporal, why = None, f"{temporal} leaves no row"
-                    df = join_on(before.df, table.df, list(k.columns), list(k.f_columns), s, None)
-                    df = df.persist() if persist else df
-                    rows = df.count()
+                    spine = thin(None)
+                    rows, single = _shape(spine, s)
                 if not rows:
-                    df.unpersist()
                     continue
-                name = f"propagated_{k.f_table}_{path_hash('/'.join(path))}"
-                new.append(Propagated(name, k.f_table, df, path, k, temporal, unique, is_unique(df.select(*base_ids(s)), base_ids(s)), rows, candidates, why, start, time.perf_counter() - began))
+                ids = tuple(c.name for c in table.columns.values() if c.is_id)
+                new.append(Propagated(name, k.f_table, joined(table.df, temporal), path, k, temporal, unique, single, rows, candidates, why, start, time.perf_counter() - began, spine, ids))
         if not new:
             break
         out += new
         reached |= {p.table for p in new}
         level = new
-    first.rows = first.df.count()
     return out

@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.registry import epoch, quoted
 from ..settings import Settings
@@ -27,6 +28,24 @@ def window(column: str, s: Settings) -> Column:
     return F.expr(f"{c} <= {moved(DATE, -s.lead, s.unit)} AND {c} >= {moved(DATE, -(s.lead + s.lag), s.unit)}")
 
 
+def literal(t: datetime) -> str:
+    return f"TIMESTAMP_NTZ'{t}'"
+
+
+def bounds(column: str, data_type: T.DataType, span: tuple[datetime, datetime], s: Settings) -> Column:
+    """What any base date between the two of span lets in, on the column as it is: filters that a scan understands.
+
+    Rows outside are in no window. A date is held against the days of the ends; a time with a
+    zone against the ends and a day more, whatever the session's zone does.
+    """
+    c, low, high = quoted(column), moved(literal(span[0]), -(s.lead + s.lag), s.unit), moved(literal(span[1]), -s.lead, s.unit)
+    if isinstance(data_type, T.DateType):
+        low, high = f"CAST({low} AS DATE)", f"CAST({high} AS DATE)"
+    elif isinstance(data_type, T.TimestampType):
+        low, high = f"CAST({low} - INTERVAL 1 DAY AS TIMESTAMP)", f"CAST({high} + INTERVAL 1 DAY AS TIMESTAMP)"
+    return F.expr(f"{c} >= {low} AND {c} <= {high}")
+
+
 def usable_rows(df: DataFrame, columns: list[str], low: str, high: str, s: Settings) -> dict[str, int]:
     """For each time column, how many rows some base date between low and high would see; one scan for all."""
     got = df.agg(*(
@@ -35,11 +54,17 @@ def usable_rows(df: DataFrame, columns: list[str], low: str, high: str, s: Setti
     return {c: got[f"c{k}"] or 0 for k, c in enumerate(columns)}
 
 
+def span_of(base: DataFrame) -> tuple[datetime, datetime] | None:
+    """The base dates' extremes, without a zone; None where there are none."""
+    low, high = base.agg(F.min(F.col(DATE).cast("timestamp_ntz")), F.max(F.col(DATE).cast("timestamp_ntz"))).first()
+    return None if low is None else (low, high)
+
+
 def date_range(base: DataFrame) -> tuple[datetime, datetime]:
     return tuple(base.agg(F.min(DATE), F.max(DATE)).first())
 
 
-def find_constraint(catalog: Catalog, name: str, base: DataFrame, is_id_unique: bool, now: datetime | None = None) -> str | None:
+def find_constraint(catalog: Catalog, name: str, base: DataFrame, is_id_unique: bool, now: datetime | None = None, span: tuple[datetime, datetime] | None = None) -> str | None:
     """The time column that bounds a table, or None.
 
     None without a base date, without time columns and for tables with one row for each id
@@ -60,10 +85,9 @@ def find_constraint(catalog: Catalog, name: str, base: DataFrame, is_id_unique:
     declared = [c for c in left if not table.columns[c].nullable]
     if len(declared) == 1:
         return declared[0]
-    low, high = date_range(base)
-    if low is None:
+    span = span or span_of(base)
+    if span is None:
         return None
-    text = lambda t: f"TIMESTAMP_NTZ'{t}'"
-    usable = usable_rows(table.df, left, text(low), text(high), s)
+    usable = usable_rows(table.df, left, literal(span[0]), literal(span[1]), s)
     best = max(left, key=lambda c: (usable[c], c))
     return best if usable[best] else None

@@ -1,8 +1,9 @@
 """How well features tell the target: chi-square, R squared and stability over time.
 
-Features are scored in bulk. A wide table is unpivoted into (feature, value, target) rows,
-which are counted by bin and class before they are shuffled; one job scores all features of
-a table for a target.
+Features are scored in bulk. One pass gives counts and extremes of all of them. Another unpivots
+the wide table into a cube: how many rows each feature has by bin, class of each target and half
+of the time, counted before they are shuffled. Chi-square and drift of every target are sums
+over the cube.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import types as T
 from ..functions.registry import epoch, quoted
 
 BINS = 10
+#: Extremes by feature and target.
+Ends = dict[tuple[str, str], tuple[float, float]]
 #: Tables of counts with no more rows than this are broadcast.
 MOST_BROADCAST_ROWS = 200_000
 
@@ -41,11 +44,49 @@ def long_form(df: DataFrame, features: Iterable[str], keep: list[str], nominal:
     return df.select(*keep, F.explode(pairs).alias("p")).select(*keep, "p.feature", "p.value").filter("value IS NOT NULL" if nominal else "value IS NOT NULL AND NOT isnan(value)")
 
 
-def equal_width(rows: DataFrame, epsilon: float, bins: int = BINS) -> DataFrame:
-    """(feature, value) rows with the number of the equal-width bin between the feature's extremes."""
-    ends = rows.groupBy("feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    bin_ = F.floor((F.col("value") - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / bins + epsilon))
-    return rows.join(F.broadcast(ends), "feature").withColumn("bin", bin_.cast("string")).drop("_lo", "_hi")  # one row a feature
+def facts(df: DataFrame, features: Iterable[str], targets: Iterable[str]) -> tuple[int, dict[str, int], Ends]:
+    """Rows, rows with a value by feature, and each numeric feature's extremes among the rows that have a target; one job."""
+    features, targets = list(features), list(targets)
+    exprs = [F.count("*").alias("n"), *(F.count(F.col(quoted(f))).alias(f"c{k}") for k, f in enumerate(features))]
+    for k, f in enumerate(features):
+        if not is_nominal(df.schema[f].dataType):
+            x = as_number(df, f)
+            for j, t in enumerate(targets):
+                known = F.when(F.col(quoted(t)).isNotNull() & ~F.isnan(x), x)
+                exprs += [F.min(known).alias(f"lo{k}_{j}"), F.max(known).alias(f"hi{k}_{j}")]
+    got = df.agg(*exprs).first().asDict()
+    ends = {(f, t): (got[f"lo{k}_{j}"], got[f"hi{k}_{j}"]) for k, f in enumerate(features) for j, t in enumerate(targets) if got.get(f"lo{k}_{j}") is not None}
+    return got["n"], {f: got[f"c{k}"] for k, f in enumerate(features)}, ends
+
+
+def _bin(x: Column, ends: tuple[float, float] | None, epsilon: float) -> Column:
+    """The number of the equal-width bin between the extremes, as text; null without a value."""
+    if ends is None:
+        return F.lit(None).cast("string")
+    low, high = (F.lit(float(e)) for e in ends)
+    return F.when(~F.isnan(x), F.floor((x - low) / ((high - low) / BINS + epsilon)).cast("string"))
+
+
+def cube(df: DataFrame, features: Iterable[str], targets: Iterable[str], ends: Ends, late: Column | None = None) -> DataFrame:
+    """(feature, nominal, b<k>, d<k>, y<k> of the k-th target, late, o): rows by bins and classes, of rows with a value.
+
+    Nominal features have a bin for each value, others ten of equal width; those of drift, d<k>,
+    differ from those of chi-square by what keeps the last one open. Without late there is no d<k>.
+    """
+    features, targets = list(features), list(targets)
+    kinds = [("b", 1e-7), *([("d", 1e-8)] if late is not None else [])]
+
+    def one(f: str) -> Column:
+        nominal = is_nominal(df.schema[f].dataType)
+        x = F.col(quoted(f)).cast("string") if nominal else as_number(df, f)
+        bins = [(x if nominal else _bin(x, ends.get((f, t)), e)).alias(f"{b}{k}") for k, t in enumerate(targets) for b, e in kinds]
+        return F.struct(F.lit(f).alias("feature"), F.lit(nominal).alias("nominal"), *bins)
+
+    bins = [f"{b}{k}" for k in range(len(targets)) for b, _ in kinds]
+    keep = [F.col(quoted(t)).alias(f"y{k}") for k, t in enumerate(targets)] + ([late.alias("late")] if late is not None else [])
+    rows = df.select(*keep, F.explode(F.array(*(one(f) for f in features))).alias("p")).select("*", "p.*").drop("p")
+    rows = rows.filter(" OR ".join(f"{b} IS NOT NULL" for b in bins))
+    return rows.groupBy("feature", "nominal", *bins, *(f"y{k}" for k in range(len(targets))), *(["late"] if late is not None else [])).agg(F.count("*").alias("o"))
 
 
 def chi_square(df: DataFrame, features: Iterable[str], target: str) -> DataFrame:
@@ -55,12 +96,15 @@ def chi_square(df: DataFrame, features: Iterable[str], target: str) -> DataFrame
     ten. Rows without value or target do not count.
     """
     features = list(features)
-    known = df.filter(F.col(target).isNotNull())
-    nominal = long_form(known, features, [target], True).select("feature", F.col("value").alias("bin"), F.col(target).alias("y"), F.lit(True).alias("nominal"))
-    binned = equal_width(long_form(known, features, [target], False), 1e-7).select("feature", "bin", F.col(target).alias("y"), F.lit(False).alias("nominal"))
-    cells = nominal.unionByName(binned).groupBy("feature", "nominal", "bin", "y").agg(F.count("*").alias("o"))
+    cells = cube(df, features, [target], facts(df, features, [target])[2])
+    return chi_of(cells, 0, few_classes(df, target, len(features)))
+
+
+def chi_of(cells: DataFrame, k: int, few: bool) -> DataFrame:
+    """Chi-square for the k-th target of a cube; few says whether its classes are."""
+    cells = cells.filter(f"y{k} IS NOT NULL AND b{k} IS NOT NULL").groupBy("feature", "nominal", F.col(f"b{k}").alias("bin"), F.col(f"y{k}").alias("y")).agg(F.sum("o").alias("o"))
     by_class = cells.groupBy("feature", "y").agg(F.sum("o").alias("n_y"))
-    if few_classes(df, target, len(features)):
+    if few:
         by_class = F.broadcast(by_class)
     # Over all bins and classes, empty cells too, the sum of (o - e)^2 / e with e = n_bin * n_y / n is n * sum(o^2 / (n_bin * n_y)) - n: cells that hold rows are enough.
     parts = cells.join(by_class, ["feature", "y"]).groupBy("feature", "nominal", "bin").agg(F.sum(F.col("o") * F.col("o") / F.col("n_y")).alias("s"), F.sum("o").alias("n_bin"))
@@ -102,15 +146,20 @@ def pivot_date(base: DataFrame, date: str) -> float:
     return (lo + hi) / 2 if lo is not None else 0.0
 
 
+def is_late(date: str, pivot: float) -> Column:
+    return F.expr(f"{epoch(quoted(date))} > {pivot!r}D")
+
+
 def concept_drift(df: DataFrame, features: Iterable[str], target: str, date: str, pivot: float) -> DataFrame:
     """(feature, drift): likeness, 1 at most, of P(class | bin) before and after the pivot: sum of minima over sum of maxima."""
     features = list(features)
-    late = F.expr(f"{epoch(quoted(date))} > {pivot!r}D").alias("late")
-    known = df.select("*", late).filter(F.col(target).isNotNull())
-    keep = [target, "late"]
-    nominal = long_form(known, features, keep, True).select("feature", F.col("value").alias("bin"), F.col(target).alias("y"), "late")
-    binned = equal_width(long_form(known, features, keep, False), 1e-8).select("feature", "bin", F.col(target).alias("y"), "late")
-    cells = nominal.unionByName(binned).groupBy("feature", "bin", "y").agg(F.sum(F.when(F.col("late"), 0).otherwise(1)).alias("a"), F.sum(F.when(F.col("late"), 1).otherwise(0)).alias("b"))
+    return drift_of(cube(df, features, [target], facts(df, features, [target])[2], is_late(date, pivot)), 0)
+
+
+def drift_of(cells: DataFrame, k: int) -> DataFrame:
+    """Drift for the k-th target of a cube."""
+    early, late = F.sum(F.when(F.col("late"), 0).otherwise(F.col("o"))), F.sum(F.when(F.col("late"), F.col("o")).otherwise(0))
+    cells = cells.filter(f"y{k} IS NOT NULL AND d{k} IS NOT NULL").groupBy("feature", F.col(f"d{k}").alias("bin"), F.col(f"y{k}").alias("y")).agg(early.alias("a"), late.alias("b"))
     w = Window.partitionBy("feature", "bin")
     shares = cells.select("feature", (F.col("a") / (F.sum("a").over(w) + 1)).alias("p"), (F.col("b") / (F.sum("b").over(w) + 1)).alias("q"))
     return shares.groupBy("feature").agg((F.sum(F.least("p", "q")) / F.nullif(F.sum(F.greatest("p", "q")), F.lit(0.0))).alias("drift"))

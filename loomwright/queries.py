@@ -77,7 +77,7 @@ def _static(t: dict[str, DataFrame]) -> DataFrame:
 
 def _temporal(t: dict[str, DataFrame]) -> DataFrame:
     base = base_ops.build_base(t["orders"], TEMPORAL, warn=False)
-    return propagate_ops.join_on(base.withColumn("_own", F.col(ID)), t["orders"], ["_own"], ["o_custkey"], TEMPORAL, "o_orderdate")
+    return propagate_ops.join_on(base, t["orders"], [ID], ["o_custkey"], TEMPORAL, "o_orderdate", temporal_ops.span_of(base))
 
 
 def _own(settings: Settings) -> Callable[[dict[str, DataFrame]], DataFrame]:

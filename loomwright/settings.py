@@ -28,6 +28,8 @@ class Settings:
     predictor_max: int = 100
     column_budget: int = 250
     least_relevance: float = 1e-4
+    #: Rows of one key from which a join deals them over salts.
+    heavy_key_rows: int = 1_000_000
     folds: int = 10
     seed: int = 1
     use_ids: bool = False

@@ -77,6 +77,7 @@ class Catalog:
 
     def __init__(self, tables: Mapping[str, DataFrame], keys: Iterable[ForeignKey], settings: Settings, primary: Mapping[str, str] | None = None, not_null: Iterable[str] = ()):
         self.settings, self.keys = settings, list(keys)
+        self._unique: dict[tuple[str, tuple[str, ...]], bool] = {}
         primary = primary or {}
         declared = by_table(not_null)
         white, black = by_table(settings.column_white), by_table(settings.column_black)
@@ -124,6 +125,14 @@ class Catalog:
             c.high, c.low, c.has_future = got.get(f"high_{k}"), got.get(f"low_{k}"), bool(got.get(f"future_{k}"))
         return table
 
+    def is_unique(self, name: str, columns: Iterable[str]) -> bool:
+        """Whether no two rows of a table agree in the columns; looked at once, however many keys lead there."""
+        at = (name, tuple(columns))
+        if at not in self._unique:
+            rows = self.tables[name].df.groupBy(*(quoted(c) for c in at[1])).agg(F.count("*").alias("n"))
+            self._unique[at] = rows.filter("n > 1").isEmpty()
+        return self._unique[at]
+
     def top_values(self, name: str, column: str, n: int | None = None) -> list[tuple[Any, int]]:
         """A column's most frequent values that aren't null, with how often they occur; ties by value."""
         return top_values(self.tables[name].df, column, n or self.settings.value_count)
