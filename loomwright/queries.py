@@ -527,9 +527,20 @@ def journal_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def journal_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The patterns of the library that have features in the tables in reach of customers."""
     from .plans.journal import pattern_table
 
-    return pattern_table(spark, PATTERNS.values())
+    catalog = _catalog(spark, sf_dir, STATIC, "customer", "orders", "nation")
+    base = base_ops.build_base(catalog.tables["customer"].df, STATIC, warn=False)
+    specs = expand.expand(propagate_ops.propagate(base, catalog, persist=False), catalog)
+    return pattern_table(spark, [PATTERNS[k] for k in sorted({x.pattern for x in specs})])
+
+
+def journal_table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the journal says of each propagated table, but for its clock and its texts."""
+    return journal_table(spark, sf_dir).select(
+        "original_name", "propagation_depth", "temporal_constraint", "candidate_temporal_count", "qc_row_count", "is_id_unique", "is_target_id_unique", "is_ok",
+    )
 
 
 def journal_run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -665,6 +676,15 @@ step("full_run", full_run, None)
 step("journal_predictor", journal_predictor, None)
 step("journal_table", journal_table, None)
 step("journal_pattern", journal_pattern, None)
+_LED_TO = {"customer": "c_custkey", "nation": "n_nationkey", "orders": "o_custkey"}
+step(
+    "journal_table_counts", journal_table_counts,
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS original_name, CAST({_DEPTH[t]} AS INTEGER) AS propagation_depth, CAST(NULL AS VARCHAR) AS temporal_constraint, {n} AS candidate_temporal_count, (SELECT count(*) FROM {_FROM[t]}) AS qc_row_count, "
+        + ("0" if t == "customer" else f"(SELECT CAST(count(*) = count(DISTINCT {_LED_TO[t]}) AS INTEGER) FROM {t})") + f" AS is_id_unique, (SELECT CAST(count(*) = count(DISTINCT c_custkey) AS INTEGER) FROM {_FROM[t]}) AS is_target_id_unique, 1 AS is_ok"
+        for t, n in (("customer", 0), ("nation", 0), ("orders", 1))
+    ),
+)
 step("journal_run", journal_run, None)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime
 from typing import Any
 
@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions.registry import epoch, quoted
 from ..settings import CLASSIFICATION, Settings
 from .keys import ForeignKey
-from .lists import by_table, chosen
+from .lists import by_table, chosen, resolved
 
 _SMALL_INTEGERS = (T.ByteType, T.ShortType, T.IntegerType)
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -72,6 +72,12 @@ class Table:
         return [c.name for c in self.columns.values() if kind in c.kinds]
 
 
+def _qualified(k: ForeignKey, tables: Mapping[str, DataFrame]) -> ForeignKey:
+    """The key with its tables named as they are known: with their schemas, where tables are known by these."""
+    full = lambda schema, table: f"{schema}.{table}" if schema and f"{schema}.{table}" in tables else table
+    return replace(k, table=full(k.schema, k.table), f_table=full(k.f_schema, k.f_table))
+
+
 class Catalog:
     """Tables of a run with their columns and foreign keys, black and white lists applied."""
 
@@ -79,9 +85,12 @@ class Catalog:
         self.settings, self.keys = settings, list(keys)
         self._unique: dict[tuple[str, tuple[str, ...]], bool] = {}
         primary = primary or {}
-        declared = by_table(not_null)
-        white, black = by_table(settings.column_white), by_table(settings.column_black)
-        names = set(chosen(tables, settings.table_white, settings.table_black)) | {settings.target_table}
+        declared = by_table(not_null, tables)
+        white, black = by_table(settings.column_white, tables), by_table(settings.column_black, tables)
+        every = lambda names: [t for n in names for t in resolved(n, tables)]
+        # A white list that names no table lets none in but the target's.
+        names = (set(chosen(tables, every(settings.table_white), every(settings.table_black))) if every(settings.table_white) or not settings.table_white else set()) | {settings.target_table}
+        self.keys = [_qualified(k, tables) for k in self.keys]
         self.keys = [k for k in self.keys if k.table in names and k.f_table in names]
         self.tables: dict[str, Table] = {}
         for name in chosen(names):
@@ -153,6 +162,11 @@ def is_symmetric(df: DataFrame, a: str, b: str) -> bool:
     return df.select(a, b).subtract(df.select(F.col(b).alias(a), F.col(a).alias(b))).isEmpty()
 
 
+def from_schemas(spark: SparkSession, schemas: Iterable[str]) -> dict[str, DataFrame]:
+    """All tables of several databases of the session's catalog, by schema.table: one name may stand in each."""
+    return {f"{schema}.{name}": df for schema in schemas for name, df in from_spark(spark, schema).items()}
+
+
 def from_spark(spark: SparkSession, database: str | None = None) -> dict[str, DataFrame]:
     """All tables of a database of the session's catalog."""
     return {t.name: spark.table(f"{database}.{t.name}" if database else t.name) for t in spark.catalog.listTables(database)}

@@ -22,13 +22,33 @@ def parse(text: str) -> list[str]:
     return [x.strip() for x in text.split(",") if x.strip()]
 
 
-def by_table(names: Iterable[str]) -> dict[str, set[str]]:
-    """table.column names (a schema before them is dropped) by table; a bare table stands for all of its columns."""
+def resolved(table: str, tables: Iterable[str]) -> list[str]:
+    """The known tables that a name in a list stands for: itself; without its schema, if tables have none; without one of its own, that table of every schema."""
+    tables = list(tables)
+    if table in tables:
+        return [table]
+    bare = table.rsplit(".", 1)[-1]
+    if bare != table:
+        return [bare] if bare in tables else []
+    return [t for t in tables if t.rsplit(".", 1)[-1] == table]
+
+
+def by_table(names: Iterable[str], tables: Iterable[str] | None = None) -> dict[str, set[str]]:
+    """table.column names, perhaps with a schema before them, by table; a bare table stands for all of its columns.
+
+    Tables that are known by schema.table are told apart by it; where none are known, schemas are dropped.
+    """
+    known = None if tables is None else list(tables)
     out: dict[str, set[str]] = {}
     for name in names:
         parts = name.split(".")
-        if len(parts) == 1:
-            out.setdefault(parts[0], set())
+        if known is None:
+            table, column = (parts[0], None) if len(parts) == 1 else (parts[-2], parts[-1])
+            found = [table]
+        elif len(parts) == 1 or name in known:
+            found, column = resolved(name, known), None
         else:
-            out.setdefault(parts[-2], set()).add(parts[-1])
+            found, column = resolved(".".join(parts[:-1]), known), parts[-1]
+        for table in found:
+            out.setdefault(table, set()).update([column] if column is not None else [])
     return out

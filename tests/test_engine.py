@@ -50,6 +50,28 @@ def test_lists():
     assert natural("a2") < natural("a10") < natural("b1")
 
 
+def test_names_with_schemas():
+    """One name in two schemas is two tables; an entry without a schema holds for both."""
+    tables = ["a.orders", "b.orders", "plain"]
+    assert by_table(["a.orders.x", "orders.y", "b.orders", "s.plain.z", "c.orders.q"], tables) == {"a.orders": {"x", "y"}, "b.orders": {"y"}, "plain": {"z"}}
+
+
+def test_one_table_name_in_two_schemas(spark):
+    """A run over schemas a and b, which both have orders, with keys within and across them."""
+    rows = lambda k: spark.createDataFrame([(i, i % 4, float(i * k)) for i in range(12)], "o int, id int, amount double")
+    tables = {"a.customers": spark.createDataFrame([(i, "pn"[i % 2]) for i in range(4)], "id int, y string"), "a.orders": rows(1), "b.orders": rows(10)}
+    keys = [ForeignKey("customers", ("id",), "orders", ("id",), schema="a", f_schema="a"), ForeignKey("customers", ("id",), "orders", ("id",), schema="a", f_schema="b")]
+    s = Settings("a.customers", ["id"], ["y"], column_black=["b.orders.amount"], least_relevance=0.0)
+    got = run(tables, keys, s, [PATTERNS["aggregate"], PATTERNS["count"]])
+    assert [t.table for t in got.tables] == ["a.customers", "a.orders", "b.orders"]
+    assert {(x.spec.original, x.spec.pattern) for x in got.journal.all if ("numerical", "amount") in x.spec.columns or x.spec.pattern == "count"} == {("a.orders", "aggregate"), ("a.orders", "count"), ("b.orders", "count")}
+    assert got.main_sample().count() == 4
+    only = run(tables, keys, replace(s, table_white=["a.orders"]), [PATTERNS["count"]])
+    assert [t.table for t in only.tables] == ["a.customers", "a.orders"]
+    left = run(tables, keys, replace(s, table_black=["orders"]), [PATTERNS["count"]])
+    assert [t.table for t in left.tables] == ["a.customers"]
+
+
 def test_kinds():
     assert "nominal" in kinds(T.IntegerType()) and "numerical" in kinds(T.IntegerType())
     assert "nominal" in kinds(T.DecimalType(9, 0)) and "nominal" not in kinds(T.DecimalType(9, 2))
