@@ -10,6 +10,9 @@ keys) and ``ddl`` or ``xml``: paths to ALTER TABLE statements or to an XML list
 ``output`` is a folder for the main samples and journals as parquet. ``sink`` may instead be
 "table", for tables of the catalog's database named by ``output``, or "view", for temporary
 views of the session; ``backup`` keeps what stood in a table before under its name and _bkp.
+``clean`` true first drops what earlier runs wrote into that database (main samples, journals and
+their backups), "all" everything in it; views go before the tables that they read. ``folder`` is a
+shared folder where a run that ended early left its sets, and where it goes on.
 """
 
 from __future__ import annotations
@@ -55,6 +58,20 @@ def save(df: DataFrame, name: str, output: str, sink: str = "parquet", backup: b
         raise ValueError(f"sink {sink}: parquet, table or view")
 
 
+#: Beginnings of the names that a run writes.
+OWN = ("mainsample_", "journal_")
+
+
+def clean(spark: SparkSession, database: str, everything: bool = False) -> list[str]:
+    """Drops a run's tables and views from a database, or all of them, views first; the names dropped, in order."""
+    found = [t for t in spark.catalog.listTables(database) if not t.isTemporary and (everything or t.name.startswith(OWN))]
+    ordered = sorted(found, key=lambda t: (t.tableType != "VIEW", t.name))
+    for t in ordered:
+        name = f"`{database}`.`{t.name}`"
+        spark.sql(f"DROP {'VIEW' if t.tableType == 'VIEW' else 'TABLE'} IF EXISTS {name}")
+    return [t.name for t in ordered]
+
+
 def main(path: str, spark: SparkSession | None = None) -> None:
     config = json.loads(Path(path).read_text())
     spark = spark or SparkSession.builder.appName("loomwright").getOrCreate()
@@ -73,9 +90,11 @@ def main(path: str, spark: SparkSession | None = None) -> None:
         keys += from_ddl(Path(config["ddl"]).read_text())
     if "xml" in config:
         keys += from_xml(Path(config["xml"]).read_text())
+    if config.get("clean") and config.get("sink") == "table":
+        clean(spark, config.get("output") or spark.catalog.currentDatabase(), config["clean"] == "all")
     declared = [pattern(x) for x in config.get("patterns", [])]
     PATTERNS.update({p.key: p for p in declared})
-    more = {"primary": primary, "not_null": not_null}
+    more = {"primary": primary, "not_null": not_null, "folder": config.get("folder")}
     with warnings.catch_warnings(record=True) as warned:
         warnings.simplefilter("always")
         result = two_stages(tables, keys, settings, config["explore"], **more)[1] if "explore" in config else run(tables, keys, settings, **more)

@@ -70,3 +70,19 @@ def test_run_from_a_file(spark, tmp_path):
         for name in ("mainsample_y", "journal_predictor", "journal_table", "journal_pattern", "journal_run", "journal_temporal"):
             spark.sql(f"DROP TABLE IF EXISTS {name}")
             spark.sql(f"DROP TABLE IF EXISTS {name}_bkp")
+
+
+def test_an_output_database_is_cleaned_views_first(spark, tmp_path):
+    """A run's own tables and views go, views before tables; others only where all are to go."""
+    from loomwright.__main__ import clean
+
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS cleaned LOCATION '{tmp_path}/cleaned'")
+    try:
+        for name in ("mainsample_y", "journal_run", "journal_run_bkp", "kept"):
+            spark.range(2).write.saveAsTable(f"cleaned.{name}")
+        spark.sql("CREATE VIEW cleaned.mainsample_view AS SELECT * FROM cleaned.mainsample_y")
+        assert clean(spark, "cleaned") == ["mainsample_view", "journal_run", "journal_run_bkp", "mainsample_y"]
+        assert [t.name for t in spark.catalog.listTables("cleaned") if not t.isTemporary] == ["kept"]
+        assert clean(spark, "cleaned", everything=True) == ["kept"] and clean(spark, "cleaned") == []
+    finally:
+        spark.sql("DROP DATABASE cleaned CASCADE")
