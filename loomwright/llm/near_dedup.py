@@ -49,6 +49,7 @@ SHINGLE, BANDS, ROWS, SKETCH_BITS = 5, 24, 5, 512
 PERCENT = 85  # op5's threshold: link where 100 * intersection >= percent * union
 MOST_PARITY_BITS = 16384
 BLOCK, BLOCK_SHINGLES = 512, 1 << 21  # nodes, and their shingles, in a block of a bucket
+COMPARED_BYTES = 1 << 22  # of parities that are compared at once
 REPRESENTATIVES = 4  # of a component in a bucket
 HOT_BUCKET = 1024  # nodes from which a bucket's rows are dealt to many tasks
 MARGIN = 4.0  # standard deviations by which an estimate may fall short of the threshold
@@ -113,8 +114,9 @@ def fewest_differing(parities: list[bytes], i: np.ndarray, j: np.ndarray) -> np.
         place[rows] = np.arange(len(rows))
         folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(parities[r], np.uint64).reshape(-1, width // 8), axis=0) for r in rows])
         mine = np.flatnonzero(common == width)
-        for at in range(0, len(mine), 1 << 14):
-            some = mine[at : at + (1 << 14)]
+        step = max(1, COMPARED_BYTES // int(width))
+        for at in range(0, len(mine), step):
+            some = mine[at : at + step]
             out[some] = np.bitwise_count(folded[place[i[some]]] ^ folded[place[j[some]]]).sum(1)
     return out
 
@@ -321,6 +323,8 @@ def _by_group(rows: DataFrame, judge, schema: T.StructType, percent: int) -> Dat
             rest.append(t.slice(cut))
         if rest and (out := judged(rest)) is not None:
             yield out
+        rest.clear()
+        pa.default_memory_pool().release_unused()  # workers wait for their next task with what they hold
 
     spread = rows.repartition(2 * shuffle_width(rows.sparkSession), "group").sortWithinPartitions("group")
     return spread.mapInArrow(run, schema)
