@@ -7,9 +7,9 @@
    occurrence of a word, the pivot, as many words as a phrase may hold are kept to the left and to
    the right, up to the first rarer word, infrequent word or end of the piece. An n-gram's owner is the
    leftmost occurrence of its rarest word: so left of a pivot it stands itself for a rarer word.
-3. These fragments, equal ones counted once, go to their pivot's partition. There phrases grow
-   from the pivot, to the left and then to the right, as long as they are frequent: n-grams
-   that another word owns are never made.
+3. These fragments, equal ones counted once, go to their pivot's bucket, many in one row. There
+   phrases grow from the pivot, to the left and then to the right, as long as they are frequent:
+   n-grams that another word owns are never made.
 4. A pivot with many occurrences has one of several salts for each fragment; its phrases are
    summed over salts and only then held against the threshold.
 5. Counts of a phrase's parts, which are frequent too, are joined to it; scores are decimals
@@ -41,7 +41,9 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 #: The word table has 2**TABLE_BITS sums.
 TABLE_BITS = 22
 #: Bytes of text whose fragments are made together, and of fragments that are mined together.
-CHUNK_BYTES, MINE_BYTES = 8 << 20, 16 << 20
+CHUNK_BYTES, MINE_BYTES = 2 << 20, 4 << 20
+#: Bytes of fragments in a row at most, bytes that a task holds before it gives rows out, and buckets of pivots for each partition.
+ROW_BYTES, HELD_BYTES, BUCKETS = 1 << 16, 16 << 20, 4
 #: Distinct words that a task counts before it gives them out.
 MOST_COUNTED = 400_000
 #: Occurrences of a pivot for each of its salts.
@@ -87,8 +89,8 @@ def _count(bits: int):
     return run
 
 
-def fragments(lang: bytes, texts: list[bytes], table: np.ndarray, least: int, longest: int, hot: int) -> tuple[np.ndarray, np.ndarray, pa.Array] | None:
-    """Each pivot's fragments in these texts: its route, whether it is salted, and the fragments, one a line, each after its count."""
+def fragments(lang: bytes, texts: list[bytes], table: np.ndarray, least: int, longest: int, hot: int, buckets: int) -> tuple[np.ndarray, np.ndarray, pa.Array] | None:
+    """The fragments in these texts: their pivots' buckets, whether these are salted, and the fragments, one a line, each after its count."""
     tokens: list[bytes] = []
     ends: list[int] = []
     for text in texts:
@@ -137,36 +139,57 @@ def fragments(lang: bytes, texts: list[bytes], table: np.ndarray, least: int, lo
     pivot = of[pivots[first]]
     salts = np.maximum(1, -(-sums[pivot] // hot)).astype(np.uint64)
     salt = np.arange(len(pivot), dtype=np.uint64) % salts
-    route = (hashes[pivot] + salt * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-    order = np.argsort(route, kind="stable")
-    route, salts = route[order], salts[order]
-    cuts = np.flatnonzero(np.r_[True, route[1:] != route[:-1], True])
-    blobs = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(cuts, pa.int64()), lines.take(pa.array(order))), b"\n")
-    return route[cuts[:-1]], salts[cuts[:-1]] > 1, blobs
+    bucket = ((hashes[pivot] + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
+    salted = salts > 1
+    order = np.lexsort((bucket, salted))
+    bucket, salted, lines = bucket[order], salted[order], lines.take(pa.array(order))
+    row = np.cumsum(pc.binary_length(lines).to_numpy().astype(np.int64) + 1) // ROW_BYTES
+    cuts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (salted[1:] != salted[:-1]) | (row[1:] != row[:-1]), True])
+    return bucket[cuts[:-1]], salted[cuts[:-1]], pc.binary_join(pa.LargeListArray.from_arrays(pa.array(cuts, pa.int64()), lines), b"\n")
 
 
-ROUTED = "route long, lang string, salted boolean, lines binary"
+ROUTED = "bucket long, lang string, salted boolean, lines binary"
 
 
-def _route(table, least: int, longest: int, hot: int):
+def _route(table, least: int, longest: int, hot: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[str, list[bytes]] = {}
-        size = 0
+        rows: dict[tuple[str, int, bool], list[bytes]] = {}
+        size = held = 0
 
-        def given() -> Iterator[pa.RecordBatch]:
+        def gather() -> int:
+            """Adds the waiting texts' fragments to what is held of their buckets."""
+            more = 0
             for lang, texts in waiting.items():
-                if (out := fragments(lang.encode(), texts, table.value, least, longest, hot)) is not None:
-                    route, salted, blobs = out
-                    yield pa.RecordBatch.from_arrays([pa.array(route), pa.array([lang] * len(route)), pa.array(salted), blobs.cast(pa.binary())], names=["route", "lang", "salted", "lines"])
+                if (out := fragments(lang.encode(), texts, table.value, least, longest, hot, buckets)) is not None:
+                    for bucket, salted, lines in zip(out[0].tolist(), out[1].tolist(), out[2].to_pylist(), strict=True):
+                        own = rows.setdefault((lang, bucket, salted), [b""])
+                        if len(own[-1]) + len(lines) <= ROW_BYTES:
+                            own[-1] = own[-1] + b"\n" + lines if own[-1] else lines
+                        else:
+                            own.append(lines)
+                        more += len(lines)
             waiting.clear()
+            return more
+
+        def given() -> Iterator[pa.RecordBatch]:
+            flat = [(bucket, lang, salted, lines) for (lang, bucket, salted), own in rows.items() for lines in own if lines]
+            for at in range(0, len(flat), 256):
+                columns = zip(*flat[at : at + 256], strict=True)
+                kinds = (pa.int64(), pa.string(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "lang", "salted", "lines"])
+            rows.clear()
 
         for t in batches:
             for lang, text in zip(t["lang"].to_pylist(), t["text"].to_pylist(), strict=True):
                 waiting.setdefault(lang, []).append(text)
                 size += len(text)
                 if size >= CHUNK_BYTES:
+                    held, size = held + gather(), 0
+                if held >= HELD_BYTES:
                     yield from given()
-                    size = 0
+                    held = 0
+        gather()
         yield from given()
 
     return run
@@ -221,7 +244,7 @@ def grown(lines: pa.Array, least: int, longest: int) -> Iterator[tuple[pa.Array,
 
 
 def _mine(least: int, longest: int):
-    """Rows of whole routes in order to (lang, phrase, n). Salted ones give all that they count."""
+    """Rows of whole buckets in order to (lang, phrase, n). Salted ones give all that they count."""
 
     def mined(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
         t = pa.concat_tables(tables)
@@ -243,10 +266,10 @@ def _mine(least: int, longest: int):
             size += t.nbytes
             if size < MINE_BYTES:
                 continue
-            # The last route may go on in the next batch.
+            # The last bucket may go on in the next batch.
             t = pa.concat_tables(rest)
-            route = t["route"].to_numpy()
-            cut = len(route) - int(np.argmax(route[::-1] != route[-1])) if route[0] != route[-1] else 0
+            bucket = t["bucket"].to_numpy()
+            cut = len(bucket) - int(np.argmax(bucket[::-1] != bucket[-1])) if bucket[0] != bucket[-1] else 0
             if cut:
                 yield from mined([t.slice(0, cut)])
             rest = [t.slice(cut)]
@@ -267,8 +290,9 @@ def counts(docs: DataFrame, work: Workspace, text_col: str = "text", lang_col: s
     sums = words.groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas()
     table = np.zeros(1 << bits, np.uint32)
     table[sums["slot"].to_numpy(np.int64)] = np.minimum(sums["n"].to_numpy(np.int64), (1 << 32) - 1)
-    routed = texts.mapInArrow(_route(spark.sparkContext.broadcast(table), least, longest, hot), ROUTED)
-    routed = routed.repartition(2 * shuffle_width(spark), "route").sortWithinPartitions("route")
+    width = 2 * shuffle_width(spark)
+    routed = texts.mapInArrow(_route(spark.sparkContext.broadcast(table), least, longest, hot, BUCKETS * width), ROUTED)
+    routed = routed.repartition(width, "bucket").sortWithinPartitions("bucket")
     phrases = routed.mapInArrow(_mine(least, longest), "lang string, phrase binary, n long")
     return words.drop("slot"), work.keep(phrases.groupBy("lang", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "phrases")
 

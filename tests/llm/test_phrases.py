@@ -69,6 +69,8 @@ def test_equals_brute_force(spark, rows, more, monkeypatch):
     """With a table so small that words share their sums, and with salted pivots; chunks of a few lines."""
     monkeypatch.setattr(phrases, "CHUNK_BYTES", 900)
     monkeypatch.setattr(phrases, "MINE_BYTES", 2000)
+    monkeypatch.setattr(phrases, "ROW_BYTES", 100)
+    monkeypatch.setattr(phrases, "HELD_BYTES", 3000)
     df = spark.createDataFrame(rows, TEXTS).repartition(3)
     assert got(phrases.mine(df, least=4, **more)) == brute(rows, 4, more.get("longest", 5), more.get("top", 2000))
 
@@ -85,7 +87,7 @@ def test_a_fragment_holds_no_rarer_word_and_counts_once():
     table = np.zeros(1 << 16, np.uint32)
     for word, n in ((b"a", 9), (b"b", 5), (b"c", 3)):
         table[phrases.word_hash(b"en", word) & 0xFFFF] = n
-    _, _, blobs = phrases.fragments(b"en", [b"a b a c rare b. A c", b"a b a c rare b"], table, 2, 5, 100)
+    _, _, blobs = phrases.fragments(b"en", [b"a b a c rare b. A c", b"a b a c rare b"], table, 2, 5, 100, 4)
     lines = sorted(line for blob in blobs.to_pylist() for line in blob.split(b"\n"))
     assert lines == [b"1 a \x0bc", b"2 a \x0bb a", b"2 a b a \x0bc"]
 
