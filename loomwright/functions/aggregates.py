@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .registry import Binding, Sweep, agg, counts, frame, lag
+from .registry import Binding, Pattern, Quantile, Sweep, Within, agg, counts, frame, lag, register
 
 FUNCTIONS = ("stddev_samp", "avg", "min", "max", "sum")
 #: x and t of rows that have both.
@@ -15,12 +15,12 @@ _T = "CASE WHEN {numerical} IS NOT NULL THEN {temporal} END"
 agg("Aggregate", ("numerical",), "{f}({numerical})", params={"f": FUNCTIONS})
 agg("Aggregate distinct", ("numerical",), "{f}(DISTINCT {numerical})", params={"f": ("stddev_samp", "avg", "sum")})
 agg("Aggregate range", ("numerical",), "max({numerical}) - min({numerical})")
-agg(
-    "Aggregate frame", ("numerical", "date"),
-    "{f}(CASE WHEN ({base_date} - {date}) / 86400 > {lead_fraction} * {lag} AND ({base_date} - {date}) / 86400 < {lag} THEN {numerical} END)",
-    having="count(CASE WHEN ({base_date} - {date}) / 86400 > {lead_fraction} * {lag} AND ({base_date} - {date}) / 86400 < {lag} THEN 1 END) > 0",
+register(Pattern(
+    "Aggregate frame", "n", ("numerical", "date"),
+    lambda b: Within(b.params["f"], b.number("numerical"), b.sql("({base_date} - {date}) / 86400"), round(b.params["lead_fraction"] * b.params["lag"], 9), float(b.params["lag"])),
     params={"f": FUNCTIONS}, sweeps={"lag": Sweep(30, 240, 4, True), "lead_fraction": Sweep(0.2, 0.8, 4)}, needs_date=True,
-)
+    description="{f} of {numerical} over rows whose age in days is between {lead_fraction} * {lag} and {lag}",
+))
 agg(
     "Aggregate subgroup", ("nominal", "numerical"), "{f}(CASE WHEN {nominal} = {value} THEN {numerical} END)",
     having="count(CASE WHEN {nominal} = {value} THEN 1 END) > 0", params={"f": FUNCTIONS}, needs_value=True,
@@ -38,7 +38,10 @@ agg("Slope", ("numerical", "temporal"), f"covar_pop({_X}, {_T}) / nullif(var_pop
 agg("Intercept", ("numerical", "temporal"), f"avg({_X}) - covar_pop({_X}, {_T}) / nullif(var_pop({_T}), 0) * avg({_T})")
 agg("Log product", ("numerical",), "sum(CASE WHEN {numerical} > -1 THEN ln({numerical} + 1) END)")
 agg("Null ratio", ("any",), "avg(CASE WHEN {any} IS NULL THEN 1.0D ELSE 0.0D END)")
-agg("Percentile", ("numerical",), "percentile_cont({p}) WITHIN GROUP (ORDER BY {numerical})", params={"p": (0.05, 0.5, 0.95)})
+register(Pattern(
+    "Percentile", "n", ("numerical",), lambda b: Quantile(b.number("numerical"), b.params["p"]),
+    params={"p": (0.05, 0.5, 0.95)}, description="percentile_cont({p}) WITHIN GROUP (ORDER BY {numerical})",
+))
 agg(
     "Skewness", ("numerical",),
     "CASE WHEN stddev_samp({numerical}) > 0 AND count({numerical}) = 2 THEN 0.0D WHEN stddev_samp({numerical}) > 0 THEN skewness({numerical}) * power((count({numerical}) - 1) / count({numerical}), 1.5D) END",
@@ -67,7 +70,7 @@ _PEAK = {
 
 
 def _peak(name: str, template: str, **more) -> None:
-    from .registry import Agg, Pattern, register
+    from .registry import Agg
 
     def build(b: Binding) -> Agg:
         return Agg(b.sql(template, peak=b.sql(_PEAK[b.params["order"]])), b.sql(f"count(CASE WHEN {_BOTH} THEN 1 END) > 0"))

@@ -1,12 +1,14 @@
 """Feature patterns: what a feature computes, from which kinds of columns, with which parameters.
 
-A pattern's ``build`` turns a binding into one of five parts, which tell the planner how it
+A pattern's ``build`` turns a binding into one of seven parts, which tell the planner how it
 may be fused with others:
 
 * Row: an expression for each row of the table.
 * Agg: an aggregate expression over the rows of a base row.
 * Lag: aggregates over rows with their predecessor's values, in time order.
 * Counts: aggregates over a column's values and how often each occurs.
+* Quantile: the value at a share of a column's order; all shares of a column share a plan.
+* Within: a function over the rows within a window of time; all windows over a column share partial sums.
 * Frame: a DataFrame function, where none of the above can express it.
 """
 
@@ -126,12 +128,29 @@ class Counts:
     value: str
 
 
+@dataclass(frozen=True)
+class Quantile:
+    column: str
+    share: float
+
+
+@dataclass(frozen=True)
+class Within:
+    """f of the column over the rows with low < at < high."""
+
+    f: str
+    column: str
+    at: str
+    low: float
+    high: float
+
+
 @dataclass(frozen=True)
 class Frame:
     make: Callable[[DataFrame], DataFrame]
 
 
-Part = Row | Agg | Lag | Counts | Frame
+Part = Row | Agg | Lag | Counts | Quantile | Within | Frame
 
 
 @dataclass(frozen=True)

@@ -4,7 +4,8 @@ All Agg and Lag features of a table share one grouping by base row: lagged colum
 windows over the same keys, so that window and grouping use one shuffle. Features with
 DISTINCT aggregates go into groupings of their own, one for each input, and so do ordered-set
 aggregates. Counts features share
-one two-level aggregation for each column. Row features are one projection. Frame features
+one two-level aggregation for each column, quantiles one plan for each column, and windows of time one
+set of partial sums for each column and time. Row features are one projection. Frame features
 each bring their own plan.
 """
 
@@ -17,7 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.registry import Agg, Binding, Counts, Frame, Lag, Part, Row
+from ..functions.registry import Agg, Binding, Counts, Frame, Lag, Part, Quantile, Row, Within
+from .partials import quantiles, windows
 
 DISTINCT = re.compile(r"\bDISTINCT\s+", re.I)
 ORDERED_SET = re.compile(r"\bWITHIN GROUP\b", re.I)
@@ -80,6 +82,10 @@ def single(df: DataFrame, b: Binding, part: Part, tie: list[str] | None = None)
     if isinstance(part, Counts):
         counts = df.select(*b.base, F.expr(part.column).alias("v")).groupBy(*b.base, "v").agg(F.count("*").alias("n"))
         return counts.groupBy(*b.base).agg(F.expr(part.value).alias("value"))
+    if isinstance(part, Quantile):
+        return quantiles(df, b, [("value", part)])
+    if isinstance(part, Within):
+        return windows(df, b, [("value", part)], "_keep").filter("_keep").drop("_keep")
     return part.make(df)
 
 
@@ -115,6 +121,13 @@ def fused(df: DataFrame, b: Binding, features: list[tuple[str, Part]], tie: list
     for column, parts in by_column.items():
         counts = df.select(*b.base, F.expr(column).alias("v")).groupBy(*b.part, "v").agg(*target, F.count("*").alias("n"))
         tables.append(counts.groupBy(*b.part).agg(*target, *(F.expr(p.value).alias(n) for n, p in parts)))
+    shared: dict[tuple, list[tuple[str, Part]]] = defaultdict(list)
+    for n, p in features:
+        if isinstance(p, Quantile):
+            shared[quantiles, p.column].append((n, p))
+        elif isinstance(p, Within):
+            shared[windows, p.column, p.at].append((n, p))
+    tables += [plan(df, b, parts) for (plan, *_), parts in shared.items()]
     if rows:
         columns = [F.when(F.expr(p.where), F.expr(p.value)).alias(n) if p.where else F.expr(p.value).alias(n) for n, p in rows]
         wide = df.select(*b.base, *columns)
