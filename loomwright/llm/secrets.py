@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import quoted, small_batches
 from .lexing import Assignment, Part, assignments
 
 #: Base kinds, in the order that breaks ties between spans with one start.
@@ -65,6 +65,7 @@ Span = tuple[int, int, str]
 def name_score(name: str) -> float:
     """0 to 1: how sensitive a target of that name is."""
     parts = [p.lower() for p in PIECES.findall(name.replace("apiKey", "apikey").replace("ApiKey", "Apikey"))]
+    parts = [p[:-1] if p not in SENSITIVE and p[-1] == "s" and p[:-1] in SENSITIVE else p for p in parts]  # keys, tokens
     joined = "".join(parts)
     up = max((SENSITIVE[p] for p in parts if p in SENSITIVE), default=0.0)
     up += sum(sorted(SENSITIVE[p] for p in parts if p in SENSITIVE)[:-1]) * 0.7
@@ -266,7 +267,7 @@ def scanned(text: str | Column) -> Column:
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: its id, counts of spans, the digest of the base spans and all spans."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("_id"), scanned(text_col).alias("_found"))
+    rows = docs.select(F.col(quoted(id_col)).alias("_id"), scanned(text_col).alias("_found"))
     return rows.select(F.col("_id").alias(id_col), *(F.col(f"_found.{n}").alias(n) for n in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_pair")))
 
 

@@ -76,6 +76,84 @@ def test_pairs(text, want):
     assert pairs(text) == want
 
 
+L = "aB3$kQ9zX7pL"
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ('"password": {"value": "%"}', [L]),
+        ('"api_keys": ["%", "q8Zt!x#99kk"]', [L, "q8Zt!x#99kk"]),
+        ("auth_keys:\n  - %\n  - q8Zt!x#99kk\ntitles:\n  - aB3$kQ9zX7pM", [L, "q8Zt!x#99kk"]),
+        ("<secret_key><![CDATA[%]]></secret_key>", [L]),
+        ('const ClientSecret string = "%"', [L]),
+        ('const AUTH_KEY: &str = "%";', [L]),
+        ('user, secret_key = "bobAB12$cdEF34", "%"', [L]),
+        ('secret_key = x or "%"', [L]),
+        ('secret_key = x if y == 1 else "%"', [L]),
+        ('secret_key = a ? "%" : "q8Zt!x#99kk"', [L, "q8Zt!x#99kk"]),
+        ('secret_key = a.b ?? "%"', [L]),
+        ('secret_key = os.getenv("K", "%")', [L]),
+        ('secret_key = get("k") or "%"', [L]),
+        ('secret_key = cfg["x"]["y"] or "%"', [L]),
+        ('secret_key = "".join(["aB3$kQ", "9zX7pL"])', ["aB3$kQ", "9zX7pL"]),
+        ('k = "%"\nsecret_key = "{}".format(k)', [L]),
+        ('k = "%"\nsecret_key = "%s" % k'.replace("%s", "\0s").replace('" % k', '" \0 k'), [L]),
+        ("SECRET_KEY=$(cat <<EOF\n%\nEOF\n)", [L]),
+        ("secret_key = <<~EOS\n  %\nEOS\n", [L]),
+        ('x = "%"\nsecret_key = f"{x}tail"', [L, "tail"]),
+        ('x = "%"\nsecret_key = "${x}"', [L]),
+        ("client_secret:\n  value: %\n  title: aB3$kQ9zX7pM", [L]),
+        ("env:\n  - name: AUTH_KEY\n    value: %\n  - name: TITLE\n    value: aB3$kQ9zX7pM", [L]),
+        ('authKeys := []string{"%"}', [L]),
+        ('secret_keys = {"prod": "%", "eu": "aB3$kQ9zX7pM"}', [L]),
+        ('"auth_key": {"type": "string", "region": "eu-west-1aB3"}', []),
+        ('"titles": ["%"], "auth_keys": []', []),
+        ('{"auth_key": {"ttl": 3}, "value": "%"}', []),
+    ],
+)
+def test_collections_alternatives_and_names_in_text(text, want):
+    assert pairs(text.replace("%", L).replace("\0", "%")) == want
+
+
+def test_generated_trees_give_their_pairs_back():
+    """Nested JSON and YAML: literals under sensitive keys, plain, in lists, or below keys that say nothing."""
+    import json
+
+    rng = random.Random(13)
+    letters = "abcdefghijkmnopqrstuvwxyzABCDEFGHIJKLMNPQRSTUVWXYZ23456789"
+    literal = lambda: "".join(rng.choice(letters) for _ in range(20)) + "7qX"
+
+    def tree(depth, want):
+        out = {}
+        for k in range(rng.randint(1, 4)):
+            key, sensitive = rng.choice([(f"auth_key_{k}x", True), (f"dbPassphrase{k}", True), (f"title{k}", False), (f"plain{k}", False)])
+            kind = rng.choice(["plain", "list", "inner", "tree"] if depth else ["plain", "list", "inner"])
+            if kind == "tree":
+                out[f"part{k}"] = tree(depth - 1, want)
+                continue
+            held = [literal() for _ in range(1 if kind != "list" else rng.randint(1, 3))]
+            want += held if sensitive else []
+            out[key] = held[0] if kind == "plain" else held if kind == "list" else {rng.choice(["value", "prod", "default"]): held[0], "note": literal()}
+        return out
+
+    def yaml(x, indent=0):
+        for k, v in x.items():
+            if isinstance(v, dict):
+                yield " " * indent + f"{k}:\n"
+                yield from yaml(v, indent + 2)
+            elif isinstance(v, list):
+                yield " " * indent + f"{k}:\n" + "".join(" " * (indent + 2) + f"- {i}\n" for i in v)
+            else:
+                yield " " * indent + f"{k}: {v}\n"
+
+    for _ in range(200):
+        want = []
+        made = tree(2, want)
+        for text in (json.dumps(made), json.dumps(made, indent=2), "".join(yaml(made))):
+            assert sorted(pairs(text)) == sorted(want), text
+
+
 def test_ascii_case_only_and_code_points():
     assert secrets.scan("paſſword=abcdefg")[0] == [] and secrets.scan("to\u212aen=abcdefg")[0] == []
     assert secrets.joined(secrets.scan("😀 token=abcdef")[0]) == "assign:2:14"
@@ -120,6 +198,8 @@ def test_generated_sources_give_their_pairs_back():
 def test_hostile_texts_are_linear():
     for text in ("<a b='" * 50_000, "x=(" * 50_000, 'k = k + "x1"\n' * 30_000 + "auth_key = k", "x = (\n" * 30_000, "#" * 200_000, "a: |\n" * 30_000, "$" * 200_000 + "key", "<a" * 100_000 + " auth=","a.b" * 200_000 + " key=", "A = A + A\n" * 20_000 + "key = A", '"' * 100_000 + "token", "key=" * 100_000):
         secrets.scan(text)
+    for begin in ("k:[", '"k":[{', "a=<<E\n", "a:\n- b\n", "x = y if ", "a, b = ", "<k><![CDATA[", 'k = f"{k}{k}"\n', 'k = "".join(["a",', 'k = getenv("a", ', '{"value":', 'a["x"]', ', key= '):
+        secrets.scan(begin * 20_000 + " secret_key = k")
 
 
 def test_redaction():
