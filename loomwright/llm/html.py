@@ -4,7 +4,8 @@ A page is cut into blocks of text at block-level tags. A linear classifier gives
 price, the log odds of content: how long it is, how it ends, its punctuation, links and tag,
 and how deep it lies, beside one bounded term for the container it stands in. The price is a
 terminal capacity; neighbouring blocks, and blocks under one parent, are tied by edges that
-weigh less the further apart they are in the tree, on the same scale. The minimum cut of that
+weigh less the further apart they are in the tree, and less where a container of content or
+boilerplate ends between them, on the same scale. The minimum cut of that
 graph separates content from boilerplate: a short or much linked block goes with the blocks
 around it unless its own price outweighs them.
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import quoted, small_batches
 from .mincut import min_cut
 from .training import logistic, sampled_ids, texts_of
 
@@ -59,6 +60,8 @@ BAD_WORD = set(
     " cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations trending pagination pager toolbar copyright masthead skip search widget".split()
 )
 COMMENT_WORD = set("comment comments commentlist disqus reply replies respond discussion".split())
+#: Of these, the ones that in an article may as well name a part of its text.
+PERHAPS_COMMENT = set("reply discussion".split())
 NEUTRAL = set("main site left right top bottom upper lower box block container wrapper wrap inner outer area section list item items group col row bar links link text body header head title content post posts form btn button primary secondary global left1 fixed sticky id div ul li the".split())
 GOOD_WORD = set("article articlebody story post entry content main body text".split())
 NAME_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -70,9 +73,10 @@ FEATURES = ("bias", "words", "sentence", "commas", "linked", "heading", "item",
 USUAL = np.array([-1.5, 2.0, 1.2, 0.4, -4.0, 0.8, -0.5, 0.6, -0.1])
 FULL_WORDS = 20
 #: Bounds of that sum, and the term for a block's container.
-LEAST, MOST, IN_CONTENT, NAMED_CONTENT, IN_BOILERPLATE = -4.0, 3.0, 3.5, 1.5, -9.0
-#: Ties: what it costs to part two blocks next to each other, less by their distance, and two in turn under one parent.
-TIE = 3.0
+LEAST, MOST, IN_CONTENT, NAMED_CONTENT, IN_BOILERPLATE = -4.0, 3.0, 3.5, 1.5, -5.0
+#: Ties: what it costs to part two blocks next to each other, divided by their distance to a power, and two in turn
+#: under one parent. BORDER: steps that the end of a container adds.
+TIE, POWER, SIDE, BORDER = 24.0, 3, 1.0, 2
 #: The ridge is so much for each labelled block.
 SAMPLE, LABELLED, RIDGE = 2000, 200, 0.03
 
@@ -90,13 +94,15 @@ class _Element:
         self.link = parent.link if parent else False
 
 
-def named(value: str) -> int:
-    """What a class or id attribute says of an element: -2 comments, -1 boilerplate, 1 content, 0 nothing."""
+def named(value: str, in_content: bool = False) -> int:
+    """What a class or id attribute says of an element, perhaps in an article: -2 comments, -1 boilerplate, 1 content, 0 nothing."""
     out = 0
     for name in value.split():
         words = {w.lower() for w in NAME_WORD.findall(name) if not w.isdigit()}
         plain = words - NEUTRAL
         if plain & COMMENT_WORD and plain <= COMMENT_WORD | BAD_WORD:
+            if in_content and plain <= PERHAPS_COMMENT:
+                continue
             return -2
         if plain & BAD_WORD and plain <= BAD_WORD:
             out = -1
@@ -108,7 +114,8 @@ def named(value: str) -> int:
 def _mark(e: _Element, tag: str, rest: str) -> None:
     if tag == "a":
         e.link = True
-    says = -2 if tag in BAD_TAG or tag == "header" and e.place <= 0 else 2 if tag in GOOD_TAG else 0
+    # A form may stand round a whole page: it ends like boilerplate by name.
+    says = -1 if tag == "form" else -2 if tag in BAD_TAG or tag == "header" and e.place <= 0 else 2 if tag in GOOD_TAG else 0
     e.by_tag = says or e.by_tag
     if "=" in rest or "hidden" in rest:
         for name, a, b, c in ATTRIBUTE.findall(rest):
@@ -116,7 +123,7 @@ def _mark(e: _Element, tag: str, rest: str) -> None:
             if name in ("class", "id"):
                 if tag in ("html", "body", "a", "span"):
                     continue
-                new = named(value)
+                new = named(value, e.place == 2)
                 says = new if says in (0, 1) or new == -2 else says
             elif name == "role":
                 says = -2 if value.lower() in BAD_ROLE else 2 if value.lower() in ("main", "article") else says
@@ -236,10 +243,12 @@ def ties(found: list[tuple[str, int, _Element]]) -> list[tuple[int, int, float]]
     edges, last = [], {}
     for i, (_, _, e) in enumerate(found):
         if i:
-            edges.append((i - 1, i, TIE / max(1, _distance(found[i - 1][2], e))))
+            before = found[i - 1][2]
+            steps = _distance(before, e) + BORDER * ((before.place > 0) != (e.place > 0) or (before.place < 0) != (e.place < 0))
+            edges.append((i - 1, i, TIE / max(2, steps) ** POWER))
         parent = e.parent.number if e.parent else -1
         if parent in last and last[parent] < i - 1:
-            edges.append((last[parent], i, TIE / 3))
+            edges.append((last[parent], i, SIDE if found[last[parent]][2].place == e.place else 0.0))
         last[parent] = i
     return edges
 
@@ -287,5 +296,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         for found in batches:
             yield pd.Series([main_text(p, weights) for p in found], dtype=object)
 
-    rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), text_of(html_col).alias("text"))
+    rows = pages.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(url_col)).alias("_url"), text_of(quoted(html_col)).alias("text"))
     return rows.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

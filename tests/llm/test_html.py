@@ -52,6 +52,10 @@ LONG = "This is a long paragraph with many words, which shows that it is content
         (f"<div><p>{LONG}</p><p style='display:none'>{LONG}</p><div role=navigation>{LONG}</div><form>{LONG}</form><aside>{LONG}</aside></div>", LONG),
         (f"<article><p>{LONG} <b>bo</b>ld <!-- no -->a < b</p></article>", f"{LONG} bold a < b"),
         (f"<article><p title='a > b'>{LONG}</p></article", LONG),
+        (f"<form id=aspnetForm><nav><a href=x>One</a></nav><article><p>{LONG}</p></article><label>Name</label><p>{LONG}</p></form>", LONG),
+        (f"<article><p>{LONG}</p><section id=discussion><h2>Discussion</h2><p>{LONG}</p></section><div class=reply><p>{LONG}</p></div></article>", f"{LONG}\nDiscussion\n{LONG}\n{LONG}"),
+        (f"<article><p>{LONG}</p></article><div id=discussion><p>{LONG}</p></div><div class=comments><div class=reply><article><p>{LONG}</p></article></div></div>", LONG),
+        (f"<article><p>{LONG}</p><aside>{LONG}</aside><p>{LONG}</p><ul><li><a href=x>One</a></ul><p>{LONG}</p></article>", f"{LONG}\n{LONG}\nOne\n{LONG}"),
         (f"<div class='cookie-notice'>{LONG}</div><nav><a href=x>One</a> <a href=y>Two</a></nav><p>{LONG}</p>", LONG),
     ],
 )
@@ -100,7 +104,7 @@ def test_the_cut_decides_on_mixed_pages():
         by_cut += sum(c == w for c, w in zip(cut, want))
         flipped += sum(c != (x > 0) for c, x in zip(cut, z))
         total += len(want)
-    assert flipped > 0.03 * total and by_cut > by_sign + 0.02 * total and by_cut > 0.95 * total
+    assert flipped > 0.03 * total and by_cut > by_sign + 0.05 * total and by_cut > 0.96 * total
 
 
 def test_weights_are_fitted_and_fall_back(spark):
