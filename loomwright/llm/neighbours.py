@@ -3,10 +3,13 @@
 Equal vectors are one entry with its least ids (one more than the neighbours asked for, as a
 query's own id may be among them), so that thousands of copies neither crowd the candidates
 nor meet in one task. Directions are encoded with additive codebooks fitted on a bounded
-sample (SAMPLE); norms are stored. Every query meets every entry's code in blocks: a group
-is one block of entries and one of queries, scored by lookup tables. Work grows with queries
-times entries, and codes are shuffled once for each block of queries. The best RERANK
-estimates of each query are scored again, in double precision on the original vectors.
+sample (SAMPLE); norms are stored, and how far each vector lies from its code. Every query
+meets every entry's code in blocks: a group is one block of entries and one of queries, scored
+by lookup tables. The RERANK best estimates of a query, shared out over the blocks, are scored
+exactly, in double precision on the original vectors, and so is every other entry whose distance
+from its code leaves room for a larger product than the nearest found so far: whatever
+the rows are like, none of the nearest is lost to its code. Work grows with queries times entries,
+and entries are shuffled once for each block of queries, queries once for each block of entries.
 
 Defined results: vectors that are null, zero, hold a null or a number that isn't finite, or
 have another length than most, take no part, nor do rows without an id; where rows repeat an
@@ -30,12 +33,11 @@ from .common import Workspace, quoted, shuffle_width
 SAMPLE = 16384  # vectors that the codebooks are fitted on
 CODEBOOKS, WORDS, BEAM = 24, 256, 4
 RERANK = 512  # candidates of a query that are scored exactly
-#: Entries and queries of a group at most; queries fill the tasks there are before their blocks are larger than FEW_QUERIES.
-ENTRY_BLOCK, QUERY_BLOCK, FEW_QUERIES = 65536, 8192, 512
+#: Entries and queries of a group at most, and components that either's vectors have; queries fill the tasks there are before their blocks are larger than FEW_QUERIES.
+ENTRY_BLOCK, QUERY_BLOCK, COMPONENTS, FEW_QUERIES = 65536, 32768, 1 << 22, 512
 SCORED_AT_ONCE = 64  # queries whose lookup tables are held at a time
 
-CODED = T.StructType([T.StructField("entry", T.LongType()), T.StructField("codes", T.BinaryType()), T.StructField("norm", T.DoubleType())])
-NEAR = T.StructType([T.StructField("query", T.LongType()), T.StructField("entry", T.LongType()), T.StructField("estimate", T.FloatType())])
+NEAR = T.StructType([T.StructField("query", T.LongType()), T.StructField("entry", T.LongType()), T.StructField("score", T.DoubleType())])
 
 
 def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -51,6 +53,60 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_list()).astype(np.float64)
 
 
+def _lengths(x: np.ndarray) -> np.ndarray:
+    """Lengths of vectors that aren't zero, without squares that overflow."""
+    most = np.abs(x).max(1)
+    return most * np.linalg.norm(x / most[:, None], axis=1)
+
+
+def _blocks(entries: int, queries: int, components: int, tasks: int) -> tuple[int, int]:
+    """How many blocks of entries and of queries there are. Each block of entries gives rows for every query, so that these are as few as memory lets them be."""
+    most = max(1, COMPONENTS // max(1, components))
+    b = -(-entries // min(ENTRY_BLOCK, most))
+    return b, max(1, -(-queries // min(QUERY_BLOCK, most)), min(-(-queries // FEW_QUERIES), -(-tasks // b)))
+
+
+def _least(scores: np.ndarray, k: int) -> float:
+    """The k-th largest; no bar where there are fewer."""
+    return np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else -np.inf
+
+
+def nearest_in(x: np.ndarray, codes: np.ndarray, norm: np.ndarray, error: np.ndarray, queries: np.ndarray, books: np.ndarray, k: int, rerank: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the places of its k nearest rows of x, ties to the first, and their products.
+
+    error is how far a row may lie from its code. A row is passed over only where its estimate and
+    |query| * error together stay below k products that were computed; a bar that isn't a number passes none over.
+    """
+    n, d = x.shape
+    # Lookup tables hold 32-bit floats: each of the sums has this error at most, in terms of the query's length and the row's.
+    rounding = (len(books) + 8) * 2.0**-22 * (1 + np.linalg.norm(books, axis=2).max(1).sum())
+    exactness = (d + 4) * 2.0**-52
+    largest = norm.max()
+    relative, room = (norm / largest).astype(np.float32), ((error + rounding * norm) / largest).astype(np.float32)
+    keep, out = min(rerank, n), []
+    for at in range(0, len(queries), SCORED_AT_ONCE):
+        some = queries[at : at + SCORED_AT_ONCE]
+        length = _lengths(some)
+        s = additive.scores(additive.tables(some / length[:, None], books).astype(np.float32), codes, relative)
+        if keep < n:
+            first = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
+            bars = [_least(x[f] @ v - exactness * m * norm[f], k) / m / largest for f, v, m in zip(first, some, length, strict=True)]
+            s += room
+            near = [np.flatnonzero(~(row < np.nextafter(np.float32(bar), np.float32(-np.inf)))) for row, bar in zip(s, bars, strict=True)]
+        else:
+            near = [np.arange(n)] * len(some)
+        # Where many rows are left it is faster to multiply all than to pick them.
+        every = some @ x.T if sum(map(len, near)) > len(some) * n // 8 else None
+        for i, (v, m, rows) in enumerate(zip(some, length, near, strict=True)):
+            product = x[rows] @ v if every is None else every[i][rows]
+            slack = exactness * m * norm[rows]
+            rows = rows[~(product + slack < _least(product - slack, k))]
+            exact = np.cumsum(x[rows] * v, axis=1)[:, -1] + 0.0  # in the order of the components
+            best = np.lexsort((rows, -exact, ~np.isnan(exact)))[:k]
+            out.append((rows[best], exact[best]))
+    return out
+
+
 def search(vectors: DataFrame, k: int = 20, query_every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """For each row whose id is divisible by query_every, its k nearest other rows: query_id, rank, id, score."""
     spark, work = vectors.sparkSession, Workspace(vectors.sparkSession, "neighbours")
@@ -74,52 +130,42 @@ def search(vectors: DataFrame, k: int = 20, query_every: int = 20, id_col: str =
         for pdf in batches:
             if len(pdf):
                 x = _matrix(pdf["vector"])
-                norm = np.linalg.norm(x, axis=1)
-                codes = additive.encode(x / norm[:, None], shared.value, BEAM)
-                yield pd.DataFrame({"entry": pdf["entry"], "codes": [c.tobytes() for c in codes], "norm": norm})
-
-    blocks = -(-n // ENTRY_BLOCK)
-    coded = work.keep(entries.select("entry", "vector").mapInPandas(encoded, CODED), "coded")
+                norm = _lengths(x)
+                unit = x / norm[:, None]
+                codes = additive.encode(unit, shared.value, BEAM)
+                error = np.linalg.norm(unit - additive.decode(codes, shared.value), axis=1) * norm
+                yield pdf.assign(codes=[c.tobytes() for c in codes], norm=norm, error=error)
+
+    more = [T.StructField("codes", T.BinaryType()), T.StructField("norm", T.DoubleType()), T.StructField("error", T.DoubleType())]
+    coded = work.keep(entries.mapInPandas(encoded, T.StructType([*entries.schema.fields, *more])), "coded")
+    work.drop("entries")
     queries = rows.filter(F.col("id") % query_every == 0)
-    asked = queries.join(entries.select("vector", F.col("entry").alias("query")), "vector").select("id", "query", "vector")
+    asked = queries.join(coded.select("vector", F.col("entry").alias("query")), "vector").select("id", "query", "vector")
     asked = work.keep(asked, "asked")
+    work.drop("rows")
     kinds = work.keep(asked.groupBy("query").agg(F.first("vector").alias("vector")), "kinds")
-    n_queries = kinds.count()
-    # Codes are copied to each block of queries: the fewer, the less is shuffled.
-    query_blocks = max(1, -(-n_queries // QUERY_BLOCK), min(-(-n_queries // FEW_QUERIES), -(-2 * shuffle_width(spark) // blocks)))
+    blocks, query_blocks = _blocks(n, kinds.count(), unit.shape[1], shuffle_width(spark))
 
     # Entries are dealt to blocks by hash: of a query's RERANK best this many at most are in one block, but for six standard deviations.
     in_block = min(RERANK, math.ceil(RERANK / blocks + 6 * math.sqrt(RERANK / blocks)) + 8)
 
-    def nearest(key, codes, asking):
-        if not len(codes) or not len(asking):
-            return pd.DataFrame({"query": [], "entry": [], "estimate": []}).astype({"query": "int64", "entry": "int64", "estimate": "float32"})
-        entry = codes["entry"].to_numpy()
-        order = np.argsort(entry, kind="stable")
-        entry = entry[order]
-        matrix = np.frombuffer(b"".join(codes["codes"]), np.uint8).reshape(len(entry), -1)[order]
-        norm = codes["norm"].to_numpy(np.float32)[order]
-        out = []
-        keep = min(in_block, len(entry))
-        vectors = _matrix(asking["vector"])
-        for at in range(0, len(asking), SCORED_AT_ONCE):
-            lookups = additive.tables(vectors[at : at + SCORED_AT_ONCE], shared.value).astype(np.float32)
-            s = additive.scores(lookups, matrix, norm)
-            best = np.argpartition(-s, keep - 1, axis=1)[:, :keep] if keep < len(entry) else np.tile(np.arange(keep), (len(s), 1))
-            names = asking["query"].to_numpy()[at : at + SCORED_AT_ONCE]
-            out.append(pd.DataFrame({"query": np.repeat(names, keep), "entry": entry[best].ravel(), "estimate": np.take_along_axis(s, best, 1).ravel()}))
-        return pd.concat(out)
-
-    left = coded.withColumn("b", F.pmod(F.xxhash64("entry"), F.lit(blocks)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    def nearest(key, some, asking):
+        if not len(some) or not len(asking):
+            return pd.DataFrame({"query": [], "entry": [], "score": []}).astype({"query": "int64", "entry": "int64", "score": "float64"})
+        some = some.sort_values("entry")
+        codes = np.frombuffer(b"".join(some["codes"]), np.uint8).reshape(len(some), -1)
+        norm, error = some["norm"].to_numpy(np.float64), some["error"].to_numpy(np.float64)
+        got = nearest_in(_matrix(some["vector"]), codes, norm, error, _matrix(asking["vector"]), shared.value, k + 1, in_block)
+        entry, sizes = some["entry"].to_numpy(), [len(rows) for rows, _ in got]
+        return pd.DataFrame({"query": np.repeat(asking["query"].to_numpy(), sizes), "entry": entry[np.concatenate([r for r, _ in got])], "score": np.concatenate([p for _, p in got])})
+
+    left = coded.drop("ids").withColumn("b", F.pmod(F.xxhash64("entry"), F.lit(blocks)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     right = kinds.withColumn("q", F.pmod(F.xxhash64("query"), F.lit(query_blocks)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     near = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInPandas(nearest, NEAR)
-    top = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("estimate"), "entry"))
-    near = near.withColumn("at", top).filter(F.col("at") <= RERANK).select("query", "entry")
+    top = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "entry"))
+    near = near.withColumn("at", top).filter(F.col("at") <= k + 1).drop("at")
 
-    exact = near.join(kinds.select("query", F.col("vector").alias("_q")), "query").join(entries.select("entry", "ids", "vector"), "entry")
-    products = F.zip_with("_q", "vector", lambda a, b: a.cast("double") * b.cast("double"))
-    exact = exact.select("query", "ids", F.aggregate(products, F.lit(0.0), lambda s, x: s + x).alias("score"))
-    exact = exact.select("query", "score", F.explode("ids").alias("found"))
+    exact = near.join(coded.select("entry", "ids"), "entry").select("query", "score", F.explode("ids").alias("found"))
     by_score = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "found"))
     exact = exact.withColumn("at", by_score).filter(F.col("at") <= k + 1).drop("at")
     # A query's own id is one of k + 1 at most.

@@ -44,6 +44,31 @@ def test_recall_where_few_of_the_vectors_are_scored_exactly(spark):
     assert got.keys() == want.keys() and np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) > 0.95
 
 
+def test_nothing_is_lost_to_the_codes_of_long_vectors(spark, monkeypatch):
+    """Codes say little of these: their errors are larger than what sets the nearest apart."""
+    monkeypatch.setattr(neighbours, "CODEBOOKS", 3)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 256)) * np.exp(rng.normal(size=(3000, 1)) / 4)
+    rows = [(k, v.astype(float).tolist()) for k, v in enumerate(x)]
+    got, want = found(neighbours.search(spark.createDataFrame(rows, SCHEMA), query_every=50)), exact(rows, 20, 50)
+    assert got == want
+
+
+@pytest.mark.parametrize("scale", [1e-30, 1.0, 1e150])
+def test_nothing_is_lost_in_a_block(scale):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2500, 24)) * np.exp(2 * rng.normal(size=(2500, 1))) * scale
+    norm = neighbours._lengths(x)
+    unit = x / norm[:, None]
+    books = additive.train(unit[:300], 2, 16)
+    codes = additive.encode(unit, books, 2)
+    error = np.linalg.norm(unit - additive.decode(codes, books), axis=1) * norm
+    for (rows, scores), q in zip(neighbours.nearest_in(x, codes, norm, error, x[:100], books, 11, 30), x, strict=False):
+        s = np.cumsum(x * q, axis=1)[:, -1]
+        want = np.lexsort((np.arange(len(x)), -s))[:11]
+        assert rows.tolist() == want.tolist() and scores.tolist() == s[want].tolist()
+
+
 def test_very_long_vectors(spark):
     rng = np.random.default_rng(6)
     rows = [(k, v.tolist()) for k, v in enumerate(rng.normal(size=(60, 3000)))]
