@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import PATTERNS
 from loomwright.operators import base as base_ops
+from loomwright.operators import propagate as propagate_ops
 from loomwright.operators.propagate import heavy_slots, join_on, propagate
 from loomwright.operators.temporal import span_of
 from loomwright.plans import run as runs
@@ -118,6 +119,28 @@ def test_a_heavy_key_is_spread(spark, heavy_side):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+@pytest.mark.parametrize("persist", [True, False])
+def test_pairs_through_a_key_of_few_values_are_counted_not_made(spark, persist):
+    """Each side has half of its rows at one of two places: 5,000,000 pairs, which no join gives out."""
+    t = {
+        "people": spark.range(4000).selectExpr("id AS p", "CAST(id % 2 AS INT) AS place", "CAST(id % 3 AS STRING) AS y"),
+        "places": spark.range(2).selectExpr("CAST(id AS INT) AS place"),
+        "shops": spark.range(2500).selectExpr("id AS shop", "CAST(id % 2 AS INT) AS place"),
+    }
+    keys = [key("people", "place", "places", "place"), key("shops", "place", "places", "place")]
+    s = Settings("people", ["p"], ["y"])
+    base = base_ops.build_base(t["people"], s, warn=False)
+    seen = []
+    shape = propagate_ops._shape
+    propagate_ops._shape = lambda df, s: (seen.append(df.count()), shape(df, s))[1]
+    try:
+        found = {p.table: p for p in propagate(base, Catalog(t, keys, s), persist=persist)}
+    finally:
+        propagate_ops._shape = shape
+    assert {n: (p.rows, p.is_target_id_unique) for n, p in found.items()} == {"people": (4000, True), "places": (4000, True), "shops": (5_000_000, False)}
+    assert max(seen) == 4000 and found["shops"].spine is None
+
+
 def test_sketch_of_keys(spark):
     df = spark.range(1000).selectExpr("CASE WHEN id < 300 THEN 5 WHEN id < 400 THEN NULL ELSE id END AS k")
     assert len(heavy_slots(df, ["k"], 200)) == 1 and not heavy_slots(df, ["k"], 400)
