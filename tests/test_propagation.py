@@ -8,13 +8,15 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from loomwright.functions import PATTERNS
+from loomwright.functions import PATTERNS, Binding
+from loomwright.functions.registry import Agg, Counts
 from loomwright.operators import base as base_ops
 from loomwright.operators import propagate as propagate_ops
-from loomwright.operators.propagate import heavy_slots, join_on, propagate
+from loomwright.operators.propagate import Propagated, heavy_slots, join_on, propagate
 from loomwright.operators.temporal import span_of
 from loomwright.plans import run as runs
 from loomwright.plans.expand import expand
+from loomwright.plans.fuse import fused
 from loomwright.settings import Settings
 from loomwright.sources.catalog import Catalog
 from loomwright.sources.keys import key
@@ -211,3 +213,47 @@ def test_store_knows_whole_tables(spark, tmp_path):
     assert store.has("a") and df.count() == 3 and runs.once(store, spark.range(9), "a").count() == 3
     store.drop("a")
     assert not store.has("a")
+
+
+def test_rows_joined_by_a_base_id_are_grouped_without_a_shuffle(spark):
+    """Both sides of the join are shuffled, its rows by base id are not; nor are they sorted for the text of a target."""
+    s = Settings("base", ["id"], ["y"])
+    base = spark.range(20).selectExpr("id AS propagated_id1", "CAST(id % 3 AS STRING) AS propagated_target1", "0 AS propagated_fold")
+    rows = spark.range(200).selectExpr("id AS n", "id % 25 AS k")
+    b = Binding(("propagated_id1",), target="propagated_target1")
+    parts = [("total", Agg("sum(n)")), ("kinds", Counts("n", "count(*)"))]
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = join_on(base, rows, ["propagated_id1"], ["k"], s, None)
+        assert plan_of(joined.groupBy("propagated_id1").count()).count("Exchange ") == 2
+        got = fused(joined, b, parts)
+        assert "SortAggregate" not in plan_of(got)
+        assert {r["propagated_id1"]: tuple(r)[1:] for r in got.collect()} == {i: (str(i % 3), sum(range(i, 200, 25)), 8) for i in range(20)}
+    finally:
+        for c, value in kept.items():
+            spark.conf.set(c, value)
+
+
+def test_rows_of_a_base_row_lie_in_one_partition_unless_they_are_too_many(spark):
+    table = Propagated("t", "t", spark.range(0, 40, 1, 4).selectExpr("id % 5 AS propagated_id1"), ("t",), most=8)
+    s = Settings("base", ["id"], ["y"])
+
+    def parts(t: Propagated) -> int:
+        return max(r["n"] for r in t.df.withColumn("p", F.spark_partition_id()).groupBy("propagated_id1").agg(F.countDistinct("p").alias("n")).collect())
+
+    assert parts(runs.by_base_row(table, s)) == 1 and parts(runs.by_base_row(table, replace(s, heavy_key_rows=7))) == 4
+
+
+def test_a_side_of_unique_keys_is_not_looked_at(spark, monkeypatch):
+    """Rows counted by key hold each key once: no scan looks for heavy ones."""
+    seen = []
+    monkeypatch.setattr(propagate_ops, "heavy_slots", lambda df, columns, rows: seen.append(tuple(columns)) or set())
+    customers = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(6)], "id long, y string")
+    orders = spark.createDataFrame([(i, i % 6) for i in range(30)], "o long, c long")
+    s = Settings("customers", ["id"], ["y"])
+    catalog = Catalog({"customers": customers, "orders": orders}, [key("orders", "c", "customers", "id")], s)
+    found = propagate(base_ops.build_base(customers, s), catalog)
+    assert [(p.table, p.rows, p.most) for p in found] == [("customers", 6, 1), ("orders", 30, 5)]
+    assert seen == [("_f0",)]  # of the orders themselves, once
